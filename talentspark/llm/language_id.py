@@ -168,3 +168,15 @@ def identify(documents: DataFrame, model: NaiveBayes) -> DataFrame:
 
     rows = documents.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "text")
     return rows.mapInPandas(score, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_known(documents: DataFrame, model: NaiveBayes, least: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text is in a learned language at a posterior of ``least`` or more."""
+    shared = documents.sparkSession.sparkContext.broadcast((model.languages, model.prior, model.log_prob))
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            lang, p = predict(NaiveBayes(*shared.value), list(b["text"]))
+            yield b[[x != "und" and s >= least for x, s in zip(lang, p)]]
+
+    return documents.mapInPandas(keep, documents.schema)

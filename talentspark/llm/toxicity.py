@@ -291,3 +291,13 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, cut: float = 0.5)
 
     rows = documents.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text")
     return rows.mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_clean(documents: DataFrame, model: ToxicityModel, cut: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that score under ``cut``."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[model.score_texts(b["text"]) < cut]
+
+    return documents.mapInPandas(keep, documents.schema)
