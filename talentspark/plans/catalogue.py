@@ -1,14 +1,691 @@
-"""The catalogue of named queries and their SQL."""
+"""The catalogue of named queries: operators bound to tables.  The SQL they are held against is in ``oracles``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+from ..functions import text as T
+from ..functions.vectors import norm
+from ..operators import dedup, filters, graph, ledger, matching, quality, search, tracking
+from ..operators.filters import Leaf, Node
+from . import oracles
+from .bindings import AS_OF, application_events, evidence, posting_skills, postings, requirements, table, votes
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.sql().items() if k in _QUERIES}
+
+
+def day(*names: str):
+    return [F.col(n).cast("string").alias(n) for n in names]
+
+
+def r6(*names: str):
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def _ledger(s, d):
+    return ledger.build_ledger(evidence(s, d), AS_OF)
+
+
+LEDGER_COLS = ["entity", "skill", "evidence_count", "is_current", "role_count"]
+
+
+# --- ledgers ---------------------------------------------------------------------------------------------------------
+
+
+@query
+def ledger_entries(s, d):
+    return _ledger(s, d).select(*LEDGER_COLS, *day("first_seen", "last_seen"), *r6("max_confidence", "years", "strength"))
+
+
+@query
+def interval_union_years(s, d):
+    return ledger.interval_union(evidence(s, d), AS_OF).select("entity", "skill", "islands", "days")
+
+
+@query
+def ledger_strong_weak(s, d):
+    x = _ledger(s, d).select("category", ledger.level(F.round("strength", 6)).alias("level"))
+    return x.groupBy("category", "level").agg(F.count("*").alias("n"))
+
+
+@query
+def ledger_unsubstantiated(s, d):
+    return _ledger(s, d).where("unsubstantiated").select("entity", "skill", "evidence_count")
+
+
+@query
+def ledger_stale_issues(s, d):
+    return ledger.stale(_ledger(s, d), AS_OF).select("entity", "skill", *day("last_seen"))
+
+
+@query
+def ledger_merge_compound(s, d):
+    e = evidence(s, d)
+    parts = [e.where(F.col("experience") % 2 == 0), e.where((F.col("experience") % 2 == 1) | (F.col("experience") % 4 == 0))]
+    return ledger.compound(parts, AS_OF).select("entity", "skill", "evidence_count", "role_count", *r6("years", "max_confidence"))
+
+
+@query
+def ledger_overrides(s, d):
+    e = evidence(s, d)
+    gone = s.createDataFrame([("red gear",), ("hot gear",)], "skill string")
+    moved = s.createDataFrame([("small widget", "red widget")], "skill string, new_name string")
+    manual = e.where("seq = 1").withColumn("skill", F.lit("manual skill")).withColumn("confidence", F.lit(1.0))
+    changed = ledger.override(e, gone, moved, manual)
+    return changed.groupBy("skill").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
+
+
+@query
+def ledger_drift(s, d):
+    e = evidence(s, d)
+    old, new = e.where("start_date < '1999-01-01'"), e.where("start_date >= '1997-01-01'")
+    x = ledger.drift(ledger.build_ledger(old, "1999-01-01"), ledger.build_ledger(new, AS_OF))
+    return x.groupBy("change").agg(F.count("*").alias("n"))
+
+
+@query
+def compress_topk_evidence(s, d):
+    return ledger.top_evidence(evidence(s, d).withColumn("confidence", F.round("confidence", 6)), 3).select("entity", "skill", "rank", "experience", "seq", "confidence")
+
+
+@query
+def career_gantt(s, d):
+    return ledger.gantt(evidence(s, d), AS_OF).select("entity", "experience", *r6("offset_pct", "width_pct"))
+
+
+@query
+def reverse_chronology(s, d):
+    e = evidence(s, d).select("entity", "experience", "start_date").distinct()
+    w = Window.partitionBy("entity").orderBy("experience")
+    return e.withColumn("earlier", F.lag("start_date").over(w)).groupBy("entity").agg(F.count_if(F.col("start_date") > F.col("earlier")).alias("out_of_order"), F.count("*").alias("n"))
+
+
+# --- filters ---------------------------------------------------------------------------------------------------------
+
+
+def _fields():
+    model = F.when(F.col("is_remote"), "Remote").otherwise("Onsite")
+    return {
+        "company": F.col("company"), "title": F.col("title"), "location": F.col("location"), "salary": F.col("salary"), "work_model": model,
+        "is_remote": F.coalesce("is_remote", F.lit(False)), "skills": F.split("company", " "),
+    }
+
+
+LISTS = frozenset({"skills"})
+
+
+@query
+def filter_tree_all_any_not(s, d):
+    tree = Node("All", [
+        Node("Any", [Leaf("location", "In", ["FRANCE", "germany", "CHINA"]), Leaf("salary", "GreaterThan", 300000)]),
+        Node("Not", [Leaf("title", "Contains", "urgent")]), Leaf("work_model", "NotEqual", "Remote"),
+    ])
+    return postings(s, d).where(filters.compile_filter(tree, _fields(), LISTS)).select("job_id", "company", "title")
+
+
+@query
+def filter_leaf_ops(s, d):
+    leaves = {
+        "eq": Leaf("location", "Equal", "france"), "ne": Leaf("location", "NotEqual", "FRANCE"), "gt": Leaf("salary", "GreaterThan", 150000), "ge": Leaf("salary", "GreaterThanOrEqual", "150000"),
+        "lt": Leaf("salary", "LessThan", 50000), "le": Leaf("salary", "LessThanOrEqual", 50000), "in_": Leaf("skills", "In", ["BUILDING", "france"]), "not_in": Leaf("skills", "NotIn", ["machinery"]),
+        "between": Leaf("salary", "Between", 50000, 100000), "is_true": Leaf("is_remote", "IsTrue"), "is_false": Leaf("is_remote", "IsFalse"), "contains": Leaf("title", "Contains", "HIGH"),
+    }
+    return postings(s, d).agg(*[F.count_if(filters.compile_filter(x, _fields(), LISTS)).alias(k) for k, x in leaves.items()])
+
+
+@query
+def filter_null_semantics(s, d):
+    jobs = postings(s, d).withColumn("company", F.when(F.col("job_id") % 3 != 0, F.col("company"))).withColumn("salary", F.when(F.col("job_id") % 5 != 0, F.col("salary")))
+    fields = {"company": F.col("company"), "salary": F.col("salary")}
+    c = lambda t: filters.compile_filter(t, fields)
+    return jobs.select(
+        "job_id", c(Leaf("company", "Contains", "build")).alias("contains"), c(Node("Not", [Leaf("company", "Contains", "build")])).alias("not_contains"),
+        c(Leaf("company", "NotIn", ["x"])).alias("not_in"), c(Leaf("salary", "GreaterThan", 100000)).alias("gt"), c(Node("All")).alias("all_empty"), c(Node("Any")).alias("any_empty"),
+    )
+
+
+@query
+def hard_filter(s, d):
+    jobs = filters.hard_filter(postings(s, d), AS_OF, min_salary=100000, remote_only=True, max_age_days=2000, excluded_companies=("building france",), locations=("an", "in"))
+    return jobs.select("job_id", "company", F.round("salary", 2).alias("salary"))
+
+
+@query
+def blocked_company_antifilter(s, d):
+    return filters.blocked(postings(s, d), ("machinery", "house")).groupBy("company").agg(F.count("*").alias("n"))
+
+
+@query
+def freshness_bucket(s, d):
+    age = F.datediff(F.lit("2001-08-02").cast("date"), "created")
+    return postings(s, d).groupBy(filters.freshness(age).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query
+def salary_band(s, d):
+    return postings(s, d).groupBy(filters.salary_band(F.col("salary")).alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("salary"), 4).alias("mean_salary"))
+
+
+CLASSES = [("Legal", ("license", "copyright")), ("Tabular", (" | ",)), ("Noisy", ("###", "$$$")), ("French", (" les ", " des ")), ("German", (" und ", " der "))]
+
+
+@query
+def first_match_classifier(s, d):
+    return table(s, d, "documents").select("doc_id", T.first_match(F.lower(F.coalesce("text", F.lit(""))), CLASSES, "Other").alias("label"))
+
+
+@query
+def multi_label_keywords(s, d):
+    x = table(s, d, "documents").select("doc_id", F.explode(T.all_matches(F.lower(F.coalesce("text", F.lit(""))), CLASSES)).alias("label"))
+    return x.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query
+def aspect_extract_dedup(s, d):
+    j = postings(s, d)
+    kinds = {"company": F.col("company"), "location": F.col("location"), "title": F.col("title"), "band": filters.salary_band(F.col("salary")), "model": F.when(F.col("is_remote"), "Remote").otherwise("Onsite")}
+    aspects = j.select("job_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("kind"), v.alias("value")) for i, (k, v) in enumerate(kinds.items())])).alias("a")).select("job_id", "a.*")
+    first = dedup.latest_per_key(aspects.withColumn("low", F.lower("value")), ["kind", "low"], [F.col("job_id"), F.col("i")])
+    return first.select("kind", "value", "job_id")
+
+
+@query
+def anonymise_projection(s, d):
+    c = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    size = F.when(F.col("c_acctbal") > 5000, "Enterprise").when(F.col("c_acctbal") > 0, "Mid").otherwise("Small")
+    return c.select("c_custkey", F.lit(None).cast("string").alias("name"), F.coalesce(F.trim(F.element_at(F.split(F.concat_ws(", ", "c_mktsegment", "n_name"), ","), -1)), F.lit("Undisclosed")).alias("place"), size.alias("company_class"))
+
+
+# --- matching --------------------------------------------------------------------------------------------------------
+
+
+def _matches(s, d):
+    return matching.tiered_match(_ledger(s, d), requirements(s, d))
+
+
+@query
+def tiered_match_coverage(s, d):
+    x = matching.coverage(_matches(s, d), requirements(s, d))
+    return x.select("entity", "spec", "got_required", "got_preferred", "matched", *r6("required_coverage", "preferred_coverage", "fit", "mean_strength"))
+
+
+@query
+def tiered_match_best(s, d):
+    x = _matches(s, d).where("spec <= 5")
+    return x.select("entity", "spec", "term", "importance", "skill", *r6("strength", "similarity"))
+
+
+@query
+def rank_entities_for_spec(s, d):
+    x = matching.rank(matching.coverage(_matches(s, d), requirements(s, d)), 10)
+    return x.select("spec", "rank", "entity", *r6("fit", "mean_strength"))
+
+
+def _vectors(s, d):
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("group"))
+
+
+@query
+def tiered_match_semantic(s, d):
+    from ..functions.vectors import dot
+
+    v = _vectors(s, d)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "group")
+    pool = v.where("id % 50 <> 0").select(F.col("id").alias("candidate_id"), "v", "group")
+    x = matching.semantic_match(q, pool, dot(F.col("q"), F.col("v")), 0.30, ["group"])
+    return x.select("query_id", "candidate_id", F.round("similarity", 6).alias("similarity"), "matched")
+
+
+@query
+def simple_match_votes(s, d):
+    have, avoid = ["red gear", "blue gear", "small widget", "hot bolt"], ["large widget"]
+    j = postings(s, d).join(posting_skills(s, d), "job_id")
+    score = tracking.vote_fold(votes(s, d), ["profile"])
+    bonus = j.join(score, F.col("source_id") == F.col("profile"), "left").withColumn("bonus", F.coalesce("score", F.lit(0))).drop("score")
+    x = matching.simple_match(bonus, have, avoid, F.col("bonus"))
+    return x.select("job_id", F.round("score", 6).alias("score"), F.size("missing").cast("long").alias("n_missing"))
+
+
+@query
+def archetype_match(s, d):
+    roles = table(s, d, "part").select(F.col("p_type").alias("role"), F.col("p_name").alias("skill")).distinct()
+    x = matching.archetypes(evidence(s, d), roles)
+    return x.select("entity", "role", "matched", "total", F.round("percent", 6).alias("percent"))
+
+
+@query
+def coverage_keyword_overlap(s, d):
+    words = lambda c: F.array_distinct(T.words(F.coalesce(c, F.lit("")), 6))
+    needs = table(s, d, "benchmark").select(F.col("item_id").alias("need"), words(F.col("text")).alias("keywords"))
+    offers = table(s, d, "documents").select(F.col("doc_id").alias("offer"), words(F.col("text")).alias("keywords"))
+    return matching.keyword_overlap(needs, offers).select("need", "offer", "overlap", F.round("score", 6).alias("score"))
+
+
+@query
+def career_gaps(s, d):
+    m = _matches(s, d).where("spec <= 3")
+    req = requirements(s, d).where("spec <= 3")
+    near = evidence(s, d).select("entity", F.element_at(F.split("skill", " "), 1).alias("term")).distinct()
+    return matching.career_gaps(req, m.withColumn("strength", F.round("strength", 6)), near).groupBy("spec", "gap", "impact", "effort").agg(F.count("*").alias("n"))
+
+
+@query
+def email_app_match_score(s, d):
+    apps = table(s, d, "customer").select(F.col("c_custkey").alias("application_id"), F.concat(F.translate("c_name", "#", "-"), F.lit(" Ltd")).alias("company"), F.col("c_mktsegment").alias("title"), F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("hr"), F.col("c_custkey"), F.lit("@agency.example"))).alias("recruiter"))
+    mails = table(s, d, "customer").where("c_custkey % 3 <> 0").select(
+        F.col("c_custkey").alias("message_id"), F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("HR"), F.col("c_custkey"), F.lit("@agency.example"))).otherwise(F.concat(F.lit("jobs@"), F.regexp_replace(F.lower("c_name"), "[^a-z0-9]", ""), F.lit(".com"))).alias("sender"),
+        F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("About "), F.col("c_mktsegment"))).otherwise("Hello").alias("subject"), F.lit("body").alias("body"),
+    )
+    return matching.mail_match(mails, apps).select("message_id", "application_id", F.round("score", 6).alias("score"))
+
+
+@query
+def company_cooldown(s, d):
+    j = postings(s, d)
+    recent = j.where("is_remote").groupBy(F.lower("company").alias("k")).agg(F.max("created").alias("last"))
+    hit = j.join(recent, F.lower("company") == F.col("k"))
+    return hit.where(F.datediff("created", "last").between(0, 14) & ~F.coalesce("is_remote", F.lit(False))).select("job_id", "company", *day("created", "last"))
+
+
+@query
+def antijoin_new_items(s, d):
+    return table(s, d, "orders").join(table(s, d, "lineitem").where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey", "o_custkey")
+
+
+@query
+def set_operations(s, d):
+    p, l = table(s, d, "part").select(F.col("p_partkey").alias("k")), table(s, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("k"))
+    tag = lambda x, n: x.select("k", F.lit(n).alias("kind"))
+    return tag(p.subtract(l), "except").unionByName(tag(p.intersect(l), "intersect"))
+
+
+# --- dedup and fusion ------------------------------------------------------------------------------------------------
+
+
+@query
+def interval_overlap_merge(s, d):
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("start_date"))
+    return dedup.overlapping(o.withColumn("stop", F.date_add("start_date", 30)), "owner").select("owner", "a_id", "b_id")
+
+
+@query
+def key_dedup_latest(s, d):
+    x = postings(s, d).withColumn("key_title", T.normalise_title(F.col("title"))).withColumn("key_company", F.lower("company"))
+    return dedup.latest_per_key(x, ["key_company", "key_title"], [F.desc("created"), F.desc("job_id")]).select("key_company", "key_title", "job_id", *day("created"))
+
+
+@query
+def url_dedup_first(s, d):
+    x = table(s, d, "pages").select("page_id", F.when(F.col("page_id") % 9 != 0, T.url_host(F.col("url"))).otherwise("").alias("key"))
+    return dedup.first_by_nonempty(x, "key", "page_id").select("page_id", "key")
+
+
+@query
+def hoover_reposts(s, d):
+    return dedup.reposts(postings(s, d)).select("company", "title", "posts", "nearest_days", "likely")
+
+
+@query
+def near_duplicates_vec(s, d):
+    return search.similar_within(_vectors(s, d), "group", 0.25).select("group", "a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def jaccard_templates(s, d):
+    e = evidence(s, d).groupBy(F.col("entity").alias("id")).agg(F.collect_set("category").alias("c"), F.collect_set("skill").alias("items"))
+    return dedup.jaccard(e.where("id <= 200").select("id", "items"), 0.4).select("id", "id2", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def candidate_fusion(s, d):
+    p = table(s, d, "part")
+    src = [("brand", "p_brand", 0.9), ("type", "p_type", 0.7), ("name", "p_name", 0.75)]
+    c = None
+    for name, col, conf in src:
+        x = p.select(F.col("p_size").alias("doc"), F.lit("label").alias("field"), F.upper(F.element_at(F.split(col, " "), -1)).alias("value"), F.lit(name).alias("source"), F.lit(conf).alias("confidence"))
+        c = x if c is None else c.unionByName(x)
+    return dedup.fuse(c, ["doc", "field"]).select("doc", "field", "norm", F.round("confidence", 6).alias("confidence"), "sources", "rank")
+
+
+@query
+def entity_fusion(s, d):
+    t = table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    email, number = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+", r"[0-9]{2,}"
+    a = t.select("doc_id", F.explode(F.regexp_extract_all("t", F.lit(email), 0)).alias("value")).select("doc_id", F.lit("email").alias("kind"), "value", F.lit("rule").alias("source"), F.lit(0.95).alias("confidence"))
+    b = a.select("doc_id", "kind", F.lower("value").alias("value"), F.lit("lower").alias("source"), F.lit(0.6).alias("confidence"))
+    n = t.select("doc_id", F.explode(F.regexp_extract_all("t", F.lit(number), 0)).alias("value")).select("doc_id", F.lit("number").alias("kind"), "value", F.lit("rule").alias("source"), F.lit(0.5).alias("confidence"))
+    return dedup.fuse(a.unionByName(b).unionByName(n), ["doc_id", "kind"], 0.08).select("doc_id", "kind", "norm", F.round("confidence", 6).alias("confidence"), "sources")
+
+
+@query
+def aggregate_profile(s, d):
+    o = postings(s, d).withColumn("title", F.when(F.col("job_id") % 4 != 0, F.col("title")))
+    return dedup.profile(o, "source_id", "job_id", "company", ["title"], ["salary"]).select("source_id", "company", "title", F.round("salary", 2).alias("salary"))
+
+
+@query
+def upsert_latest(s, d):
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"), F.round("o_totalprice", 2).alias("data"))
+    return dedup.upsert(o.where("version % 2 = 0"), o.where("version % 2 = 1"), "id", "version")
+
+
+# --- vectors ---------------------------------------------------------------------------------------------------------
+
+_QUERY = [(-1.0) ** i * (1 + i % 3) / 10 for i in range(64)]
+
+
+@query
+def knn_topk(s, d):
+    return search.knn(_vectors(s, d), _QUERY, 10).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def knn_filtered_pre_vs_post(s, d):
+    v = _vectors(s, d)
+    a = search.knn(v, _QUERY, 20, prefilter=F.col("group") == 3).select(F.lit("pre").alias("kind"), "id", F.round("similarity", 6).alias("similarity"))
+    return a.unionByName(search.knn(v, _QUERY, 20, postfilter=F.col("group") == 3).select(F.lit("post").alias("kind"), "id", F.round("similarity", 6).alias("similarity")))
+
+
+@query
+def knn_batch_by_label(s, d):
+    v = _vectors(s, d)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "group")
+    return search.knn_batch(q, v, 3, ["group"]).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def pairwise_similarity_stats(s, d):
+    return search.pair_statistics(_vectors(s, d), "group").select("group", "pairs", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"))
+
+
+@query
+def vector_store_stats(s, d):
+    v = _vectors(s, d)
+    return v.groupBy("group").agg(F.count("*").alias("n"), (F.max("id") + 1).alias("next_id"), F.round(F.avg(norm(F.col("v"))), 6).alias("mean_norm"))
+
+
+# --- graphs ----------------------------------------------------------------------------------------------------------
+
+
+def _edges(s, d):
+    items = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("group"), F.col("p_name").alias("item"))
+    return graph.cooccurrence(items)
+
+
+def _members(s, d):
+    return table(s, d, "part").groupBy(F.col("p_name").alias("node")).agg(F.min("p_type").alias("community"))
+
+
+@query
+def cooccurrence_edges(s, d):
+    return _edges(s, d)
+
+
+@query
+def graph_degree_topn(s, d):
+    return graph.top_by_community(_edges(s, d), _members(s, d), 5).select("community", "rank", "node", "degree")
+
+
+@query
+def graph_modularity(s, d):
+    return graph.modularity(_edges(s, d), _members(s, d)).select("community", "inside", "total", F.round("modularity", 6).alias("modularity"))
+
+
+@query
+def bridge_skills(s, d):
+    strong = _ledger(s, d).groupBy(F.col("skill").alias("node")).agg(F.avg("strength").alias("m")).where("round(m, 6) > 0.4")
+    return graph.bridges(_edges(s, d), _members(s, d), strong)
+
+
+@query
+def relation_learner(s, d):
+    x = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("group"), F.col("l_linenumber").alias("position"), F.col("p_name").alias("term"))
+    return graph.relations(x)
+
+
+@query
+def graph_communities(s, d):
+    return graph.communities(_edges(s, d).withColumn("graph", F.lit("all")))
+
+
+# --- tracking --------------------------------------------------------------------------------------------------------
+
+
+def _apps(s, d):
+    return tracking.stage_fold(application_events(s, d).withColumnRenamed("event_id", "seq"), ["application"])
+
+
+@query
+def vote_clamped_fold(s, d):
+    return tracking.vote_fold(votes(s, d), ["profile"])
+
+
+@query
+def vote_auto_filter(s, d):
+    return tracking.auto_filter(tracking.vote_fold(votes(s, d), ["profile"]))
+
+
+@query
+def stage_machine_fold(s, d):
+    return _apps(s, d).select("application", "stage", "n_events", F.coalesce(F.unix_micros("applied_at"), F.lit(-1)).alias("applied_us"), F.unix_micros("last_activity").alias("last_us"))
+
+
+@query
+def funnel(s, d):
+    return tracking.funnel(_apps(s, d))
+
+
+@query
+def funnel_rates(s, d):
+    return tracking.rates(_apps(s, d))
+
+
+@query
+def ghosted_stale(s, d):
+    return tracking.ghosted(_apps(s, d), "2024-02-10").select("application")
+
+
+@query
+def watch_due(s, d):
+    w = table(s, d, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "click", F.to_date("ts"))).alias("last_polled"), F.count("*").alias("n"))
+    w = w.select("user_id", "last_polled", (F.col("n") % 2 == 0).alias("active"), (F.col("n") % 7).cast("int").alias("interval_days"))
+    return tracking.watch_due(w, "2024-01-31").select("user_id", "due")
+
+
+@query
+def mail_classes(s, d):
+    t = F.lower(F.concat(F.when(F.col("turn") % 3 == 0, "unfortunately the interview ").otherwise(""), F.coalesce("text", F.lit(""))))
+    c = tracking.classify_mail(t)
+    return table(s, d, "conversations").groupBy(F.coalesce(c["label"], F.lit("none")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query
+def tumbling_window(s, d):
+    e = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.to_date("w.start").cast("string").alias("day"), "event_type", "n", "total")
+
+
+@query
+def sliding_window(s, d):
+    e = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy(F.window("ts", "2 days", "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.to_date("w.start").cast("string").alias("day"), "n")
+
+
+@query
+def session_windows(s, d):
+    e = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    x = e.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count("*").alias("n"))
+    return x.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+# --- text and quality ------------------------------------------------------------------------------------------------
+
+_TEXT = lambda: F.coalesce("text", F.lit(""))
+_RULES = lambda t: [
+    ("format", "short", "error", F.length(t) < 200), ("format", "long", "warning", F.length(t) > 20000), ("format", "lines", "info", ~t.contains("\n")),
+    ("style", "pronoun", "error", F.lower(t).contains(" i ")), ("style", "noise", "warning", t.contains("###")), ("style", "filler", "warning", F.lower(t).contains(" that ")),
+    ("style", "bang", "warning", t.contains("!!")), ("content", "number", "warning", ~t.rlike("[0-9]")),
+]
+
+
+@query
+def quality_scores(s, d):
+    return quality.score(table(s, d, "documents"), "doc_id", _RULES(_TEXT()), {"format": 50, "style": 30, "content": 20}, {"format": 2, "style": 3, "content": 1}).select("doc_id", "format_score", "style_score", "content_score", "overall")
+
+
+@query
+def quality_findings(s, d):
+    return quality.findings(table(s, d, "documents"), "doc_id", _RULES(_TEXT())).groupBy("category", "code", "severity").agg(F.count("*").alias("n"))
+
+
+@query
+def bullet_lint(s, d):
+    line = F.element_at(F.split(_TEXT(), "\n"), 1)
+    n = F.size(F.filter(F.split(line, " "), lambda w: w != ""))
+    return table(s, d, "documents").select("doc_id", n.cast("long").alias("n_words"), (n < 8).alias("short"), (n > 35).alias("long"), (~line.rlike("[0-9]")).alias("no_quantity"), F.lower(line).rlike("(^| )(i|my|me)( |$)").alias("pronoun"))
+
+
+@query
+def lexical_diversity(s, d):
+    return quality.lexical_diversity(table(s, d, "documents"), "doc_id").select("doc_id", "n_words", F.round("ttr", 6).alias("ttr"))
+
+
+@query
+def stylometrics(s, d):
+    return quality.stylometrics(table(s, d, "documents"), "doc_id", ("the", "that", "with")).select("doc_id", "n_sentences", *r6("mean_len", "cv", "buzz_pct"))
+
+
+@query
+def reading_order_sections(s, d):
+    head = (F.length("line") <= 60) & (F.upper("line") == F.col("line")) & F.col("line").rlike("[A-Z]")
+    x = quality.sections(table(s, d, "documents"), "doc_id", head)
+    return x.where("section is not null").groupBy("doc_id").agg(F.count("*").alias("lines"), F.countDistinct("section").alias("sections"))
+
+
+@query
+def salary_years_regex(s, d):
+    t = F.concat(F.lit("Pay: "), F.col("o_orderkey") % 90 + 10, F.lit(",000 - "), F.col("o_orderkey") % 90 + 20, F.when(F.col("o_orderkey") % 2 == 0, ",000").otherwise("k"), F.lit(". Needs "), F.col("o_custkey") % 12, F.lit("+ years"))
+    low, high = T.salary_range(F.col("t"))
+    return table(s, d, "orders").select("o_orderkey", t.alias("t")).select("o_orderkey", F.coalesce(low, F.lit(-1)).alias("low"), F.coalesce(high, F.lit(-1)).alias("high"), T.claimed_years(F.col("t")).alias("years"))
+
+
+@query
+def html_to_text_title_host(s, d):
+    t = T.strip_html(F.col("html"))
+    return table(s, d, "pages").select("page_id", T.page_title(F.col("html")).alias("title"), T.url_host(F.col("url")).alias("host"), F.length(T.page_title(F.col("html"))).cast("long").alias("n"), (F.length(t) > 200).alias("long_enough"))
+
+
+@query
+def dictionary_scan(s, d):
+    terms = s.createDataFrame([("license",), ("version",), ("of the",), ("in the",), ("to",)], "term string")
+    return quality.dictionary_scan(table(s, d, "documents"), "doc_id", terms)
+
+
+LANGS = {"en": ("the", "and", "of", "that"), "de": ("und", "der", "die", "nicht"), "fr": ("les", "des", "est", "dans"), "es": ("los", "las", "por", "una")}
+
+
+@query
+def language_detect(s, d):
+    return table(s, d, "documents").groupBy("lang", quality.language_by_keywords(_TEXT(), LANGS).alias("guess")).agg(F.count("*").alias("n"))
+
+
+@query
+def spellcheck_antijoin(s, d):
+    known = table(s, d, "benchmark").select(F.explode(T.words(F.coalesce("text", F.lit("")), 4)).alias("word"))
+    return quality.misspelled(table(s, d, "documents"), "doc_id", known)
+
+
+@query
+def fix_rewrite(s, d):
+    t = F.concat(F.lit("I really was responsible for "), F.substring(F.coalesce("text", F.lit("")), 1, 80))
+    return table(s, d, "conversations").select("conv_id", "turn", F.md5(T.rewrite(t)).alias("fixed"))
+
+
+@query
+def skill_groups_export(s, d):
+    return table(s, d, "part").groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("p_name")), "; ").alias("keywords"), F.countDistinct("p_name").alias("n"))
+
+
+@query
+def byte_share(s, d):
+    g = table(s, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.sum("l_quantity").alias("q"))
+    x = g.withColumn("share", F.col("q") / F.sum("q").over(Window.partitionBy("l_suppkey")))
+    return x.where("share >= 0.05").select("l_suppkey", "l_returnflag", F.round("share", 6).alias("share"), F.round(F.least(F.lit(0.95), F.least(F.lit(1.0), F.col("share") * 1.5) + 0.1), 6).alias("confidence"))
+
+
+@query
+def median_by_group(s, d):
+    return table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.percentile("l_extendedprice", 0.5), 6).alias("median"), F.count("*").alias("n"))
+
+
+@query
+def title_normalise_similarity(s, d):
+    p = table(s, d, "part").select(F.col("p_name").alias("a")).distinct()
+    x = p.join(p.select(F.col("a").alias("b")), F.element_at(F.split("a", " "), -1) == F.element_at(F.split("b", " "), -1)).where("a < b")
+    return x.select("a", "b", F.round(T.title_similarity(T.normalise_title(F.concat(F.lit("Senior "), "a")), T.normalise_title(F.col("b"))), 6).alias("similarity"))
+
+
+@query
+def style_role_mode(s, d):
+    x = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", F.concat("l_returnflag", "l_linestatus").alias("role")).agg(F.count("*").alias("n"))
+    return dedup.latest_per_key(x, ["p_brand"], [F.desc("n"), F.col("role")])
+
+
+@query
+def domain_detection(s, d):
+    hits = evidence(s, d).select("entity", "category").groupBy("entity", "category").agg((3 * F.count("*")).alias("points"))
+    w = Window.partitionBy("entity")
+    r = Window.partitionBy("entity").orderBy(F.desc("points"), "category")
+    x = hits.withColumn("share", F.col("points") / F.max("points").over(w)).withColumn("rank", F.row_number().over(r))
+    return x.where("rank <= 3").select("entity", "category", "rank", F.round("share", 6).alias("share"))
+
+
+@query
+def duplicates_having(s, d):
+    return evidence(s, d).groupBy("experience", "skill").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query
+def endorsement_counts(s, d):
+    skills = table(s, d, "part").select(F.col("p_name").alias("skill")).distinct()
+    votes_ = table(s, d, "lineitem").where("l_quantity = 50").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_name").alias("skill")).agg(F.count("*").alias("n"))
+    return skills.join(votes_, "skill", "left").select("skill", F.coalesce("n", F.lit(0)).alias("endorsements"))
+
+
+@query
+def layout_fingerprint(s, d):
+    cell = F.floor(F.col("l_discount") * 100).cast("int") * 10 + F.floor(F.col("l_tax") * 100).cast("int")
+    x = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "l_returnflag", F.lpad(cell.cast("string"), 3, "0")))), "|").alias("code"))
+    return x.select("l_orderkey", F.md5("code").alias("fingerprint"))
+
+
+@query
+def batch_extraction_stats(s, d):
+    x = table(s, d, "documents").select(F.length(_TEXT()).alias("n"), F.size(F.split(_TEXT(), "\n")).alias("lines"))
+    return x.agg(F.count("*").alias("documents"), F.round(F.avg("n"), 4).alias("mean_chars"), F.round(F.avg("lines"), 4).alias("mean_lines"), F.round(F.avg((F.col("lines") == 1).cast("int")), 6).alias("single_line"))
+
+
+@query
+def stream_stage_parity(s, d):
+    """Applications whose streamed final stage differs from the batch fold: none."""
+    from ..streaming.jobs import stage_stream_once
+
+    streamed = stage_stream_once(s, application_events(s, d).withColumnRenamed("event_id", "seq").select("application", "ts", "seq", "to_stage"))
+    return _apps(s, d).select("application", "stage").exceptAll(streamed.select("application", "stage"))
