@@ -109,10 +109,10 @@ def measures(documents: DataFrame, window: int = 5) -> DataFrame:
     return df.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "stop_words",
         _covered("at", window).alias("n_repeat_words"),
-        (F.col("word_chars") / F.col("n_words")).alias("mean_word"),
-        (F.col("n_symbols") / F.col("n_words")).alias("symbols_per_word"),
-        (F.col("n_dup_lines") / F.col("n_lines")).alias("duplicate_lines"),
-        (F.col("n_marked") / F.col("n_lines")).alias("marked_lines"),
+        F.try_divide("word_chars", "n_words").alias("mean_word"),
+        F.try_divide("n_symbols", "n_words").alias("symbols_per_word"),
+        F.try_divide("n_dup_lines", "n_lines").alias("duplicate_lines"),
+        F.try_divide("n_marked", "n_lines").alias("marked_lines"),
     )
 
 
