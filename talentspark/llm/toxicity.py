@@ -139,7 +139,8 @@ def learn_lexicon(rows: DataFrame, min_docs: int = 5, min_share: float = 0.013,
                 out["term"] += first
                 out["y"] += [y] * len(first)
                 out["around"] += [" ".join(words[max(0, i - 1) : i] + words[i + 1 : i + 2]) for i in first.values()]
-            yield pd.DataFrame(out)
+            if out["term"]:
+                yield pd.DataFrame(out)
 
     counted = (
         rows.mapInPandas(terms, "term string, y int, around string")
