@@ -1,0 +1,307 @@
+"""The ten operators against brute force, round trips and held-out labels; null, empty, long, repeated and clashing rows."""
+
+import hashlib
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("talentspark.llm")
+from talentspark.llm import components, embedding_dedup, entry, language_id, packing, pii_crf, quality_ranking, quality_rules, secret_scan, sentencepiece_bpe, simhash, toxicity  # noqa: E402
+
+tokenizers = pytest.importorskip("public_tokenizers")
+SF = "/root/testdata/sf0.001"
+LONG = "word and the other of it in a long text " * 3000
+TEXTS = [None, "", " ", "one", "a b c d e f g h i j", LONG, LONG, "x\x01y token=abcdefgh12 z", "mail bob.smith@example.com or +1 (555) 555-0199 now", "日本語 テキスト 🙂", "The\nThe\nthe end. " * 20]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Edge texts, a repeated row, and extra columns named like the operators' own."""
+    rows = [(i, t, "en" if i % 3 else None, "s", 1.5, [1], "k") for i, t in enumerate(TEXTS)] + [(3, "one", "en", "s", 1.5, [1], "k")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double, ids array<int>, n_words string")
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(len(TEXTS))] + [(99, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+def small(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet")
+
+
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the tables")
+
+
+def test_quality_ranking(spark, docs, empty, labels):
+    out = quality_ranking.rank_quality(docs, quality_ranking.train(docs, labels)).toPandas()
+    assert len(out) == len(TEXTS) + 1 and out["score"].between(0, 1).all() and (out["predicted"] == (out["score"] >= 0.3)).all()
+    assert (out["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in out["doc_id"]]).all()
+    none = quality_ranking.train(docs, labels.where("false"))
+    assert (quality_ranking.rank_quality(docs, none).toPandas()["score"] == 0.5).all()
+    assert quality_ranking.rank_quality(empty, none).count() == 0
+
+
+def test_quality_pairs():
+    rng = np.random.default_rng(0)
+    x = np.abs(rng.normal(size=(3000, len(quality_ranking.FEATURES))))
+    y = (x[:, 3] > 0.6).astype(int)
+    m = quality_ranking.fit(x[:2000], y[:2000], float((y[:2000] == 0).mean()))
+    assert ((m.score(x[2000:]) >= 0.3) == (y[2000:] == 1)).mean() > 0.9
+
+
+def test_sentencepiece(spark, docs, empty):
+    import sentencepiece
+
+    path = tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    out = sentencepiece_bpe.encode_decode(docs, path).toPandas().drop_duplicates("doc_id").set_index("doc_id")
+    for i, t in enumerate(TEXTS):
+        ids = sp.encode(t or "") + [sp.eos_id()]
+        assert out.loc[i, "n_tokens"] == len(ids)
+        assert out.loc[i, "ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert out.loc[i, "decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+    assert sentencepiece_bpe.encode_decode(empty, path).count() == 0
+
+
+@pytest.mark.parametrize("long_unit", [0, 48])
+def test_sentencepiece_random(long_unit):
+    coder = sentencepiece_bpe.AgendaEncoder(tokenizers.path("piece_bpe_32k.model"), memory=500, long_unit=long_unit)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab e\n\t▁日é́ﬁ  <s>.,thAB01\x00🙂'") for _ in range(rng.randint(0, 120))) for _ in range(400)] + ["x" * 3000, " " * 70]
+    for at in range(0, len(texts), 50):
+        assert coder.encode_batch(texts[at : at + 50]) == coder.library.encode(texts[at : at + 50])
+
+
+@needs_tables
+def test_language_id(spark, docs, empty):
+    model = language_id.train(small(spark, "documents"))
+    out = language_id.identify(small(spark, "documents"), model).join(small(spark, "documents").select("doc_id", "lang"), "doc_id").toPandas()
+    assert (out[out["held_out"]]["lang"] == out[out["held_out"]]["lang_pred"]).mean() > 0.9
+    edge = language_id.identify(docs, model).toPandas().drop_duplicates("doc_id").set_index("doc_id")
+    assert [edge.loc[i, "lang_pred"] for i in (0, 1, 2)] == ["und"] * 3 and edge.loc[0, "score"] == 0 and edge.loc[5, "lang_pred"] == "en"
+    nothing = language_id.train(empty)
+    assert set(language_id.identify(docs, nothing).toPandas()["lang_pred"]) == {"und"} and language_id.identify(empty, model).count() == 0
+
+
+def test_language_pieces_and_ties():
+    codes = language_id._codes("Ab-c")
+    assert codes.tolist() == [0, 97, 98, 0, 99, 0]
+    m = language_id.NaiveBayes(["a", "b"], np.log([0.5, 0.5]), np.zeros((17, 2), np.float32))
+    assert language_id.predict(m, ["xyz", None, "12"])[0] == ["a", "und", "und"]
+
+
+def base_secrets(text):
+    assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    spans = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16] + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(spans)
+
+
+def test_secret_scan(spark, docs, empty):
+    rng = random.Random(5)
+    pick = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = TEXTS + [f"key {pick(b64, 40)} ends" for _ in range(8)] + ["the-quick-brown-fox-jumps-over-lazy-dog-2024", "secret:token:abcdefgh1 AKIA" + "A" * 12, pick("abcdef0123", 70), pick(b64, 20000)]
+    texts += ["".join(rng.choice(["token", "=", ":", "'", " ", "AKIA", "AB12", "a0f3" * 9, "password", "é"]) for _ in range(25)) for _ in range(60)]
+    out = secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id")
+    for i, t in enumerate(texts):
+        base = base_secrets((t or "").replace("\x01", "\x02"))
+        assert out.loc[i, "base_sha256"] == hashlib.sha256(",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
+    first = len(TEXTS)
+    assert sum("random:4:44" in out.loc[i, "spans"] for i in range(first, first + 8)) >= 7 and out.loc[first + 8, "spans"] == ""
+    assert secret_scan.scan_secrets(docs).count() == len(TEXTS) + 1 and secret_scan.scan_secrets(empty).count() == 0
+
+
+def test_quality_rules(spark, docs, empty):
+    rng = random.Random(2)
+    texts = TEXTS + [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    out = quality_rules.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id")
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+        at = {p for k, g in enumerate(grams) if grams.count(g) > 1 for p in range(k, k + 5)} if len(grams) < 5000 else set(range(len(words)))
+        assert (out.loc[i, "n_words"], out.loc[i, "n_repeat_words"]) == (len(words), len(at))
+        assert out.loc[i, "base_failed"] == (len(words) < 10 or 100 * len(at) > 20 * len(words)) and not (out.loc[i, "kept"] and out.loc[i, "base_failed"])
+    assert quality_rules.quality_rules(docs).count() == len(TEXTS) + 1 and quality_rules.quality_rules(empty).count() == 0
+
+
+def reach(n, links):
+    up = list(range(n))
+    for a, b in links:
+        while up[a] != a:
+            a = up[a]
+        while up[b] != b:
+            b = up[b]
+        up[max(a, b)] = min(a, b)
+    out = []
+    for a in range(n):
+        while up[a] != a:
+            a = up[a]
+        out.append(a)
+    return out
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(300, 360)] + [(400, i) for i in range(401, 480)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    want = reach(500, links)
+    assert all(want[n] == c for n, c in got.items()) and {n for e in links for n in e if e[0] != e[1]} == set(got)
+
+
+def test_simhash(spark, docs, empty):
+    out = simhash.near_duplicates(docs).toPandas()
+    assert len(out) == len(TEXTS) + 1 and out.set_index("doc_id")["component_id"][[0, 1, 2]].tolist() == [0, 0, 0] and out[out["doc_id"] == 6]["component_id"].item() == 5
+    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.fingerprint("a b") == simhash.fingerprint(" A  b ") and simhash.fingerprint(None) == 0
+
+
+@pytest.mark.parametrize("small_bucket", [0, 2, 32])
+def test_simhash_links(spark, small_bucket):
+    """Pairs within two bits stay connected through buckets of either kind, and no other pair links."""
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-(2**62), 2**62, 12)
+    fps = np.unique(np.concatenate([c ^ np.bitwise_or(1 << rng.integers(0, 63, 40), 1 << rng.integers(0, 63, 40)) for c in centres] + [rng.integers(-(2**62), 2**62, 200)]))
+    masks = simhash.plan_masks(fps, len(fps))
+    bits = simhash._bits(fps).astype(int)
+    near = (bits[:, None] != bits[None]).sum(2) <= 2
+    edges = simhash.links(spark.createDataFrame([(int(f), i) for i, f in enumerate(fps)], "fp long, node long"), masks, small=small_bucket).collect()
+    assert all(near[r["u"], r["v"]] for r in edges)
+    assert reach(len(fps), [(r["u"], r["v"]) for r in edges]) == reach(len(fps), list(zip(*map(list, np.nonzero(near)))))
+
+
+def test_simhash_allocation():
+    for m in range(1, 5):
+        cost, t = simhash.allocate([{-1: 0.0, 0: 5.0 + k, 1: 50.0, 2: 500.0} for k in range(m)], 2 - m + 1)
+        assert sum(t) == 3 - m and cost > 0
+
+
+def base_personal(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(d) <= 19 and pii_crf.luhn(d):
+            out.append((m.start(), 2, m.end()))
+    return sorted(out + [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15])
+
+
+def test_personal_data(spark, docs, empty):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab@.-_%+ 019()A") for _ in range(rng.randint(0, 60))) for _ in range(5000)]
+    assert [pii_crf.base_spans(t) for t in texts] == [base_personal(t) for t in texts]
+    decoder = pii_crf.Decoder(pii_crf.train())
+    found = lambda t: [t[s:e] for s, _, e in pii_crf.all_spans(decoder, [t])[1][0]]
+    assert found("call (555) 555-0188 tomorrow") == ["(555) 555-0188"] and found("the Version 2.0 of it") == []
+    # Cutting at certain tokens gives the labels of decoding the whole text.
+    text = "pay 4929 1234 5678 9012 then and call 555-123-9876 or the and of it in CC BY-NC 4.0. so on".split()
+    c = decoder.classes(text)
+    whole, cut = decoder.viterbi(c, [(0, len(c))])[0], np.zeros(len(c), int)
+    for a, b in decoder.stretches(c):
+        cut[a:b] = decoder.viterbi(c, [(a, b)])[0]
+    assert (whole == cut).all()
+    out = pii_crf.find(docs).toPandas()
+    assert len(out) == len(TEXTS) + 1 and out[out["doc_id"] == 8][["n_email", "n_phone"]].values.tolist() == [[1, 1]] and pii_crf.find(empty).count() == 0
+    clean = pii_crf.redact(docs)
+    assert clean.schema == docs.schema and clean.where("doc_id = 8").first()["text"] == "mail [EMAIL] or [PHONE] now" and clean.where("text is null").count() == 1
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_embedding_dedup(spark, block):
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(size=(80, 24)), np.repeat(rng.normal(size=(6, 24)), 15, 0) + rng.normal(scale=0.08, size=(90, 24))])
+    x = np.vstack([x, x[:5], 2 * x[5:7]])
+    rows = [(i, [float(c) for c in r]) for i, r in enumerate(x)] + [(900, None), (901, [0.0] * 24), (902, [float("nan")] * 24), (903, []), (904, [None] * 24), (905, [1.0, 2.0])]
+    out = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=block, recall=0.9999).toPandas().set_index("vec_id").sort_index()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = reach(len(x), list(zip(*map(list, np.nonzero(near)))))
+    assert out.loc[: len(x) - 1, "n_links"].tolist() == near.sum(1).tolist() and out.loc[: len(x) - 1, "component_id"].tolist() == want
+    assert (out.loc[900:, "n_links"] == 0).all() and (out.loc[900:, "kept"]).all()
+
+
+def test_embedding_empty(spark):
+    assert embedding_dedup.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def check_packing(out, ids, limits):
+    for doc, rows in out.groupby("doc_id"):
+        rows = rows.sort_values("start")
+        assert rows["start"].tolist() == np.append(0, rows["length"].cumsum())[:-1].tolist() and rows["length"].sum() == len(ids[doc]) == rows["doc_tokens"].iloc[0]
+        for r in rows.itertuples():
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[doc][r.start : r.start + r.length], "<u4").tobytes())
+    padding = 0
+    for _, rows in out.groupby("sequence_id"):
+        rows = rows.sort_values("offset")
+        total = int(rows["length"].sum())
+        assert rows["offset"].tolist() == np.append(0, rows["length"].cumsum())[:-1].tolist() and total <= limits.tokens and len(rows) <= limits.segments
+        assert (rows["length"] - 1).sum() <= limits.loss
+        padding += 0 if total & (total - 1) == 0 else limits.tokens - total
+    return padding
+
+
+@pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(64, 5, 50)])
+def test_packing(spark, docs, empty, limits):
+    path = tokenizers.path("word_bpe_49k.json")
+    library = packing.WordTokenizer(path).library
+    unique = docs.dropDuplicates(["doc_id"])
+    ids = {i: library.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(TEXTS)}
+    assert check_packing(packing.pack(unique, path, limits=limits).toPandas(), ids, limits) == 0
+    assert packing.pack(empty, path).count() == 0 and packing.pack(docs, path).groupBy("doc_id").agg(F.sum("length").alias("n")).where("doc_id = 3").first()["n"] == 2 * len(ids[3])
+
+
+def test_word_tokenizer():
+    coder = packing.WordTokenizer(tokenizers.path("word_bpe_49k.json"), memory=300)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab e\n\t日é́ß  <s>.,thAB01\x00🙂'²\xa0") for _ in range(rng.randint(0, 120))) for _ in range(400)] + ["x" * 500, "it's a<|endoftext|>b ẖ H̱"]
+    for at in range(0, len(texts), 50):
+        part = texts[at : at + 50]
+        assert [x.tolist() for x in coder.encode_batch(part)] == [e.ids for e in coder.library.encode_batch(part, add_special_tokens=False)]
+
+
+@needs_tables
+def test_toxicity(spark, docs, empty, labels):
+    model = toxicity.train(small(spark, "documents"), small(spark, "labels"))
+    out = toxicity.score_toxicity(small(spark, "documents"), model).join(small(spark, "labels"), "doc_id").toPandas()
+    assert (out["predicted"] == out["toxic"]).mean() > 0.85 and out["score"].between(0, 1).all()
+    assert len(toxicity.score_toxicity(docs, toxicity.train(docs, labels)).toPandas()) == len(TEXTS) + 1
+    assert toxicity.score_toxicity(empty, toxicity.train(docs, labels.where("false"))).count() == 0
+
+
+def test_boosting_and_isotonic():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(int)
+    m = toxicity.boost(x[:400], y[:400])
+    assert ((m.margin(x[400:]) > 0) == (y[400:] == 1)).mean() > 0.9
+    knots, values = toxicity.isotonic(m.margin(x[400:]), y[400:].astype(float), np.ones(200))
+    assert (np.diff(values) >= 0).all() and (np.diff(knots) > 0).all()
+
+
+@needs_tables
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = small(spark, "documents")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, stage(spark, kept, SF).cache()
+        assert kept.columns == docs.columns and kept.join(before, "doc_id", "left_anti").count() == 0
+    assert kept.count() > 0.5 * docs.count()
+    assert kept.count() == corpus_pipeline.run(spark, SF).select("doc_id").distinct().count()
+
+
+def test_entry_names():
+    assert [n.split("_")[0] for n in entry.queries()] == [f"op{k}" for k in range(1, 11)] + ["pipeline"] and set(entry.oracle_sql()) <= set(entry.queries())
