@@ -8,10 +8,10 @@ allocates the unequal thresholds (-1: the partition is not probed).  A partition
 threshold t is probed by masks that leave out t of its bits: fingerprints that agree
 under a mask form a bucket.
 
-Small buckets are compared pair by pair.  In a large bucket every fingerprint is keyed
-by itself and its one-bit variants outside the mask: fingerprints that share such a key
-are within two bits of each other, and all pairs within two bits share one, so a bucket
-of any size costs at most 65 rows a fingerprint.  Exact copies are one fingerprint
+Small buckets are compared pair by pair.  A fingerprint in any large bucket is keyed, once,
+by itself and its 64 one-bit variants: fingerprints that share such a key are within two
+bits of each other, and all pairs within two bits share one, so buckets of any size cost
+65 rows a fingerprint.  Exact copies are one fingerprint
 throughout.  Links become components by ``components``.
 
 Defined cases: null text counts as empty; texts without a word have fingerprint zero and
@@ -152,20 +152,15 @@ def links(nodes: DataFrame, masks: list[int], distance: int = 2, small: int = 32
     pairs = low.join(right, ["i", "k"]).where((F.col("node") < F.col("node2")) & near).select(F.col("node").alias("u"), F.col("node2").alias("v"))
     if distance != 2:
         raise ValueError("large buckets are solved for two bits")
-    # A large bucket: each fingerprint under itself and under its one-bit variants outside the mask.
-    variants = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(b).cast("long").alias("b")) for i, m in enumerate(masks) for b in [0, *_free_bits(m)]])
-    keyed = inside.where(F.col("n") > small).select("i", "fp", "node")
-    keyed = keyed.withColumn("x", F.explode(F.filter(variants, lambda s: s["i"] == F.col("i"))))
-    keyed = keyed.select("node", F.col("fp").bitwiseXOR(F.col("x.b")).alias("key")).distinct()
+    # Large buckets: each fingerprint once, under itself and its one-bit variants, whatever number of large buckets it is in.
+    flips = F.array(*[F.lit(b).cast("long") for b in [0, *(_mask([p]) for p in range(BITS))]])
+    keyed = inside.where(F.col("n") > small).select("fp", "node").distinct()
+    keyed = keyed.select("node", F.explode(F.transform(flips, lambda b: F.col("fp").bitwiseXOR(b))).alias("key"))
     # At most 65 fingerprints share a key.
     stars = keyed.groupBy("key").agg(F.min("node").alias("u"), F.collect_list("node").alias("vs")).where(F.size("vs") > 1)
     return pairs.unionByName(stars.select("u", F.explode("vs").alias("v")).where("u <> v"))
 
 
-def _free_bits(mask: int) -> list[int]:
-    return [_mask([BITS - 1 - b]) for b in range(BITS) if not (mask & (1 << BITS) - 1) >> b & 1]
-
-
 def near_duplicates(documents: DataFrame, distance: int = 2, shingle: int = 3, sample: int = 4096) -> DataFrame:
     """(doc_id, fp, component_id): components of all documents linked within ``distance`` bits.
 
