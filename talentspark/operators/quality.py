@@ -84,3 +84,14 @@ def misspelled(docs: DataFrame, id_col: str, known: DataFrame, shortest: int = 4
     """Distinct words of each text that no known word equals."""
     w = docs.select(id_col, F.explode(F.array_distinct(T.words(F.coalesce("text", F.lit("")), shortest))).alias("word"))
     return w.join(known.select("word").distinct(), "word", "left_anti").groupBy(id_col).agg(F.count("*").alias("unknown"))
+
+
+def mentions(docs: DataFrame, id_col: str, patterns: dict[str, tuple[str, int]]) -> DataFrame:
+    """Mentions of each kind in each text: (id, kind, n, different); ``patterns`` maps a kind to (pattern, least digits)."""
+    text, found = F.coalesce("text", F.lit("")), []
+    for kind, (pattern, least) in patterns.items():
+        hits = F.regexp_extract_all(text, F.lit(pattern), 0)
+        if least:
+            hits = F.filter(hits, lambda m: F.length(F.regexp_replace(m, "[^0-9]", "")) >= least)  # noqa: B023
+        found.append(F.struct(F.lit(kind).alias("kind"), F.size(hits).cast("long").alias("n"), F.size(F.array_distinct(hits)).cast("long").alias("different")))
+    return docs.select(id_col, F.explode(F.array(*found)).alias("m")).select(id_col, "m.*").where("n > 0")

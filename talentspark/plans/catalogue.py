@@ -598,6 +598,20 @@ def dictionary_scan(s, d):
     return quality.dictionary_scan(table(s, d, "documents"), "doc_id", terms)
 
 
+@query
+def bigram_scan(s, d):
+    terms = s.createDataFrame([("of the",), ("in the",), ("under the",), ("this license",)], "term string")
+    return quality.dictionary_scan(table(s, d, "documents"), "doc_id", terms)
+
+
+@query
+def pii_entities(s, d):
+    return quality.mentions(table(s, d, "documents"), "doc_id", {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+", 0), "phone": (r"\+?[0-9][0-9() .-]+[0-9]", 10),
+        "date": (r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}", 0), "url": (r"https?://[A-Za-z0-9./_-]+", 0),
+    })
+
+
 LANGS = {"en": ("the", "and", "of", "that"), "de": ("und", "der", "die", "nicht"), "fr": ("les", "des", "est", "dans"), "es": ("los", "las", "por", "una")}
 
 

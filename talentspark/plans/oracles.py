@@ -217,6 +217,11 @@ def sql() -> dict[str, str]:
     fix = f"regexp_replace({fix}, '(^| )(I|my|me)($| )', ' ', 'g')"
     fix = f"regexp_replace({fix}, '(^| )(very|really|just|basically|actually)($| )', ' ', 'g')"
     q["fix_rewrite"] = f"SELECT conv_id, turn, md5(trim(regexp_replace({fix}, ' +', ' ', 'g'))) AS fixed FROM conversations"
+    q["bigram_scan"] = f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex({low}, '[^a-z]+'), lambda w: w <> '') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS a, unnest(list_concat(w[2:], [NULL])) AS b FROM w)
+      SELECT doc_id, a || ' ' || b AS term, count(*) AS n FROM u WHERE a || ' ' || b IN ('of the', 'in the', 'under the', 'this license') GROUP BY ALL"""
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+", "phone": r"\+?[0-9][0-9() .-]+[0-9]", "date": "(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}", "url": "https?://[A-Za-z0-9./_-]+"}
+    m = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all({T}, '{p}')) AS m FROM documents" for k, p in kinds.items())
+    q["pii_entities"] = f"SELECT doc_id, kind, count(*) AS n, count(DISTINCT m) AS different FROM ({m}) WHERE kind <> 'phone' OR length(regexp_replace(m, '[^0-9]', '', 'g')) >= 10 GROUP BY ALL"
     q["skill_groups_export"] = "SELECT p_type, array_to_string(list_sort(list(DISTINCT p_name)), '; ') AS keywords, count(DISTINCT p_name) AS n FROM part GROUP BY ALL"
     q["byte_share"] = """WITH g AS (SELECT l_suppkey, l_returnflag, sum(l_quantity) AS q FROM lineitem GROUP BY ALL), s AS (SELECT *, q / sum(q) OVER (PARTITION BY l_suppkey) AS share FROM g)
       SELECT l_suppkey, l_returnflag, round(share, 6) AS share, round(least(0.95, least(1.0, share * 1.5) + 0.1), 6) AS confidence FROM s WHERE share >= 0.05"""
