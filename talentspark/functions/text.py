@@ -149,6 +149,6 @@ def rewrite(text: Column) -> Column:
     out = text
     for weak, strong in WEAK_VERBS.items():
         out = F.regexp_replace(out, f"(?i){re.escape(weak)}", strong)
-    out = F.regexp_replace(out, r"(^| )(I|my|me)($| )", " ")
-    out = F.regexp_replace(out, "(^| )(" + "|".join(FILLERS) + ")($| )", " ")
+    out = F.regexp_replace(out, r"(^| )(I|my|me)(\z| )", " ")
+    out = F.regexp_replace(out, "(^| )(" + "|".join(FILLERS) + r")(\z| )", " ")
     return F.trim(F.regexp_replace(out, " +", " "))

@@ -36,13 +36,39 @@ def reposts(jobs: DataFrame, within_days: int = 60, least: int = 3) -> DataFrame
     return gaps.where("posts > 1").withColumn("likely", (F.col("nearest_days") < within_days) & (F.col("posts") >= least))
 
 
+def set_classes(sets: DataFrame) -> DataFrame:
+    """Equal sets(id, items) as one row: items, the smallest id and how many there are.  Items are distinct."""
+    return sets.groupBy(F.array_sort("items").alias("items")).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+
+
 def jaccard(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of sets(id, items) with Jaccard similarity of at least the threshold, from shared items (no cross join)."""
-    n = sets.select("id", F.size("items").alias("n"))
-    e = sets.select("id", F.explode("items").alias("item"))
-    shared = e.join(e.select(F.col("id").alias("id2"), "item"), "item").where("id < id2").groupBy("id", "id2").agg(F.count("*").alias("common"))
-    both = shared.join(n, "id").join(n.select(F.col("id").alias("id2"), F.col("n").alias("n2")), "id2")
-    return both.withColumn("similarity", F.col("common") / (F.col("n") + F.col("n2") - F.col("common"))).where(F.col("similarity") >= threshold).select("id", "id2", "similarity")
+    """Pairs (id < id2) of classes of equal sets with Jaccard similarity of at least the threshold.
+
+    Sets meet on the rarest items only: two sets that similar share one of their first
+    n - ceil(threshold * n) + 1 items in order of frequency.  A common item therefore brings sets
+    together only where all their items are common, and equal sets are one row by then.
+    """
+    c = set_classes(sets).where(F.size("items") > 0)
+    e = c.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
+    e = e.join(e.groupBy("item").agg(F.count("*").alias("sets")), "item")
+    w = Window.partitionBy("id").orderBy("sets", "item")
+    first = e.withColumn("at", F.row_number().over(w)).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "n", "item")
+    met = first.join(first.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "item"), "item")
+    met = met.where((F.col("id") < F.col("id2")) & (F.least("n", "n2") >= threshold * F.greatest("n", "n2") - 1e-9)).select("id", "id2").distinct()
+    both = met.join(c.select("id", "items"), "id").join(c.select(F.col("id").alias("id2"), F.col("items").alias("items2")), "id2")
+    common = F.size(F.array_intersect("items", "items2"))
+    both = both.withColumn("similarity", common / (F.size("items") + F.size("items2") - common))
+    return both.where(F.col("similarity") >= threshold).select("id", "id2", "similarity")
+
+
+def jaccard_links(sets: DataFrame, threshold: float) -> DataFrame:
+    """Each set with the smallest id of its equals and the number of other sets it is similar to."""
+    c = set_classes(sets)
+    p = jaccard(sets, threshold).select("id", "id2")
+    p = p.unionByName(p.select(F.col("id2").alias("id"), F.col("id").alias("id2")))
+    near = p.join(c.select(F.col("id").alias("id2"), "copies"), "id2").groupBy("id").agg(F.sum("copies").alias("near"))
+    c = c.join(near, "id", "left").select("items", F.col("id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return sets.select("id", F.array_sort("items").alias("items")).join(c, "items").select("id", "class_id", "n_links")
 
 
 def fuse(candidates: DataFrame, keys: list[str], boost: float = 0.1) -> DataFrame:

@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 SUBSTRING, EQUIVALENT, FALLBACK = 0.85, 0.82, 0.65
 
 
-def tiered_match(ledger: DataFrame, requirements: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
-    """Best ledger entry a (entity, spec, term): substring either way first, then the same canonical term.
+def best_entries(ledger: DataFrame, requirements: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """Best ledger entry a (entity, term): substring either way first, then the same canonical term.
 
     Words of skills and terms meet by equality (explode and hash join), so no cross join is built;
-    within a tier the strongest entry wins, ties by name.
+    within a tier the strongest entry wins, ties by name.  Terms are joined once however many specs
+    ask for them.
     """
     words = ledger.select("entity", "skill", "strength", F.explode(F.split("skill", " ")).alias("word"))
-    req = requirements.select("spec", "term", "importance", F.lower("term").alias("word"))
-    # Terms are joined once however many specs ask for them.
-    terms = req.select("term", "word").distinct()
+    terms = requirements.select("term", F.lower("term").alias("word")).distinct()
     found = words.join(terms, "word").select("entity", "term", "skill", "strength", F.lit(1).alias("tier"), F.lit(SUBSTRING).alias("similarity"))
     if synonyms is not None:
         canon = synonyms.select(F.lower("alias").alias("word"), F.col("canonical"))
@@ -25,7 +24,13 @@ def tiered_match(ledger: DataFrame, requirements: DataFrame, synonyms: DataFrame
         right = terms.join(canon, "word").select("term", "canonical")
         found = found.unionByName(left.join(right, "canonical").select("entity", "term", "skill", "strength", F.lit(2).alias("tier"), F.lit(EQUIVALENT).alias("similarity")))
     best = found.groupBy("entity", "term").agg(F.min_by(F.struct("skill", "strength", "similarity"), F.struct("tier", (-F.round("strength", 6)).alias("s"), "skill")).alias("b"))
-    return req.drop("word").join(best, "term").select("entity", "spec", "term", "importance", "b.skill", "b.strength", "b.similarity")
+    return best.select("entity", "term", "b.skill", "b.strength", "b.similarity")
+
+
+def tiered_match(ledger: DataFrame, requirements: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """Best ledger entry a (entity, spec, term), as ``best_entries`` finds it."""
+    best = best_entries(ledger, requirements, synonyms)
+    return requirements.select("spec", "term", "importance").join(best, "term").select("entity", "spec", "term", "importance", "skill", "strength", "similarity")
 
 
 def coverage(matches: DataFrame, requirements: DataFrame) -> DataFrame:
@@ -46,9 +51,10 @@ def rank(coverage_: DataFrame, k: int) -> DataFrame:
     return coverage_.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def semantic_match(queries: DataFrame, pool: DataFrame, similarity: Column, threshold: float, keys: list[str]) -> DataFrame:
-    """Best candidate of each query above the threshold; a query without one keeps its best similarity."""
-    pairs = queries.join(pool, keys).withColumn("similarity", similarity)
+def semantic_match(queries: DataFrame, pool: DataFrame, similarity: Column, threshold: float, keys: list[str], apart: Column | None = None) -> DataFrame:
+    """Best candidate of each query above the threshold; a query without one keeps its best similarity.  ``apart`` bars pairs, such as a row with itself."""
+    pairs = queries.join(pool, keys)
+    pairs = (pairs if apart is None else pairs.where(apart)).withColumn("similarity", similarity)
     best = pairs.groupBy("query_id").agg(F.max_by(F.struct("candidate_id", "similarity"), F.struct(F.round("similarity", 9), -F.col("candidate_id"))).alias("b"))
     best = best.select("query_id", "b.candidate_id", "b.similarity")
     return queries.select("query_id").join(best, "query_id", "left").withColumn("matched", F.coalesce(F.col("similarity") >= threshold, F.lit(False)))

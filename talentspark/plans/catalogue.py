@@ -228,8 +228,7 @@ def tiered_match_coverage(s, d):
 
 @query
 def tiered_match_best(s, d):
-    x = _matches(s, d).where("spec <= 5")
-    return x.select("entity", "spec", "term", "importance", "skill", *r6("strength", "similarity"))
+    return matching.best_entries(_ledger(s, d), requirements(s, d)).select("entity", "term", "skill", *r6("strength", "similarity"))
 
 
 @query
@@ -248,8 +247,8 @@ def tiered_match_semantic(s, d):
 
     v = _vectors(s, d)
     q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "group")
-    pool = v.where("id % 50 <> 0").select(F.col("id").alias("candidate_id"), "v", "group")
-    x = matching.semantic_match(q, pool, dot(F.col("q"), F.col("v")), 0.30, ["group"])
+    pool = v.select(F.col("id").alias("candidate_id"), "v", "group")
+    x = matching.semantic_match(q, pool, dot(F.col("q"), F.col("v")), 0.30, ["group"], F.col("query_id") != F.col("candidate_id"))
     return x.select("query_id", "candidate_id", F.round("similarity", 6).alias("similarity"), "matched")
 
 
@@ -280,8 +279,8 @@ def coverage_keyword_overlap(s, d):
 
 @query
 def career_gaps(s, d):
-    m = _matches(s, d).where("spec <= 3")
-    req = requirements(s, d).where("spec <= 3")
+    m = _matches(s, d)
+    req = requirements(s, d)
     near = evidence(s, d).select("entity", F.element_at(F.split("skill", " "), 1).alias("term")).distinct()
     return matching.career_gaps(req, m.withColumn("strength", F.round("strength", 6)), near).groupBy("spec", "gap", "impact", "effort").agg(F.count("*").alias("n"))
 
@@ -289,7 +288,7 @@ def career_gaps(s, d):
 @query
 def email_app_match_score(s, d):
     apps = table(s, d, "customer").select(F.col("c_custkey").alias("application_id"), F.concat(F.translate("c_name", "#", "-"), F.lit(" Ltd")).alias("company"), F.col("c_mktsegment").alias("title"), F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("hr"), F.col("c_custkey"), F.lit("@agency.example"))).alias("recruiter"))
-    mails = table(s, d, "customer").where("c_custkey % 3 <> 0").select(
+    mails = table(s, d, "customer").select(
         F.col("c_custkey").alias("message_id"), F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("HR"), F.col("c_custkey"), F.lit("@agency.example"))).otherwise(F.concat(F.lit("jobs@"), F.regexp_replace(F.lower("c_name"), "[^a-z0-9]", ""), F.lit(".com"))).alias("sender"),
         F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("About "), F.col("c_mktsegment"))).otherwise("Hello").alias("subject"), F.lit("body").alias("body"),
     )
@@ -347,10 +346,18 @@ def near_duplicates_vec(s, d):
     return search.similar_within(_vectors(s, d), "group", 0.25).select("group", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+def _item_sets(s, d):
+    return table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("items"))
+
+
 @query
 def jaccard_templates(s, d):
-    e = evidence(s, d).groupBy(F.col("entity").alias("id")).agg(F.collect_set("category").alias("c"), F.collect_set("skill").alias("items"))
-    return dedup.jaccard(e.where("id <= 200").select("id", "items"), 0.4).select("id", "id2", F.round("similarity", 6).alias("similarity"))
+    return dedup.jaccard(_item_sets(s, d), 0.5).select("id", "id2", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def jaccard_template_links(s, d):
+    return dedup.jaccard_links(_item_sets(s, d), 0.5)
 
 
 @query
@@ -410,6 +417,13 @@ def knn_batch_by_label(s, d):
     return search.knn_batch(q, v, 3, ["group"]).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+@query
+def knn_batch_all(s, d):
+    v = _vectors(s, d)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return search.knn_blocks(q, v, 5).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 @query
 def pairwise_similarity_stats(s, d):
     return search.pair_statistics(_vectors(s, d), "group").select("group", "pairs", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"))
@@ -557,9 +571,13 @@ def quality_findings(s, d):
 
 @query
 def bullet_lint(s, d):
-    line = F.element_at(F.split(_TEXT(), "\n"), 1)
-    n = F.size(F.filter(F.split(line, " "), lambda w: w != ""))
-    return table(s, d, "documents").select("doc_id", n.cast("long").alias("n_words"), (n < 8).alias("short"), (n > 35).alias("long"), (~line.rlike("[0-9]")).alias("no_quantity"), F.lower(line).rlike("(^| )(i|my|me)( |$)").alias("pronoun"))
+    lines = F.filter(F.split(_TEXT(), "\n"), lambda x: x != "")
+    n = lambda x: F.size(F.filter(F.split(x, " "), lambda w: w != ""))
+    count = lambda rule: F.size(F.filter(lines, rule)).cast("long")
+    return table(s, d, "documents").select(
+        "doc_id", F.size(lines).cast("long").alias("n_lines"), count(lambda x: n(x) < 8).alias("short"), count(lambda x: n(x) > 35).alias("long"),
+        count(lambda x: ~x.rlike("[0-9]")).alias("no_quantity"), count(lambda x: F.lower(x).rlike(r"(^| )(i|my|me)( |\z)")).alias("pronoun"),
+    )
 
 
 @query
@@ -628,7 +646,7 @@ def spellcheck_antijoin(s, d):
 
 @query
 def fix_rewrite(s, d):
-    t = F.concat(F.lit("I really was responsible for "), F.substring(F.coalesce("text", F.lit("")), 1, 80))
+    t = F.concat(F.lit("I really was responsible for "), _TEXT())
     return table(s, d, "conversations").select("conv_id", "turn", F.md5(T.rewrite(t)).alias("fixed"))
 
 
