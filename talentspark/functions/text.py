@@ -35,6 +35,12 @@ def normalise_company(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.trim(text)), r"[ ,]+(" + "|".join(COMPANY_SUFFIXES) + r")\.?$", ""))
 
 
+def collapse_spaced(text: Column) -> Column:
+    """Words spelled with a blank after every letter ("S K I L L S") put together; wider gaps part words."""
+    joined = F.regexp_replace(text, r"(?<=(?<![A-Za-z])[A-Za-z]) (?=[A-Za-z](?![A-Za-z]))", "")
+    return F.trim(F.regexp_replace(joined, " +", " "))
+
+
 def title_similarity(a: Column, b: Column) -> Column:
     """Common words over the size of the larger word set."""
     x, y = F.array_distinct(F.split(a, " +")), F.array_distinct(F.split(b, " +"))
@@ -77,6 +83,28 @@ def all_matches(text: Column, rules: list[tuple[str, tuple[str, ...]]]) -> Colum
     return F.array_compact(F.array(*hits))
 
 
+#: Education levels, highest first, by the marks of their degrees.
+EDUCATION = [
+    ("Doctoral", ("phd", "doctorate", "dphil")),
+    ("Masters", ("master", "msc", "mba", "meng")),
+    ("Bachelors", ("bachelor", "bsc", "beng", "hons")),
+    ("Vocational", ("hnd", "hnc", "btec")),
+    ("PostSecondary", ("a-level", "higher", "abitur")),
+    ("Secondary", ("gcse", "o-level", "high school")),
+]
+
+
+def education_level(degree: Column) -> Column:
+    """Highest education level a degree's text names; Unknown without one."""
+    return first_match(F.lower(F.coalesce(degree, F.lit(""))), EDUCATION, "Unknown")
+
+
+def meets_education(level: Column, required: str) -> Column:
+    """Whether a level is at least the required one; an unknown requirement is met by all."""
+    names = [n for n, _ in EDUCATION]
+    return F.lit(True) if required not in names else level.isin(names[: names.index(required) + 1])
+
+
 def salary_range(text: Column) -> tuple[Column, Column]:
     """(least, most) of '60,000 - 80,000' or '60k-80k', in that order of patterns."""
     plain = r"([0-9]{2,3},[0-9]{3}) *- *[^0-9]?([0-9]{2,3},[0-9]{3})"

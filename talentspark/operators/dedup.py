@@ -80,6 +80,11 @@ def fuse(candidates: DataFrame, keys: list[str], boost: float = 0.1) -> DataFram
     return g.withColumn("rank", F.row_number().over(w)).drop("c")
 
 
+def not_subsumed(incoming: Column, existing: Column) -> Column:
+    """Strings of an array that neither contain nor are contained in a string of the other array."""
+    return F.filter(incoming, lambda x: ~F.exists(existing, lambda y: x.contains(y) | y.contains(x)))
+
+
 def profile(rows: DataFrame, key: str, seq: str, longest: str, first: list[str], most: list[str]) -> DataFrame:
     """One aggregate a key: longest text, first non-null values by seq, largest numbers."""
     return rows.groupBy(key).agg(

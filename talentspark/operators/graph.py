@@ -44,6 +44,28 @@ def bridges(edges: DataFrame, members: DataFrame, strong: DataFrame) -> DataFram
     return a.groupBy(F.col("src").alias("node"), "target").agg(F.sum("weight").alias("weight"))
 
 
+def search_queries(edges: DataFrame, members: DataFrame, strengths: DataFrame, k: int = 3) -> DataFrame:
+    """A search per community: its k nodes of largest degree, the mean strength(node, strength) of its nodes and what kind of search that makes."""
+    top = top_by_community(edges, members, k).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("rank", "node"))).alias("t"))
+    top = top.select("community", F.array_join(F.transform("t", lambda x: x["node"]), " ").alias("terms"))
+    mean = members.join(strengths, "node", "left").groupBy("community").agg(F.avg(F.coalesce("strength", F.lit(0.0))).alias("strength"))
+    m = F.round("strength", 6)
+    return top.join(mean, "community").withColumn("kind", F.when(m > 0.5, "strong").when(m > 0.2, "growth").otherwise("stretch"))
+
+
+def widen(edges: DataFrame, members: DataFrame, k: int = 3) -> DataFrame:
+    """Steps that widen a community's search: the least connected of its k terms to drop, the outside node most tied to the others to add."""
+    top = top_by_community(edges, members, k).select("community", "node", "rank")
+    w = Window.partitionBy("community")
+    top = top.withColumn("last", (F.col("rank") == F.max("rank").over(w)) & (F.col("rank") > 1))
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    near = top.where("not last").join(both, F.col("node") == F.col("src")).join(members.select(F.col("node").alias("dst"), F.col("community").alias("there")), "dst")
+    near = near.where("there <> community").groupBy("community", "dst").agg(F.sum("weight").alias("weight"))
+    near = near.groupBy("community").agg(F.min_by(F.struct("dst", "weight"), F.struct(-F.col("weight"), F.col("dst"))).alias("b"))
+    drop = top.groupBy("community").agg(F.max(F.when(F.col("last"), F.col("node"))).alias("dropped"))
+    return drop.join(near, "community", "left").select("community", "dropped", F.col("b.dst").alias("added"), F.col("b.weight").alias("weight"))
+
+
 def relations(lists: DataFrame, window: int = 5, longest: int = 30) -> DataFrame:
     """Term pairs i < j < i + window within lists(group, position, term) of at most ``longest`` terms; the shorter term is canonical."""
     x = lists.where(F.col("position") < longest)

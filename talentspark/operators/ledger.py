@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 KEY = ["entity", "skill"]
 
 
@@ -78,6 +80,25 @@ def stale(ledger: DataFrame, as_of: str, days: int = 1825) -> DataFrame:
     return ledger.where(~F.col("is_current") & (F.datediff(F.to_date(F.lit(as_of)), F.col("last_seen")) > days))
 
 
+def overclaimed(ledger: DataFrame, claims: DataFrame, share: float = 0.7, within: int = 30) -> DataFrame:
+    """Entries whose years fall short of ``share`` of the years claimed in claims(entity, skill, text).
+
+    A claim is a number of years in the ``within`` characters before the first mention of the skill;
+    the largest claim of a skill counts.
+    """
+    at = F.instr(F.lower("text"), F.lower("skill"))
+    before = F.substring(F.col("text"), F.greatest(at - within, F.lit(1)), F.least(at - 1, F.lit(within)))
+    c = claims.where(at > 1).withColumn("claimed", T.claimed_years(before)).groupBy(*KEY).agg(F.max("claimed").alias("claimed"))
+    return ledger.join(c, KEY).where(F.round("years", 6) < F.round(F.col("claimed") * share, 6))
+
+
+def repository_strength(size_kb: Column, skills: Column, stars: Column, idle_days: Column) -> Column:
+    """Size, skills and stars, each up to a ceiling, and the time since the last push."""
+    part = lambda x, most: F.least(x / most, F.lit(1.0))
+    recency = F.when(idle_days < 365, 1.0).when(idle_days < 730, 0.7).otherwise(0.4)
+    return 0.25 * part(size_kb, 10000) + 0.3 * part(skills, 10) + 0.2 * part(stars, 20) + 0.25 * recency
+
+
 def top_evidence(evidence: DataFrame, k: int = 3) -> DataFrame:
     """The k best pieces of evidence of each entry: confidence, then the latest start."""
     w = Window.partitionBy(*KEY).orderBy(F.desc("confidence"), F.desc("start_date"), "experience", "seq")

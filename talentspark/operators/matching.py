@@ -51,6 +51,12 @@ def rank(coverage_: DataFrame, k: int) -> DataFrame:
     return coverage_.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def canonical(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """terms(term, ..) with the canonical name of their synonym(alias, canonical), else their own lower-cased form."""
+    s = synonyms.select(F.lower("alias").alias("_alias"), F.col("canonical"))
+    return terms.join(s, F.lower("term") == F.col("_alias"), "left").withColumn("canonical", F.coalesce("canonical", F.lower("term"))).drop("_alias")
+
+
 def semantic_match(queries: DataFrame, pool: DataFrame, similarity: Column, threshold: float, keys: list[str], apart: Column | None = None) -> DataFrame:
     """Best candidate of each query above the threshold; a query without one keeps its best similarity.  ``apart`` bars pairs, such as a row with itself."""
     pairs = queries.join(pool, keys)

@@ -80,6 +80,16 @@ def language_by_keywords(text: Column, lists: dict[str, tuple[str, ...]], least:
     return out
 
 
+def weighted_pattern(text: Column, signals: dict[str, tuple[tuple[str, int], ...]]) -> Column:
+    """struct(label, points) of the pattern with most points from the signals present; ties by the order given, null without a point."""
+    points = {k: sum((F.when(text.contains(m), w).otherwise(0) for m, w in marks), F.lit(0)) for k, marks in signals.items()}
+    most = F.greatest(*points.values(), F.lit(0))
+    label = F.lit(None).cast("string")
+    for k in reversed(list(points)):
+        label = F.when(points[k] == most, F.lit(k)).otherwise(label)
+    return F.when(most > 0, F.struct(label.alias("label"), most.alias("points")))
+
+
 def misspelled(docs: DataFrame, id_col: str, known: DataFrame, shortest: int = 4) -> DataFrame:
     """Distinct words of each text that no known word equals."""
     w = docs.select(id_col, F.explode(F.array_distinct(T.words(F.coalesce("text", F.lit("")), shortest))).alias("word"))

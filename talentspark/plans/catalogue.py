@@ -714,6 +714,123 @@ def batch_extraction_stats(s, d):
     return x.agg(F.count("*").alias("documents"), F.round(F.avg("n"), 4).alias("mean_chars"), F.round(F.avg("lines"), 4).alias("mean_lines"), F.round(F.avg((F.col("lines") == 1).cast("int")), 6).alias("single_line"))
 
 
+@query
+def taxonomy_canonical(s, d):
+    synonyms = s.createDataFrame([("Gear", "drive part"), ("cog", "drive part"), ("bolt", "fastener"), ("screw", "fastener")], "alias string, canonical string")
+    terms = table(s, d, "part").select(F.element_at(F.split("p_name", " "), -1).alias("term"))
+    return matching.canonical(terms, synonyms).groupBy("canonical").agg(F.count("*").alias("n"), F.countDistinct("term").alias("terms"))
+
+
+@query
+def ledger_overclaimed(s, d):
+    e = evidence(s, d).select("entity", "skill").distinct()
+    claims = e.withColumn("text", F.concat(F.lit("worked "), (F.col("entity") % 12).cast("string"), F.lit("+ years with "), "skill"))
+    return ledger.overclaimed(_ledger(s, d), claims).select("entity", "skill", "claimed", *r6("years"))
+
+
+@query
+def repository_strength(s, d):
+    skills = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("skills"))
+    idle = F.datediff(F.to_date(F.lit(AS_OF)), F.to_date("o_orderdate"))
+    x = ledger.repository_strength(F.floor(F.col("o_totalprice") / 50), F.col("skills"), F.col("o_custkey") % 25, idle)
+    return table(s, d, "orders").join(skills, "o_orderkey").select("o_orderkey", F.round(x, 6).alias("strength"))
+
+
+SIGNALS = {"legal": (("license", 2), ("copyright", 2), ("version", 1)), "tabular": ((" | ", 2), ("|", 1)), "noisy": (("###", 2), ("!!", 1))}
+
+
+@query
+def pattern_points(s, d):
+    p = quality.weighted_pattern(F.lower(_TEXT()), SIGNALS)
+    x = table(s, d, "documents").select(F.coalesce(p["label"], F.lit("none")).alias("label"), F.coalesce(p["points"], F.lit(0)).cast("long").alias("points"))
+    return x.groupBy("label", "points").agg(F.count("*").alias("n"))
+
+
+def _skill_strengths(s, d):
+    return _ledger(s, d).groupBy(F.col("skill").alias("node")).agg(F.avg("strength").alias("strength"))
+
+
+@query
+def graph_search_queries(s, d):
+    x = graph.search_queries(_edges(s, d), _members(s, d), _skill_strengths(s, d))
+    return x.select("community", "terms", "kind", *r6("strength"))
+
+
+@query
+def graph_widen_queries(s, d):
+    return graph.widen(_edges(s, d), _members(s, d))
+
+
+@query
+def bullets_not_subsumed(s, d):
+    word = F.element_at(F.split("p_name", " "), -1)
+    g = table(s, d, "part").groupBy("p_brand").agg(F.collect_set(F.when(F.col("p_size") > 25, word)).alias("new"), F.collect_set(F.when(F.col("p_size") <= 2, F.col("p_name"))).alias("old"))
+    return g.select("p_brand", F.array_join(F.array_sort(dedup.not_subsumed(F.col("new"), F.col("old"))), ",").alias("kept"))
+
+
+@query
+def paren_aware_split(s, d):
+    items = T.paren_split(F.concat("p_name", F.lit(" ("), "p_type", F.lit(", x), "), "p_brand"))
+    return table(s, d, "part").select("p_partkey", F.array_join(items, "|").alias("items"), F.size(items).cast("long").alias("n"))
+
+
+@query
+def date_range_parse(s, d):
+    month = lambda c: F.date_format(c, "MMM yyyy")
+    start = F.to_date("o_orderdate")
+    text = F.concat(F.lit("Dev at Acme, "), month(start), F.lit(" - "), F.when(F.col("o_orderstatus") == "O", "Present").otherwise(month(F.date_add(start, 400))))
+    r = table(s, d, "orders").select("o_orderkey", T.date_range(text).alias("r"))
+    return r.select("o_orderkey", *[F.col(f"r.{c}").cast("string").alias(c) for c in ("start_date", "end_date")], "r.is_current")
+
+
+@query
+def structured_postings(s, d):
+    from ..sources.readers import job_pages
+
+    block = F.struct(
+        "title", F.struct(F.col("company").alias("name")).alias("hiringOrganization"), F.struct(F.struct(F.col("location").alias("addressLocality")).alias("address")).alias("jobLocation"),
+        F.struct(F.struct(F.col("salary").alias("minValue")).alias("value")).alias("baseSalary"),
+    )
+    html = F.concat(F.lit('<html><script type="application/ld+json">'), F.to_json(block), F.lit("</script></html>"))
+    pages = postings(s, d).select(F.concat(F.lit("https://jobs.example/"), "job_id").alias("url"), html.alias("html"))
+    return job_pages(pages).select("url", "host", "title", "company", "location", F.round("salary_min", 2).alias("salary_min"))
+
+
+DEGREES = {"1": "PhD in Physics", "2": "Master of Science", "3": "BSc (Hons) Mathematics", "4": "BTEC Diploma"}
+
+
+@query
+def education_levels(s, d):
+    degree = F.lit("High School")
+    for k, v in DEGREES.items():
+        degree = F.when(F.col("o_orderpriority").startswith(k), v).otherwise(degree)
+    x = table(s, d, "orders").select(T.education_level(degree).alias("level"))
+    return x.groupBy("level", T.meets_education(F.col("level"), "Bachelors").alias("meets")).agg(F.count("*").alias("n"))
+
+
+@query
+def company_and_domain(s, d):
+    mail = F.concat(F.lit("Info@"), F.translate("c_name", "#", "-"), F.lit(".COM"))
+    return table(s, d, "customer").select("c_custkey", T.normalise_company(F.concat("c_name", F.lit(", Ltd."))).alias("company"), T.email_domain(mail).alias("domain"))
+
+
+@query
+def spaced_letters(s, d):
+    spaced = F.trim(F.regexp_replace("p_name", "(.)", "$1 "))
+    return table(s, d, "part").select("p_partkey", T.collapse_spaced(spaced).alias("name"))
+
+
+@query
+def posting_quality(s, d):
+    skills = F.size("skills")
+    rules = [
+        ("completeness", "company", "error", F.col("company").isNull()), ("completeness", "salary", "warning", F.col("salary") < 30000), ("completeness", "remote", "warning", F.col("is_remote").isNull()),
+        ("clarity", "short", "warning", F.length("title") < 6), ("clarity", "capitals", "error", F.upper("title") == F.col("title")), ("skills", "few", "warning", skills < 2), ("skills", "many", "info", skills > 20),
+    ]
+    x = postings(s, d).join(posting_skills(s, d), "job_id")
+    return quality.score(x, "job_id", rules, {"completeness": 50, "clarity": 30, "skills": 20}, {"completeness": 7, "clarity": 4, "skills": 3})
+
+
 @query
 def stream_stage_parity(s, d):
     """Applications whose streamed final stage differs from the batch fold: none."""

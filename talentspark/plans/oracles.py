@@ -241,5 +241,37 @@ def sql() -> dict[str, str]:
     q["endorsement_counts"] = "SELECT p_name AS skill, count(l_orderkey) AS endorsements FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity = 50 GROUP BY ALL"
     q["layout_fingerprint"] = """SELECT l_orderkey, md5(array_to_string(list_sort(list(l_returnflag || ':' || lpad((floor(l_discount * 100)::int * 10 + floor(l_tax * 100)::int)::varchar, 3, '0'))), '|')) AS fingerprint FROM lineitem GROUP BY ALL"""
     q["batch_extraction_stats"] = f"WITH x AS (SELECT length({T}) AS n, len(string_split({T}, chr(10))) AS lines FROM documents) SELECT count(*) AS documents, round(avg(n), 4) AS mean_chars, round(avg(lines), 4) AS mean_lines, round(avg((lines = 1)::int), 6) AS single_line FROM x"
+    q["taxonomy_canonical"] = """WITH t AS (SELECT string_split(p_name, ' ')[-1] AS t FROM part) SELECT CASE WHEN t IN ('gear', 'cog') THEN 'drive part' WHEN t IN ('bolt', 'screw') THEN 'fastener' ELSE lower(t) END AS canonical,
+      count(*) AS n, count(DISTINCT t) AS terms FROM t GROUP BY ALL"""
+    q["ledger_overclaimed"] = f"WITH {LED} SELECT entity, skill, (entity % 12)::int AS claimed, round(years, 6) AS years FROM led WHERE round(years, 6) < round((entity % 12) * 0.7, 6)"
+    q["repository_strength"] = """WITH k AS (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY ALL), x AS (SELECT o_orderkey, floor(o_totalprice / 50) AS kb, n, o_custkey % 25 AS stars, date_diff('day', o_orderdate::date, DATE '2002-01-01') AS idle FROM orders JOIN k USING (o_orderkey))
+      SELECT o_orderkey, round(0.25 * least(kb / 10000, 1.0) + 0.3 * least(n / 10, 1.0) + 0.2 * least(stars / 20, 1.0) + 0.25 * (CASE WHEN idle < 365 THEN 1.0 WHEN idle < 730 THEN 0.7 ELSE 0.4 END)::double, 6) AS strength FROM x"""
+    marks = {"legal": (("license", 2), ("copyright", 2), ("version", 1)), "tabular": ((" | ", 2), ("|", 1)), "noisy": (("###", 2), ("!!", 1))}
+    points = ", ".join(" + ".join(f"CASE WHEN contains({low}, '{m}') THEN {w} ELSE 0 END" for m, w in v) + f" AS {k}" for k, v in marks.items())
+    q["pattern_points"] = f"""WITH p AS (SELECT {points} FROM documents), g AS (SELECT *, greatest(legal, tabular, noisy) AS m FROM p)
+      SELECT CASE WHEN m = 0 THEN 'none' WHEN legal = m THEN 'legal' WHEN tabular = m THEN 'tabular' ELSE 'noisy' END AS label, m::bigint AS points, count(*) AS n FROM g GROUP BY ALL"""
+    ranked = "r AS (SELECT community, node, row_number() OVER (PARTITION BY community ORDER BY degree DESC, node) AS rank FROM deg JOIN member USING (node))"
+    q["graph_search_queries"] = f"""WITH {LED}, {EDGE}, {ranked}, st AS (SELECT skill AS node, avg(strength) AS s FROM led GROUP BY ALL), t AS (SELECT community, string_agg(node, ' ' ORDER BY rank) AS terms FROM r WHERE rank <= 3 GROUP BY ALL),
+      g AS (SELECT community, round(avg(coalesce(s, 0)), 6) AS strength FROM member LEFT JOIN st USING (node) GROUP BY ALL)
+      SELECT community, terms, strength, CASE WHEN strength > 0.5 THEN 'strong' WHEN strength > 0.2 THEN 'growth' ELSE 'stretch' END AS kind FROM t JOIN g USING (community)"""
+    q["graph_widen_queries"] = f"""WITH {EDGE}, {ranked}, t AS (SELECT *, rank = max(rank) OVER (PARTITION BY community) AND rank > 1 AS last FROM r WHERE rank <= 3),
+      n AS (SELECT t.community, dst, sum(weight)::bigint AS weight FROM t JOIN both_ways ON src = t.node JOIN member b ON b.node = dst WHERE NOT last AND b.community <> t.community GROUP BY ALL),
+      best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY weight DESC, dst) AS rn FROM n) WHERE rn = 1), dr AS (SELECT community, max(CASE WHEN last THEN node END) AS dropped FROM t GROUP BY ALL)
+      SELECT dr.community, dropped, dst AS added, weight FROM dr LEFT JOIN best USING (community)"""
+    q["bullets_not_subsumed"] = """WITH g AS (SELECT p_brand, coalesce(list(DISTINCT string_split(p_name, ' ')[-1]) FILTER (p_size > 25), []) AS a, coalesce(list(DISTINCT p_name) FILTER (p_size <= 2), []) AS b FROM part GROUP BY ALL)
+      SELECT p_brand, coalesce(array_to_string(list_sort(list_filter(a, lambda x: len(list_filter(b, lambda y: contains(y, x) OR contains(x, y))) = 0)), ','), '') AS kept FROM g"""
+    q["paren_aware_split"] = "SELECT p_partkey, p_name || ' (' || p_type || ', x)|' || p_brand AS items, 2::bigint AS n FROM part"
+    q["date_range_parse"] = "SELECT o_orderkey, date_trunc('month', o_orderdate::date)::date::varchar AS start_date, CASE WHEN o_orderstatus <> 'O' THEN date_trunc('month', o_orderdate::date + 400)::date::varchar END AS end_date, o_orderstatus = 'O' AS is_current FROM orders"
+    q["structured_postings"] = f"WITH {JOB} SELECT 'https://jobs.example/' || job_id AS url, 'jobs.example' AS host, title, company, location, round(salary, 2) AS salary_min FROM job"
+    q["education_levels"] = """WITH e AS (SELECT CASE o_orderpriority[1] WHEN '1' THEN 'Doctoral' WHEN '2' THEN 'Masters' WHEN '3' THEN 'Bachelors' WHEN '4' THEN 'Vocational' ELSE 'Secondary' END AS level FROM orders)
+      SELECT level, level IN ('Doctoral', 'Masters', 'Bachelors') AS meets, count(*) AS n FROM e GROUP BY ALL"""
+    q["company_and_domain"] = "SELECT c_custkey, lower(trim(c_name)) AS company, lower(replace(c_name, '#', '-')) || '.com' AS domain FROM customer"
+    q["spaced_letters"] = "SELECT p_partkey, p_name AS name FROM part"
+    score = lambda p, chances: f"greatest(0, least(100, floor((1 - ({p}) / {2 * chances}) * 100)::int))"
+    yes = lambda c, w: f"CASE WHEN {c} THEN {w} ELSE 0 END"
+    q["posting_quality"] = f"""WITH {JOB}, k AS (SELECT l_orderkey AS job_id, count(DISTINCT p_name) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+      x AS (SELECT job_id, {score(yes('company IS NULL', 2) + ' + ' + yes('salary < 30000', 1) + ' + ' + yes('is_remote IS NULL', 1), 7)} AS completeness_score,
+        {score(yes('length(title) < 6', 1) + ' + ' + yes('upper(title) = title', 2), 4)} AS clarity_score, {score(yes('n < 2', 1), 3)} AS skills_score FROM job JOIN k USING (job_id))
+      SELECT *, (completeness_score * 50 + clarity_score * 30 + skills_score * 20) // 100 AS overall FROM x"""
     q["stream_stage_parity"] = "SELECT ''::varchar AS application, 0 AS stage WHERE false"
     return q

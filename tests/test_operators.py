@@ -88,6 +88,9 @@ def test_text_functions(spark):
     assert one(spark, T.title_similarity(F.lit("a b c"), F.lit("b c d e"))) == 0.5
     assert one(spark, T.salary_range(F.lit("£60,000 - £80,000"))[0]) == 60000 and one(spark, T.salary_range(F.lit("60k-80k"))[1]) == 80000
     assert one(spark, T.rewrite(F.lit("I was responsible for very big things"))) == "was led big things"
+    assert one(spark, T.collapse_spaced(F.lit("K E Y   S K I L L S of a b team"))) == "KEY SKILLS of ab team"
+    assert one(spark, T.education_level(F.lit("MSc, BSc"))) == "Masters" and one(spark, T.education_level(F.lit(None).cast("string"))) == "Unknown"
+    assert one(spark, T.meets_education(F.lit("Masters"), "Bachelors")) and not one(spark, T.meets_education(F.lit("Unknown"), "Secondary")) and one(spark, T.meets_education(F.lit("Unknown"), ""))
     page = '<script type="application/ld+json">{"title":"Dev","hiringOrganization":{"name":"Acme"},"jobLocation":[{"address":{"addressLocality":"Leeds"}}]}</script><p>x</p>'
     r = one(spark, T.json_ld_posting(F.lit(page)))
     assert (r["title"], r["company"], r["location"]) == ("Dev", "Acme", "Leeds")
@@ -109,6 +112,29 @@ def test_matching_and_dedup(spark):
     assert [tuple(r) for r in dedup.jaccard(s, 0.5).collect()] == [(1, 2, 2 / 3)]
 
 
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 7), min_size=0, max_size=5), min_size=1, max_size=14), st.sampled_from([0.4, 0.5, 0.8, 1.0]))
+def test_jaccard(spark, sets, threshold):
+    """Link counts and pairs of classes against all pairs."""
+    frame = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "id int, items array<int>")
+    near = lambda a, b: a == b or (a | b and len(a & b) / len(a | b) >= threshold)
+    got = {r["id"]: (r["class_id"], r["n_links"]) for r in dedup.jaccard_links(frame, threshold).collect()}
+    assert got == {i: (sets.index(x), sum(bool(near(x, y)) for y in sets) - 1) for i, x in enumerate(sets)}
+    first = [i for i, x in enumerate(sets) if sets.index(x) == i]
+    assert {(r["id"], r["id2"]) for r in dedup.jaccard(frame, threshold).collect()} == {(i, j) for i in first for j in first if i < j and near(sets[i], sets[j])}
+
+
+def test_knn_blocks(spark):
+    from talentspark.operators import search
+
+    v = spark.createDataFrame([(i, [float(i % 5), float(i % 7)]) for i in range(40)], "id int, v array<double>")
+    q = v.where("id % 4 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    got = {(r["query_id"], r["rank"]): r["id"] for r in search.knn_blocks(q, v, 3, block=2, chunk=7).collect()}
+    for i in range(0, 40, 4):
+        want = sorted((-(i % 5) * (j % 5) - (i % 7) * (j % 7), j) for j in range(40) if j != i)[:3]
+        assert [got[i, k] for k in (1, 2, 3)] == [j for _, j in want]
+
+
 def test_communities(spark):
     e = [("g", a, b, 5) for x in ("abc", "xyz") for a in x for b in x if a < b] + [("g", "c", "x", 1)]
     got = {r["node"]: r["community"] for r in graph.communities(spark.createDataFrame(e, "graph string, src string, dst string, weight int")).collect()}
