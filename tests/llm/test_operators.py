@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("talentspark.llm")
-from talentspark.llm import components, embedding_dedup, entry, language_id, packing, pii_crf, quality_ranking, quality_rules, secret_scan, sentencepiece_bpe, simhash, toxicity  # noqa: E402
+from talentspark.llm import components, embedding_dedup, entry, language_id, packing, pii_crf, quality_ranking, quality_rules, secret_scan, sentencepiece_bpe, shingle_dedup, simhash, toxicity  # noqa: E402
 
 tokenizers = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -187,6 +187,43 @@ def test_simhash_allocation():
         assert sum(t) == 3 - m and cost > 0
 
 
+def near_copies(rng, families, copies, words=200, share=0.05):
+    """Texts in families, each copy with a few words of the family's first text or of another copy changed."""
+    texts = []
+    for _ in range(families):
+        own = [[f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(8, words))]]
+        for _ in range(copies):
+            t = list(rng.choice(own))
+            for _ in range(rng.randint(0, max(1, int(share * len(t))))):
+                t[rng.randrange(len(t))] = f"x{rng.randint(0, 10**6)}"
+            own.append(t)
+        texts += [" ".join(t) for t in own]
+    return texts
+
+
+def base_components(texts):
+    """Components by all pairs of exact five-word shingle sets."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or 5 * len(a & b) >= 4 * len(a | b)]
+    return reach(len(texts), near)
+
+
+def test_stage_near_copies(spark):
+    """The stage links every pair at Jaccard 0.8, many of them beyond two bits of SimHash, and no other."""
+    import corpus_pipeline
+
+    texts = near_copies(random.Random(8), 12, 14) + near_copies(random.Random(9), 2, 60, 120, 0.02) + [None, "", " ", "one", "One", "a b c d"]
+    want = base_components(texts)
+    far = sum(bin((simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[c])) & (2**64 - 1)).count("1") > 2 for i, c in enumerate(want))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert far > 20 and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.where("false"), SF).count() == 0
+
+
 def base_personal(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
