@@ -343,9 +343,17 @@ def hoover_reposts(s, d):
 
 @query
 def near_duplicates_vec(s, d):
+    """Within one label only; ``near_duplicates_vec_all`` compares with all vectors."""
     return search.similar_within(_vectors(s, d), "group", 0.25).select("group", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query
+def near_duplicates_vec_all(s, d):
+    v = _vectors(s, d)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return search.similar_blocks(q, v, 0.25).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+
+
 def _item_sets(s, d):
     return table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("items"))
 

@@ -134,6 +134,7 @@ def sql() -> dict[str, str]:
     q["hoover_reposts"] = f"""WITH {JOB}, g AS (SELECT company, title, date_diff('day', lag(created) OVER (PARTITION BY company, title ORDER BY created, job_id), created) AS gap FROM job)
       SELECT company, title, count(*) AS posts, min(gap)::int AS nearest_days, min(gap) < 60 AND count(*) >= 3 AS likely FROM g GROUP BY ALL HAVING count(*) > 1"""
     q["near_duplicates_vec"] = f"""WITH {VEC} SELECT a.g AS "group", a.id AS a, b.id AS b, round(list_inner_product(a.v, b.v), 6) AS similarity FROM vec a JOIN vec b ON a.g = b.g AND a.id < b.id WHERE list_inner_product(a.v, b.v) >= 0.25"""
+    q["near_duplicates_vec_all"] = f"""WITH {VEC} SELECT a.id AS query_id, b.id, round(list_inner_product(a.v, b.v), 6) AS similarity FROM vec a JOIN vec b ON a.id <> b.id WHERE a.id % 50 = 0 AND list_inner_product(a.v, b.v) >= 0.25"""
     sets = """i AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS item FROM lineitem), s AS (SELECT id, count(*) AS n, list(item ORDER BY item) AS items FROM i GROUP BY ALL),
       k AS (SELECT id, n, min(id) OVER (PARTITION BY items) AS class_id FROM s), p AS (SELECT a.id AS id, b.id AS id2, count(*) AS c FROM i a JOIN i b ON a.item = b.item AND a.id <> b.id GROUP BY ALL),
       l AS (SELECT p.id, p.id2, c / (a.n + b.n - c) AS j, a.class_id AS ka, b.class_id AS kb FROM p JOIN k a ON a.id = p.id JOIN k b ON b.id = p.id2 WHERE c / (a.n + b.n - c) >= 0.5)"""

@@ -164,3 +164,13 @@ def test_sources_and_sinks(spark, tmp_path):
     k = spark.createDataFrame([(1, "db", "sql"), (1, "db", "kv")], "id int, category string, skill string")
     assert json.loads(writers.resume_json(p, k).first()["json"])["skills"] == [{"name": "db", "keywords": ["kv", "sql"]}]
     assert "- **db**: kv, sql" in writers.resume_markdown(p, k).first()["markdown"]
+
+
+def test_similar_across_groups(spark):
+    """Near vectors of different groups meet, in several blocks and chunks."""
+    from talentspark.operators import search
+
+    v = spark.createDataFrame([(i, [1.0, 0.1 * i], i % 3) for i in range(9)], "id long, v array<double>, group long")
+    q = v.where("id < 4").selectExpr("id as query_id", "v as q")
+    got = {(r["query_id"], r["id"]) for r in search.similar_blocks(q, v, 1.06, 2, 3).collect()}
+    assert got == {(a, b) for a in range(4) for b in range(9) if a != b and 1 + 0.01 * a * b >= 1.06} and any((a - b) % 3 for a, b in got)
