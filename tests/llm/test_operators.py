@@ -224,6 +224,18 @@ def test_stage_near_copies(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, docs.where("false"), SF).count() == 0
 
 
+def test_stage_null_and_repeated_ids(spark):
+    """Null ids are rows like any other but come last; a repeated id does not keep or drop another text's row."""
+    import corpus_pipeline
+
+    a, b, c, d = ([f"{k}{i}" for i in range(60)] for k in "abcd")
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [(7, " ".join(a)), (3, near(a)), (3, " ".join(b)), (3, " ".join(b)), (None, " ".join(c)), (None, near(c)), (9, " ".join(d)), (None, near(d))]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in kept)
+    assert [x for x in got if x[0]] == sorted([rows[1], rows[2], rows[6]]) and len(got) == 4 and got[0][1][:3] == "c0 "
+
+
 def base_personal(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
