@@ -6,9 +6,12 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
+    """The folder all executors share; a temporary one only where none is set and Spark runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -40,12 +45,68 @@ def held_out(doc_id: str, modulus: int, remainder: int):
     return F.crc32(F.col(doc_id).cast("string")) % modulus == remainder
 
 
-def worker_cache(key: Any, build: Callable[[], Any]) -> Any:
-    """``build()`` once per Python worker process, kept across its tasks."""
+def worker_cache(key: Any, build: Callable[[], Any], most: int = 2) -> Any:
+    """``build()`` once per Python worker process, kept across its tasks; the ``most`` things used last stay."""
     holder = sys.modules.setdefault("_talentspark_worker", types.ModuleType("_talentspark_worker"))
-    if key not in holder.__dict__:
-        holder.__dict__[key] = build()
-    return holder.__dict__[key]
+    kept = holder.__dict__.setdefault("kept", OrderedDict())
+    if key not in kept:
+        kept[key] = build()
+    kept.move_to_end(key)
+    while len(kept) > most:
+        kept.popitem(last=False)
+    return kept[key]
+
+
+#: Arrow types of the columns that operators add.
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
+    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def add_columns(documents: DataFrame, added: str, start: Callable[[], Callable[[list], dict]]) -> DataFrame:
+    """Columns ``added`` (a schema such as ``"n long, h string"``) in place of ``text``; all others go by untouched.
+
+    ``start()`` runs once a task and gives the function from whole texts to the new columns.  The other
+    columns stay Arrow arrays, so ids of any size and nulls come out as they went in.
+    """
+    kept = [f for f in documents.schema.fields if f.name != "text"]
+    new = [x.split() for x in added.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for b in batches:
+            out = compute(texts_of(b))
+            old = [b.column(b.schema.get_field_index(f)) for f in names]
+            yield pa.RecordBatch.from_arrays([*old, *(pa.array(out[n], _TYPES[t]) for n, t in new)], names=[*names, *(n for n, _ in new)])
+
+    names = [f.name for f in kept]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), added])
+    return documents.mapInArrow(run, schema)
+
+
+def keep_rows(documents: DataFrame, start: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """The rows, with all their columns as they are, for whose whole text the function from ``start()`` gives true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = start()
+        for b in batches:
+            yield b.filter(pa.array(np.asarray(keep(texts_of(b)), dtype=bool)))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
+def replace_text(documents: DataFrame, start: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """The rows with a new ``text``, all other columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = start()
+        for b in batches:
+            at = b.schema.get_field_index("text")
+            yield b.set_column(at, b.schema.field(at), pa.array(change(texts_of(b)), b.schema.field(at).type))
+
+    return documents.mapInArrow(run, documents.schema)
 
 
 def labelled_sample(

@@ -21,16 +21,14 @@ result.  Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import materialize
+from .runtime import add_columns, materialize
 
 BITS = 64
 
@@ -61,11 +59,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) with fp as a signed 64-bit number."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.int64)})
+    def start():
+        return lambda texts: {"fp": np.array([fingerprint(t, shingle) for t in texts], dtype=np.int64)}
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return add_columns(documents.select("doc_id", "text"), "fp long", start)
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
