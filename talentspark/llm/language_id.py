@@ -5,10 +5,16 @@ are hashed into ``buckets`` columns.  The class-by-bucket log-probability matrix
 a fixed size, is broadcast, and whole texts are scored in numpy batches: the rows of
 the occurring buckets are gathered and summed per document.
 
-Defined cases: null text or a text without any letter gives ``und`` with score 0;
-rows with null ``lang`` are scored but never learned from; with nothing to learn
-from every row is ``und``; ties go to the language first in name order; an empty
-table gives an empty result.
+Learning is bounded by parameters: about ``per_language`` whole documents a language, and
+the ``most_languages`` values of ``lang`` with the most documents, so that stray tags do
+not widen the matrix.
+
+Defined cases: null text or a text without any letter gives ``und`` with score 0; rows
+with a null ``lang`` or id are scored but never learned from (``held_out`` of a null id is
+null); very long texts are counted whole, block by block, each n-gram once; repeated rows
+are scored one by one; with nothing to learn from every row is ``und``; ties go to the
+language first in name order; an empty table gives an empty result.  ``identify`` reads
+only ``doc_id`` and ``text``; ``keep_known`` passes all columns on as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import held_out, worker_cache
+from .runtime import add_columns, held_out, keep_rows, worker_cache
 
 ORDERS = (1, 2, 3)
 _CHUNK = 400_000
@@ -55,10 +61,10 @@ def _grams(codes: np.ndarray, order: int, buckets: int) -> np.ndarray:
     return np.where(some, (h % np.uint32(buckets)).astype(np.int64), buckets)
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """The whole text in pieces of bounded memory that share an overlap of two characters."""
-    for at in range(0, max(1, len(text)), _CHUNK):
-        yield text[max(0, at - 2) : at + _CHUNK] if at else text[:_CHUNK]
+def _gram_blocks(codes: np.ndarray, order: int, buckets: int) -> Iterator[np.ndarray]:
+    """The buckets of all n-grams of one text, each n-gram once, in blocks of bounded size."""
+    for at in range(0, len(codes) - order + 1, _CHUNK):
+        yield _grams(codes[at : at + _CHUNK + order - 1], order, buckets)
 
 
 @dataclass
@@ -73,30 +79,32 @@ class NaiveBayes:
 
 
 def train(
-    documents: DataFrame, per_language: int = 1500, buckets: int = 1 << 15, alpha: float = 0.5
+    documents: DataFrame, per_language: int = 1500, buckets: int = 1 << 15, alpha: float = 0.5, most_languages: int = 200
 ) -> NaiveBayes:
     """Learn from about ``per_language`` whole documents a language (by a hash of the id), outside the held-out fold.
 
-    Counts are summed by Spark; the driver gets at most ``buckets`` x languages numbers.
+    Counts are summed by Spark; the driver gets at most ``buckets`` x ``most_languages`` numbers.
     """
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", 4, 2))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    sizes = {r["lang"]: r["n"] for r in common.collect()}
     languages = sorted(sizes)
     if not languages:
         return NaiveBayes([], np.zeros(0), np.zeros((buckets + 1, 0), np.float32))
-    # Twice the wanted share, since copies make the hash of an id uneven only by chance.
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))])
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    # The hash of an id lies under this bound for the wanted share of a language's documents, whatever their number.
+    bound = {k: min(2**63 - 1, int(min(1.0, per_language / n) * 2**64) - 2**63) for k, n in sizes.items()}
+    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(bound[k]).cast("long"))])
+    sample = known.where(F.xxhash64("doc_id") <= F.element_at(share, F.col("lang")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b["lang"], b["text"]):
                 into = total.setdefault(lang, np.zeros(buckets + 1, np.int64))
-                for piece in _pieces(text):
-                    codes = _codes(piece)
-                    for order in ORDERS:
-                        into += np.bincount(_grams(codes, order, buckets), minlength=buckets + 1)
+                codes = _codes(text)
+                for order in ORDERS:
+                    for block in _gram_blocks(codes, order, buckets):
+                        into += np.bincount(block, minlength=buckets + 1)
         for lang, into in total.items():
             at = np.flatnonzero(into[:buckets])
             yield pd.DataFrame({"lang": lang, "bucket": at.astype("int32"), "n": into[at]})
@@ -128,6 +136,8 @@ def posteriors(model: NaiveBayes, texts: list[str]) -> np.ndarray:
                 # Grams that straddle two texts have the closing and opening blank inside; their
                 # rows are dropped by giving them to the spare bucket.
                 g = _grams(codes, order, model.buckets)
+                if not len(g):  # nothing but empty texts
+                    continue
                 for k in range(1, order):
                     edge = starts[1:] - k
                     g[edge[edge < len(g)]] = model.buckets
@@ -136,12 +146,17 @@ def posteriors(model: NaiveBayes, texts: list[str]) -> np.ndarray:
         size = 0
 
     for i, text in enumerate(texts):
-        for piece in _pieces(text):
-            batch.append(_codes(piece))
-            owner.append(i)
-            size += len(batch[-1])
-            if size > _CHUNK:
-                flush()
+        codes = _codes(text)
+        if len(codes) > _CHUNK:
+            for order in ORDERS:
+                for block in _gram_blocks(codes, order, model.buckets):
+                    out[i] += np.bincount(block, minlength=model.buckets + 1) @ model.log_prob.astype(float)
+            continue
+        batch.append(codes)
+        owner.append(i)
+        size += len(codes)
+        if size > _CHUNK:
+            flush()
     flush()
     return out / len(ORDERS)
 
@@ -161,22 +176,30 @@ def identify(documents: DataFrame, model: NaiveBayes) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every whole text."""
     shared = documents.sparkSession.sparkContext.broadcast((model.languages, model.prior, model.log_prob))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            lang, p = predict(NaiveBayes(*shared.value), list(b["text"]))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": lang, "score": p})
+    def start():
+        known = NaiveBayes(*shared.value)
+
+        def score(texts: list) -> dict:
+            lang, p = predict(known, texts)
+            return {"lang_pred": lang, "score": p}
+
+        return score
 
     rows = documents.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "text")
-    return rows.mapInPandas(score, "doc_id long, held_out boolean, lang_pred string, score double")
+    return add_columns(rows, "lang_pred string, score double", start)
 
 
 def keep_known(documents: DataFrame, model: NaiveBayes, least: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose text is in a learned language at a posterior of ``least`` or more."""
     shared = documents.sparkSession.sparkContext.broadcast((model.languages, model.prior, model.log_prob))
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            lang, p = predict(NaiveBayes(*shared.value), list(b["text"]))
-            yield b[[x != "und" and s >= least for x, s in zip(lang, p)]]
+    def start():
+        known = NaiveBayes(*shared.value)
+
+        def keep(texts: list) -> list:
+            lang, p = predict(known, texts)
+            return [x != "und" and s >= least for x, s in zip(lang, p)]
+
+        return keep
 
-    return documents.mapInPandas(keep, documents.schema)
+    return keep_rows(documents, start)
