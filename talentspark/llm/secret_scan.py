@@ -5,14 +5,17 @@ marks, so lengths of the parts give positions in code points.  Beside the base k
 runs of key-like characters are candidates: their encoding is inferred (hexadecimal,
 base 32, base 64), and chi-squared uniformity over the encoding's alphabet, a runs test
 about the alphabet's middle and the lag-one serial correlation are combined into one
-randomness test.  A candidate that stays random is a secret if few equal pairs of symbols
-speak against ordinary text; these p-values go through Benjamini-Hochberg over the whole
-corpus within length classes, since a short run carries little evidence.  A random run
-that touches a base span adds nothing.
+p-value of randomness.  These p-values go through Benjamini-Hochberg over the whole corpus
+within length classes: a candidate whose randomness is rejected is ordinary text.  Since a
+short run may be ordinary and yet not be rejected, what is left also has to show few equal
+pairs of symbols against ordinary text, and those p-values are controlled in the same way.
+A random run that touches a base span adds nothing.
 
 Defined cases: null text counts as empty and has no spans; characters equal to the mark
-are read as another control character; repeated rows are scanned one by one; an empty
-table gives an empty result.  Only ``doc_id`` and ``text`` are read.
+are read as another control character; very long texts are scanned whole, the work growing
+with the number of matches; null and repeated ids are rows like any other, scanned one by
+one; candidates of equal p-value share one verdict; an empty table gives an empty result.
+Only ``doc_id`` and ``text`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -42,19 +45,35 @@ LENGTH_CLASSES = (24, 32, 48)
 _SPAN = "array<struct<s:int,k:int,e:int,m:string>>"
 
 
-def _matches(text: Column, pattern: str, kind: int) -> Column:
-    """Array of (start, kind, end, match) of all matches, left to right."""
+def _bound(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` computed once, however often lambdas inside ``f`` look into it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def _matches(text: Column, pattern: str, kind: int, chunk: int = 64) -> Column:
+    """Array of (start, kind, end, match) of all matches, left to right.
+
+    Positions are sums of the lengths of the parts before: whole chunks of parts first, then
+    the rest of the own chunk, so that no match adds up all parts before it.
+    """
     parts = F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), MARK)
-    found = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast(_SPAN).alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p)).alias("at"),
-            (a["n"] + 1).alias("n"),
-            F.when(a["n"] % 2 == 1, F.concat(a["out"], F.array(F.struct(a["at"].alias("s"), F.lit(kind).alias("k"), (a["at"] + F.length(p)).alias("e"), p.alias("m"))))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def spans(ps: Column, ls: Column, starts: Column) -> Column:
+        def span(j: Column) -> Column:
+            i = 2 * j + 1
+            c = F.floor(i / chunk).cast("int")
+            start = F.get(starts, c) + total(F.slice(ls, c * chunk + 1, i - c * chunk))
+            return F.struct(start.alias("s"), F.lit(kind).alias("k"), (start + F.get(ls, i)).alias("e"), F.get(ps, i).alias("m"))
+
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(ps) / 2).cast("int") - 1), span)
+
+    def placed(ps: Column, ls: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.size(ls) - 1) / chunk).cast("int"))
+        sums = F.transform(chunks, lambda c: total(F.slice(ls, c * chunk + 1, chunk)))
+        return _bound(sums, lambda ts: _bound(F.transform(ts, lambda _, c: total(F.slice(ts, F.lit(1), c))), lambda starts: spans(ps, ls, starts)))
+
+    found = _bound(parts, lambda ps: _bound(F.transform(ps, F.length), lambda ls: placed(ps, ls)))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
 
 
@@ -125,15 +144,14 @@ def _length_class(n: Column) -> Column:
     return sum((F.when(n > x, 1).otherwise(0) for x in LENGTH_CLASSES), F.lit(0))
 
 
-def _cuts(scanned: DataFrame, rate: float) -> dict[int, float]:
-    """Benjamini-Hochberg cut of each length class over all candidates, from counts in fine bins of p.
+def _cuts(tested: DataFrame, p: str, rate: float) -> dict[int, float]:
+    """Benjamini-Hochberg cut of each length class for the column ``p`` of tested(klass, ..), from counts in fine bins of p.
 
     At most 2000 bins a class reach the window, whatever the corpus.
     """
     fine = 40
-    bins = scanned.select(F.explode("candidates").alias("c")).where("c.p_random >= 0.001").select(
-        F.col("c.klass").alias("klass"), F.least(F.lit(1999), F.floor(-F.log(F.greatest(F.col("c.p_text"), F.lit(1e-30))) * fine)).cast("int").alias("bin")
-    ).groupBy("klass", "bin").agg(F.count("*").alias("n"))
+    bins = tested.select("klass", F.least(F.lit(1999), F.floor(-F.log(F.greatest(F.col(p), F.lit(1e-30))) * fine)).cast("int").alias("bin"))
+    bins = bins.groupBy("klass", "bin").agg(F.count("*").alias("n"))
     w = Window.partitionBy("klass")
     ranked = bins.withColumn("rank", F.sum("n").over(w.orderBy(F.desc("bin")))).withColumn("m", F.sum("n").over(w))
     # The largest p of a bin against its rank: never more discoveries than the exact procedure allows.
@@ -159,8 +177,11 @@ def scan_secrets(documents: DataFrame, false_discovery_rate: float = 0.02) -> Da
     tested = F.transform(free, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), _tests(c["m"]).alias("t")))
     found = found.withColumn("candidates", _p_values(tested)).drop("random")
     scanned = materialize(found, "secrets")
-    cuts = _cuts(scanned, false_discovery_rate)
-    passed = F.filter("candidates", lambda c: (c["p_random"] >= 0.001) & (c["p_text"] <= _cut(c["klass"], cuts)))
+    tested = scanned.select(F.explode("candidates").alias("c")).select("c.*")
+    ordinary = _cuts(tested, "p_random", false_discovery_rate)
+    random = lambda c: c["p_random"] > _cut(c["klass"], ordinary)
+    unlike = _cuts(tested.where(F.col("p_random") > _cut(F.col("klass"), ordinary)), "p_text", false_discovery_rate)
+    passed = F.filter("candidates", lambda c: random(c) & (c["p_text"] <= _cut(c["klass"], unlike)))
     added = F.transform(passed, lambda c: F.struct(c["s"].alias("s"), F.lit(3).alias("k"), c["e"].alias("e")))
     return scanned.select(
         "doc_id", "n_assign", "n_access", "n_hex",
