@@ -21,10 +21,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .runtime import worker_cache
+from .runtime import add_columns, replace_text, worker_cache
 
 KINDS = ("email", "ip", "card", "phone")
 #: Training table: one text a line, personal data as <kind value> (fixed values).
@@ -36,6 +35,8 @@ her address <email info@example.com> is new
 contact <email k.lee_4@mail.example.co> today
 the old one was <email a.b at example.org> I think
 send it to <email max_77 [at] example.com> please
+tell it to <email ann (at) example.com> first
+copy it for <email joe (at) example.org> and others
 call <phone 555-0142-338> in the morning
 call <phone (555) 555-0172> in the morning
 or <phone (020) 7946 0958> at night
@@ -104,7 +105,7 @@ def token_class(token: str) -> str:
             return low
         return "x" if len(token) < 3 else "xx" if not token[0].isupper() else "X"
     out = []
-    for m in _WORD_SHAPES.finditer(token[:64]):
+    for m in _WORD_SHAPES.finditer(token):
         r = m[0]
         if r[0].isdigit():
             out.append("9" * min(len(r), 5) if len(r) < 5 else "9{5-7}" if len(r) < 8 else "9{8-12}" if len(r) < 13 else "9{13-19}" if len(r) < 20 else "9{20+}")
@@ -115,7 +116,7 @@ def token_class(token: str) -> str:
         else:
             out.append(r if r.isascii() else "^")
     shape = "".join(out)
-    return re.sub(r"(a|A|\^)\1+", r"\1", shape)[:40]
+    return re.sub(r"(a|A|\^)\1+", r"\1", shape)
 
 
 def class_features(shape: str) -> list[str]:
@@ -211,16 +212,24 @@ class Decoder:
 
     def __init__(self, field: Field, memory: int = 300_000):
         self.field, self.memory = field, memory
+        self._clear()
         self.moves, self.first = field.moves, field.start
         # What a label can gain in transitions over "outside" in its place, whatever its neighbours are.
         into = np.concatenate([self.moves, self.first[None], np.zeros((1, _K))])
         self.gain = (into - into[:, :1]).max(0) + np.maximum(self.moves - self.moves[:1], 0).max(1)
+
+    def _clear(self) -> None:
         self.number: dict[str, int] = {}
         self.shapes: dict[str, int] = {}
         self.own, self.before, self.after = [], [], []
         self.arrays: tuple[np.ndarray, ...] | None = None
         self._shape(Field.edge)
 
+    def trim(self) -> None:
+        """Forget all classes once there are too many; only between groups of texts, which hold class numbers."""
+        if len(self.number) > self.memory or len(self.own) > self.memory // 4:
+            self._clear()
+
     def _shape(self, shape: str) -> int:
         k = self.shapes.get(shape)
         if k is None:
@@ -233,8 +242,6 @@ class Decoder:
         get = self.number.get
         out = list(map(get, tokens))
         if None in out:
-            if len(self.number) > self.memory:
-                self.number.clear()
             for i, k in enumerate(out):
                 if k is None:
                     out[i] = self.number[tokens[i]] = self._shape(token_class(tokens[i]))
@@ -334,8 +341,22 @@ _MAILED = re.compile(r"(?:@| at |\[at\]|\(at\)).*(?:\.| dot |\[dot\]|\(dot\))")
 _TRIM = ".,;:!?\"'"
 
 
+def identifies(kind: int, value: str) -> bool:
+    """Whether a value the field labels can be of its kind; shapes alone do not tell a card from any long number."""
+    digits = "".join(c for c in value if c.isdigit())
+    if kind == 0:
+        return bool(_MAILED.search(value))
+    if kind == 1:
+        m = _IP.fullmatch(value)
+        return bool(m) and all(int(x) <= 255 for x in value.split("."))
+    if kind == 2:
+        return 13 <= len(digits) <= 19 and digits.isascii() and luhn(digits)
+    return 7 <= len(digits) <= 15
+
+
 def field_spans(decoder: Decoder, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """Spans (start, kind, end) the field finds in each text, edge punctuation left out."""
+    decoder.trim()
     split = [t.split() for t in texts]
     edge = np.zeros(1, np.int64)
     classes = np.concatenate([x for ts in split for x in (edge, decoder.classes(ts))] + [edge])
@@ -372,10 +393,7 @@ def field_spans(decoder: Decoder, texts: list[str]) -> list[list[tuple[int, int,
                 s += 1
             while e > s and texts[i][e - 1] in _TRIM:
                 e -= 1
-            value = texts[i][s:e]
-            digits = sum(c.isdigit() for c in value)
-            # A value has to be able to identify someone: digits enough, or a sign or word for "at".
-            if (digits >= 7 if kind else _MAILED.search(value)):
+            if identifies(kind, texts[i][s:e]):
                 out[i].append((s, kind, e))
     return [sorted(x) for x in out]
 
@@ -414,30 +432,33 @@ def find(documents: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and spans of every whole text."""
     field = train()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         decoder = _decoder(field)
-        for b in batches:
+
+        def run(column: list) -> dict:
             rows = []
-            for texts in _groups([t or "" for t in b["text"]]):
+            for texts in _groups([t or "" for t in column]):
                 for own, whole in zip(*all_spans(decoder, texts)):
                     n = [sum(k == kind for _, k, _ in own) for kind in range(4)]
                     rows.append((*n, hashlib.sha256(_name(own).encode()).hexdigest(), _name(whole)))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
+            names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+            return dict(zip(names, zip(*rows))) if rows else {k: [] for k in names}
+
+        return run
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return add_columns(documents.select("doc_id", "text"), "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", start)
 
 
 def redact(documents: DataFrame) -> DataFrame:
     """The same rows and columns with every span of ``text`` replaced by its kind in brackets; null texts stay null."""
     field = train()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         decoder = _decoder(field)
-        for b in batches:
+
+        def run(column: list) -> list:
             done: list[str] = []
-            for texts in _groups([t or "" for t in b["text"]]):
+            for texts in _groups([t or "" for t in column]):
                 for text, spans in zip(texts, all_spans(decoder, texts)[1]):
                     out, at = [], 0
                     for s, k, e in spans:
@@ -445,6 +466,8 @@ def redact(documents: DataFrame) -> DataFrame:
                             out += [text[at : max(at, s)], f"[{KINDS[k].upper()}]"]
                             at = e
                     done.append("".join([*out, text[at:]]))
-            yield b.assign(text=[d if t is not None else None for d, t in zip(done, b["text"])])
+            return [d if t is not None else None for d, t in zip(done, column)]
+
+        return run
 
-    return documents.mapInPandas(run, documents.schema)
+    return replace_text(documents, start)
