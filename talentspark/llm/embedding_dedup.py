@@ -1,26 +1,34 @@
 """Operator 8: near-duplicate vectors by random hyperplanes, exact cosines and components.
 
-Equal vectors are one row with a multiplicity.  Several tables of sign hashes bring
-candidates together; the number of bits follows the number of vectors (one expected
-chance companion a bucket) and the number of tables follows the wanted recall at the
-threshold.  Rows of a bucket meet in sorted runs inside tasks, where cosines are taken in
-double precision; a bucket larger than ``block`` is split and its block pairs are dealt
-out as separate runs, so none is held whole by a task.  A pair that meets in several
-tables counts at the first; a run gives link counts and a spanning forest of its links,
-never its pairs.
+Equal vectors (by a digest of their numbers) are one node with a multiplicity.  Several
+tables of sign hashes bring candidates together; the number of bits follows the number of
+vectors (an eighth of a chance companion a bucket) and the number of tables follows the
+wanted recall at the threshold.  Only node numbers and bucket keys are shuffled for that.
+Pairs of buckets of at most ``small`` nodes are made distinct and fetch their vectors once
+for an exact cosine in double precision.  A node that is in any larger bucket is hot; pairs
+of two hot nodes are left to runs: rows of a bucket meet inside tasks by matrix products,
+buckets over ``block`` nodes are split and their block pairs dealt out as separate runs,
+so none is held whole by a task.  A pair that meets in several runs counts at the first
+table; a run gives link counts and a spanning forest of its links, never its pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing; vectors of different length never link; equal vectors link with each
-other; an empty table gives an empty result.  Only the id and vector columns are read.
+other; a cosine equal to the threshold links.  Repeated ids are rows of their own that share a
+name; a row without an id counts in the links of others, is never ``kept`` and has the
+smallest id it reaches, null if there is none (unusable vectors have their own id).  An
+empty table gives an empty result.  Only the id and vector columns are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +37,8 @@ from .runtime import materialize
 
 
 def plan(vectors: int, threshold: float, recall: float = 0.985) -> tuple[int, int]:
-    """(bits, tables): chance companions stay near one a bucket, pairs at the threshold are found at ``recall``."""
-    bits = min(40, max(6, math.ceil(math.log2(max(2, vectors)))))
+    """(bits, tables): an eighth of a chance companion a bucket, pairs at the threshold are found at ``recall``."""
+    bits = min(44, max(6, math.ceil(math.log2(max(2, vectors))) + 3))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
@@ -72,13 +80,13 @@ def _verify(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     rep, mult = rows["rep"].to_numpy(dtype=np.int64), rows["mult"].to_numpy(dtype=np.int64)
     own = rows["own"].to_numpy(dtype=np.int64)
     links, forest, edges = np.zeros(len(rows), np.int64), _Forest(), []
-    vectors, sigs = rows["v"].tolist(), rows["sig"].tolist()
+    vectors, sigs = rows["v"].tolist(), rows["sig"].tolist()  # bytes, arrays
     for a, z in zip(start.tolist(), end.tolist()):
         if z - a < 2:
             continue
         t, _, i, j, _ = key[a]
         x = np.frombuffer(b"".join(vectors[a:z]), dtype=np.float64).reshape(z - a, -1)
-        s = np.frombuffer(b"".join(sigs[a:z]), dtype=np.int64).reshape(z - a, -1)[:, : t + 1]
+        s = np.stack(sigs[a:z])[:, : t + 1]
         left = np.arange(a, z) if i == j else np.flatnonzero(own[a:z] == i) + a
         right = left if i == j else np.flatnonzero(own[a:z] == j) + a
         for at in range(0, len(left), 512):
@@ -102,39 +110,67 @@ def _verify(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.concat([counts[["u", "v", "links"]], tree], ignore_index=True)
 
 
-def near_duplicate_vectors(
-    embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95,
-    recall: float = 0.985, block: int = 1024, seed: int = 11,
-) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row."""
-    rows = embeddings.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
-    finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    usable = F.coalesce(finite & F.exists("x", lambda c: c != 0), F.lit(False))
-    rows = materialize(rows.withColumn("x", F.when(usable, F.col("x"))), "vectors")
-    unique = rows.where(F.col("x").isNotNull()).groupBy("x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
-    unique = materialize(unique, "unique")
-    bits, tables = plan(unique.count(), threshold, recall)
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def prepared(rows: DataFrame) -> DataFrame:
+    """(row, vec_id, digest, dim, v) of rows(row, vec_id, x): unit vectors as bytes; unusable vectors have null digest and v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digest, dim, unit = [], [], []
+            for x in b.column(b.schema.get_field_index("x")):
+                v = x.values.to_numpy(zero_copy_only=False) if x.is_valid and len(x.values) and not x.values.null_count else np.zeros(0)
+                if not len(v) or not np.isfinite(v).all() or not v.any():
+                    digest.append(None), dim.append(None), unit.append(None)
+                    continue
+                v = v + 0.0  # no negative zeros
+                digest.append(hashlib.sha256(v.tobytes()).digest())
+                v = v / np.abs(v).max()
+                dim.append(len(v)), unit.append((v / np.sqrt(v @ v)).tobytes())
+            own = [b.column(b.schema.get_field_index(n)) for n in ("row", "vec_id")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(digest, pa.binary()), pa.array(dim, pa.int32()), pa.array(unit, pa.binary())], names=["row", "vec_id", "digest", "dim", "v"])
+
+    return rows.mapInArrow(run, f"row long, vec_id {rows.schema['vec_id'].dataType.simpleString()}, digest binary, dim int, v binary")
+
+
+def _vectors(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), -1)
+
+
+def signed(unique: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
+    """(node, dim, bs) of unique(node, dim, v): the bucket of each node in each table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            dims = b["x"].map(len).to_numpy()
-            for dim in np.unique(dims):
-                own = b[dims == dim]
-                x = np.stack(own["x"].to_list()).astype(np.float64)
-                x = x / np.abs(x).max(1, keepdims=True)
-                x = x / np.sqrt((x * x).sum(1, keepdims=True))
-                s = _signatures(x, bits, tables, seed)
-                yield pd.DataFrame(
-                    {"rep": own["rep"], "mult": own["mult"], "dim": int(dim), "v": [r.tobytes() for r in x], "sig": [r.tobytes() for r in s], "bs": list(s)}
-                )
-
-    signed = materialize(unique.mapInPandas(sign, "rep long, mult long, dim int, v binary, sig binary, bs array<long>"), "signed")
-    probes = signed.select("rep", "mult", "dim", "v", "sig", F.posexplode("bs").alias("t", "b"))
-    sizes = signed.select("dim", F.posexplode("bs").alias("t", "b")).groupBy("t", "b", "dim").agg(F.count("*").alias("n")).where("n > 1")
+            for dim, own in b.groupby("dim"):
+                yield pd.DataFrame({"node": own["node"], "dim": dim, "bs": list(_signatures(_vectors(own["v"].tolist()), bits, tables, seed))})
+
+    return unique.select("node", "dim", "v").mapInPandas(run, "node long, dim int, bs array<long>")
+
+
+def verified(pairs: DataFrame, unique: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose cosine reaches the threshold."""
+    a = unique.select(F.col("node").alias("u"), F.col("v").alias("x"))
+    b = unique.select(F.col("node").alias("v"), F.col("v").alias("y"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            size = p["x"].map(len)
+            for n in size.unique():
+                own = p[size == n]
+                near = (_vectors(own["x"].tolist()) * _vectors(own["y"].tolist())).sum(1) >= threshold
+                yield own.loc[near, ["u", "v"]]
+
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInPandas(run, "u long, v long")
+
+
+def hot_links(inside: DataFrame, hot: DataFrame, unique: DataFrame, sigs: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(u, null, links) and forest edges (u, v, null) of all pairs of hot nodes that share a bucket."""
+    own = inside.select("t", "b", "dim", "node").join(hot, "node")
+    sizes = own.groupBy("t", "b", "dim").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    runs = probes.join(sizes, ["t", "b", "dim"]).withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    runs = own.join(sizes, ["t", "b", "dim"]).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     runs = runs.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    runs = runs.select("t", "b", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "mult", "v", "sig")
+    runs = runs.select("t", "b", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
+    full = unique.join(hot, "node").join(sigs.select("node", "bs"), "node").select("node", F.col("node").alias("rep"), "mult", "v", F.col("bs").alias("sig"))
     run_key = ["t", "b", "dim", "i", "j"]
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,12 +185,48 @@ def near_duplicate_vectors(
         if rest is not None and len(rest):
             yield _verify(rest, threshold)
 
-    found = materialize(runs.repartition(*run_key).sortWithinPartitions(*run_key).mapInPandas(verify, "u long, v long, links long"), "links")
-    counts = found.where(F.col("links").isNotNull()).groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    labels = connected_components(found.where(F.col("v").isNotNull()).select("u", "v")).withColumnRenamed("node", "rep")
-    named = unique.join(counts, "rep", "left").join(labels, "rep", "left")
-    named = named.select("x", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(named, "x", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
-    )
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    dealt = runs.join(full, "node").select(*run_key, "own", "rep", "mult", "v", "sig")
+    return dealt.repartition(*run_key).sortWithinPartitions(*run_key).mapInPandas(verify, "u long, v long, links long")
+
+
+def near_duplicate_vectors(
+    embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95,
+    recall: float = 0.985, block: int = 1024, small: int = 16, seed: int = 11,
+) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row."""
+    rows = embeddings.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
+    rows = materialize(prepared(rows.withColumn("row", F.monotonically_increasing_id())), "vectors")
+    usable = rows.where(F.col("digest").isNotNull())
+    first = usable.groupBy("digest").agg(F.min("row").alias("node"), F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
+    first = materialize(first, "first")
+    unique = materialize(usable.select(F.col("row").alias("node"), "dim", "v").join(first.drop("digest"), "node"), "unique")
+    bits, tables = plan(first.count(), threshold, recall)
+    sigs = materialize(signed(unique, bits, tables, seed), "signed")
+    probes = sigs.select("node", "dim", F.posexplode("bs").alias("t", "b"))
+    sizes = probes.groupBy("t", "b", "dim").agg(F.count("*").alias("n")).where("n > 1")
+    inside = materialize(probes.join(sizes, ["t", "b", "dim"]), "inside")
+    hot = materialize(inside.where(F.col("n") > small).select("node").distinct(), "hot")
+    # Pairs of small buckets, but for those of two hot nodes.
+    low = inside.where(F.col("n") <= small).join(hot.withColumn("hot", F.lit(True)), "node", "left")
+    other = low.select("t", "b", "dim", F.col("node").alias("v"), F.col("hot").alias("hot2"))
+    met = low.select("t", "b", "dim", F.col("node").alias("u"), "hot").join(other, ["t", "b", "dim"])
+    met = materialize(met.where((F.col("u") < F.col("v")) & (F.col("hot").isNull() | F.col("hot2").isNull())).select("u", "v").distinct(), "met")
+    links = materialize(verified(met, unique, threshold), "links")
+    edges = links
+    mult = unique.select(F.col("node").alias("v"), F.col("mult").alias("links"))
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    counts = both.join(mult, "v").select(F.col("u").alias("node"), "links")
+    if hot.take(1):
+        found = materialize(hot_links(inside, hot, unique, sigs, threshold, block), "hot-links")
+        counts = counts.unionByName(found.where(F.col("links").isNotNull()).select(F.col("u").alias("node"), "links"))
+        edges = edges.unionByName(found.where(F.col("v").isNotNull()).select("u", "v"))
+    counts = counts.groupBy("node").agg(F.sum("links").alias("links"))
+    labels = connected_components(edges)
+    named = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = materialize(named.groupBy("component").agg(F.min("rep").alias("component_id")), "names")
+    named = named.join(names, "component").join(counts, "node", "left")
+    named = named.select("digest", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
+    # Unusable vectors have no digest to meet on; they stay out of the join.
+    out = usable.join(named, "digest").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    alone = rows.where(F.col("digest").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
