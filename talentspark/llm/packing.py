@@ -1,21 +1,24 @@
 """Operator 9: vector bin packing of token pieces into training sequences.
 
-Each partition packs its own documents.  A bin has three limits at once: tokens,
-segments and loss-bearing tokens (ids that a model is trained to predict: all of a
-piece but its first).  Documents are first cut into full-length pieces; the
-remainders wait in a bounded pool, from which the open bin takes the piece with the
-largest dot product of its demand and the bin's free capacity, both as shares of the
-limits.  When nothing in the pool fits, a piece is cut so that the bin becomes full.
-The last bin of a partition is cut into bins whose lengths are powers of two, which
-need no padding; so is a bin that runs out of segments or loss capacity.
+Each partition packs its own documents.  A bin has three limits at once: tokens, segments
+and loss-bearing tokens.  As in instruction data, the first line of a text of several
+lines is its prompt and bears no loss; everything after it, the end id included, and every
+id of a text of one line does.  Pieces wait in a bounded pool, from which the open bin
+takes the piece with the largest dot product of its demand and the bin's free capacity,
+both as shares of the limits.  When nothing in the pool fits, or one segment is left, a
+piece is cut so that the bin becomes as full as the limits let it: a bin without loss
+capacity still takes prompts.  A bin that stays short of its tokens is cut into sequences
+whose lengths are powers of two, which need no padding.
 
 Sequence ids are unique over the table: partition number times 2**33 plus a counter.
 A partition is packed in the order its rows are read, so a task that runs again after a
 lost executor gives the same rows.
 
 Defined cases: null text counts as empty; an empty text is one piece holding the end
-id alone; repeated rows and ids are packed one by one; a text longer than a sequence spans
-several; an empty table gives an empty result.  Only ``doc_id`` and ``text`` are read.
+id alone; null and repeated ids are rows like any other, packed one by one; of pieces of
+equal worth the first in the pool goes first; a text longer than a sequence spans several;
+an empty table gives an empty result.  Only ``doc_id`` and ``text`` are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,12 +30,13 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .merges import MergeTable, WordMemory
-from .runtime import worker_cache
+from .runtime import texts_of, worker_cache
 
 
 class WordTokenizer:
@@ -113,27 +117,40 @@ class WordTokenizer:
         return out, n
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.concatenate([a, b]) for a, b in self.encode_parts([(t, "") for t in texts])]
+
+    def encode_parts(self, parts: list[tuple[str, str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of texts given in two parts that white space divides."""
         split = []
-        for t in texts:
+        for t in chain.from_iterable(parts):
             raw = t.encode("utf-8", "replace")
             # Lower case comes after composition in the vocabulary's own order: texts with combining marks keep their case.
             split.append((raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split())
-        return self.memory.encode(split)
+        ids = iter(self.memory.encode(split))
+        return list(zip(ids, ids))
 
 
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 4096
-    segments: int = 256
-    loss: int = 4096
+    segments: int = 16
+    loss: int = 4032
+
 
+def prompt_and_rest(text: str) -> tuple[str, str]:
+    """First line and the rest of a text of several lines; a text of one line has no prompt."""
+    head, line_end, rest = text.partition("\n")
+    return (head, rest) if line_end and rest.strip() else ("", text)
 
-#: A piece: document, start in it, ids, ids of the whole document.
-Piece = tuple[object, int, np.ndarray, int]
 
+#: A piece: document, start in it, ids, ids of the whole document, ids of its prompt.
+Piece = tuple[object, int, np.ndarray, int, int]
 
-def loss_bearing(length: int) -> int:
-    return max(0, length - 1)
+
+def prompt_left(piece: Piece) -> int:
+    """Ids of a piece that bear no loss."""
+    _, at, ids, _, prompt = piece
+    return max(0, min(prompt - at, len(ids)))
 
 
 class VectorPacker:
@@ -142,30 +159,27 @@ class VectorPacker:
     def __init__(self, limits: Limits, pool: int, emit):
         self.limits, self.size, self.emit = limits, pool, emit
         self.pool: list[Piece] = []
-        self.lengths = np.zeros(2 * pool + 2, np.int64)
+        self.lengths, self.prompts = np.zeros(2 * pool + 2, np.int64), np.zeros(2 * pool + 2, np.int64)
+        self.waiting = 0
         self.sequence = 0
 
-    def add(self, doc: object, ids: np.ndarray) -> None:
-        full, total = self.limits.tokens, len(ids)
-        at = 0
-        if loss_bearing(full) <= self.limits.loss:
-            while total - at >= full:
-                self.emit(self.sequence, 0, (doc, at, ids[at : at + full], total))
-                self.sequence += 1
-                at += full
-        if at < total:
-            self._wait((doc, at, ids[at:], total))
-        while len(self.pool) >= self.size:
+    def add(self, doc: object, ids: np.ndarray, prompt: int) -> None:
+        self._wait((doc, 0, ids, len(ids), prompt))
+        # Bounded in pieces and, for long documents, in tokens.
+        while len(self.pool) >= self.size or self.waiting > 256 * self.limits.tokens:
             self._fill()
 
     def _wait(self, piece: Piece) -> None:
-        self.lengths[len(self.pool)] = len(piece[2])
+        self.lengths[len(self.pool)], self.prompts[len(self.pool)] = len(piece[2]), prompt_left(piece)
+        self.waiting += len(piece[2])
         self.pool.append(piece)
 
     def _take(self, k: int) -> Piece:
         piece, last = self.pool[k], self.pool.pop()
+        self.waiting -= len(piece[2])
         if k < len(self.pool):
-            self.pool[k], self.lengths[k] = last, self.lengths[len(self.pool)]
+            n = len(self.pool)
+            self.pool[k], self.lengths[k], self.prompts[k] = last, self.lengths[n], self.prompts[n]
         return piece
 
     def _fill(self) -> None:
@@ -174,36 +188,39 @@ class VectorPacker:
         tokens, segments, loss = lim.tokens, lim.segments, lim.loss
         taken: list[Piece] = []
         while self.pool and tokens and segments:
-            n = self.lengths[: len(self.pool)]
-            bears = np.maximum(n - 1, 0)
+            n, prompt = self.lengths[: len(self.pool)], self.prompts[: len(self.pool)]
+            bears = n - prompt
             fits = (n <= tokens) & (bears <= loss)
-            worth = n / lim.tokens * (tokens / lim.tokens) + segments / lim.segments / lim.segments + bears / lim.loss * (loss / lim.loss)
-            if fits.any():
+            if segments > 1 and fits.any():
+                worth = n * (tokens / lim.tokens**2) + bears * (loss / lim.loss**2) + segments / lim.segments**2
                 piece = self._take(int(np.where(fits, worth, -1.0).argmax()))
             else:
-                most = min(tokens, loss + 1)
+                head = np.minimum(np.minimum(n, tokens), prompt + loss)
+                k = int(head.argmax())
+                most = int(head[k])
                 if most < 1:
                     break
-                doc, at, ids, total = self._take(int(n.argmin()))
-                piece = (doc, at, ids[:most], total)
-                self._wait((doc, at + most, ids[most:], total))
+                doc, at, ids, total, prompt_ids = self._take(k)
+                piece = (doc, at, ids[:most], total, prompt_ids)
+                if most < len(ids):
+                    self._wait((doc, at + most, ids[most:], total, prompt_ids))
             taken.append(piece)
             tokens -= len(piece[2])
             segments -= 1
-            loss -= loss_bearing(len(piece[2]))
+            loss -= len(piece[2]) - prompt_left(piece)
         self._close(taken)
 
     def _close(self, taken: list[Piece]) -> None:
         """A full bin is one sequence; any other is cut at powers of two, so that nothing is padded."""
         total = sum(len(p[2]) for p in taken)
         room = 0
-        for doc, at, ids, whole in taken:
+        for doc, at, ids, whole, prompt in taken:
             while len(ids):
                 if not room:
                     room = self.limits.tokens if total >= self.limits.tokens else 1 << (total.bit_length() - 1)
                     capacity, total = room, total - room
                 head = ids[:room]
-                self.emit(self.sequence, capacity - room, (doc, at, head, whole))
+                self.emit(self.sequence, capacity - room, (doc, at, head, whole, prompt))
                 room -= len(head)
                 at, ids = at + len(head), ids[len(head) :]
                 if not room:
@@ -215,36 +232,37 @@ class VectorPacker:
 
 
 def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits = Limits(), pool: int = 512) -> DataFrame:
-    """One row per piece: where it is in its document and in its sequence, with the crc32 of its ids."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    """One row per piece: where it is in its document and in its sequence, with the crc32 of its ids and its loss-bearing ids."""
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_cache(("words", tokenizer_path), lambda: WordTokenizer(tokenizer_path))
         base = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
 
         def emit(sequence: int, offset: int, piece: Piece) -> None:
-            doc, at, ids, total = piece
-            rows.append((doc, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, base + sequence, offset))
+            doc, at, ids, total, _ = piece
+            rows.append((doc, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, base + sequence, offset, len(ids) - prompt_left(piece)))
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+                rows.clear()
 
         packer = VectorPacker(limits, pool, emit)
-        names = [x.split()[0] for x in schema.split(", ")]
         for b in batches:
-            texts, docs = [t or "" for t in b["text"]], list(b["doc_id"])
+            texts, docs = [t or "" for t in texts_of(b)], texts_of(b, "doc_id")
             at = 0
             while at < len(texts):
                 to, size = at, 0
                 while to < len(texts) and size < 400_000:
                     size += len(texts[to])
                     to += 1
-                for doc, ids in zip(docs[at:to], coder.encode_batch(texts[at:to])):
-                    packer.add(doc, np.append(ids, np.uint32(end_id)).astype(np.uint32))
+                for doc, (head, rest) in zip(docs[at:to], coder.encode_parts(list(map(prompt_and_rest, texts[at:to])))):
+                    packer.add(doc, np.concatenate([head, rest, [end_id]]).astype(np.uint32), len(head))
                 at = to
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
-                rows.clear()
+            yield from done()
         packer.finish()
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
+        yield from done()
 
-    return documents.select("doc_id", "text").mapInPandas(run, schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
