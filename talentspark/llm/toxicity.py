@@ -5,12 +5,17 @@ sample by log-odds (terms must occur in many different contexts, so that passage
 repeated across documents teach nothing).  Densities of its hits, their distance to
 second-person words, capitals, punctuation and obfuscation rates feed boosted
 regression trees on the logistic loss; isotonic regression on a part of the sample
-the trees did not see turns margins into probabilities.
+the trees did not see, weighted to the labels' true shares, turns margins into
+probabilities.  Learning is bounded by parameters: ``per_class`` rows a label, ``size``
+terms in the lexicon.
 
 Defined cases: null text counts as empty; an empty text has all-zero features and is
-scored as any other; without both labels every document scores the share of label 1
-(0 where there is none); repeated rows are scored one by one; an empty table gives an
-empty result.  Only ``doc_id`` and ``text`` are read.
+scored as any other; very long texts and words are read whole, in linear time; without
+both labels every document scores the share of label 1 (0 where there is none); a null
+id has a null ``held_out`` and is scored, never learned from; repeated rows are scored one
+by one and equal margins get equal scores; an empty table gives an empty result.
+``score_toxicity`` reads only ``doc_id`` and ``text``; ``keep_clean`` passes all columns
+on as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import held_out, labelled_sample, worker_cache
+from .runtime import add_columns, held_out, keep_rows, labelled_sample, worker_cache
 
 #: Second-person words of the four languages (fixed values).
 SECOND_PERSON = frozenset(
@@ -72,7 +77,7 @@ class Lexicon:
             out |= YOU
         if len(w) > 2 and word.isupper():
             out |= CAPS
-        if not w.isalpha() and any(map(str.isalpha, w)) and len(w) < 20 and not any(x in w for x in "@=:"):
+        if not w.isalpha() and any(map(str.isalpha, w)) and not any(x in w for x in "@=:/"):
             out |= MASKED
             u = unmasked(word)
             if u != w and (u in self.words or u in SEED or any(u[:k] in self.prefixes for k in PREFIXES if len(u) > k)):
@@ -236,16 +241,13 @@ class ToxicityModel:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None:
             return np.full(len(x), float(self.values[0]))
-        m = self.trees.margin(x)
-        calibrated = np.interp(m, self.knots, self.values)
-        # A sliver of the margin itself keeps the order within flat parts of the isotonic curve.
-        return np.clip(0.98 * calibrated + 0.02 / (1 + np.exp(-np.clip(m, -30, 30))), 0, 1)
+        return np.clip(np.interp(self.trees.margin(x), self.knots, self.values), 0, 1)
 
-    def score_texts(self, texts: pd.Series) -> np.ndarray:
+    def score_texts(self, texts) -> np.ndarray:
         return self.score(_frame(texts, self.lexicon))
 
 
-def _frame(texts: pd.Series, lexicon: Lexicon) -> np.ndarray:
+def _frame(texts, lexicon: Lexicon) -> np.ndarray:
     seen = worker_cache(("toxicity", lexicon.words, lexicon.prefixes), dict)
     return np.array([features(t, lexicon, seen) for t in texts], dtype=np.float64).reshape(-1, len(FEATURES))
 
@@ -259,8 +261,8 @@ def fit(x: np.ndarray, y: np.ndarray, share: float, lexicon: Lexicon) -> Toxicit
         aside = np.zeros(len(y), bool)
     trees = boost(x[~aside], y[~aside])
     on = aside if aside.any() else ~aside
-    # The sample holds each class at most per_class times; weights give the classes their shares back, softened.
-    weight = np.where(y[on] == 1, max(share, 0.3) / (y[on] == 1).sum(), max(1 - share, 0.3) / (y[on] == 0).sum()) * on.sum()
+    # The sample holds each class at most per_class times; weights give the classes their true shares back.
+    weight = np.where(y[on] == 1, share / (y[on] == 1).sum(), (1 - share) / (y[on] == 0).sum()) * on.sum()
     return ToxicityModel(lexicon, trees, *isotonic(trees.margin(x[on]), y[on].astype(float), weight))
 
 
@@ -285,20 +287,17 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_cla
 def score_toxicity(documents: DataFrame, model: ToxicityModel, cut: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every whole text."""
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = model.score_texts(b["text"])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": s, "predicted": (s >= cut).astype("int32")})
+    def start():
+        def score(texts: list) -> dict:
+            s = model.score_texts(texts)
+            return {"score": s, "predicted": (s >= cut).astype("int32")}
+
+        return score
 
     rows = documents.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text")
-    return rows.mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")
+    return add_columns(rows, "score double, predicted int", start)
 
 
 def keep_clean(documents: DataFrame, model: ToxicityModel, cut: float = 0.5) -> DataFrame:
     """The rows, with all their columns, that score under ``cut``."""
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[model.score_texts(b["text"]) < cut]
-
-    return documents.mapInPandas(keep, documents.schema)
+    return keep_rows(documents, lambda: lambda texts: model.score_texts(texts) < cut)
