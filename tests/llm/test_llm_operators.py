@@ -58,6 +58,12 @@ def test_quality_pairs():
     y = (x[:, 3] > 0.6).astype(int)
     m = quality_ranking.fit(x[:2000], y[:2000], float((y[:2000] == 0).mean()))
     assert ((m.score(x[2000:]) >= 0.3) == (y[2000:] == 1)).mean() > 0.9
+    # The quantile is the operating point: it says what share of the sample falls below 0.3, and ties fall together.
+    share = (y[:2000] == 0).mean()
+    for q in (0.2, share, 0.7):
+        own = quality_ranking.fit(x[:2000], y[:2000], float(share), quantile=float(q))
+        assert abs((own.score(x[:2000]) < 0.3).mean() - q) < 0.01
+    assert len(set(m.score(np.repeat(x[:1], 3, 0)))) == 1
 
 
 def test_sentencepiece(spark, docs, empty):
@@ -296,12 +302,12 @@ def check_packing(out, ids, limits):
         rows = rows.sort_values("offset")
         total = int(rows["length"].sum())
         assert rows["offset"].tolist() == np.append(0, rows["length"].cumsum())[:-1].tolist() and total <= limits.tokens and len(rows) <= limits.segments
-        assert (rows["length"] - 1).sum() <= limits.loss
+        assert rows["loss_tokens"].sum() <= limits.loss
         padding += 0 if total & (total - 1) == 0 else limits.tokens - total
     return padding
 
 
-@pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(64, 5, 50)])
+@pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(64, 5, 50), packing.Limits(64, 40, 12)])
 def test_packing(spark, docs, empty, limits):
     path = tokenizers.path("word_bpe_49k.json")
     library = packing.WordTokenizer(path).library
@@ -352,5 +358,221 @@ def test_pipeline(spark):
     assert kept.count() == corpus_pipeline.run(spark, SF).select("doc_id").distinct().count()
 
 
+BIG = [9007199254740993, 9007199254740995, None, 9007199254740997]
+
+
+@pytest.fixture(scope="module")
+def big(spark):
+    """Ids and other whole numbers that a float cannot hold, beside nulls, in one batch."""
+    texts = ["the and of it is in the house of the people that was with them", None, "der und die ist nicht das haus von den leuten mit dem", "token=abcdefgh1 mail a@b.co"]
+    rows = [(i, t, "en", "s", n, None if k else 2**53 + 1) for k, (i, t, n) in enumerate(zip(BIG, texts, [2**53 + 1, None, 2**53 + 3, 2**53 + 5]))]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score long").coalesce(1)
+
+
+def test_large_and_null_ids(spark, big, labels):
+    """No operator or stage changes an id or another whole number, whatever else is in its batch."""
+    path, words = tokenizers.path("piece_bpe_32k.model"), tokenizers.path("word_bpe_49k.json")
+    known, toxic, quality = language_id.train(big), toxicity.train(big, labels), quality_ranking.train(big, labels)
+    same = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()} == set(BIG)
+    assert same(quality_ranking.rank_quality(big, quality)) and same(sentencepiece_bpe.encode_decode(big, path)) and same(language_id.identify(big, known))
+    assert same(secret_scan.scan_secrets(big)) and same(quality_rules.quality_rules(big)) and same(simhash.fingerprints(big)) and same(pii_crf.find(big))
+    assert same(packing.pack(big, words)) and same(toxicity.score_toxicity(big, toxic)) and len(simhash.near_duplicates(big).collect()) == len(BIG)
+    want = sorted(tuple(map(str, (r["doc_id"], r["n_chars"], r["score"]))) for r in big.collect())
+    for out in (pii_crf.redact(big), toxicity.keep_clean(big, toxic, 2.0), language_id.keep_known(big, known, -1.0)):
+        got = sorted(tuple(map(str, (r["doc_id"], r["n_chars"], r["score"]))) for r in out.collect())
+        assert out.schema == big.schema and set(got) <= set(want) and len(got) >= 3
+    v = spark.createDataFrame([(i, [1.0, 0.1 * k], "x") for k, i in enumerate(BIG)], "vec_id long, embedding array<double>, component_id string").coalesce(1)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicate_vectors(v, recall=0.9999).collect()}
+    assert set(got) == set(BIG) and got[None] == (3, BIG[0], False) and got[BIG[0]] == (3, BIG[0], True)
+
+
+def test_vectors_with_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (None, None), (None, [-1.0, 0.0])]
+    out = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.9999).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in out) == [("1", 0, "1"), ("1", 1, "1"), ("2", 1, "1"), ("None", 0, "None"), ("None", 0, "None")]
+
+
+def test_vector_recall(spark):
+    """Planted pairs of cosine 0.95 to 1 in 64 dimensions, one hot cluster, one repeated vector."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(900, 64)))
+    n = rng.normal(size=(300, 64))
+    n = unit(n - (n * base[:300]).sum(1, keepdims=True) * base[:300])
+    c = np.linspace(0.9505, 0.999, 300)[:, None]
+    x = np.vstack([base, base[:300] * c + n * np.sqrt(1 - c * c), unit(base[:1] + rng.normal(scale=0.02, size=(200, 64))), np.repeat(base[1:2], 50, 0)])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    out = embedding_dedup.near_duplicate_vectors(df, block=64).toPandas().set_index("vec_id").sort_index()
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert (out["n_links"].to_numpy() <= near.sum(1)).all() and out["n_links"].sum() > 0.98 * near.sum()
+
+
+def test_language_counts_by_brute_force():
+    """Scores of whole texts, some beyond a block, against counting every n-gram one by one."""
+    rng = np.random.default_rng(2)
+    model = language_id.NaiveBayes(["a", "b", "c"], np.log([0.5, 0.3, 0.2]), np.vstack([rng.normal(size=(64, 3)), np.zeros((1, 3))]).astype(np.float32))
+    long = "".join(random.Random(1).choice("abc dé1-") for _ in range(2_000))
+    old, language_id._CHUNK = language_id._CHUNK, 300
+    try:
+        got = language_id.posteriors(model, ["ab c", long, "é", long[:299], long[:301]])
+    finally:
+        language_id._CHUNK = old
+    for z, t in zip(got, ["ab c", long, "é", long[:299], long[:301]]):
+        codes, want = language_id._codes(t), np.zeros(3)
+        for order in language_id.ORDERS:
+            for i in range(len(codes) - order + 1):
+                g = language_id._grams(codes[i : i + order], order, 64)[0]
+                want += model.log_prob[g].astype(float)
+        assert np.allclose(z, want / 3, atol=1e-2)
+
+
+def test_language_training_by_brute_force(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the house of", "en"), ("das haus von", "de"), ("of it", "en"), ("und der", "de"), ("la casa", "es"), ("x", None), (None, "en")] * 3)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), buckets=512, most_languages=2)
+    learned = [r for r in rows if r[1] and r[2] and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    n = {k: sum(r[2] == k for r in learned) for k in ("de", "en", "es")}
+    assert model.languages == sorted(sorted(n, key=lambda k: (-n[k], k))[:2])
+    for col, lang in enumerate(model.languages):
+        counts = np.zeros(513)
+        for _, t, own in learned:
+            if own == lang:
+                for order in language_id.ORDERS:
+                    np.add.at(counts, language_id._grams(language_id._codes(t), order, 512), 1)
+        assert np.allclose(model.log_prob[:512, col], np.log((counts[:512] + 0.5) / (counts[:512].sum() + 256)), atol=1e-5)
+
+
+def test_fingerprint_by_brute_force():
+    import xxhash
+
+    for t in ["", "a", "A b", "the Cat sat on the mat the cat sat", " x\ty z\x0bw é É " * 40]:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w]
+        grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        hashes = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(t) & (2**64 - 1) == want
+
+
+HELD_OUT = """
+write to <email pat [at] place [dot] org> at noon
+send all to <email kim (at) house.net> and wait
+ask <phone (415) 555-0136> in the evening
+our line is <phone 555-0199-417> for now
+call <phone 0049 40 332211> or <phone (020) 7946 0123> then
+card <card 4012 8888 8888 1881> was sent
+paid with <card 5105-1051-0510-5100> then
+the server <ip 198.51.100.23> went down
+number 9807915762804490 is an order
+the years 1999 to 2004 and 12 more
+under Version 2.0. of the license
+table 7 | 81 | 992 | 14 | 3
+token=abcdef12345678 and key 550e8400-e29b-41d4-a716-446655440000
+at the dot of the and of it at noon
+"""
+
+
+def test_personal_data_held_out():
+    """Precision and recall on lines the field has not seen."""
+    decoder, right, found, wanted = pii_crf.Decoder(pii_crf.train()), 0, 0, 0
+    for line in HELD_OUT.strip().split("\n"):
+        want = re.findall(r"<(\w+) ([^>]+)>", line)
+        text = re.sub(r"<\w+ ([^>]+)>", r"\1", line)
+        got = [(pii_crf.KINDS[k], text[s:e]) for s, k, e in pii_crf.all_spans(decoder, [text])[1][0]]
+        right, found, wanted = right + len(set(got) & set(want)), found + len(got), wanted + len(want)
+    assert right / found >= 0.9 and right / wanted >= 0.9, (right, found, wanted)
+
+
+def test_personal_data_long_tokens():
+    """Tokens differ in class by their ends, however long they are."""
+    assert pii_crf.token_class("ab." * 60 + "x@y.com") != pii_crf.token_class("ab." * 60 + "12345678")
+    assert toxicity.Lexicon(frozenset(), frozenset()).bits("x" * 30 + "1d10t") & toxicity.MASKED
+
+
+def test_secret_cuts_by_brute_force(spark):
+    """Cuts of the binned procedure against the exact one: never above it, and near it."""
+    rng = random.Random(7)
+    rows = [(k % 2, rng.random() ** (4 if k % 3 else 1)) for k in range(3000)]
+    got = secret_scan._cuts(spark.createDataFrame(rows, "klass int, p double"), "p", 0.05)
+    for klass in (0, 1):
+        p = sorted(x for k, x in rows if k == klass)
+        exact = max((x for i, x in enumerate(p) if x <= 0.05 * (i + 1) / len(p)), default=0)
+        assert exact * 0.9 <= got[klass] <= max(0.05, exact * 1.03)
+
+
+def test_planted_secrets(spark):
+    """Planted keys of three encodings among text-like strings: recall, and false finds among ordinary ones."""
+    rng = random.Random(11)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    words = "quick brown model release final version data config user account service index table update build branch image layer report chapter".split()
+    rows = []
+    for i in range(600):
+        key = "".join(rng.choice(rng.choice(alphabets[i % 9 // 3 : i % 9 // 3 + 1])) for _ in range(rng.choice([24, 31]) if i % 9 < 3 else 40))
+        rows.append((i, f"the key {key} ends" if i % 3 == 0 else f"see {'-'.join(rng.choice(words) for _ in range(8))}{rng.randint(0, 2030)} there"))
+    out = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")["spans"].str.contains("random")
+    # An all-letter or all-digit string is no candidate.
+    assert out[::3].mean() > 0.9 and out[[i for i in range(600) if i % 3]].mean() < 0.15
+
+
+def test_many_matches(spark):
+    n = 3000
+    text = " ".join(f"token=abcdefgh{i:05d}" for i in range(n))
+    r = secret_scan.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r["n_assign"] == n and r["spans"].split(",")[-1] == f"assign:{len(text) - 19}:{len(text)}"
+
+
+@needs_tables
+def test_toxicity_calibrated(spark):
+    """Held out: catches all but mislabelled documents, leaves clean ones alone, and the mean score is the share of label 1."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    out = toxicity.score_toxicity(docs, toxicity.train(docs, labels)).join(labels, "doc_id").toPandas()
+    assert out.loc[out["toxic"] == 0, "predicted"].mean() < 0.03 and abs(out["score"].mean() - out["toxic"].mean()) < 0.05
+
+
+def test_isotonic_by_brute_force():
+    """Block values are the least-squares monotone fit, found here by all min-max averages."""
+    rng = np.random.default_rng(3)
+    m, y, w = np.sort(rng.normal(size=30)), rng.integers(0, 2, 30).astype(float), rng.random(30) + 0.1
+    _, values = toxicity.isotonic(m, y, w)
+    mean = lambda a, b: (y[a:b] * w[a:b]).sum() / w[a:b].sum()
+    fit = [max(min(mean(a, b) for b in range(i + 1, 31)) for a in range(i + 1)) for i in range(30)]
+    assert len(values) == len(set(np.round(fit, 9)))
+
+
+def edge_documents(spark, docs):
+    more = spark.createDataFrame([(None, "the and of it is in that for on with the", "en", None, None), (None, None, None, None, None), (77, "", "en", "s", 0), (77, LONG, "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more)
+
+
+@needs_tables
+def test_stages_by_brute_force(spark):
+    """Each stage keeps exactly the rows, or makes exactly the text, that its model says row by row; edge rows included."""
+    import corpus_pipeline
+
+    docs = edge_documents(spark, small(spark, "documents").limit(150))
+    key = lambda r: (str(r["doc_id"]), str(r["text"]), str(r["n_chars"]))
+    rows = docs.collect()
+    model = language_id.train(docs)
+    lang, p = language_id.predict(model, [r["text"] for r in rows])
+    got = corpus_pipeline.keep_known_language(spark, docs, SF).collect()
+    assert sorted(map(key, got)) == sorted(key(r) for r, x, s in zip(rows, lang, p) if x != "und" and s >= 0.5)
+    toxic = toxicity.train(docs, small(spark, "labels"))
+    score = toxic.score_texts([r["text"] for r in rows])
+    assert sorted(map(key, corpus_pipeline.drop_toxic(spark, docs, SF).collect())) == sorted(key(r) for r, s in zip(rows, score) if s < 0.5)
+    decoder = pii_crf.Decoder(pii_crf.train())
+
+    def plain(text):
+        for s, k, e in reversed(pii_crf.all_spans(decoder, [text])[1][0]):
+            text = f"{text[:s]}[{pii_crf.KINDS[k].upper()}]{text[e:]}"
+        return text
+
+    want = sorted((str(r["doc_id"]), str(r["text"] if r["text"] is None else plain(r["text"]))) for r in rows)
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in corpus_pipeline.redact_personal_data(spark, docs, SF).collect()) == want
+    pieces = corpus_pipeline.pack_sequences(spark, docs, SF).toPandas()
+    coder = packing.WordTokenizer(tokenizers.path("word_bpe_49k.json"))
+    assert pieces["length"].sum() == sum(len(coder.library.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), SF).count() == 0
+
+
 def test_entry_names():
     assert [n.split("_")[0] for n in entry.queries()] == [f"op{k}" for k in range(1, 11)] + ["pipeline"] and set(entry.oracle_sql()) <= set(entry.queries())
