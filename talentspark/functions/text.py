@@ -8,15 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Seniority words, company suffixes, weak openings, buzzwords, fillers.
-SENIORITY = ("senior", "junior", "lead", "principal", "staff", "mid", "sr", "jr")
+SENIORITY = ("senior", "junior", "lead", "principal", "staff", "mid", "associate")
 COMPANY_SUFFIXES = ("inc", "ltd", "llc", "corp", "limited", "plc", "gmbh")
 WEAK_VERBS = {"responsible for": "led", "worked on": "built", "helped with": "supported", "was involved in": "drove"}
 FILLERS = ("very", "really", "just", "basically", "actually")
 
 
 def words(text: Column, shortest: int = 1) -> Column:
-    """Lower-cased runs of ASCII letters."""
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: F.length(w) >= shortest)
+    """Lower-cased runs of letters of any script."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= shortest)
+
+
+def term_tokens(text: Column) -> Column:
+    """Lower-cased tokens a skill dictionary knows: letters and digits, with the signs of c#, c++ and .net."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[.]?[\p{L}\p{N}]+[+#]*"), 0)
 
 
 def normalise_value(text: Column) -> Column:
@@ -26,8 +31,8 @@ def normalise_value(text: Column) -> Column:
 
 def normalise_title(text: Column) -> Column:
     """Lower-cased title without seniority words, single spaces."""
-    pattern = "(^|[^a-z])(" + "|".join(SENIORITY) + ")($|[^a-z])"
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), pattern, " "), r" +", " "))
+    bare = F.regexp_replace(F.lower(text), r"\b(" + "|".join(SENIORITY) + r")\b", "")
+    return F.regexp_replace(F.trim(bare), r"\s{2,}", " ")
 
 
 def normalise_company(text: Column) -> Column:
@@ -177,6 +182,69 @@ def rewrite(text: Column) -> Column:
     out = text
     for weak, strong in WEAK_VERBS.items():
         out = F.regexp_replace(out, f"(?i){re.escape(weak)}", strong)
-    out = F.regexp_replace(out, r"(^| )(I|my|me)(\z| )", " ")
-    out = F.regexp_replace(out, "(^| )(" + "|".join(FILLERS) + r")(\z| )", " ")
+    # Look-arounds leave the blanks in place, so that neighbours are all found.
+    out = F.regexp_replace(out, r"(?<![^ ])(?:I|my|me|" + "|".join(FILLERS) + r")(?![^ ])", "")
     return F.trim(F.regexp_replace(out, " +", " "))
+
+
+def truncate(text: Column, most: int = 60) -> Column:
+    """At most ``most`` characters, the last three of a cut text being dots."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
+
+
+def trim_chars(text: Column, chars: str) -> Column:
+    """Without any of ``chars`` at either end."""
+    return F.btrim(text, F.lit(chars))
+
+
+def is_name_like(name: Column) -> Column:
+    """Two to five words of letters (with . ' -), each beginning with a capital."""
+    return F.coalesce(name.rlike(r"^\p{Lu}[\p{L}.'-]*( \p{Lu}[\p{L}.'-]*){1,4}$"), F.lit(False))
+
+
+def repair_name(name: Column) -> Column:
+    """Spaced letters put together, joined words parted at capitals, all capitals turned to title case."""
+    joined = collapse_spaced(name)
+    parted = F.when(joined.contains(" "), joined).otherwise(F.regexp_replace(joined, r"(?<=\p{Ll})(?=\p{Lu})", " "))
+    return F.when(F.upper(parted) == parted, F.initcap(F.lower(parted))).otherwise(parted)
+
+
+#: Headings of the sections of a profile, by what they contain.
+HEADINGS = [
+    ("Experience", ("experience", "employment", "work history", "career")),
+    ("Education", ("education", "academic", "qualifications")),
+    ("Skills", ("skills", "technologies", "competencies", "expertise")),
+    ("Projects", ("projects", "portfolio")),
+    ("Certifications", ("certifications", "certificates", "licenses")),
+    ("Summary", ("summary", "profile", "objective", "about")),
+]
+
+
+def heading_class(line: Column) -> Column:
+    """Section a heading of up to 60 characters opens; null for any other line."""
+    label = first_match(F.lower(collapse_spaced(line)), HEADINGS, "")
+    return F.when((F.length(line) <= 60) & (label != ""), label)
+
+
+#: ISCED level of each education level.
+ISCED = {"Doctoral": 8, "Masters": 7, "Bachelors": 6, "Vocational": 5, "PostSecondary": 4, "Secondary": 3}
+
+
+def isced(level: Column) -> Column:
+    """ISCED level of an education level; 0 where unknown."""
+    out = F.lit(0)
+    for name, n in ISCED.items():
+        out = F.when(level == name, n).otherwise(out)
+    return out
+
+
+def relative_age(days: Column) -> Column:
+    """today, 3d ago, 2w ago, 5mo ago, 1y ago."""
+    ago = lambda n, unit: F.concat(F.floor(days / n).cast("string"), F.lit(f"{unit} ago"))
+    return F.when(days < 1, "today").when(days < 7, ago(1, "d")).when(days < 30, ago(7, "w")).when(days < 365, ago(30, "mo")).otherwise(ago(365, "y"))
+
+
+def fenced_json(text: Column) -> Column:
+    """The outermost JSON object of an answer that may be fenced or talked around; null without one."""
+    found = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return F.when(found != "", found)

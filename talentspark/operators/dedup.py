@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row of each key in the given order (partial limits run before the shuffle)."""
@@ -29,11 +31,40 @@ def overlapping(rows: DataFrame, key: str, grace_days: int = 90, bucket_days: in
     return hit.select(F.col("k").alias(key), F.col("id").alias("a_id"), F.col("id2").alias("b_id"))
 
 
-def reposts(jobs: DataFrame, within_days: int = 60, least: int = 3) -> DataFrame:
-    """Per (company, title) posted twice or more: postings, nearest earlier posting in days, likely reposted for show."""
-    w = Window.partitionBy("company", "title").orderBy("created", "job_id")
-    gaps = jobs.withColumn("gap", F.datediff("created", F.lag("created").over(w))).groupBy("company", "title").agg(F.count("*").alias("posts"), F.min("gap").alias("nearest_days"))
-    return gaps.where("posts > 1").withColumn("likely", (F.col("nearest_days") < within_days) & (F.col("posts") >= least))
+def similar_titles(titles: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(company, a, b) of distinct titles(company, title) of a company, a = b included, whose common words exceed
+    ``threshold`` of the larger word set.
+
+    Two such titles share one of the first n - floor(threshold n) words of either in order of rarity,
+    so titles meet on these words only.
+    """
+    t = titles.select("company", "title").distinct().withColumn("w", F.array_distinct(F.filter(F.split(F.lower("title"), " +"), lambda x: x != "")))
+    words = t.where(F.size("w") > 0).select("company", "title", F.size("w").alias("n"), F.explode("w").alias("word"))
+    rare = words.join(words.groupBy("company", "word").agg(F.count("*").alias("titles")), ["company", "word"])
+    at = F.row_number().over(Window.partitionBy("company", "title").orderBy("titles", "word"))
+    first = rare.withColumn("at", at).where(F.col("at") <= F.col("n") - F.floor(F.col("n") * threshold + 1e-9)).select("company", "title", "word")
+    met = first.join(first.select("company", F.col("title").alias("title2"), "word"), ["company", "word"]).select("company", "title", "title2").distinct()
+    other = t.select("company", F.col("title").alias("title2"), F.col("w").alias("w2"))
+    both = met.join(t, ["company", "title"]).join(other, ["company", "title2"])
+    similarity = F.size(F.array_intersect("w", "w2")) / F.greatest(F.size("w"), F.size("w2"))
+    return both.where(similarity > threshold + 1e-9).select("company", F.col("title").alias("a"), F.col("title2").alias("b"))
+
+
+def reposts(jobs: DataFrame, within_days: int = 60, least: int = 3, threshold: float = 0.7) -> DataFrame:
+    """Each posting that follows a similar one of its company: the company's postings, days since the nearest, likely posted for show.
+
+    Companies are compared without case; of postings of one day the larger id is the newer.
+    """
+    j = jobs.where(F.col("company") != "").select("job_id", F.lower("company").alias("company"), "title", "created")
+    sizes = j.groupBy("company").agg(F.count("*").alias("posts"))
+    linked = similar_titles(j, threshold)
+    # Every posting among those of the titles similar to its own, in order of time.
+    seen = j.join(linked.withColumnRenamed("b", "title"), ["company", "title"])
+    w = Window.partitionBy("company", "a").orderBy("created", "job_id")
+    gap = F.datediff("created", F.lag("created").over(w))
+    own = seen.withColumn("days", gap).where((F.col("a") == F.col("title")) & F.col("days").isNotNull())
+    likely = (F.col("days") < within_days) & (F.col("posts") >= least)
+    return own.join(sizes, "company").select("job_id", "company", "title", "posts", "days", likely.alias("likely"))
 
 
 def set_classes(sets: DataFrame) -> DataFrame:
@@ -94,5 +125,55 @@ def profile(rows: DataFrame, key: str, seq: str, longest: str, first: list[str],
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
-    """Latest version of every key over both tables."""
-    return latest_per_key(old.unionByName(new), [key], [F.col(version).desc()])
+    """Latest version of every key over both tables; of equal versions the new table's row, then the first in order of all columns."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    rest = [F.col(c) for c in sorted(old.columns) if c not in (key, version)]
+    return latest_per_key(both, [key], [F.col(version).desc(), F.col("_new").desc(), *rest]).drop("_new")
+
+
+def merged_spells(rows: DataFrame, keys: list[str], longest: str, grace_days: int = 90) -> DataFrame:
+    """Date ranges of each key as one row where they follow within a grace: first start, last stop, longest text, how many.
+
+    A merged range grows as ranges join it, whatever order they come in.
+    """
+    w = Window.partitionBy(*keys).orderBy("start_date", "stop")
+    before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = (before.isNull() | (F.datediff("start_date", before) > grace_days)).cast("int")
+    x = rows.withColumn("_fresh", fresh).withColumn("_spell", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.max_by(longest, F.struct(F.length(longest), longest)).alias(longest)
+    return x.groupBy(*keys, "_spell").agg(F.min("start_date").alias("start_date"), F.max("stop").alias("stop"), text, F.count("*").alias("n")).drop("_spell")
+
+
+def merge_named(existing: DataFrame, incoming: DataFrame, key: str, name: str, similar: DataFrame | None = None) -> DataFrame:
+    """Incoming rows of a key with the existing name they join: equal without case, else the first by name in similar(name, other); null if new."""
+    low = existing.select(key, F.lower(name).alias("_low"), F.col(name).alias("into")).groupBy(key, "_low").agg(F.min("into").alias("into"))
+    x = incoming.withColumn("_low", F.lower(name))
+    out = x.join(low, [key, "_low"], "left")
+    if similar is not None:
+        s = similar.select(F.lower("name").alias("_low"), F.lower("other").alias("_other")).distinct()
+        near = x.select(key, "_low").distinct().join(s, "_low").join(low.select(key, F.col("_low").alias("_other"), F.col("into").alias("near")), [key, "_other"])
+        near = near.groupBy(key, "_low").agg(F.min("near").alias("near"))
+        out = out.join(near, [key, "_low"], "left").withColumn("into", F.coalesce("into", "near")).drop("near")
+    return out.drop("_low")
+
+
+def fuse_names(candidates: DataFrame, key: str, boost: float = 0.1) -> DataFrame:
+    """The name of each key from candidates(key, name, source, confidence): most confident after a boost a further source, then most sources.
+
+    A name some recogniser (source NER) found that begins a longer name-like candidate gives way to
+    that one; what does not look like a name has a confidence of 0.3 at most.
+    """
+    low = F.lower(F.trim("name"))
+    g = candidates.withColumn("norm", low).groupBy(key, "norm").agg(
+        F.max_by("name", F.struct("confidence", "name")).alias("name"), F.max("confidence").alias("c"), F.countDistinct("source").alias("sources"), F.max((F.col("source") == "NER").cast("int")).alias("ner")
+    )
+    g = g.withColumn("confidence", F.round(F.least(F.lit(1.0), F.col("c") + boost * (F.col("sources") - 1)), 6))
+    order = lambda *p: F.struct(*[(-F.col(f"{x}confidence")).alias("a") for x in p], *[(-F.col(f"{x}sources")).alias("b") for x in p], *[F.col(f"{x}norm").alias("n") for x in p])
+    row = F.struct("name", "confidence")
+    best = g.groupBy(key).agg(F.min_by(row, order("")).alias("best"))
+    other = g.select(key, *[F.col(c).alias("l_" + c) for c in ("norm", "name", "confidence", "sources")])
+    longer = g.where("ner = 1").join(other, key).where((F.col("l_norm") != F.col("norm")) & F.col("l_norm").startswith(F.col("norm")) & T.is_name_like(F.col("l_name")))
+    longer = longer.groupBy(key).agg(F.min_by(F.struct("l_name", "l_confidence"), F.struct(order("").alias("x"), order("l_").alias("y"))).alias("longer"))
+    out = best.join(longer, key, "left").select(key, F.coalesce("longer.l_name", "best.name").alias("name"), F.coalesce("longer.l_confidence", "best.confidence").alias("confidence"))
+    sure = T.is_name_like(F.col("name")) & (F.length("name") >= 4)
+    return out.withColumn("confidence", F.when(sure, F.col("confidence")).otherwise(F.least("confidence", F.lit(0.3))))

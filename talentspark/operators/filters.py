@@ -61,6 +61,8 @@ def compile_leaf(leaf: Leaf, fields: dict[str, Column], lists: frozenset[str] =
     low = F.lower(c.cast("string"))
     x = _numeric(c)
     value = _number(leaf.value)
+    # Booleans count as 1 and 0, text that is no number as 0.
+    truth = F.coalesce(c.try_cast("double"), F.when(low == "true", 1.0).otherwise(0.0))
     test = {
         "Equal": lambda: low == many[0],
         "NotEqual": lambda: low != many[0],
@@ -71,8 +73,8 @@ def compile_leaf(leaf: Leaf, fields: dict[str, Column], lists: frozenset[str] =
         "In": lambda: low.isin(many),
         "NotIn": lambda: ~low.isin(many),
         "Between": lambda: x.between(value, _number(leaf.value_to)),
-        "IsTrue": lambda: low == "true",
-        "IsFalse": lambda: low == "false",
+        "IsTrue": lambda: truth != 0,
+        "IsFalse": lambda: truth == 0,
         "Contains": lambda: low.contains(many[0]),
     }[leaf.op]()
     return F.when(c.isNull(), F.lit(leaf.op in ("NotEqual", "NotIn"))).otherwise(F.coalesce(test, F.lit(False)))
@@ -128,3 +130,39 @@ def salary_band(salary: Column) -> Column:
 def sort_by(df: DataFrame, criteria: list[tuple[str, bool]], tie: str) -> DataFrame:
     """Saved sort criteria (column, ascending), always closed by a unique column."""
     return df.orderBy(*[F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in criteria], tie)
+
+
+def stale_card(stage: Column, last_activity: Column, as_of: str, days: int = 14, terminal: tuple[int, ...] = (5, 6, 7, 8)) -> Column:
+    """Not in a terminal stage and without activity for ``days`` or more."""
+    return ~stage.isin(*terminal) & (F.datediff(F.to_date(F.lit(as_of)), F.to_date(last_activity)) >= days)
+
+
+def tree_from_json(spec: dict) -> Leaf | Node:
+    """A stored filter: {"logic": .., "children": [..]} or {"field": .., "op": .., "value": .., "value_to": ..}."""
+    if "logic" in spec:
+        return Node(spec["logic"], [tree_from_json(c) for c in spec.get("children", [])])
+    return Leaf(spec["field"], spec["op"], spec.get("value"), spec.get("value_to"))
+
+
+def saved_search(jobs: DataFrame, spec: dict, fields: dict[str, Column], tie: str, lists: frozenset[str] = frozenset()) -> DataFrame:
+    """A stored search {"filter": tree, "sort": [[column, ascending]], "limit": n} over jobs; sorting is descending unless said otherwise."""
+    out = jobs.where(compile_filter(tree_from_json(spec["filter"]), fields, lists)) if spec.get("filter") else jobs
+    out = sort_by(out, [(c[0], bool(c[1]) if len(c) > 1 else False) for c in spec.get("sort", [])], tie)
+    return out.limit(spec["limit"]) if spec.get("limit") else out
+
+
+def dashboard(entries: DataFrame, category: str | None = None, text: str | None = None, least_strength: float = 0.0, dismissed: tuple[str, ...] = ()) -> DataFrame:
+    """Ledger entries of a category, whose skill contains a text, of a strength, that are not dismissed; case is ignored."""
+    out = entries.where(F.col("strength") >= least_strength)
+    if category:
+        out = out.where(F.lower("category") == category.lower())
+    if text:
+        out = out.where(F.lower("skill").contains(text.lower()))
+    return out.where(~F.lower("skill").isin([d.lower() for d in dismissed])) if dismissed else out
+
+
+def company_cooldown(jobs: DataFrame, applied: DataFrame, days: int = 14) -> DataFrame:
+    """Jobs at a company applied(company, applied) to within ``days`` before they were created; case is ignored."""
+    last = applied.groupBy(F.lower("company").alias("_k")).agg(F.max("applied").alias("last"))
+    hit = jobs.join(last, F.lower("company") == F.col("_k")).drop("_k")
+    return hit.where(F.datediff("created", "last").between(0, days))

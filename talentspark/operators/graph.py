@@ -66,20 +66,68 @@ def widen(edges: DataFrame, members: DataFrame, k: int = 3) -> DataFrame:
     return drop.join(near, "community", "left").select("community", "dropped", F.col("b.dst").alias("added"), F.col("b.weight").alias("weight"))
 
 
-def relations(lists: DataFrame, window: int = 5, longest: int = 30) -> DataFrame:
-    """Term pairs i < j < i + window within lists(group, position, term) of at most ``longest`` terms; the shorter term is canonical."""
-    x = lists.where(F.col("position") < longest)
-    y = x.select("group", F.col("position").alias("p2"), F.col("term").alias("t2"))
-    pairs = x.join(y, "group").where((F.col("p2") > F.col("position")) & (F.col("p2") < F.col("position") + window) & (F.col("term") != F.col("t2")))
+def neighbour_queries(edges: DataFrame, members: DataFrame, k: int = 3) -> DataFrame:
+    """(community, terms): the two strongest terms of a community's search with the strongest outside neighbours of two of its terms."""
+    top = top_by_community(edges, members, k).select("community", "node", "rank")
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    inside = top.select("community", F.col("node").alias("dst"), F.lit(True).alias("asked"))
+    near = top.join(both, F.col("node") == F.col("src")).join(inside, ["community", "dst"], "left").where("asked is null")
+    best = near.groupBy("community", "rank").agg(F.min_by("dst", F.struct(-F.col("weight"), F.col("dst"))).alias("term"))
+    listed = lambda df, c: df.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(c).alias("term")))).alias("t")).select("community", F.slice(F.transform("t", lambda x: x["term"]), 1, 2).alias(c))
+    return listed(top, "node").join(listed(best, "term"), "community").select("community", F.array_join(F.concat("node", "term"), " ").alias("terms"))
+
+
+def adjacent_community(edges: DataFrame, members: DataFrame, strong: DataFrame) -> DataFrame:
+    """One row: the community with most strong(node) skills, and the other community with most nodes tied to it."""
+    own = members.join(strong.select("node").distinct(), "node").groupBy("community").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "community").limit(1)
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    home = members.join(own.select("community"), "community").select(F.col("node").alias("src"), F.col("community").alias("home"))
+    near = both.join(home, "src").select(F.col("dst").alias("node"), "home").distinct().join(members, "node").where("community <> home")
+    near = near.groupBy("home", "community").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "community").limit(1)
+    return near.select(F.col("home").alias("community"), F.col("community").alias("adjacent"), "n")
+
+
+def relations(lists: DataFrame, window: int = 5, longest: int | None = None) -> DataFrame:
+    """Term pairs i < j < i + window within lists(group, position, term), of their first ``longest`` terms if given; the shorter term is canonical.
+
+    Each term looks ``window`` terms ahead, so a list of any length costs its length times the window.
+    """
+    x = lists if longest is None else lists.where(F.col("position") < longest)
+    ahead = x.select("group", F.explode(F.sequence(F.col("position") + 1, F.col("position") + window - 1)).alias("p2"), "term")
+    pairs = ahead.join(x.select("group", F.col("position").alias("p2"), F.col("term").alias("t2")), ["group", "p2"]).where(F.col("term") != F.col("t2"))
     shorter = F.when(F.length("t2") < F.length("term"), F.col("t2")).otherwise(F.col("term"))
     return pairs.select(shorter.alias("canonical"), F.when(shorter == F.col("term"), F.col("t2")).otherwise(F.col("term")).alias("alias")).groupBy("canonical", "alias").agg(F.count("*").alias("n"))
 
 
-def communities(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def characterise(edges: DataFrame, members: DataFrame, seen: DataFrame, categories: DataFrame, k: int = 3) -> DataFrame:
+    """Per community: members, dominant category, and a label of the k skills that lean most on it.
+
+    A skill scores its share of weight inside the community times 0.5 + 0.5 min(documents / 3, 1), with
+    seen(node, documents) and categories(node, category).
+    """
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    home, there = members.select(F.col("node").alias("src"), "community"), members.select(F.col("node").alias("dst"), F.col("community").alias("there"))
+    inside = both.join(home, "src").join(there, "dst").groupBy("src").agg(F.sum(F.when(F.col("there") == F.col("community"), F.col("weight")).otherwise(0)).alias("own"), F.sum("weight").alias("total"))
+    s = members.join(inside.withColumnRenamed("src", "node"), "node", "left").join(seen, "node", "left").join(categories, "node", "left")
+    boost = 0.5 + 0.5 * F.least(F.coalesce("documents", F.lit(0)) / 3, F.lit(1.0))
+    s = s.withColumn("score", F.round(F.coalesce(F.col("own") / F.col("total"), F.lit(0.0)) * boost, 6))
+    w = Window.partitionBy("community").orderBy(F.desc("score"), "node")
+    top = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("rank", "node"))).alias("t"))
+    common = s.where("category is not null").groupBy("community", "category").agg(F.count("*").alias("n")).groupBy("community").agg(F.min_by("category", F.struct(-F.col("n"), F.col("category"))).alias("category"))
+    names = F.array_join(F.transform("t", lambda x: x["node"]), ", ")
+    label = F.when(F.col("category").isNull(), names).otherwise(F.concat("category", F.lit(" ("), names, F.lit(")")))
+    sizes = s.groupBy("community").agg(F.count("*").alias("members"))
+    return sizes.join(top, "community").join(common, "community", "left").select("community", "members", "category", label.alias("label"))
+
+
+def communities(edges: DataFrame, rounds: int = 200, most_edges: int = 5_000_000) -> DataFrame:
     """Greedy modularity moves in node order within each graph(graph, src, dst, weight); exact and deterministic a graph.
 
     A graph is one group: its nodes are a skill vocabulary, bounded by the taxonomy and not by the data.
+    A graph of more than ``most_edges`` edges, or one that does not settle, raises.
     """
+    if edges.groupBy("graph").agg(F.count("*").alias("n")).where(F.col("n") > most_edges).take(1):
+        raise ValueError(f"a graph has more than {most_edges} edges; part it before looking for communities")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, dict[str, float]] = {}
@@ -104,6 +152,8 @@ def communities(edges: DataFrame, rounds: int = 50) -> DataFrame:
                 home[n], moved = best, moved or best != own
             if not moved:
                 break
+        else:
+            raise RuntimeError(f"communities of graph {pdf['graph'].iloc[0]!r} did not settle")
         return pd.DataFrame({"graph": pdf["graph"].iloc[0], "node": sorted(home), "community": [home[n] for n in sorted(home)]})
 
     return edges.groupBy("graph").applyInPandas(solve, "graph string, node string, community string")

@@ -38,9 +38,11 @@ def build_ledger(evidence: DataFrame, as_of: str) -> DataFrame:
         F.max(F.col("end_date").isNull()).alias("is_current"),
         F.countDistinct(F.coalesce(F.col("experience"), F.lit(-1))).alias("role_count"),
         F.max("confidence").alias("max_confidence"), F.min("category").alias("category"),
-        F.every(F.col("source") == "N").alias("unsubstantiated"),
+        F.every(F.col("source") == "N").alias("all_listed"),
     )
     ledger = entry.join(interval_union(evidence, as_of), KEY, "left").withColumn("years", F.coalesce("days", F.lit(0)) / 365.25)
+    # Listed only, and by one piece of evidence.
+    ledger = ledger.withColumn("unsubstantiated", F.col("all_listed") & (F.col("evidence_count") == 1)).drop("all_listed")
     score = strength(F.col("years"), F.col("role_count"), F.col("is_current"), F.col("last_seen"), F.col("max_confidence"), as_of)
     return ledger.withColumn("strength", score).drop("days", "islands")
 
@@ -92,6 +94,32 @@ def overclaimed(ledger: DataFrame, claims: DataFrame, share: float = 0.7, within
     return ledger.join(c, KEY).where(F.round("years", 6) < F.round(F.col("claimed") * share, 6))
 
 
+def issues(ledger: DataFrame, claims: DataFrame, as_of: str) -> DataFrame:
+    """Consistency issues (entity, skill, issue) of all three kinds: listed only, overclaimed years, stale."""
+    parts = [("unsubstantiated", ledger.where("unsubstantiated")), ("overclaimed", overclaimed(ledger, claims)), ("stale", stale(ledger, as_of))]
+    tagged = [df.select(*KEY, F.lit(kind).alias("issue")) for kind, df in parts]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+
+
+def radar(ledger: DataFrame, k: int = 8) -> DataFrame:
+    """The k strongest skills of each entity, strongest first."""
+    w = Window.partitionBy("entity").orderBy(F.round("strength", 6).desc(), "skill")
+    return ledger.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def relevant_roles(evidence: DataFrame, matched: DataFrame, recent: int = 3) -> DataFrame:
+    """(entity, experience, relevant, age): experiences with evidence of a matched(entity, skill), and the ``recent`` latest."""
+    role = evidence.join(matched.select(*KEY).distinct().withColumn("hit", F.lit(1)), KEY, "left").groupBy("entity", "experience").agg(F.max("start_date").alias("started"), F.max(F.coalesce("hit", F.lit(0))).alias("relevant"))
+    w = Window.partitionBy("entity").orderBy(F.desc("started"), F.desc("experience"))
+    return role.withColumn("age", F.row_number().over(w)).where((F.col("relevant") == 1) | (F.col("age") <= recent)).select("entity", "experience", "relevant", "age")
+
+
+def tailoring_prompt(job: Column, skills: Column, bullets: Column) -> Column:
+    """Prompt text from a job title and arrays of skills and bullets."""
+    lines = F.array_join(F.transform(bullets, lambda b: F.concat(F.lit("- "), b)), "\n")
+    return F.concat_ws("\n", F.concat(F.lit("Target role: "), job), F.concat(F.lit("Skills: "), F.array_join(skills, ", ")), F.lit("Evidence:"), lines)
+
+
 def repository_strength(size_kb: Column, skills: Column, stars: Column, idle_days: Column) -> Column:
     """Size, skills and stars, each up to a ceiling, and the time since the last push."""
     part = lambda x, most: F.least(x / most, F.lit(1.0))

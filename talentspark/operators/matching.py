@@ -1,4 +1,9 @@
-"""Matching ledgers against weighted requirements, coverage, ranking, career gaps."""
+"""Matching ledgers against weighted requirements: tiers, coverage, ranking, career gaps, mails.
+
+Strings meet on distinct vocabularies first (``contained``, ``mentioned``), then hash joins
+bring the rows together.  Entities that match the same terms are one class, specs that ask
+for the same are one class, and scores belong to pairs of classes.
+"""
 
 from __future__ import annotations
 
@@ -6,49 +11,150 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SUBSTRING, EQUIVALENT, FALLBACK = 0.85, 0.82, 0.65
+#: Words that say nothing about a requirement (fixed values).
+STOP_WORDS = ("with", "and", "the", "for", "using", "experience", "knowledge", "skills", "ability", "years")
+
+
+def _strings(df: DataFrame, name: str = "s") -> DataFrame:
+    return df.select(F.lower(df.columns[0]).alias(name)).where(F.col(name) != "").distinct()
+
+
+def _grams(c: Column, sizes: tuple[int, ...]) -> Column:
+    """Distinct character grams; a string shorter than a size gives itself."""
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+
+    return F.array_distinct(F.flatten(F.array(*map(runs, sizes))))
 
 
-def best_entries(ledger: DataFrame, requirements: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
-    """Best ledger entry a (entity, term): substring either way first, then the same canonical term.
+def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(part, whole): every lower-cased string of ``parts`` inside one of ``wholes`` (one column each), distinct.
 
-    Words of skills and terms meet by equality (explode and hash join), so no cross join is built;
-    within a tier the strongest entry wins, ties by name.  Terms are joined once however many specs
-    ask for them.
+    A part of more than three characters meets the wholes that have its rarest three-character
+    gram, a shorter one those that have it as a gram; ``contains`` then decides.
     """
-    words = ledger.select("entity", "skill", "strength", F.explode(F.split("skill", " ")).alias("word"))
-    terms = requirements.select("term", F.lower("term").alias("word")).distinct()
-    found = words.join(terms, "word").select("entity", "term", "skill", "strength", F.lit(1).alias("tier"), F.lit(SUBSTRING).alias("similarity"))
+    p, w = _strings(parts, "part"), _strings(wholes, "whole")
+    grams = w.select("whole", F.explode(_grams(F.col("whole"), (1, 2, 3))).alias("g"))
+    count = grams.groupBy("g").agg(F.count("*").alias("n"))
+    keys = p.select("part", F.explode(F.when(F.length("part") > 3, _grams(F.col("part"), (3,))).otherwise(F.array("part"))).alias("g"))
+    keys = keys.join(count, "g").groupBy("part").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+    return keys.join(grams, "g").where(F.col("whole").contains(F.col("part"))).select("part", "whole")
+
+
+def mentioned(phrases: DataFrame, texts: DataFrame) -> DataFrame:
+    """(phrase, text): every lower-cased phrase inside a text, distinct; a phrase's longest word meets the texts' words first."""
+    p = _strings(phrases, "phrase").withColumn("key", F.element_at(F.array_sort(F.transform(F.split("phrase", " "), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"])
+    words = _strings(texts, "text").select("text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    hits = contained(p.select("key"), words.select("word"))
+    met = p.join(hits, F.col("key") == F.col("part")).join(words, F.col("whole") == F.col("word"))
+    return met.where(F.col("text").contains(F.col("phrase"))).select("phrase", "text").distinct()
+
+
+def equivalent(skills: DataFrame, terms: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(skill, term) of one canonical name by synonyms(alias, canonical); a canonical name is its own alias."""
+    c = synonyms.select(F.lower("alias").alias("alias"), F.lower("canonical").alias("canonical"))
+    c = c.unionByName(c.select(F.col("canonical").alias("alias"), "canonical")).distinct()
+    left = _strings(skills, "skill").join(c, F.col("skill") == F.col("alias")).select("skill", "canonical")
+    return left.join(_strings(terms, "term").join(c, F.col("term") == F.col("alias")).select("term", "canonical"), "canonical").select("skill", "term")
+
+
+def vocabulary_matches(skills: DataFrame, terms: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """(skill, term, tier) of lower-cased distinct strings: 1 if either contains the other, else 2 if they are synonyms."""
+    found = contained(skills, terms).select(F.col("part").alias("skill"), F.col("whole").alias("term"))
+    found = found.unionByName(contained(terms, skills).select(F.col("whole").alias("skill"), F.col("part").alias("term"))).withColumn("tier", F.lit(1))
     if synonyms is not None:
-        canon = synonyms.select(F.lower("alias").alias("word"), F.col("canonical"))
-        left = words.join(canon, "word").select("entity", "skill", "strength", "canonical")
-        right = terms.join(canon, "word").select("term", "canonical")
-        found = found.unionByName(left.join(right, "canonical").select("entity", "term", "skill", "strength", F.lit(2).alias("tier"), F.lit(EQUIVALENT).alias("similarity")))
-    best = found.groupBy("entity", "term").agg(F.min_by(F.struct("skill", "strength", "similarity"), F.struct("tier", (-F.round("strength", 6)).alias("s"), "skill")).alias("b"))
-    return best.select("entity", "term", "b.skill", "b.strength", "b.similarity")
+        found = found.unionByName(equivalent(skills, terms, synonyms).withColumn("tier", F.lit(2)))
+    return found.groupBy("skill", "term").agg(F.min("tier").alias("tier"))
 
 
-def tiered_match(ledger: DataFrame, requirements: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
-    """Best ledger entry a (entity, spec, term), as ``best_entries`` finds it."""
-    best = best_entries(ledger, requirements, synonyms)
+def from_achievements(terms: DataFrame, texts: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """(entity, term) whose texts(entity, text) hold two of the term's words of over three letters, or the only one."""
+    t = _strings(terms, "term")
+    w = t.withColumn("words", F.filter(F.split("term", " "), lambda x: (F.length(x) > 3) & ~x.isin(*stop_words)))
+    w = w.select("term", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
+    own = texts.select("entity", F.lower("text").alias("text")).distinct()
+    words = own.select("text").distinct().select("text", F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
+    hits = contained(w.select("word"), words.select("token"))
+    hits = words.join(hits, F.col("token") == F.col("whole")).select("text", F.col("part").alias("word")).distinct()
+    good = w.join(hits, "word").groupBy("term", "n", "text").agg(F.count("*").alias("hits")).where((F.col("hits") >= 2) | (F.col("n") == 1))
+    return own.join(good.select("term", "text"), "text").select("entity", "term").distinct()
+
+
+def best_entries(ledger: DataFrame, requirements: DataFrame, synonyms: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """Best ledger entry a (entity, term): the strongest entry that contains the term, is contained in it or is its synonym.
+
+    Case is ignored; ties go by name.  Terms without an entry fall back to ``from_achievements``, with
+    the strength of the entity's strongest entry.  Terms are matched once however many specs ask for them.
+    """
+    terms = requirements.select("term").distinct().withColumn("low", F.lower("term"))
+    pairs = vocabulary_matches(ledger.select("skill"), terms.select("term"), synonyms).select(F.col("skill").alias("low_skill"), F.col("term").alias("low"), "tier")
+    pairs = pairs.join(terms, "low").select("low_skill", "term", "tier")
+    rows = ledger.select("entity", "skill", "strength", F.lower("skill").alias("low_skill")).join(pairs, "low_skill")
+    order = F.struct((-F.round("strength", 6)).alias("s"), "skill", "tier")
+    best = rows.groupBy("entity", "term").agg(F.min_by(F.struct("skill", "strength", "tier"), order).alias("b"))
+    similarity = F.when(F.col("b.tier") == 1, SUBSTRING).otherwise(EQUIVALENT)
+    best = best.select("entity", "term", "b.skill", "b.strength", similarity.alias("similarity"))
+    if texts is None:
+        return best
+    strongest = ledger.groupBy("entity").agg(F.max("strength").alias("strength"))
+    more = from_achievements(terms.select("term"), texts).withColumnRenamed("term", "low").join(terms, "low").join(best.select("entity", "term"), ["entity", "term"], "left_anti")
+    more = more.join(strongest, "entity").select("entity", "term", F.lit("(evidence)").alias("skill"), "strength", F.lit(FALLBACK).alias("similarity"))
+    return best.unionByName(more)
+
+
+def tiered_match(best: DataFrame, requirements: DataFrame) -> DataFrame:
+    """``best_entries`` as one row a (entity, spec, term): as many rows as entities times specs may have."""
     return requirements.select("spec", "term", "importance").join(best, "term").select("entity", "spec", "term", "importance", "skill", "strength", "similarity")
 
 
-def coverage(matches: DataFrame, requirements: DataFrame) -> DataFrame:
-    """Per (entity, spec) with any match: required and preferred coverage, fit and mean strength of matches."""
-    need = requirements.groupBy("spec").agg(F.count_if(F.col("importance") == 0).alias("n_required"), F.count_if(F.col("importance") == 1).alias("n_preferred"))
-    got = matches.groupBy("entity", "spec").agg(
-        F.count_if(F.col("importance") == 0).alias("got_required"), F.count_if(F.col("importance") == 1).alias("got_preferred"),
-        F.count("*").alias("matched"), F.avg("strength").alias("mean_strength"),
-    )
+def spec_classes(requirements: DataFrame) -> DataFrame:
+    """(spec, terms, terms_id, spec_class, n_specs, needs): specs that ask for the same terms share ``terms_id``, those that
+    weigh them the same too share ``spec_class`` (each the smallest spec)."""
+    s = requirements.groupBy("spec").agg(F.array_sort(F.collect_set("term")).alias("terms"), F.array_sort(F.collect_set(F.struct("term", "importance"))).alias("needs"))
+    same_terms = s.groupBy("terms").agg(F.min("spec").alias("terms_id"))
+    same_needs = s.groupBy("needs").agg(F.min("spec").alias("spec_class"), F.count("*").alias("n_specs"))
+    return s.join(same_terms, "terms").join(same_needs, "needs").select("spec", "terms", "terms_id", "spec_class", "n_specs", "needs")
+
+
+def entity_sets(best: DataFrame, specs: DataFrame) -> DataFrame:
+    """(entity, terms_id, have, mean_strength): what each entity has of each set of terms, where it has any."""
+    asked = specs.where(F.col("spec") == F.col("terms_id")).select("terms_id", F.explode("terms").alias("term"))
+    return best.join(asked, "term").groupBy("entity", "terms_id").agg(F.array_sort(F.collect_set("term")).alias("have"), F.avg("strength").alias("mean_strength"))
+
+
+def coverage(sets: DataFrame, specs: DataFrame) -> DataFrame:
+    """Per pair of classes with any match: required and preferred coverage, fit, mean strength, and the members of both."""
+    e = sets.groupBy("terms_id", "have").agg(F.min("entity").alias("entity_class"), F.count("*").alias("n_entities"), F.avg("mean_strength").alias("mean_strength"))
+    s = specs.where(F.col("spec") == F.col("spec_class")).select("terms_id", "spec_class", "n_specs", "needs")
+    j = e.join(s, "terms_id")
+    n = lambda level, got: F.size(F.filter("needs", lambda x: (x["importance"] == level) & (F.array_contains("have", x["term"]) if got else F.lit(True)))).cast("long")
+    j = j.select("*", n(0, True).alias("got_required"), n(1, True).alias("got_preferred"), n(0, False).alias("n_required"), n(1, False).alias("n_preferred"), F.size("have").cast("long").alias("matched"))
     req = F.when(F.col("n_required") == 0, 1.0).otherwise(F.col("got_required") / F.col("n_required"))
     pref = F.when(F.col("n_preferred") == 0, 0.0).otherwise(F.col("got_preferred") / F.col("n_preferred"))
-    return got.join(need, "spec").withColumn("required_coverage", req).withColumn("preferred_coverage", pref).withColumn("fit", 0.7 * F.col("required_coverage") + 0.3 * F.col("preferred_coverage"))
+    return j.withColumn("required_coverage", req).withColumn("preferred_coverage", pref).withColumn("fit", 0.7 * F.col("required_coverage") + 0.3 * F.col("preferred_coverage"))
+
 
+def members(sets: DataFrame) -> DataFrame:
+    """(entity, terms_id, entity_class): the class of each entity, by its smallest member."""
+    e = sets.groupBy("terms_id", "have").agg(F.min("entity").alias("entity_class"))
+    return sets.join(e, ["terms_id", "have"]).select("entity", "terms_id", "entity_class")
 
-def rank(coverage_: DataFrame, k: int) -> DataFrame:
-    """The k best entities of each spec."""
-    w = Window.partitionBy("spec").orderBy(F.round("fit", 6).desc(), F.round("mean_strength", 6).desc(), "entity")
-    return coverage_.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+def rank(sets: DataFrame, specs: DataFrame, k: int) -> DataFrame:
+    """The k best entities of each spec: (spec, rank, entity, fit, mean_strength).
+
+    Members of a class differ only in mean strength, so its k best are enough for every spec; classes
+    behind k entities of better fit are dropped before any member is looked up.
+    """
+    c = coverage(sets, specs).select("terms_id", "have", "spec_class", "n_entities", F.round("fit", 6).alias("fit"))
+    better = F.sum("n_entities").over(Window.partitionBy("spec_class").orderBy(F.desc("fit"))) - F.sum("n_entities").over(Window.partitionBy("spec_class", "fit"))
+    c = c.withColumn("better", better).where(F.col("better") < k)
+    own = Window.partitionBy("terms_id", "have").orderBy(F.round("mean_strength", 6).desc(), "entity")
+    best = sets.withColumn("at", F.row_number().over(own)).where(F.col("at") <= k)
+    w = Window.partitionBy("spec_class").orderBy(F.desc("fit"), F.round("mean_strength", 6).desc(), "entity")
+    top = best.join(c, ["terms_id", "have"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return specs.select("spec", "spec_class").join(top.select("spec_class", "rank", "entity", "fit", "mean_strength"), "spec_class").drop("spec_class")
 
 
 def canonical(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -67,12 +173,13 @@ def semantic_match(queries: DataFrame, pool: DataFrame, similarity: Column, thre
 
 
 def simple_match(jobs: DataFrame, have: list[str], avoid: list[str], vote_bonus: Column) -> DataFrame:
-    """matched / required (0.5 when nothing is required), -0.1 per avoided skill, clamp, +0.05 a vote point, clamp."""
-    mine, off = F.array(*map(F.lit, have)), F.array(*map(F.lit, avoid))
+    """matched / required (0.5 when nothing is required), -0.1 per avoided skill, clamp, +0.05 a vote point, clamp; case is ignored, repeats count."""
+    mine, off = [x.lower() for x in have], [x.lower() for x in avoid]
     n = F.size("skills")
-    base = F.when(n == 0, 0.5).otherwise(F.size(F.array_intersect("skills", mine)) / n) - 0.1 * F.size(F.array_intersect("skills", off))
+    hit = lambda names: F.filter("skills", lambda x: F.lower(x).isin(names))
+    base = F.when(n == 0, 0.5).otherwise(F.size(hit(mine)) / n) - 0.1 * F.size(hit(off))
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    return jobs.withColumn("missing", F.array_except("skills", mine)).withColumn("score", clamp(clamp(base) + 0.05 * vote_bonus))
+    return jobs.withColumn("missing", F.filter("skills", lambda x: ~F.lower(x).isin(mine))).withColumn("score", clamp(clamp(base) + 0.05 * vote_bonus))
 
 
 def archetypes(skills: DataFrame, roles: DataFrame) -> DataFrame:
@@ -82,37 +189,132 @@ def archetypes(skills: DataFrame, roles: DataFrame) -> DataFrame:
     return got.join(size, "role").withColumn("percent", 100 * F.col("matched") / F.col("total"))
 
 
-def keyword_overlap(needs: DataFrame, offers: DataFrame, least: int = 2) -> DataFrame:
-    """Offer sharing most keywords with each need (at least ``least``): needs(need, keywords), offers(offer, keywords)."""
-    a = needs.select("need", F.size("keywords").alias("n"), F.explode("keywords").alias("k"))
-    b = offers.select("offer", F.explode("keywords").alias("k"))
-    shared = a.join(b, "k").groupBy("need", "offer").agg(F.count("*").alias("overlap"), F.first("n").alias("n")).where(F.col("overlap") >= least)
+#: Stop words of responsibilities (fixed values).
+DUTY_STOPS = (
+    "about", "above", "after", "also", "among", "being", "between",
+    "their", "there", "these", "those", "through", "using", "where",
+    "which", "while", "will", "with", "working", "within", "would",
+    "experience", "ability", "knowledge", "skills", "strong", "across",
+)
+
+
+def keywords(text: Column, longer_than: int = 4, stop_words: tuple[str, ...] = DUTY_STOPS) -> Column:
+    """Distinct lower-cased words of more than ``longer_than`` letters, edge signs and stop words left out."""
+    w = F.transform(F.split(F.lower(text), "[ \\n]+"), lambda x: F.btrim(x, F.lit(".,;()")))
+    return F.array_distinct(F.filter(w, lambda x: (F.length(x) > longer_than) & ~x.isin(*stop_words)))
+
+
+def keyword_overlap(needs: DataFrame, offers: DataFrame, least: int = 2, longer_than: int = 4) -> DataFrame:
+    """Offer holding most keywords of each need (at least ``least``): needs(need, keywords), offers(offer, text).
+
+    A keyword, or it without its plural s, may be any part of the text: keywords meet the
+    distinct words of the texts.
+    """
+    k = needs.select("need", F.size("keywords").alias("n"), F.explode("keywords").alias("k"))
+    plural = F.col("k").endswith("s") & (F.length("k") > longer_than)
+    forms = k.select("k").distinct().select("k", F.explode(F.array_distinct(F.array("k", F.when(plural, F.expr("left(k, length(k) - 1)")).otherwise(F.col("k"))))).alias("form"))
+    words = offers.select("offer", F.explode(F.array_distinct(F.split(F.lower("text"), "[ \\n]+"))).alias("word"))
+    hits = contained(forms.select("form"), words.select("word")).join(forms, F.col("part") == F.col("form")).select("k", F.col("whole").alias("word")).distinct()
+    offer_has = words.join(hits, "word").select("offer", "k").distinct()
+    shared = k.join(offer_has, "k").groupBy("need", "offer").agg(F.count("*").alias("overlap"), F.first("n").alias("n")).where(F.col("overlap") >= least)
     best = shared.groupBy("need").agg(F.max_by(F.struct("offer", "overlap", "n"), F.struct("overlap", -F.col("offer"))).alias("b"))
     return best.select("need", "b.offer", "b.overlap", F.least(F.lit(1.0), F.col("b.overlap") / F.col("b.n")).alias("score"))
 
 
-def career_gaps(requirements: DataFrame, matches: DataFrame, adjacent: DataFrame) -> DataFrame:
-    """Gap class, impact and effort of every (entity, spec, term): weak evidence, adjacent skill or true gap."""
-    pairs = matches.select("entity", "spec").distinct().join(requirements, "spec")
-    all_ = pairs.join(matches.select("entity", "spec", "term", "strength"), ["entity", "spec", "term"], "left").join(adjacent.select("entity", "term").distinct().withColumn("near", F.lit(True)), ["entity", "term"], "left")
-    required = F.col("importance") == 0
-    gap = F.when(F.col("strength") >= 0.4, "none").when(F.col("strength").isNotNull(), "weak").when(F.col("near"), "adjacent").otherwise("true")
-    impact = F.when(gap == "weak", 0.5).when(gap == "adjacent", F.when(required, 0.7).otherwise(0.3)).when(gap == "true", F.when(required, 0.9).otherwise(0.2))
-    effort = F.when(gap == "weak", "Low").when(gap == "adjacent", "Medium").when(gap == "true", "High")
-    return all_.select("entity", "spec", "term", gap.alias("gap"), impact.alias("impact"), effort.alias("effort")).where("gap <> 'none'")
+def covered_terms(requirements: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(entity, term, seq, text) of the first evidence(entity, seq, text) that holds each term; case is ignored."""
+    terms = requirements.select("term").distinct()
+    met = mentioned(terms, evidence.select("text")).withColumnRenamed("text", "low").join(terms, F.col("phrase") == F.lower("term"))
+    first = evidence.withColumn("low", F.lower("text")).join(met.select("term", "low"), "low").groupBy("entity", "term").agg(F.min(F.struct("seq", "text")).alias("b"))
+    return first.select("entity", "term", "b.seq", "b.text")
+
+
+def coverage_report(covered: DataFrame, specs: DataFrame) -> DataFrame:
+    """Per pair of classes: terms covered, percent (truncated), required gaps, and what an alignment check would find.
+
+    Missing preferred terms are reported up to five, in order of their names.
+    """
+    sets = entity_sets(covered.withColumn("strength", F.lit(1.0)), specs)
+    c = coverage(sets, specs)
+    missing = lambda level: F.transform(F.filter("needs", lambda x: (x["importance"] == level) & ~F.array_contains("have", x["term"])), lambda x: x["term"])
+    return c.select(
+        "entity_class", "n_entities", "spec_class", "n_specs", "matched", F.expr("cast(100 * matched div size(needs) as long)").alias("percent"), missing(0).alias("required_gaps"),
+        F.slice(missing(1), 1, 5).alias("preferred_missing"),
+    )
+
+
+def discover_evidence(skills: DataFrame, texts: DataFrame) -> DataFrame:
+    """(entity, skill, text, confidence 0.85) of known skills of two letters or more named in texts(entity, text)."""
+    names = skills.select("skill").where(F.length("skill") >= 2).distinct()
+    met = mentioned(names, texts.select("text")).withColumnRenamed("text", "low").join(names, F.col("phrase") == F.lower("skill"))
+    return texts.select("entity", "text", F.lower("text").alias("low")).distinct().join(met.select("skill", "low"), "low").select("entity", "skill", "text", F.lit(0.85).alias("confidence"))
+
+
+def title_reflected(title: Column, summary: Column) -> Column:
+    """Whether a word of over three letters of the title is in the summary."""
+    return F.exists(F.split(F.lower(title), " "), lambda w: (F.length(w) > 3) & F.lower(summary).contains(w))
+
+
+def gap_sets(best: DataFrame, adjacent: DataFrame, specs: DataFrame, weak: float = 0.4) -> DataFrame:
+    """(terms_id, states, n_entities): entities with a match, by the state of every term they have or are near to."""
+    asked = specs.where(F.col("spec") == F.col("terms_id")).select("terms_id", F.explode("terms").alias("term"))
+    state = F.when(F.round("strength", 6) >= weak, "none").otherwise("weak")
+    own = best.select("entity", "term", state.alias("state"), F.lit(1).alias("has"))
+    near = adjacent.select("entity", "term").distinct().join(best.select("entity", "term"), ["entity", "term"], "left_anti").select("entity", "term", F.lit("adjacent").alias("state"), F.lit(0).alias("has"))
+    rows = own.unionByName(near).join(asked, "term").groupBy("entity", "terms_id").agg(F.array_sort(F.collect_set(F.struct("term", "state"))).alias("states"), F.max("has").alias("has"))
+    return rows.where("has = 1").groupBy("terms_id", "states").agg(F.count("*").alias("n_entities"))
+
+
+def career_gaps(states: DataFrame, specs: DataFrame) -> DataFrame:
+    """(spec, term, gap, impact, effort, n): how many entities have each gap of each spec they match at all."""
+    s = specs.where(F.col("spec") == F.col("spec_class")).select("terms_id", "spec_class", F.explode("needs").alias("need"))
+    of = lambda c: F.get(F.filter("states", lambda x: x["term"] == F.col("need.term")), 0)["state"]
+    x = states.join(s, "terms_id").select("spec_class", "need", "n_entities", F.coalesce(of("states"), F.lit("true")).alias("gap")).where("gap <> 'none'")
+    x = x.groupBy("spec_class", F.col("need.term").alias("term"), F.col("need.importance").alias("importance"), "gap").agg(F.sum("n_entities").alias("n"))
+    gap, required = F.col("gap"), F.col("importance") == 0
+    impact = F.when(gap == "weak", 0.5).when(gap == "adjacent", F.when(required, 0.7).otherwise(0.3)).otherwise(F.when(required, 0.9).otherwise(0.2))
+    effort = F.when(gap == "weak", "Low").when(gap == "adjacent", "Medium").otherwise("High")
+    return specs.select("spec", "spec_class").join(x, "spec_class").select("spec", "term", "gap", impact.alias("impact"), effort.alias("effort"), "n")
+
+
+def actions_to_fit(states: DataFrame, specs: DataFrame) -> DataFrame:
+    """(spec, actions, n_entities): required terms that are true or adjacent gaps, and how many entities have that many."""
+    s = specs.where(F.col("spec") == F.col("spec_class")).select("terms_id", "spec_class", "needs")
+    have = F.transform(F.filter("states", lambda x: x["state"] != "adjacent"), lambda x: x["term"])
+    x = states.join(s, "terms_id").withColumn("have", have)
+    open_ = F.size(F.filter("needs", lambda n: (n["importance"] == 0) & ~F.array_contains("have", n["term"]))).cast("long")
+    x = x.groupBy("spec_class", open_.alias("actions")).agg(F.sum("n_entities").alias("n_entities"))
+    return specs.select("spec", "spec_class").join(x, "spec_class").drop("spec_class")
+
+
+def squeezed_company(name: Column) -> Column:
+    """Lower-cased name without blanks, commas, dots and legal forms, as domains spell it."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), "[ ,.]", ""), "inc|ltd|llc|corp", "")
 
 
 def mail_match(mails: DataFrame, applications: DataFrame) -> DataFrame:
-    """Best application of each mail: recruiter address 1.0, else company domain 0.6 + title 0.3 + company in text 0.2; at least 0.5.
+    """Best application of each mail: recruiter address 1.0, else domain 0.6 + title in subject 0.3 + company in text 0.2; at least 0.5.
 
-    Candidates meet on the recruiter address or on the sending domain's first label, never by a cross join.
+    The first label of the sender's domain and the squeezed company meet by containment either way.  Three
+    hash joins bring candidates: recruiter, label, and company names found in the text (with the title in
+    the subject).  Applications of the same recruiter, company and title are one, by their smallest id.
     """
-    m = mails.withColumn("label", F.element_at(F.split(F.lower(F.substring_index("sender", "@", -1)), r"\."), -2))
-    a = applications.withColumn("label", F.regexp_replace(F.regexp_replace(F.lower("company"), r"\b(inc|ltd|llc|corp)\b\.?", ""), "[^a-z0-9]", "")).where("label <> ''")
-    exact = m.join(a.where("recruiter is not null").drop("label"), F.lower("sender") == F.lower("recruiter")).withColumn("score", F.lit(1.0))
-    text = F.lower(F.concat_ws(" ", "subject", "body"))
-    score = 0.6 + F.when(F.lower("subject").contains(F.lower("title")), 0.3).otherwise(0.0) + F.when(text.contains(F.lower("company")), 0.2).otherwise(0.0)
-    near = m.join(a, "label").withColumn("score", F.least(F.lit(1.0), score))
-    both = exact.select("message_id", "application_id", "score").unionByName(near.select("message_id", "application_id", "score"))
-    best = both.where(F.col("score") >= 0.5).groupBy("message_id").agg(F.max_by(F.struct("application_id", "score"), F.struct("score", -F.col("application_id"))).alias("b"))
-    return best.select("message_id", "b.application_id", "b.score")
+    m = mails.select("message_id", F.lower("sender").alias("sender"), F.lower("subject").alias("subject"), F.lower("body").alias("body"))
+    m = m.withColumn("label", F.when(F.instr("sender", "@") > 0, F.element_at(F.split(F.expr("substring(sender, instr(sender, '@') + 1)"), "[.]"), 1)))
+    a = applications.groupBy(F.lower("recruiter").alias("recruiter"), F.lower("company").alias("company"), F.lower("title").alias("title")).agg(F.min("application_id").alias("application_id"))
+    a = a.withColumn("squeezed", squeezed_company(F.col("company")))
+    labels, names = m.select("label"), a.select("squeezed")
+    pairs = contained(labels, names).select(F.col("part").alias("label"), F.col("whole").alias("squeezed"))
+    pairs = pairs.unionByName(contained(names, labels).select(F.col("whole").alias("label"), F.col("part").alias("squeezed"))).distinct().withColumn("domain", F.lit(True))
+    title = F.coalesce((F.col("title") != "") & F.col("subject").contains(F.col("title")), F.lit(False))
+    named = F.coalesce((F.col("company") != "") & (F.col("subject").contains(F.col("company")) | F.col("body").contains(F.col("company"))), F.lit(False))
+    points = lambda c, x: F.when(c, x).otherwise(0.0)
+    exact = m.join(a.where("recruiter <> ''"), F.col("sender") == F.col("recruiter")).select("message_id", "application_id", F.lit(1.0).alias("score"))
+    other = ~F.coalesce((F.col("recruiter") != "") & (F.col("sender") == F.col("recruiter")), F.lit(False))
+    domain = m.join(pairs, "label").join(a, "squeezed").where(other).select("message_id", "application_id", (0.6 + points(title, 0.3) + points(named, 0.2)).alias("score"))
+    texts = m.select("message_id", F.explode(F.array("subject", "body")).alias("text"))
+    told = mentioned(a.select("company"), texts.select("text")).join(texts, "text").select("message_id", F.col("phrase").alias("company")).distinct()
+    by_text = told.join(m, "message_id").join(a, "company").where(other & title & named).select("message_id", "application_id", F.lit(0.5).alias("score"))
+    both = exact.unionByName(domain).unionByName(by_text)
+    best = both.groupBy("message_id").agg(F.max_by(F.struct("application_id", "score"), F.struct(F.round("score", 6).alias("s"), -F.col("application_id"))).alias("b"))
+    return best.select("message_id", "b.application_id", "b.score").where(F.round("score", 6) >= 0.5)

@@ -61,12 +61,22 @@ def sections(docs: DataFrame, id_col: str, heading: Column) -> DataFrame:
     return lines.withColumn("section", F.last(F.when(heading, F.col("line")), ignorenulls=True).over(w))
 
 
-def dictionary_scan(docs: DataFrame, id_col: str, terms: DataFrame) -> DataFrame:
-    """Occurrences of one-word and two-word dictionary terms in each text, by equality on tokens and bigrams."""
-    w = docs.select(id_col, T.words(F.coalesce("text", F.lit(""))).alias("w"))
+def dictionary_scan(docs: DataFrame, id_col: str, terms: DataFrame, inline: int = 5000) -> DataFrame:
+    """Occurrences of one-word and two-word dictionary terms(term) in each text, c#, c++ and .net among them; case is ignored.
+
+    A dictionary of up to ``inline`` terms filters the tokens inside the array, so that only hits become
+    rows; a larger one meets all tokens in a join, with the same result.
+    """
+    t = T.term_tokens(F.coalesce("text", F.lit("")))
+    bare = F.transform(t, lambda x: F.ltrim(x, F.lit(".")))
+    w = docs.select(id_col, F.filter(t, lambda x: x.startswith(".")).alias("dotted"), bare.alias("w"))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    tokens = w.select(id_col, F.explode(F.concat("w", pairs)).alias("term"))
-    return tokens.join(terms, "term").groupBy(id_col, "term").agg(F.count("*").alias("n"))
+    known = terms.select(F.lower("term").alias("term")).distinct()
+    few = [r["term"] for r in known.limit(inline + 1).collect()]
+    tokens = F.concat("dotted", "w", pairs)
+    if len(few) <= inline:
+        return w.select(id_col, F.explode(F.filter(tokens, lambda x: x.isin(few))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("n"))
+    return w.select(id_col, F.explode(tokens).alias("term")).join(known, "term").groupBy(id_col, "term").agg(F.count("*").alias("n"))
 
 
 def language_by_keywords(text: Column, lists: dict[str, tuple[str, ...]], least: int = 2, default: str = "en") -> Column:
@@ -105,3 +115,51 @@ def mentions(docs: DataFrame, id_col: str, patterns: dict[str, tuple[str, int]])
             hits = F.filter(hits, lambda m: F.length(F.regexp_replace(m, "[^0-9]", "")) >= least)  # noqa: B023
         found.append(F.struct(F.lit(kind).alias("kind"), F.size(hits).cast("long").alias("n"), F.size(F.array_distinct(hits)).cast("long").alias("different")))
     return docs.select(id_col, F.explode(F.array(*found)).alias("m")).select(id_col, "m.*").where("n > 0")
+
+
+#: Group of a finding by what its code contains, in order.
+FINDING_GROUPS = [
+    ("Achievements", ("bullet", "metric", "verb", "achievement", "quantity")),
+    ("Sections", ("section", "missing")),
+    ("Length", ("format", "length", "long", "short")),
+    ("Contact", ("contact", "email", "phone")),
+    ("Education", ("grad", "edu")),
+]
+
+
+def synthesis(found: DataFrame, id_col: str) -> DataFrame:
+    """Findings(id, category, code, severity) in groups of advice: (id, group, errors, warnings, affected, important, rank).
+
+    Groups of mere notes are left out; groups with an error come first, then the larger.
+    """
+    group = T.first_match(F.lower("code"), FINDING_GROUPS, "Other")
+    group = F.when((group == "Length") & F.lower("category").contains("format"), "Formatting").otherwise(group)
+    g = found.groupBy(id_col, group.alias("group")).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.count("*").alias("affected"))
+    g = g.where(F.col("errors") + F.col("warnings") > 0).withColumn("important", F.col("errors") > 0)
+    w = Window.partitionBy(id_col).orderBy(F.desc("important"), F.desc("affected"), "group")
+    return g.withColumn("rank", F.row_number().over(w))
+
+
+#: Strong and weak first words of an achievement, buzzwords.
+STRONG_VERBS = ("built", "led", "designed", "delivered", "drove", "launched", "reduced", "increased", "created", "improved", "managed", "developed")
+WEAK_STARTS = ("helped", "assisted", "worked", "responsible", "participated", "involved")
+BUZZWORDS = ("synergy", "go-getter", "team player", "think outside the box", "results-driven", "self-starter")
+
+
+def lint_bullets(bullets: DataFrame, keys: list[str], strong: tuple[str, ...] = STRONG_VERBS, weak: tuple[str, ...] = WEAK_STARTS, buzz: tuple[str, ...] = BUZZWORDS, fillers: tuple[str, ...] = T.FILLERS) -> DataFrame:
+    """Findings (keys, code, severity, n) of bullets(keys, text): opening verb, quantity, pronoun, buzzwords, fillers, length."""
+    t, low = F.trim("text"), F.lower(F.trim("text"))
+    words = F.filter(F.split(t, " "), lambda x: x != "")
+    first = F.rtrim(F.lower(F.coalesce(F.get(words, 0), F.lit(""))), F.lit(".,;:"))
+    n = F.size(words)
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    padded = F.concat(F.lit(" "), F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    count = lambda x, inside: sum((one(inside.contains(w)) for w in x), F.lit(0))
+    rules = [
+        ("WEAK_VERB", "warning", one(first.isin(*weak))), ("UNRECOGNISED_VERB", "info", one(~first.isin(*weak) & ~first.isin(*strong))),
+        ("MISSING_QUANTITY", "warning", one(~t.rlike("[0-9]"))), ("PRONOUN", "error", one(padded.rlike(" (i|we|my|our|me) "))),
+        ("BUZZWORD", "warning", count(buzz, low)), ("FILLER_WORD", "info", count([f" {f} " for f in fillers], padded)),
+        ("BULLET_TOO_SHORT", "warning", one(n < 8)), ("BULLET_TOO_LONG", "info", one(n > 35)),
+    ]
+    hits = F.filter(F.array(*[F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"), x.cast("long").alias("n")) for c, s, x in rules]), lambda x: x["n"] > 0)
+    return bullets.select(*keys, F.explode(hits).alias("f")).select(*keys, "f.*")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
@@ -49,19 +53,33 @@ def pair_statistics(vectors: DataFrame, group: str) -> DataFrame:
     """Pairs, mean and population deviation of the dot products within each group, without forming pairs.
 
     The sum over pairs comes from the vector of sums and the sum of squares from the matrix of second
-    moments, both sized by the dimension alone.
+    moments.  Every partition adds up both in numpy; what is shuffled is sized by the dimension, the
+    partitions and the groups they hold, not by the rows.
     """
-    x = vectors.select(group, "id", F.posexplode("v").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    n = vectors.groupBy(group).agg(F.count("*").alias("n"))
-    one = x.groupBy(group, "i").agg(F.sum("x").alias("s")).groupBy(group).agg(F.sum(F.col("s") * F.col("s")).alias("s2"))
-    norms = x.groupBy(group, "id").agg(F.sum(F.col("x") * F.col("x")).alias("d")).groupBy(group).agg(F.sum("d").alias("d1"), F.sum(F.col("d") * F.col("d")).alias("d2"))
-    wide = vectors.select(group, F.posexplode("v").alias("i", "a"), "v").select(group, "i", "a", F.posexplode("v").alias("j", "b"))
-    second = wide.groupBy(group, "i", "j").agg(F.sum(F.col("a").cast("double") * F.col("b")).alias("m")).groupBy(group).agg(F.sum(F.col("m") * F.col("m")).alias("m2"))
-    j = n.join(one, group).join(norms, group).join(second, group)
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for g, own in b.groupby("g"):
+                x = np.stack(own["v"].tolist()).astype(float)
+                d = (x * x).sum(1)
+                parts = [("n", [float(len(x))]), ("s", x.sum(0)), ("m", (x.T @ x).ravel()), ("d1", [d.sum()]), ("d2", [(d * d).sum()])]
+                yield pd.concat([pd.DataFrame({"g": g, "kind": k, "at": np.arange(len(a)), "x": a}) for k, a in parts])
+
+    kind = vectors.schema[group].dataType.simpleString()
+    sums = vectors.select(F.col(group).alias("g"), "v").mapInPandas(moments, f"g {kind}, kind string, at long, x double").groupBy("g", "kind", "at").agg(F.sum("x").alias("x"))
+    of = lambda k, c: F.sum(F.when(F.col("kind") == k, c))
+    square = F.col("x") * F.col("x")
+    j = sums.groupBy(F.col("g").alias(group)).agg(of("n", F.col("x")).alias("n"), of("s", square).alias("s2"), of("m", square).alias("m2"), of("d1", F.col("x")).alias("d1"), of("d2", F.col("x")).alias("d2"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     mean = (F.col("s2") - F.col("d1")) / 2 / pairs
-    square = (F.col("m2") - F.col("d2")) / 2 / pairs
-    return j.where("n > 1").select(group, pairs.cast("long").alias("pairs"), mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("stddev"))
+    variance = (F.col("m2") - F.col("d2")) / 2 / pairs - mean * mean
+    return j.where("n > 1").select(group, pairs.cast("long").alias("pairs"), mean.alias("mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("stddev"))
+
+
+def variance_score(mean: Column, stddev: Column) -> Column:
+    """0..100 of how alike texts are: the mean similarity from 0.3 on, and more where the similarities vary little."""
+    base = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (mean - 0.3) / 0.5)) * 100
+    return F.least(F.lit(100.0), base + F.when(stddev < 0.08, 20).when(stddev < 0.12, 10).otherwise(0))
 
 
 def similar_within(vectors: DataFrame, group: str, threshold: float) -> DataFrame:

@@ -17,15 +17,23 @@ MAIL_RULES = (
 )
 
 
-def ordered(group: list[str], df: DataFrame, *values: str) -> DataFrame:
-    """Events of each group as one array in (ts, seq) order; a group is one person's or application's log."""
-    return df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", *values))).alias("log"))
+def _by_day(df: DataFrame, key: list[str], *values: str) -> DataFrame:
+    """Events of each key and day as one array in (ts, seq) order; days are folded first, so no array holds a whole log."""
+    return df.groupBy(*key, F.to_date("ts").alias("_day")).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", *values))).alias("log"))
 
 
 def vote_fold(votes: DataFrame, key: list[str], least: int = -5, most: int = 5) -> DataFrame:
-    """Running sum of +1 / -1 clamped at every step."""
-    step = lambda s, x: F.greatest(F.lit(least), F.least(F.lit(most), s + x["delta"]))
-    return ordered(key, votes, "delta").select(*key, F.aggregate("log", F.lit(0), step).alias("score"))
+    """Running sum of +1 / -1 clamped at every step.
+
+    A run of clamped steps is itself a shift between two limits, so each day becomes one such
+    step (shift, low, high), and the days of a key are applied in order.
+    """
+    clamp = lambda x: F.greatest(F.lit(least), F.least(F.lit(most), x))
+    whole = F.struct(F.lit(0).alias("shift"), F.lit(-(1 << 30)).alias("low"), F.lit(1 << 30).alias("high"))
+    step = lambda s, x: F.struct((s["shift"] + x["delta"]).alias("shift"), clamp(s["low"] + x["delta"]).alias("low"), clamp(s["high"] + x["delta"]).alias("high"))
+    days = _by_day(votes, key, "delta").select(*key, F.struct("_day", F.aggregate("log", whole, step).alias("f")).alias("d"))
+    apply = lambda x, d: F.least(d["f"]["high"], F.greatest(d["f"]["low"], x + d["f"]["shift"]))
+    return days.groupBy(*key).agg(F.array_sort(F.collect_list("d")).alias("days")).select(*key, F.aggregate("days", F.lit(0), apply).alias("score"))
 
 
 def auto_filter(scores: DataFrame, at: int = -3) -> DataFrame:
@@ -38,13 +46,19 @@ def stage_step(stage: Column, to: Column) -> Column:
     return F.when(stage.isin(*TERMINAL) | (to == 5) | (to <= stage), stage).otherwise(to)
 
 
-def stage_fold(events: DataFrame, key: list[str]) -> DataFrame:
-    """Final stage, time of the first Applied or later event and last activity of each application."""
-    state = ordered(key, events, "to_stage")
-    return state.select(
-        *key, F.aggregate("log", F.lit(0), lambda s, x: stage_step(s, x["to_stage"])).alias("stage"),
-        F.get(F.filter("log", lambda x: x["to_stage"] >= 1), 0)["ts"].alias("applied_at"), F.element_at("log", -1)["ts"].alias("last_activity"), F.size("log").cast("long").alias("n_events"),
+def stage_fold(events: DataFrame, key: list[str], stages: int = 9) -> DataFrame:
+    """Final stage, time of the first Applied or later event and last activity of each application.
+
+    The events of a day become one map from stage to stage; the maps of an application are applied in order.
+    """
+    same = F.array(*map(F.lit, range(stages)))
+    fold = F.aggregate("log", same, lambda m, x: F.transform(m, lambda s: stage_step(s, x["to_stage"])))
+    days = _by_day(events, key, "to_stage").select(
+        *key, F.struct("_day", fold.alias("map")).alias("d"), F.get(F.filter("log", lambda x: x["to_stage"] >= 1), 0)["ts"].alias("applied_at"),
+        F.element_at("log", -1)["ts"].alias("last_activity"), F.size("log").alias("n_events"),
     )
+    whole = days.groupBy(*key).agg(F.array_sort(F.collect_list("d")).alias("days"), F.min("applied_at").alias("applied_at"), F.max("last_activity").alias("last_activity"), F.sum("n_events").cast("long").alias("n_events"))
+    return whole.select(*key, F.aggregate("days", F.lit(0), lambda s, d: F.get(d["map"], s)).alias("stage"), "applied_at", "last_activity", "n_events")
 
 
 def funnel(applications: DataFrame) -> DataFrame:
@@ -85,3 +99,11 @@ def classify_mail(text: Column) -> Column:
             hit = hit | text.contains(m)
         out = F.when(hit, F.struct(F.lit(label).alias("label"), F.lit(confidence).alias("confidence"))).otherwise(out)
     return out
+
+
+def notifications(found: DataFrame, k: int = 3) -> DataFrame:
+    """Per watch of found(watch, job_id, score, title): how many jobs are new, and the titles of the k best in order."""
+    w = Window.partitionBy("watch").orderBy(F.desc("score"), "job_id")
+    top = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).groupBy("watch").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("t"))
+    n = found.groupBy("watch").agg(F.count("*").alias("n"))
+    return n.join(top, "watch").select("watch", "n", F.array_join(F.transform("t", lambda x: x["title"]), "; ").alias("top"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "2002-01-01"
@@ -24,14 +24,42 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _noun() -> Column:
+    return F.element_at(F.split("p_name", " "), -1)
+
+
 def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a (spec, term): the most important of its mentions (0 required, 1 preferred, 2 inferred)."""
+    """One row a (spec, term): the most important of its mentions (0 required, 1 preferred, 2 inferred).
+
+    Specs spell a part in one of four ways: in capitals, as two words of which one is no skill, as a
+    longer phrase around a skill, or by an alias.
+    """
     rank = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    term = F.element_at(F.split("p_name", " "), -1)
+    kind, noun = F.col("l_suppkey") % 4, _noun()
+    term = F.when(kind == 0, F.upper(noun)).when(kind == 1, F.concat(noun, F.lit(" assembly"))).when(kind == 2, F.concat(F.lit("Red "), F.upper(noun), F.lit(" design"))).otherwise(F.reverse(noun))
     return lines.groupBy(F.col("l_suppkey").alias("spec"), term.alias("term")).agg(F.min(rank).alias("importance"))
 
 
+def synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases of skills: a part's noun backwards stands for its red kind."""
+    return table(spark, sf_dir, "part").select(F.initcap(F.reverse(_noun())).alias("alias"), F.concat(F.lit("red "), _noun()).alias("canonical")).distinct()
+
+
+def achievements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an entity did, in order: entity, seq, text."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    text = F.concat("p_name", F.when(F.col("p_size") > 40, " Assembly line").when(F.col("p_size") % 7 == 0, " design").otherwise(" job"))
+    return lines.select(F.col("o_custkey").alias("entity"), (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), text.alias("text"))
+
+
+def adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity, term) where the entity has a skill of the category the term is first met in."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    home = requirements(spark, sf_dir).select("term").distinct().join(lines.groupBy(_noun().alias("noun")).agg(F.min("p_type").alias("category")), F.lower("term").contains(F.col("noun")))
+    return evidence(spark, sf_dir).select("entity", "category").distinct().join(home.select("term", "category"), "category").select("entity", "term")
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job postings: id, company, title, salary, tri-state remote, created, fetched order and skills of the order's lines."""
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))

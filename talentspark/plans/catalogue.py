@@ -12,7 +12,7 @@ from ..functions.vectors import norm
 from ..operators import dedup, filters, graph, ledger, matching, quality, search, tracking
 from ..operators.filters import Leaf, Node
 from . import oracles
-from .bindings import AS_OF, application_events, evidence, posting_skills, postings, requirements, table, votes
+from .bindings import AS_OF, achievements, adjacent, application_events, evidence, posting_skills, postings, requirements, synonyms, table, votes
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -134,7 +134,7 @@ LISTS = frozenset({"skills"})
 @query
 def filter_tree_all_any_not(s, d):
     tree = Node("All", [
-        Node("Any", [Leaf("location", "In", ["FRANCE", "germany", "CHINA"]), Leaf("salary", "GreaterThan", 300000)]),
+        Node("Any", [Leaf("location", "In", ["NATION_3", "nation_7", "Nation_11"]), Leaf("salary", "GreaterThan", 300000)]),
         Node("Not", [Leaf("title", "Contains", "urgent")]), Leaf("work_model", "NotEqual", "Remote"),
     ])
     return postings(s, d).where(filters.compile_filter(tree, _fields(), LISTS)).select("job_id", "company", "title")
@@ -143,9 +143,10 @@ def filter_tree_all_any_not(s, d):
 @query
 def filter_leaf_ops(s, d):
     leaves = {
-        "eq": Leaf("location", "Equal", "france"), "ne": Leaf("location", "NotEqual", "FRANCE"), "gt": Leaf("salary", "GreaterThan", 150000), "ge": Leaf("salary", "GreaterThanOrEqual", "150000"),
-        "lt": Leaf("salary", "LessThan", 50000), "le": Leaf("salary", "LessThanOrEqual", 50000), "in_": Leaf("skills", "In", ["BUILDING", "france"]), "not_in": Leaf("skills", "NotIn", ["machinery"]),
+        "eq": Leaf("location", "Equal", "nation_3"), "ne": Leaf("location", "NotEqual", "Nation_3"), "gt": Leaf("salary", "GreaterThan", 150000), "ge": Leaf("salary", "GreaterThanOrEqual", "150000"),
+        "lt": Leaf("salary", "LessThan", 50000), "le": Leaf("salary", "LessThanOrEqual", 50000), "in_": Leaf("skills", "In", ["BUILDING", "nation_3"]), "not_in": Leaf("skills", "NotIn", ["machinery"]),
         "between": Leaf("salary", "Between", 50000, 100000), "is_true": Leaf("is_remote", "IsTrue"), "is_false": Leaf("is_remote", "IsFalse"), "contains": Leaf("title", "Contains", "HIGH"),
+        "number_true": Leaf("salary", "IsTrue"), "text_false": Leaf("title", "IsFalse"),
     }
     return postings(s, d).agg(*[F.count_if(filters.compile_filter(x, _fields(), LISTS)).alias(k) for k, x in leaves.items()])
 
@@ -163,7 +164,7 @@ def filter_null_semantics(s, d):
 
 @query
 def hard_filter(s, d):
-    jobs = filters.hard_filter(postings(s, d), AS_OF, min_salary=100000, remote_only=True, max_age_days=2000, excluded_companies=("building france",), locations=("an", "in"))
+    jobs = filters.hard_filter(postings(s, d), AS_OF, min_salary=100000, remote_only=True, max_age_days=2000, excluded_companies=("Building Nation_1",), locations=("nation_1", "NATION_2"))
     return jobs.select("job_id", "company", F.round("salary", 2).alias("salary"))
 
 
@@ -216,25 +217,58 @@ def anonymise_projection(s, d):
 # --- matching --------------------------------------------------------------------------------------------------------
 
 
-def _matches(s, d):
-    return matching.tiered_match(_ledger(s, d), requirements(s, d))
+def _best(s, d):
+    return matching.best_entries(_ledger(s, d), requirements(s, d), synonyms(s, d), achievements(s, d))
+
+
+def _sets(s, d):
+    specs = matching.spec_classes(requirements(s, d))
+    return matching.entity_sets(_best(s, d), specs), specs
+
+
+@query
+def tiered_match_best(s, d):
+    return _best(s, d).select("entity", "term", "skill", *r6("strength", "similarity"))
 
 
 @query
 def tiered_match_coverage(s, d):
-    x = matching.coverage(_matches(s, d), requirements(s, d))
-    return x.select("entity", "spec", "got_required", "got_preferred", "matched", *r6("required_coverage", "preferred_coverage", "fit", "mean_strength"))
+    """Pairs of classes; ``match_classes`` says who is in them."""
+    x = matching.coverage(*_sets(s, d))
+    return x.select("entity_class", "n_entities", "spec_class", "n_specs", "got_required", "got_preferred", "matched", *r6("required_coverage", "preferred_coverage", "fit", "mean_strength"))
 
 
 @query
-def tiered_match_best(s, d):
-    return matching.best_entries(_ledger(s, d), requirements(s, d)).select("entity", "term", "skill", *r6("strength", "similarity"))
+def match_classes(s, d):
+    return matching.members(_sets(s, d)[0])
+
+
+@query
+def spec_classes(s, d):
+    return matching.spec_classes(requirements(s, d)).select("spec", "terms_id", "spec_class", "n_specs")
 
 
 @query
 def rank_entities_for_spec(s, d):
-    x = matching.rank(matching.coverage(_matches(s, d), requirements(s, d)), 10)
-    return x.select("spec", "rank", "entity", *r6("fit", "mean_strength"))
+    return matching.rank(*_sets(s, d), 10).select("spec", "rank", "entity", *r6("fit", "mean_strength"))
+
+
+@query
+def coverage_requirements(s, d):
+    covered = matching.covered_terms(requirements(s, d), achievements(s, d))
+    return covered.select("entity", "term", "seq", "text")
+
+
+@query
+def coverage_report(s, d):
+    x = matching.coverage_report(matching.covered_terms(requirements(s, d), achievements(s, d)), matching.spec_classes(requirements(s, d)))
+    return x.select("entity_class", "n_entities", "spec_class", "n_specs", "matched", "percent", F.array_join("required_gaps", ",").alias("required_gaps"), F.array_join("preferred_missing", ",").alias("preferred_missing"))
+
+
+@query
+def evidence_discovery(s, d):
+    skills = table(s, d, "part").select(F.initcap("p_name").alias("skill")).distinct()
+    return matching.discover_evidence(skills, achievements(s, d)).select("entity", "skill", "text", "confidence")
 
 
 def _vectors(s, d):
@@ -243,18 +277,16 @@ def _vectors(s, d):
 
 @query
 def tiered_match_semantic(s, d):
-    from ..functions.vectors import dot
-
     v = _vectors(s, d)
-    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "group")
-    pool = v.select(F.col("id").alias("candidate_id"), "v", "group")
-    x = matching.semantic_match(q, pool, dot(F.col("q"), F.col("v")), 0.30, ["group"], F.col("query_id") != F.col("candidate_id"))
-    return x.select("query_id", "candidate_id", F.round("similarity", 6).alias("similarity"), "matched")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    best = search.knn_blocks(q, v, 1).select("query_id", F.col("id").alias("candidate_id"), "similarity")
+    x = q.select("query_id").join(best, "query_id", "left")
+    return x.select("query_id", "candidate_id", F.round("similarity", 6).alias("similarity"), F.coalesce(F.col("similarity") >= 0.30, F.lit(False)).alias("matched"))
 
 
 @query
 def simple_match_votes(s, d):
-    have, avoid = ["red gear", "blue gear", "small widget", "hot bolt"], ["large widget"]
+    have, avoid = ["Red Gear", "BLUE gear", "small widget", "hot bolt"], ["Large Widget"]
     j = postings(s, d).join(posting_skills(s, d), "job_id")
     score = tracking.vote_fold(votes(s, d), ["profile"])
     bonus = j.join(score, F.col("source_id") == F.col("profile"), "left").withColumn("bonus", F.coalesce("score", F.lit(0))).drop("score")
@@ -271,27 +303,42 @@ def archetype_match(s, d):
 
 @query
 def coverage_keyword_overlap(s, d):
-    words = lambda c: F.array_distinct(T.words(F.coalesce(c, F.lit("")), 6))
-    needs = table(s, d, "benchmark").select(F.col("item_id").alias("need"), words(F.col("text")).alias("keywords"))
-    offers = table(s, d, "documents").select(F.col("doc_id").alias("offer"), words(F.col("text")).alias("keywords"))
+    needs = table(s, d, "benchmark").select(F.col("item_id").alias("need"), matching.keywords(F.coalesce("text", F.lit(""))).alias("keywords"))
+    offers = table(s, d, "documents").select(F.col("doc_id").alias("offer"), F.coalesce("text", F.lit("")).alias("text"))
     return matching.keyword_overlap(needs, offers).select("need", "offer", "overlap", F.round("score", 6).alias("score"))
 
 
+def _gap_sets(s, d):
+    specs = matching.spec_classes(requirements(s, d))
+    return matching.gap_sets(_best(s, d), adjacent(s, d), specs), specs
+
+
 @query
 def career_gaps(s, d):
-    m = _matches(s, d)
-    req = requirements(s, d)
-    near = evidence(s, d).select("entity", F.element_at(F.split("skill", " "), 1).alias("term")).distinct()
-    return matching.career_gaps(req, m.withColumn("strength", F.round("strength", 6)), near).groupBy("spec", "gap", "impact", "effort").agg(F.count("*").alias("n"))
+    return matching.career_gaps(*_gap_sets(s, d)).groupBy("spec", "gap", "impact", "effort").agg(F.sum("n").alias("n"))
+
+
+@query
+def career_actions(s, d):
+    return matching.actions_to_fit(*_gap_sets(s, d))
 
 
 @query
 def email_app_match_score(s, d):
-    apps = table(s, d, "customer").select(F.col("c_custkey").alias("application_id"), F.concat(F.translate("c_name", "#", "-"), F.lit(" Ltd")).alias("company"), F.col("c_mktsegment").alias("title"), F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("hr"), F.col("c_custkey"), F.lit("@agency.example"))).alias("recruiter"))
-    mails = table(s, d, "customer").select(
-        F.col("c_custkey").alias("message_id"), F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("HR"), F.col("c_custkey"), F.lit("@agency.example"))).otherwise(F.concat(F.lit("jobs@"), F.regexp_replace(F.lower("c_name"), "[^a-z0-9]", ""), F.lit(".com"))).alias("sender"),
-        F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("About "), F.col("c_mktsegment"))).otherwise("Hello").alias("subject"), F.lit("body").alias("body"),
-    )
+    """Mails that need each way to their application, and mails that have none."""
+    c, key = table(s, d, "customer"), F.col("c_custkey")
+    name = F.translate("c_name", "#", "-")
+    apps = c.select(key.alias("application_id"), F.concat(name, F.lit(", Ltd.")).alias("company"), F.col("c_mktsegment").alias("title"), F.when(key % 6 == 4, F.concat(F.lit("hr"), key, F.lit("@agency.example"))).alias("recruiter"))
+    way = [
+        (0, F.concat(F.lit("jobs@"), F.lower(name), F.lit(".co.uk"))), (1, F.concat(F.lit("x@team-"), F.lower(name), F.lit("-mail.com"))), (2, F.concat(F.lit("me@"), F.substring(F.lower(name), 4, 40), F.lit(".org"))),
+        (4, F.concat(F.lit("HR"), key, F.lit("@Agency.example"))),
+    ]
+    sender = F.lit("info@hosting.example")
+    for k, address in way:
+        sender = F.when(key % 6 == k, address).otherwise(sender)
+    subject = F.when((key % 6 == 3) | (key % 5 == 0), F.concat(F.lit("About "), F.lower("c_mktsegment"))).otherwise("Hello")
+    body = F.when((key % 6 == 3) | (key % 7 == 0), F.concat(F.lit("we at "), F.upper(name), F.lit(", ltd. write"))).otherwise("body")
+    mails = c.select(key.alias("message_id"), sender.alias("sender"), subject.alias("subject"), body.alias("body"))
     return matching.mail_match(mails, apps).select("message_id", "application_id", F.round("score", 6).alias("score"))
 
 
@@ -338,12 +385,52 @@ def url_dedup_first(s, d):
 
 @query
 def hoover_reposts(s, d):
-    return dedup.reposts(postings(s, d)).select("company", "title", "posts", "nearest_days", "likely")
+    word = F.get(F.split("title", "-"), 1)
+    title = F.concat(F.when(F.col("job_id") % 3 == 0, "Senior ").otherwise(""), F.initcap(word), F.lit(" Data Engineer Platform"), F.when(F.col("job_id") % 2 == 0, " Team").otherwise(""))
+    company = F.when(F.col("job_id") % 2 == 0, F.lower("company")).otherwise(F.col("company"))
+    return dedup.reposts(postings(s, d).withColumn("title", title).withColumn("company", company)).select("job_id", "company", "title", "posts", "days", "likely")
+
+
+@query
+def merged_experience(s, d):
+    e = evidence(s, d).select("entity", "category", "start_date", F.coalesce("end_date", F.to_date(F.lit(AS_OF))).alias("stop"), "skill")
+    x = dedup.merged_spells(e, ["entity", "category"], "skill")
+    return x.select("entity", "category", *day("start_date", "stop"), "skill", "n")
+
+
+@query
+def merged_skills(s, d):
+    old = table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    old = old.select(F.col("c_custkey").alias("owner"), F.col("p_name").alias("name"), F.col("l_linenumber").alias("n"))
+    first, more = old.where("n <= 2").select("owner", "name").distinct(), old.where("n > 2").select("owner", F.initcap("name").alias("name")).distinct()
+    names = table(s, d, "part").select("p_name").distinct()
+    kin = names.select(F.col("p_name").alias("name"), F.concat(F.lit("new "), F.element_at(F.split("p_name", " "), -1)).alias("other"))
+    return dedup.merge_named(first, more, "owner", "name", kin).select("owner", "name", "into")
+
+
+@query
+def name_fusion(s, d):
+    c = table(s, d, "customer").select("c_custkey", F.concat(F.lit("Ann Part"), F.when(F.col("c_custkey") % 2 == 0, "on").otherwise("")).alias("short"))
+    rows = [("short", "NER", 0.6, "true"), ("concat(short, ' Lee')", "Heading", 0.6, "c_custkey % 3 = 0"), ("upper(short)", "Heading-Caps", 0.55, "c_custkey % 5 = 0"), ("'curriculum vitae'", "FirstLine", 0.5, "true"), ("'curriculum vitae'", "Heading", 0.68, "c_custkey % 7 = 0")]
+    parts = [c.where(cond).select("c_custkey", F.expr(name).alias("name"), F.lit(source).alias("source"), F.lit(conf).alias("confidence")) for name, source, conf, cond in rows]
+    x = parts[0]
+    for more in parts[1:]:
+        x = x.unionByName(more)
+    return dedup.fuse_names(x, "c_custkey").select("c_custkey", "name", F.round("confidence", 6).alias("confidence"))
 
 
 @query
 def near_duplicates_vec(s, d):
-    """Within one label only; ``near_duplicates_vec_all`` compares with all vectors."""
+    """New items (ids divisible by 50) against all others: similar from 0.25, duplicate from 0.35."""
+    v = _vectors(s, d)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    level = F.when(F.col("similarity") >= 0.35, "duplicate").otherwise("similar")
+    return search.similar_blocks(q, v, 0.25).select("query_id", "id", F.round("similarity", 6).alias("similarity"), level.alias("level"))
+
+
+@query
+def near_duplicates_vec_by_label(s, d):
+    """Within one label only."""
     return search.similar_within(_vectors(s, d), "group", 0.25).select("group", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -841,8 +928,138 @@ def posting_quality(s, d):
 
 @query
 def stream_stage_parity(s, d):
-    """Applications whose streamed final stage differs from the batch fold: none."""
+    """Applications by batch and by stream, and those whose final stage only one of them has."""
     from ..streaming.jobs import stage_stream_once
 
     streamed = stage_stream_once(s, application_events(s, d).withColumnRenamed("event_id", "seq").select("application", "ts", "seq", "to_stage"))
-    return _apps(s, d).select("application", "stage").exceptAll(streamed.select("application", "stage"))
+    batch, streamed = _apps(s, d).select("application", "stage"), streamed.select("application", "stage")
+    rows = [("batch", batch), ("stream", streamed), ("only_batch", batch.exceptAll(streamed)), ("only_stream", streamed.exceptAll(batch))]
+    out = None
+    for kind, x in rows:
+        n = x.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query
+def stream_dedup_parity(s, d):
+    """Messages left by the stream's dedup within 30 days and by the batch's: keys repeat within one table of 30 days."""
+    from ..streaming.jobs import dedup_stream_once
+
+    e = table(s, d, "events").select(F.concat_ws("-", "user_id", "event_type").alias("message"), F.col("ts").cast("timestamp").alias("ts"))
+    streamed = dedup_stream_once(s, e, "message", "ts")
+    return streamed.agg(F.count("*").alias("n"), F.countDistinct("message").alias("messages"))
+
+
+@query
+def stale_cards(s, d):
+    x = _apps(s, d)
+    return x.where(filters.stale_card(F.col("stage"), F.col("last_activity"), "2024-02-01")).select("application", "stage")
+
+
+@query
+def notification_summary(s, d):
+    found = postings(s, d).select(F.col("location").alias("watch"), "job_id", F.round("salary", 2).alias("score"), "title")
+    return tracking.notifications(found)
+
+
+@query
+def saved_search(s, d):
+    spec = {"filter": {"logic": "All", "children": [{"field": "salary", "op": "GreaterThan", "value": 200000}, {"field": "title", "op": "Contains", "value": "high"}]}, "sort": [["salary"], ["created", True]], "limit": 50}
+    return filters.saved_search(postings(s, d), spec, _fields(), "job_id").select("job_id", F.round("salary", 2).alias("salary"))
+
+
+@query
+def dashboard_entries(s, d):
+    x = _ledger(s, d).withColumn("strength", F.round("strength", 6))
+    return filters.dashboard(x, "promo", "GEAR", 0.3, ("red gear",)).select("entity", "skill", "strength")
+
+
+@query
+def consistency_issues(s, d):
+    e = evidence(s, d).select("entity", "skill").distinct()
+    claims = e.withColumn("text", F.concat(F.lit("worked "), (F.col("entity") % 12).cast("string"), F.lit("+ years with "), "skill"))
+    return ledger.issues(_ledger(s, d), claims, AS_OF).groupBy("skill", "issue").agg(F.count("*").alias("n"))
+
+
+@query
+def radar_top8(s, d):
+    return ledger.radar(_ledger(s, d)).select("entity", "rank", "skill", *r6("strength"))
+
+
+@query
+def compress_roles(s, d):
+    matched = _ledger(s, d).where("round(strength, 6) > 0.6").select("entity", "skill")
+    return ledger.relevant_roles(evidence(s, d), matched).select("entity", "experience", "relevant", "age")
+
+
+@query
+def quality_synthesis(s, d):
+    rules = [
+        ("format", "TEXT_TOO_SHORT", "error", F.length(_TEXT()) < 200), ("format", "TEXT_TOO_LONG", "warning", F.length(_TEXT()) > 20000), ("content", "MISSING_QUANTITY", "warning", ~_TEXT().rlike("[0-9]")),
+        ("content", "MISSING_SECTION", "info", ~_TEXT().contains("\n")), ("style", "BULLET_NOISE", "error", _TEXT().contains("###")), ("style", "EXCITED", "warning", _TEXT().contains("!!")),
+    ]
+    x = quality.synthesis(quality.findings(table(s, d, "documents"), "doc_id", rules), "doc_id")
+    return x.select("doc_id", "group", "errors", "warnings", "affected", "important", "rank")
+
+
+@query
+def bullet_findings(s, d):
+    text = F.concat_ws(" ", F.when(F.col("turn") % 3 == 0, "Built").when(F.col("turn") % 3 == 1, "Helped, my").otherwise("We"), F.coalesce("text", F.lit("")))
+    x = quality.lint_bullets(table(s, d, "conversations").select("conv_id", "turn", text.alias("text")), ["conv_id", "turn"])
+    return x.groupBy("code", "severity").agg(F.count("*").alias("bullets"), F.sum("n").alias("n"))
+
+
+@query
+def graph_characterise(s, d):
+    lines = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    seen = lines.groupBy(F.col("p_name").alias("node")).agg(F.countDistinct("l_orderkey").alias("documents"))
+    kinds = table(s, d, "part").groupBy(F.col("p_name").alias("node")).agg(F.max("p_type").alias("category"))
+    return graph.characterise(_edges(s, d), _members(s, d), seen, kinds)
+
+
+@query
+def graph_neighbour_queries(s, d):
+    return graph.neighbour_queries(_edges(s, d), _members(s, d))
+
+
+@query
+def graph_adjacent_community(s, d):
+    strong = _skill_strengths(s, d).where("round(strength, 6) > 0.3")
+    return graph.adjacent_community(_edges(s, d), _members(s, d), strong)
+
+
+@query
+def name_repair(s, d):
+    raw = F.when(F.col("c_custkey") % 3 == 0, "J A N E  D O E").when(F.col("c_custkey") % 3 == 1, "JaneDoe").otherwise("JANE DOE")
+    x = table(s, d, "customer").select("c_custkey", T.repair_name(raw).alias("name"))
+    return x.select("c_custkey", "name", T.is_name_like(F.col("name")).alias("like"))
+
+
+@query
+def heading_classes(s, d):
+    label = F.concat(F.initcap("c_mktsegment"), F.when(F.col("c_custkey") % 4 == 0, " S K I L L S").when(F.col("c_custkey") % 4 == 1, " work history").when(F.col("c_custkey") % 4 == 2, " EDUCATION").otherwise(""))
+    return table(s, d, "customer").groupBy(F.coalesce(T.heading_class(label), F.lit("none")).alias("section")).agg(F.count("*").alias("n"))
+
+
+@query
+def small_text_functions(s, d):
+    name = F.col("p_name")
+    return table(s, d, "part").select(
+        "p_partkey", T.truncate(F.concat(name, F.lit(" - "), "p_brand", F.lit(" "), "p_type"), 20).alias("cut"), T.trim_chars(F.concat(F.lit("-*"), name, F.lit("*;")), "-*;").alias("bare"),
+        T.occurrences(F.concat(name, name), "e").alias("n_e"), T.relative_age(F.col("p_size") * 9).alias("age"), T.isced(T.education_level(F.concat(F.lit("MSc "), name))).cast("int").alias("isced"),
+        F.get_json_object(T.fenced_json(F.concat(F.lit("Here: ```json {\"k\": "), F.col("p_size"), F.lit("} ``` done"))), "$.k").alias("k"),
+    )
+
+
+@query
+def ai_likeness_blend(s, d):
+    w = quality.stylometrics(table(s, d, "documents"), "doc_id", ("the", "that", "with")).select("doc_id", F.round("buzz_pct", 6).alias("buzz"), F.round("cv", 6).alias("cv"))
+    t = quality.lexical_diversity(table(s, d, "documents"), "doc_id").select("doc_id", F.round("ttr", 6).alias("ttr"))
+    return w.join(t, "doc_id", "left").select("doc_id", quality.ai_likeness(F.col("buzz"), F.col("cv"), F.col("ttr")).alias("score"))
+
+
+@query
+def embedding_variance_score(s, d):
+    x = search.pair_statistics(_vectors(s, d), "group")
+    return x.select("group", F.round(search.variance_score(F.round("mean", 6) + 0.5, F.round("stddev", 6)), 4).alias("score"))

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 from urllib.request import urlopen
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -35,6 +35,74 @@ def endorsed_skills(spark: SparkSession, folder: str) -> DataFrame:
     return skills.join(votes, "skill", "left").select("skill", F.coalesce("n", F.lit(0)).alias("endorsements"))
 
 
+def education(spark: SparkSession, folder: str) -> DataFrame:
+    """Schools of an export with degree, years and notes."""
+    year = lambda c: F.regexp_extract(F.col(c), "([0-9]{4})", 1).try_cast("int")
+    return profile_export(spark, folder, "Education").select(F.col("School Name").alias("institution"), F.col("Degree Name").alias("degree"), year("Start Date").alias("start_year"), year("End Date").alias("end_year"), F.col("Notes").alias("notes"))
+
+
+def profile(spark: SparkSession, folder: str) -> DataFrame:
+    """The one profile row of an export."""
+    p = profile_export(spark, folder, "Profile")
+    return p.select(F.concat_ws(" ", "First Name", "Last Name").alias("name"), F.col("Headline").alias("headline"), F.col("Summary").alias("summary"), F.col("Geo Location").alias("location"))
+
+
+def stored_records(spark: SparkSession, path: str, schema: str, order: str | None = None) -> DataFrame:
+    """Keyed JSON records (id, data) landed as Parquet, decoded; records that are no JSON of the schema have null fields."""
+    rows = spark.read.parquet(path).select("id", F.from_json("data", schema).alias("d")).select("id", "d.*")
+    return rows.orderBy(order, "id") if order else rows
+
+
+def json_state(spark: SparkSession, path: str, field: str) -> DataFrame:
+    """One list of a whole-state JSON document, a row an item."""
+    return spark.read.json(path, multiLine=True).select(F.explode(field).alias("x")).select("x.*")
+
+
+def migrate_state(spark: SparkSession, path: str, fields: list[str], out: str) -> None:
+    """One-shot move of the lists of a state document into keyed record tables (id, data), one a list."""
+    for f in fields:
+        items = json_state(spark, path, f)
+        items.select(F.col("id").cast("string").alias("id"), F.to_json(F.struct(*items.columns)).alias("data")).write.mode("overwrite").parquet(f"{out}/{f}")
+
+
+def chosen_parse(parses: DataFrame, least: float = 0.5) -> DataFrame:
+    """Per file of parses(name, parser, priority, text, confidence): the first parser by priority of confidence ``least`` or more."""
+    good = parses.where(F.col("confidence") >= least)
+    return good.groupBy("name").agg(F.min_by(F.struct("parser", "text", "confidence"), F.struct("priority", "parser")).alias("b")).select("name", "b.*")
+
+
+def is_profile_export(names: Column) -> Column:
+    """Whether the file names of an archive (an array) are those of a profile export."""
+    low = F.transform(names, lambda x: F.lower(F.element_at(F.split(x, "/"), -1)))
+    return F.array_contains(low, "profile.csv") & (F.array_contains(low, "positions.csv") | F.array_contains(low, "skills.csv"))
+
+
+def repositories(spark: SparkSession, path: str) -> DataFrame:
+    """Landed repository JSON, a line each: name, languages as (language, bytes, share), topics, size, stars, pushed; forks and archives left out."""
+    r = spark.read.schema("name string, fork boolean, archived boolean, size long, stargazers_count long, pushed_at string, topics array<string>, languages map<string, long>").json(path)
+    r = r.where(~F.coalesce("fork", F.lit(False)) & ~F.coalesce("archived", F.lit(False)) & (F.col("size") >= 5))
+    total = F.aggregate(F.map_values("languages"), F.lit(0).cast("long"), lambda a, x: a + x)
+    shares = F.transform(F.map_entries("languages"), lambda e: F.struct(F.lower(e["key"]).alias("language"), e["value"].alias("bytes"), F.try_divide(e["value"], total).alias("share")))
+    return r.select("name", F.filter(shares, lambda x: x["share"] >= 0.05).alias("languages"), "topics", F.col("size").alias("size_kb"), F.col("stargazers_count").alias("stars"), F.to_date(F.substring("pushed_at", 1, 10)).alias("pushed"))
+
+
+def role_skills(spark: SparkSession, path: str) -> DataFrame:
+    """``role|skill`` lines (# comments) as (role, skill)."""
+    x = spark.read.text(path).where("value like '%|%' and value not like '#%'")
+    return x.select(F.trim(F.substring_index("value", "|", 1)).alias("role"), F.lower(F.trim(F.substring_index("value", "|", -1))).alias("skill")).distinct()
+
+
+def level_terms(spark: SparkSession, path: str) -> DataFrame:
+    """``level:country:name`` lines (# comments) as (level, country, name)."""
+    x = spark.read.text(path).where("value not like '#%'").select(F.split("value", ":", 3).alias("p")).where(F.size("p") == 3)
+    return x.select(F.trim(F.get("p", 0)).alias("level"), F.lower(F.trim(F.get("p", 1))).alias("country"), F.lower(F.trim(F.get("p", 2))).alias("name")).distinct()
+
+
+def word_list(spark: SparkSession, path: str) -> DataFrame:
+    """One lower-cased word a line (# comments)."""
+    return spark.read.text(path).where("trim(value) <> '' and value not like '#%'").select(F.lower(F.trim("value")).alias("word")).distinct()
+
+
 def text_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: name, text, and the confidence of a plain-text parse (0.65 from two capital headings on, else 0.4)."""
     d = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("text"))
@@ -51,7 +119,7 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 def job_pages(pages: DataFrame, manual_hosts: tuple[str, ...] = ()) -> DataFrame:
     """Strategy ladder over landed pages(url, html): structured data, then page text of over 200 characters; manual hosts are left out."""
-    x = pages.withColumn("host", T.url_host(F.col("url"))).where(~F.col("host").isin(list(manual_hosts)))
+    x = pages.withColumn("host", T.url_host(F.col("url"))).where(~F.coalesce(F.col("host").isin(list(manual_hosts)), F.lit(False)))
     j, t = T.json_ld_posting(F.col("html")), T.strip_html(F.col("html"))
     title = F.coalesce(j["title"], F.when(T.page_title(F.col("html")) != "", T.page_title(F.col("html"))))
     return x.select("url", "host", title.alias("title"), j["company"].alias("company"), j["location"].alias("location"), j["salary_min"].alias("salary_min"), j["salary_max"].alias("salary_max"), F.when(F.length(t) > 200, t).alias("text"))
@@ -75,7 +143,7 @@ class _JobReader(DataSourceReader):
         with urlopen(partition.url) as f:
             rows = json.load(f)
         rows = rows.get("jobs", rows.get("results", [])) if isinstance(rows, dict) else rows
-        kept = (r for r in rows if not self.keyword or self.keyword in json.dumps(r).lower())
+        kept = (r for r in rows if not self.keyword or self.keyword in json.dumps(r, ensure_ascii=False).lower())
         for n, r in enumerate(kept):
             if self.limit and n >= self.limit:
                 return

@@ -11,12 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tracking import TERMINAL
+from ..operators.dedup import latest_per_key
+from ..operators.tracking import TERMINAL, notifications, watch_due
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder below spark.checkpoint.dir; a temporary one only where none is set and Spark runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
@@ -52,18 +57,58 @@ def ghost_after(stream: DataFrame, days: int = 30) -> DataFrame:
 
 
 def upsert_batches(stream: DataFrame, path: str, key: str, version: str, checkpoint: str) -> Callable:
-    """Keyed upsert of each micro-batch into Parquet snapshots ``path/v=<batch>``; the latest snapshot is the table."""
+    """Keyed upsert of a stream: each micro-batch writes its own latest rows to ``path/batch=<id>``; ``upserted`` reads the table.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        from ..operators.dedup import upsert
+    A batch that runs again overwrites what it wrote; nothing that was written before is touched.
+    """
 
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/v={batch_id - 1}") if batch_id else spark.createDataFrame([], batch.schema)
-        upsert(old, batch, key, version).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        latest_per_key(batch, [key], _newest(batch, key, version)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _newest(df: DataFrame, key: str, version: str) -> list:
+    return [F.col(version).desc(), *[F.col(c) for c in sorted(df.columns) if c not in (key, version)]]
+
+
+def upserted(spark: SparkSession, path: str, key: str, version: str) -> DataFrame:
+    """The latest row of every key over all batches; of equal versions the later batch."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    return latest_per_key(rows, [key], [F.col(version).desc(), F.col("batch").desc()]).drop("batch")
+
+
+def poll(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = "5 minutes"):
+    """Run ``each`` on every micro-batch, at an interval; all that is there once where none is given."""
+    out = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=interval) if interval else out.trigger(availableNow=True)).start()
+
+
+def watch_poll(watches: DataFrame, path: str, k: int = 3) -> Callable[[DataFrame, int], None]:
+    """For ``poll`` on jobs(job_id, title, company, score, ts): what each due watch(watch, keyword, active, interval_days) finds.
+
+    A watch is due by the batch's newest job and its own last run, kept below ``path/state``; runs and
+    notifications (watch, n, top) are appended a batch at a time.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        now = batch.agg(F.max("ts").alias("now")).first()["now"]
+        if now is None:
+            return
+        schema = "watch string, last_polled date, batch long"
+        fs = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/state")
+        there = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+        runs = spark.read.schema(schema).parquet(f"{path}/state").where(F.col("batch") < batch_id) if there else spark.createDataFrame([], schema)
+        last = runs.groupBy("watch").agg(F.max("last_polled").alias("last_polled"))
+        due = watch_due(watches.join(last, "watch", "left"), str(now.date())).where("due")
+        found = batch.join(due, F.lower("title").contains(F.lower("keyword"))).select("watch", "job_id", "score", "title")
+        notifications(found, k).write.mode("overwrite").parquet(f"{path}/notifications/batch={batch_id}")
+        due.select("watch", F.lit(str(now.date())).cast("date").alias("last_polled")).write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+
+    return each
+
+
 def stage_stream_once(spark: SparkSession, events: DataFrame) -> DataFrame:
     """Run the stage machine as a stream over ``events`` (application, ts, seq, to_stage) and give the final stages."""
     source, sink, checkpoint = (shared_path(spark, n) for n in ("events", "stages", "offsets"))
@@ -75,3 +120,12 @@ def stage_stream_once(spark: SparkSession, events: DataFrame) -> DataFrame:
 
     stages.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(sink).groupBy("application").agg(F.max_by("stage", F.struct("batch", "stage")).alias("stage"))
+
+
+def dedup_stream_once(spark: SparkSession, rows: DataFrame, key: str, time: str, lookback: str = "30 days") -> DataFrame:
+    """Run the lookback dedup as a stream over ``rows`` and give what it lets through."""
+    source, sink, checkpoint = (shared_path(spark, n) for n in ("messages", "unseen", "offsets"))
+    rows.write.parquet(source)
+    out = unseen(spark.readStream.schema(rows.schema).parquet(source), key, time, lookback)
+    out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(sink)

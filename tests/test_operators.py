@@ -66,11 +66,24 @@ def test_interval_union(spark, ranges):
 
 
 def test_vote_and_stage_folds(spark):
-    v = spark.createDataFrame([("p", i, i, -1) for i in range(10)] + [("q", 1, 1, 1), ("q", 2, 2, -1)], "profile string, ts int, seq int, delta int")
+    at = lambda day: dt.datetime(2024, 1, 1) + dt.timedelta(hours=9 * day)
+    v = spark.createDataFrame([("p", at(i), i, -1) for i in range(10)] + [("q", at(1), 1, 1), ("q", at(2), 2, -1)], "profile string, ts timestamp, seq int, delta int")
     assert {r["profile"]: r["score"] for r in tracking.vote_fold(v, ["profile"]).collect()} == {"p": -5, "q": 0}
-    e = spark.createDataFrame([("a", 1, 1, 1), ("a", 2, 2, 5), ("a", 3, 3, 3), ("a", 4, 4, 2), ("a", 5, 5, 6), ("a", 6, 6, 8)], "application string, ts int, seq int, to_stage int")
+    e = spark.createDataFrame([("a", at(i), i, x) for i, x in enumerate([0, 1, 5, 3, 2, 6, 8])], "application string, ts timestamp, seq int, to_stage int")
     r = tracking.stage_fold(e, ["application"]).first()
-    assert (r["stage"], r["applied_at"], r["last_activity"]) == (6, 1, 6)
+    assert (r["stage"], r["applied_at"], r["last_activity"], r["n_events"]) == (6, at(1), at(6), 7)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 90), st.sampled_from([-1, 1])), min_size=1, max_size=60))
+def test_vote_fold_by_days(spark, votes):
+    """Days folded to one clamped step each give what a running clamp over all votes gives."""
+    votes = sorted(votes, key=lambda v: v[0])
+    rows = [("p", dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), i, d) for i, (h, d) in enumerate(votes)]
+    score = 0
+    for _, d in votes:
+        score = max(-2, min(2, score + d))
+    assert tracking.vote_fold(spark.createDataFrame(rows, "profile string, ts timestamp, seq int, delta int"), ["profile"], -2, 2).first()["score"] == score
 
 
 @pytest.mark.parametrize("text,start,end,current", [("Jan 2020 – Present", "2020-01-01", None, True), ("2020 - now", "2020-01-01", None, True), ("from Jan 2019 to Dec 2022", "2019-01-01", "2022-12-01", False), ("2019 – 2022", "2019-01-01", "2022-01-01", False), ("2020 to date", "2020-01-01", None, True), ("C# Python", None, None, None), ("", None, None, None)])
@@ -166,6 +179,109 @@ def test_sources_and_sinks(spark, tmp_path):
     assert "- **db**: kv, sql" in writers.resume_markdown(p, k).first()["markdown"]
 
 
+def test_tiered_match(spark):
+    """Either string inside the other, whatever the case; synonyms; two words of a term in a text; strength decides, then the name."""
+    led = spark.createDataFrame([(1, "Microsoft Azure", 0.5), (1, "SQL", 0.9), (1, "machine learning", 0.4), (1, "javascript", 0.3), (1, "k8s", 0.2), (2, "Go", 0.1)], "entity int, skill string, strength double")
+    req = spark.createDataFrame([(7, t, 0) for t in ("azure", "sql", "machine learning", "java", "Kubernetes", "payment systems", "C", "rust")], "spec int, term string, importance int")
+    names = spark.createDataFrame([("K8S", "kubernetes")], "alias string, canonical string")
+    texts = spark.createDataFrame([(1, "Built Payment rails and billing systems"), (2, "payment only")], "entity int, text string")
+    got = {(r["entity"], r["term"]): (r["skill"], r["similarity"]) for r in matching.best_entries(led, req, names, texts).collect()}
+    assert got == {
+        (1, "azure"): ("Microsoft Azure", 0.85), (1, "sql"): ("SQL", 0.85), (1, "machine learning"): ("machine learning", 0.85), (1, "java"): ("javascript", 0.85),
+        (1, "Kubernetes"): ("k8s", 0.82), (1, "payment systems"): ("(evidence)", 0.65), (1, "C"): ("Microsoft Azure", 0.85),
+    }
+    specs = matching.spec_classes(req.unionByName(req.withColumn("spec", F.lit(9))))
+    sets = matching.entity_sets(matching.best_entries(led, req, names, texts), specs)
+    c = matching.coverage(sets, specs).collect()
+    assert [(r["spec_class"], r["n_specs"], r["got_required"], r["n_required"]) for r in c] == [(7, 2, 7, 8)]
+    assert {(r["spec"], r["entity"], r["rank"]) for r in matching.rank(sets, specs, 3).collect()} == {(7, 1, 1), (9, 1, 1)}
+    tiers = matching.tiered_match(matching.best_entries(led, req, names, texts), req)
+    assert tiers.count() == 7
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text("abA ", max_size=6), max_size=8), st.lists(st.text("abA ", max_size=9), max_size=8))
+def test_contained(spark, parts, wholes):
+    frame = lambda x: spark.createDataFrame([(t,) for t in x], "s string")
+    got = {tuple(r) for r in matching.contained(frame(parts), frame(wholes)).collect()}
+    assert got == {(p.lower(), w.lower()) for p in parts for w in wholes if p and p.lower() in w.lower()}
+
+
+def test_mail_match(spark):
+    apps = spark.createDataFrame([(1, "Acme Inc", "Engineer", "jane@acme.com"), (2, "Google", "SRE", None), (3, "Microsoft Corp", "Data Engineer", None), (4, "Acme", "Cook", None)], "application_id int, company string, title string, recruiter string")
+    mails = [
+        (1, "Jane@Acme.com", "hi", ""), (2, "noreply@google.com", "hello", "x"), (3, "careers@microsoft.com", "Your Data Engineer application", "x"), (4, "x@google-mail.com", "SRE role", ""),
+        (5, "jobs@careers.acme.co.uk", "Cook wanted", "come to ACME now"), (6, "me@hosting.example", "the cook", "from acmecorp"), (7, "me@hosting.example", "the cook", "nothing"), (8, "no address", "x", "y"),
+    ]
+    out = matching.mail_match(spark.createDataFrame(mails, "message_id int, sender string, subject string, body string"), apps)
+    got = {r["message_id"]: (r["application_id"], round(r["score"], 2)) for r in out.collect()}
+    assert got == {1: (1, 1.0), 2: (2, 0.6), 3: (3, 0.9), 4: (2, 0.9), 5: (4, 0.5), 6: (4, 0.5)}
+
+
+def test_reposts(spark):
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
+    rows = [(1, "Acme", "Data Engineer Platform Team", day(0)), (2, "ACME", "Senior Data Engineer Platform Team", day(10)), (3, "acme", "Cook", day(11)), (4, "Acme", "Data Engineer Platform Team", day(90)), (5, "Other", "Cook", day(1)), (6, None, "Cook", day(2))]
+    got = {r["job_id"]: (r["posts"], r["days"], r["likely"]) for r in dedup.reposts(spark.createDataFrame(rows, "job_id int, company string, title string, created date")).collect()}
+    assert got == {2: (4, 10, True), 4: (4, 80, False)}
+
+
+def test_small_rules(spark):
+    assert one(spark, T.normalise_title(F.lit("Senior Lead Engineer"))) == "engineer" and one(spark, T.normalise_title(F.lit("Leadership Associate"))) == "leadership"
+    assert one(spark, T.rewrite(F.lit("very really good, I my me just"))) == "good,"
+    assert one(spark, T.words(F.lit("Élan vital, naïve"))) == ["élan", "vital", "naïve"]
+    j = spark.createDataFrame([(1, ["SQL", "sql", "c"])], "job_id int, skills array<string>")
+    r = matching.simple_match(j, ["Sql"], [], F.lit(0)).first()
+    assert round(r["score"], 6) == round(2 / 3, 6) and r["missing"] == ["c"]
+    for value, truth in ((F.lit(1), True), (F.lit(0), False), (F.lit("true"), True), (F.lit("x"), False), (F.lit(True), True)):
+        assert one(spark, filters.compile_leaf(Leaf("f", "IsTrue"), {"f": value})) is truth and one(spark, filters.compile_leaf(Leaf("f", "IsFalse"), {"f": value})) is not truth
+    terms = spark.createDataFrame([("C#",), (".net",), ("c++",), ("net core",), ("go",)], "term string")
+    d = spark.createDataFrame([(1, "Used C#, C++ and .NET core; let's go. Go!")], "doc_id int, text string")
+    for inline in (100, 0):
+        assert {(r["term"], r["n"]) for r in quality.dictionary_scan(d, "doc_id", terms, inline).collect()} == {("c#", 1), ("c++", 1), (".net", 1), ("net core", 1), ("go", 2)}
+    long = spark.createDataFrame([(1, i, f"t{i:03}") for i in range(50)], "group int, position int, term string")
+    assert graph.relations(long).count() == 4 * 46 + 3 + 2 + 1
+    u = lambda rows: spark.createDataFrame(rows, "id int, version int, data string")
+    assert [r["data"] for r in dedup.upsert(u([(1, 1, "a")]), u([(1, 1, "c"), (1, 1, "b")]), "id", "version").collect()] == ["b"]
+    with pytest.raises(ValueError):
+        graph.communities(spark.createDataFrame([("g", "a", "b", 1)], "graph string, src string, dst string, weight int"), most_edges=0)
+    assert one(spark, matching.title_reflected(F.lit("Data Engineer"), F.lit("an engineer of things"))) and not one(spark, matching.title_reflected(F.lit("Data Cook"), F.lit("x")))
+    assert one(spark, T.heading_class(F.lit("K E Y  S K I L L S"))) == "Skills" and one(spark, T.heading_class(F.lit("plain"))) is None
+    assert "- b" in one(spark, ledger.tailoring_prompt(F.lit("Dev"), F.array(F.lit("a")), F.array(F.lit("b"))))
+
+
+def test_more_sources(spark, tmp_path):
+    (tmp_path / "Education.csv").write_text("School Name,Start Date,End Date,Notes,Degree Name,Activities\nMIT,2001,Jun 2005,,BSc,\n")
+    (tmp_path / "Profile.csv").write_text('First Name,Last Name,Headline,Summary,Geo Location\nAnn,Lee,Dev,,"London, UK"\n')
+    r = readers.education(spark, str(tmp_path)).first()
+    assert (r["institution"], r["start_year"], r["end_year"]) == ("MIT", 2001, 2005) and readers.profile(spark, str(tmp_path)).first()["name"] == "Ann Lee"
+    state = tmp_path / "state.json"
+    state.write_text(json.dumps({"jobs": [{"id": "a", "title": "Dev"}, {"id": "b", "title": "Op"}]}))
+    readers.migrate_state(spark, str(state), ["jobs"], str(tmp_path / "store"))
+    got = readers.stored_records(spark, str(tmp_path / "store" / "jobs"), "id string, title string", "title").select("title").collect()
+    assert [r["title"] for r in got] == ["Dev", "Op"]
+    (tmp_path / "repos.json").write_text(json.dumps({"name": "r", "fork": False, "size": 50, "stargazers_count": 3, "pushed_at": "2024-01-02T03:04:05Z", "topics": ["x"], "languages": {"Python": 97, "C": 3}}) + "\n" + json.dumps({"name": "f", "fork": True, "size": 50}))
+    r = readers.repositories(spark, str(tmp_path / "repos.json")).collect()
+    assert [x["name"] for x in r] == ["r"] and [(x["language"], x["share"]) for x in r[0]["languages"]] == [("python", 0.97)] and str(r[0]["pushed"]) == "2024-01-02"
+    (tmp_path / "roles.txt").write_text("# x\nDev|SQL\nDev | Go\n")
+    (tmp_path / "levels.txt").write_text("Masters:DE:Diplom\n#no\n")
+    (tmp_path / "words.txt").write_text("One\n# two\n\n")
+    assert readers.role_skills(spark, str(tmp_path / "roles.txt")).count() == 2 and readers.level_terms(spark, str(tmp_path / "levels.txt")).first()["name"] == "diplom"
+    assert [x["word"] for x in readers.word_list(spark, str(tmp_path / "words.txt")).collect()] == ["one"]
+    parses = spark.createDataFrame([("f", "fast", 1, "a", 0.4), ("f", "slow", 2, "b", 0.7), ("g", "fast", 1, "c", 0.2)], "name string, parser string, priority int, text string, confidence double")
+    assert [(x["name"], x["parser"]) for x in readers.chosen_parse(parses).collect()] == [("f", "slow")]
+    assert one(spark, readers.is_profile_export(F.array(F.lit("x/Profile.csv"), F.lit("Skills.csv")))) and not one(spark, readers.is_profile_export(F.array(F.lit("a.txt"))))
+    pages = spark.createDataFrame([(None, "<title>t</title>"), ("https://a.b/c", "<title>u</title>"), ("https://m.x/", "<title>v</title>")], "url string, html string")
+    assert sorted(x["title"] for x in readers.job_pages(pages, ("m.x",)).collect()) == ["t", "u"]
+    (tmp_path / "feed.json").write_text(json.dumps([{"id": 1, "title": "Développeur"}, {"id": 2, "title": "Cook"}]))
+    spark.dataSource.register(readers.JobBoard)
+    assert [r["title"] for r in spark.read.format("jobboard").option("urls", f"file://{tmp_path}/feed.json").option("keyword", "développeur").load().collect()] == ["Développeur"]
+    writers.snapshot(parses, str(tmp_path / "snap"))
+    writers.snapshot(parses.limit(1), str(tmp_path / "snap"))
+    assert spark.read.parquet(str(tmp_path / "snap")).count() == 1
+    lines = writers.dictionary_lines(spark.createDataFrame([("c", "see"), ("c", "sea"), ("a", "ay")], "canonical string, alias string"))
+    assert [r["value"] for r in lines.collect()] == ["a: ay", "c: sea, see"]
+
+
 def test_similar_across_groups(spark):
     """Near vectors of different groups meet, in several blocks and chunks."""
     from talentspark.operators import search
