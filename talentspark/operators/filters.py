@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 OPS = (
     "Equal", "NotEqual", "GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual", "In", "NotIn", "Between", "IsTrue", "IsFalse", "Contains",
 )
@@ -166,3 +168,23 @@ def company_cooldown(jobs: DataFrame, applied: DataFrame, days: int = 14) -> Dat
     last = applied.groupBy(F.lower("company").alias("_k")).agg(F.max("applied").alias("last"))
     hit = jobs.join(last, F.lower("company") == F.col("_k")).drop("_k")
     return hit.where(F.datediff("created", "last").between(0, days))
+
+
+#: Kinds of company by marks in a posting's text, the first match wins; industries by theirs.
+COMPANY_TYPES = [("Startup", ("startup", "seed", "series a")), ("Scale-up", ("scale-up", "scaleup", "series b")), ("Agency", ("agency", "consultancy")), ("Enterprise", ("enterprise", "fortune 500", "multinational"))]
+INDUSTRIES = [("Fintech", ("fintech", "bank", "payments")), ("SaaS", ("saas",)), ("Healthcare", ("health", "medical")), ("Gaming", ("game", "gaming"))]
+
+
+def job_fields(text: str = "text") -> dict[str, Column]:
+    """Fields of a stored filter over postings (skills, preferred, salary_min, salary_max, company, location, title, is_remote, is_hybrid and a text)."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return {
+        "skills": F.concat(F.coalesce("skills", F.array().cast("array<string>")), F.coalesce("preferred", F.array().cast("array<string>"))),
+        "work_model": F.when(yes("is_remote"), "Remote").when(yes("is_hybrid"), "Hybrid").otherwise("Onsite"),
+        "salary_min": F.col("salary_min"), "salary_max": F.col("salary_max"), "company": F.col("company"), "location": F.col("location"), "title": F.col("title"),
+        "company_type": T.first_match(low, COMPANY_TYPES, "Unknown"), "industry": T.all_matches(low, INDUSTRIES), "is_remote": yes("is_remote"), "is_hybrid": yes("is_hybrid"),
+    }
+
+
+JOB_LISTS = frozenset({"skills", "industry"})

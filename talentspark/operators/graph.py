@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,33 @@ def cooccurrence(items: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("item").alias("src"), "dst").agg(F.count("*").alias("weight"))
 
 
+def cooccurrence_of_specs(terms: DataFrame) -> DataFrame:
+    """Edges between terms(spec, term, importance) of the same spec: weight 2 where both are required (importance 0), else 1."""
+    x = terms.groupBy("spec", "term").agg(F.min("importance").alias("i"))
+    pairs = x.join(x.select("spec", F.col("term").alias("dst"), F.col("i").alias("j")), "spec").where(F.col("term") < F.col("dst"))
+    return pairs.groupBy(F.col("term").alias("src"), "dst").agg(F.sum(F.when((F.col("i") == 0) & (F.col("j") == 0), 2).otherwise(1)).alias("weight"))
+
+
+def projection(edges: DataFrame, dims: int = 2, most_nodes: int = 2000) -> DataFrame:
+    """(node, x, y): coordinates by principal components of the rows of weights, at most ``most_nodes`` nodes; more raise.
+
+    Signs are set so that the largest coordinate of each axis is positive.
+    """
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    if both.select("src").distinct().limit(most_nodes + 1).count() > most_nodes:
+        raise ValueError(f"more than {most_nodes} nodes; part the graph before projecting it")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf.pivot_table(index="src", columns="dst", values="weight", aggfunc="sum", fill_value=0).sort_index()
+        x = m.to_numpy(dtype=float)
+        u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+        at = u[:, :dims] * s[:dims]
+        at = at * np.where(at[np.abs(at).argmax(0), np.arange(at.shape[1])] < 0, -1, 1)
+        return pd.DataFrame({"node": m.index, "x": at[:, 0], "y": at[:, 1] if at.shape[1] > 1 else 0.0})
+
+    return both.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(solve, "node string, x double, y double")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("src").alias("node"), "weight").unionByName(edges.select(F.col("dst").alias("node"), "weight"))
     return both.groupBy("node").agg(F.sum("weight").alias("degree"), F.count("*").alias("neighbours"))

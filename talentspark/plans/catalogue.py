@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import embedding as E
 from ..functions import text as T
 from ..functions.vectors import norm
-from ..operators import dedup, filters, graph, ledger, matching, quality, search, tracking
+from ..operators import dedup, filters, graph, ledger, matching, quality, records, search, tracking
 from ..operators.filters import Leaf, Node
 from . import oracles
 from .bindings import AS_OF, achievements, adjacent, application_events, evidence, posting_skills, postings, requirements, synonyms, table, votes
@@ -1063,3 +1064,142 @@ def ai_likeness_blend(s, d):
 def embedding_variance_score(s, d):
     x = search.pair_statistics(_vectors(s, d), "group")
     return x.select("group", F.round(search.variance_score(F.round("mean", 6) + 0.5, F.round("stddev", 6)), 4).alias("score"))
+
+
+# --- records, lookups, plug-points -----------------------------------------------------------------------------------
+
+
+@query
+def vote_lookup(s, d):
+    """Score of every (user, kind) of event, 0 where nothing was voted on."""
+    e = table(s, d, "events").select("user_id", F.lower("event_type").alias("kind"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    score = tracking.vote_fold(e.where("value > 50").withColumn("delta", F.when(F.col("value") > 60, 1).otherwise(-1)), ["user_id", "kind"])
+    return e.select("user_id", "kind").distinct().join(score, ["user_id", "kind"], "left").select("user_id", "kind", F.coalesce("score", F.lit(0)).alias("score"))
+
+
+@query
+def union_ignoring_case(s, d):
+    x = records.union_ignoring_case(F.array("p_name", F.initcap("p_name"), "p_type"), F.array(F.upper("p_name"), F.lower("p_type"), "p_brand"))
+    return table(s, d, "part").select("p_partkey", F.array_join(x, "|").alias("items"))
+
+
+@query
+def chunk_sizes(s, d):
+    x = records.chunks(table(s, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+    return x.groupBy("o_custkey", "chunk").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+
+
+@query
+def blank_run_blocks(s, d):
+    t = table(s, d, "documents").select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n")).alias("text")).select("doc_id", F.replace("text", F.lit(".\n\n"), F.lit(".\n\n\n")).alias("text"))
+    return records.blocks_of_lines(t, "doc_id", 2).groupBy("doc_id").agg(F.count("*").alias("lines"), F.countDistinct("block").alias("blocks"))
+
+
+@query
+def two_line_entries(s, d):
+    lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    x = records.merged_lines(lines, "doc_id", F.length("line") < 60)
+    return x.groupBy("doc_id").agg(F.count("*").alias("entries"), F.count("next").alias("pairs"))
+
+
+@query
+def box_lines(s, d):
+    boxes = table(s, d, "lineitem").select(
+        F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), (F.col("l_linenumber") * 45).cast("double").alias("x"), F.col("l_quantity").alias("y"), F.lit(10.0).alias("width"),
+        F.when(F.col("l_returnflag") == "R", 15.0).otherwise(10.0).alias("size"), F.concat(F.lower("l_returnflag"), "l_linenumber", F.col("l_quantity").cast("int")).alias("text"),
+    )
+    return records.lines_from_boxes(boxes, 12.0, 50.0).select("doc", "row", "column", "text", "heading")
+
+
+@query
+def entity_lookup(s, d):
+    names = s.createDataFrame([("License", "company"), ("version", "company"), ("Apache License", "company"), ("tion", "location"), ("ing", "company"), ("Software", "location")], "name string, kind string")
+    return records.entity_lookup(table(s, d, "documents"), "doc_id", names)
+
+
+@query
+def skill_categories(s, d):
+    taxonomy = table(s, d, "part").where("p_size > 10").select(F.initcap("p_name").alias("skill"), F.col("p_type").alias("category"))
+    x = records.categorised(table(s, d, "part").select(F.col("p_name").alias("skill")), taxonomy)
+    return x.groupBy("skill", "category").agg(F.count("*").alias("n"))
+
+
+@query
+def language_names(s, d):
+    x = records.canonical_language(F.col("lang"), {"en": "english", "de": "german", "fr": "french"})
+    return table(s, d, "documents").groupBy(F.coalesce(x, F.lit("none")).alias("language")).agg(F.count("*").alias("n"))
+
+
+@query
+def template_match(s, d):
+    p = dedup.jaccard(_item_sets(s, d), 0.5)
+    flags = p.select("id", "id2", "similarity", (F.col("id") % 11 == F.col("id2") % 11).alias("same_hash"), (F.col("id") % 5 == F.col("id2") % 5).alias("same_name"), (F.col("id") % 2 == F.col("id2") % 2).alias("same_margins"))
+    return records.template_scores(flags).select("id", "id2", F.round("score", 6).alias("score"), F.coalesce("level", F.lit("none")).alias("level"))
+
+
+@query
+def domain_weights(s, d):
+    x = evidence(s, d).groupBy("entity", F.col("category").alias("domain")).agg(
+        F.count_if(F.col("source") == "R").alias("skills"), F.count_if(F.col("seq") == 7).alias("titles"), F.count_if(F.col("confidence") > 0.97).alias("texts")
+    )
+    return records.domain_points(x).select("entity", "domain", F.round("share", 6).alias("share"), "rank")
+
+
+@query
+def hashed_embeddings(s, d):
+    x = E.embed_distinct(table(s, d, "benchmark"), "text")
+    return x.select("item_id", *[F.round(F.get("embedding", i), 6).alias(f"e{i}") for i in range(16)])
+
+
+@query
+def index_rows(s, d):
+    skills = table(s, d, "part").select(F.col("p_partkey").alias("source_id"), F.col("p_name").alias("text"))
+    bullets = table(s, d, "conversations").select(F.col("conv_id").alias("source_id"), "text")
+    titles = table(s, d, "pages").select(F.col("page_id").alias("source_id"), T.page_title(F.col("html")).alias("text"))
+    return E.index_rows(skills, bullets, titles).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def pooled_vectors(s, d):
+    g = _vectors(s, d).groupBy("group", (F.col("id") % 50).alias("part")).agg(F.collect_list("v").alias("vs"))
+    p = g.select("group", "part", E.mean_pool(F.col("vs")).alias("p"))
+    soft = E.softmax(F.slice("p", 1, 3))
+    return p.select("group", "part", *[F.round(F.get("p", i), 6).alias(f"p{i}") for i in range(3)], F.round(F.get(soft, 0), 6).alias("s0"))
+
+
+@query
+def detected_entities(s, d):
+    detect = E.entity_detector([("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+", 0.95), ("url", r"https?://[A-Za-z0-9./_-]+", 0.9)])
+    s.udtf.register("detect_entities", detect)
+    table(s, d, "documents").select("doc_id", "text").createOrReplaceTempView("_detect_documents")
+    x = s.sql("select doc_id, e.kind, e.confidence from _detect_documents, lateral detect_entities(text) e")
+    return x.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
+
+
+@query
+def chunked_scores(s, d):
+    share = lambda c: F.length(F.regexp_replace(c, "[^e]", "")) / F.greatest(F.length(c), F.lit(1))
+    return E.score_in_chunks(table(s, d, "documents"), "doc_id", share, 500).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def required_cooccurrence(s, d):
+    return graph.cooccurrence_of_specs(requirements(s, d))
+
+
+@query
+def graph_projection(s, d):
+    return graph.projection(_edges(s, d)).select("node", *r6("x", "y"))
+
+
+@query
+def job_field_filters(s, d):
+    j = postings(s, d).join(posting_skills(s, d), "job_id").select(
+        "job_id", F.slice("skills", 1, 2).alias("skills"), F.slice("skills", 3, 9).alias("preferred"), F.col("salary").alias("salary_min"), (F.col("salary") * 1.2).alias("salary_max"), "company", "location", "title", "is_remote",
+        (F.col("job_id") % 3 == 0).alias("is_hybrid"), F.concat(F.lit("a "), F.when(F.col("job_id") % 4 == 0, "Seed startup for SaaS").when(F.col("job_id") % 4 == 1, "bank and medical Enterprise").otherwise("place")).alias("text"),
+    )
+    leaves = {
+        "startup": Leaf("company_type", "Equal", "startup"), "saas": Leaf("industry", "In", ["SaaS", "Gaming"]), "no_health": Leaf("industry", "NotIn", ["healthcare"]), "hybrid": Leaf("work_model", "Equal", "HYBRID"),
+        "is_hybrid": Leaf("is_hybrid", "IsTrue"), "gear": Leaf("skills", "In", ["Red Gear", "HOT BOLT"]), "paid": Leaf("salary_max", "GreaterThanOrEqual", 300000),
+    }
+    return j.agg(*[F.count_if(filters.compile_filter(x, filters.job_fields(), filters.JOB_LISTS)).alias(k) for k, x in leaves.items()])

@@ -378,4 +378,40 @@ def sql() -> dict[str, str]:
         UNION ALL SELECT 'FILLER_WORD', 'info', n FROM (SELECT len(list_filter(['very', 'really', 'just', 'basically', 'actually'], lambda x: contains(p, ' ' || x || ' '))) AS n FROM b) WHERE n > 0
         UNION ALL SELECT 'BULLET_TOO_SHORT', 'warning', 1 FROM b WHERE len(w) < 8 UNION ALL SELECT 'BULLET_TOO_LONG', 'info', 1 FROM b WHERE len(w) > 35)
       SELECT code, severity, count(*) AS bullets, sum(n)::bigint AS n FROM f GROUP BY ALL"""
+    q["vote_lookup"] = """WITH e AS (SELECT user_id, lower(event_type) AS kind, ts, event_id, value FROM events), v AS (SELECT user_id, kind, list_reduce(list(CASE WHEN value > 60 THEN 1 ELSE -1 END ORDER BY ts, event_id), lambda s, x: greatest(-5, least(5, s + x)), 0) AS score FROM e WHERE value > 50 GROUP BY ALL)
+      SELECT DISTINCT user_id, kind, coalesce(score, 0) AS score FROM e LEFT JOIN v USING (user_id, kind)"""
+    q["union_ignoring_case"] = "SELECT p_partkey, p_name || '|' || p_type || '|' || p_brand AS items FROM part"
+    q["chunk_sizes"] = "SELECT o_custkey, chunk, count(*) AS n, min(o_orderkey) AS first FROM (SELECT *, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 5)::int AS chunk FROM orders) GROUP BY ALL"
+    q["blank_run_blocks"] = f"""WITH t AS (SELECT doc_id, replace(replace({T}, chr(10), chr(10) || chr(10)), '.' || chr(10) || chr(10), '.' || chr(10) || chr(10) || chr(10)) AS t FROM documents),
+      l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM t), f AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) - 1 >= 2 THEN 1 ELSE 0 END AS fresh FROM l WHERE trim(line) <> '')
+      SELECT doc_id, count(*) AS lines, count(DISTINCT b) AS blocks FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM f) GROUP BY ALL"""
+    q["two_line_entries"] = f"""WITH l AS (SELECT doc_id, unnest(string_split({T}, chr(10))) AS line, generate_subscripts(string_split({T}, chr(10)), 1) AS pos FROM documents),
+      o AS (SELECT doc_id, length(line) < 60 AS opens, lead(length(line) >= 60) OVER (PARTITION BY doc_id ORDER BY pos) AS follows FROM l) SELECT doc_id, count(*) AS entries, count(*) FILTER (follows) AS pairs FROM o WHERE opens GROUP BY ALL"""
+    q["box_lines"] = """WITH b AS (SELECT l_orderkey AS doc, l_linenumber * 45.0 AS x, floor(l_quantity / 12)::int AS "row", CASE WHEN l_returnflag = 'R' THEN 15.0 ELSE 10.0 END AS size, lower(l_returnflag) || l_linenumber || l_quantity::int AS text FROM lineitem),
+      g AS (SELECT *, CASE WHEN x - (lag(x) OVER w + 10) > 50 THEN 1 ELSE 0 END AS gap FROM b WINDOW w AS (PARTITION BY doc, "row" ORDER BY x, text)),
+      c AS (SELECT *, sum(gap) OVER (PARTITION BY doc, "row" ORDER BY x, text ROWS UNBOUNDED PRECEDING)::int AS "column" FROM g), m AS (SELECT doc, quantile_cont(size, 0.5) AS median FROM b GROUP BY ALL)
+      SELECT c.doc, "row", "column", string_agg(text, ' ' ORDER BY x, text) AS text, max(size) >= 1.25 * any_value(median) AS heading FROM c JOIN m USING (doc) GROUP BY ALL"""
+    q["entity_lookup"] = f"""WITH n AS (SELECT * FROM (VALUES ('License', 'company'), ('version', 'company'), ('Apache License', 'company'), ('tion', 'location'), ('ing', 'company'), ('Software', 'location')) v(name, kind))
+      SELECT doc_id, name, kind FROM documents, n WHERE contains({low}, lower(name)) AND (kind = 'location' OR contains(' ' || regexp_replace({low}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ', ' ' || lower(name) || ' '))"""
+    q["skill_categories"] = "SELECT p_name AS skill, coalesce(c, 'other') AS category, count(*) AS n FROM part LEFT JOIN (SELECT p_name AS k, min(p_type) AS c FROM part WHERE p_size > 10 GROUP BY ALL) ON k = p_name GROUP BY ALL"
+    q["language_names"] = "SELECT coalesce(CASE lower(lang) WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' ELSE lower(lang) END, 'none') AS language, count(*) AS n FROM documents GROUP BY ALL"
+    q["template_match"] = f"""WITH {sets}, tp AS (SELECT DISTINCT ka AS id, kb AS id2, j FROM l WHERE ka < kb), x AS (SELECT id, id2, CASE WHEN id % 11 = id2 % 11 THEN 1.0 WHEN id % 5 = id2 % 5 THEN 0.97 ELSE least(1.0, j + CASE WHEN id % 2 = id2 % 2 THEN 0.05 ELSE 0.0 END) END::double AS score FROM tp)
+      SELECT id, id2, round(score, 6) AS score, CASE WHEN round(score, 9) >= 0.95 THEN 'same' WHEN round(score, 9) >= 0.8 THEN 'match' ELSE 'none' END AS level FROM x"""
+    q["domain_weights"] = f"""WITH {EV}, x AS (SELECT entity, category AS domain, 3 * count(*) FILTER (source = 'R') + 5 * count(*) FILTER (seq = 7) + count(*) FILTER (confidence > 0.97) AS points FROM ev GROUP BY ALL), m AS (SELECT *, max(points) OVER (PARTITION BY entity) AS most FROM x)
+      SELECT entity, domain, round(points / most, 6) AS share, row_number() OVER (PARTITION BY entity ORDER BY points DESC, domain)::int AS rank FROM m WHERE points > 0 QUALIFY rank <= 3
+      UNION ALL SELECT DISTINCT entity, 'general', 0.5, 1 FROM m WHERE most = 0"""
+    q["hashed_embeddings"] = f"""WITH w AS (SELECT item_id, list_transform(list_filter(string_split_regex({low}, '[^\\p{{L}}]+'), lambda w: w <> ''), lambda w: ('0x' || md5(w)[1:4])::int % 16) AS h FROM benchmark),
+      c AS (SELECT item_id, list_transform(range(16), lambda i: len(list_filter(h, lambda x: x = i))::double) AS c FROM w) SELECT item_id, {", ".join(f"round(c[{i + 1}] / greatest(sqrt(list_inner_product(c, c)), 1e-300), 6) AS e{i}" for i in range(16))} FROM c"""
+    q["index_rows"] = """SELECT kind, count(*) AS n, sum(length(text))::bigint AS chars FROM (SELECT 'skill' AS kind, p_name AS text FROM part UNION ALL SELECT 'bullet', text FROM conversations WHERE length(trim(text)) >= 20
+      UNION ALL SELECT 'title', regexp_extract(html, '<title>([^<]*)</title>', 1) FROM pages) WHERE trim(text) <> '' GROUP BY ALL"""
+    q["pooled_vectors"] = f"""WITH {VEC}, p AS (SELECT g AS "group", id % 50 AS part, avg(v[1]) AS a, avg(v[2]) AS b, avg(v[3]) AS c FROM vec GROUP BY ALL)
+      SELECT "group", part, round(a, 6) AS p0, round(b, 6) AS p1, round(c, 6) AS p2, round(exp(a) / (exp(a) + exp(b) + exp(c)), 6) AS s0 FROM p"""
+    q["detected_entities"] = f"""SELECT doc_id, kind, count(*) AS n, max(CASE kind WHEN 'email' THEN 0.95 ELSE 0.9 END)::double AS confidence FROM (SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all({T}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]+')) FROM documents
+      UNION ALL SELECT doc_id, 'url', unnest(regexp_extract_all({T}, 'https?://[A-Za-z0-9./_-]+')) FROM documents) GROUP BY ALL"""
+    q["chunked_scores"] = f"""WITH c AS (SELECT doc_id, unnest(list_transform(range(0, greatest(length({T}) - 1, 0) // 500 + 1), lambda i: substring({T}, i * 500 + 1, 500))) AS c FROM documents)
+      SELECT doc_id, round(avg((length(c) - length(replace(c, 'e', ''))) / greatest(length(c), 1)), 6) AS score FROM c GROUP BY ALL"""
+    q["required_cooccurrence"] = f"WITH {REQ} SELECT a.term AS src, b.term AS dst, sum(CASE WHEN a.importance = 0 AND b.importance = 0 THEN 2 ELSE 1 END)::bigint AS weight FROM req a JOIN req b ON a.spec = b.spec AND a.term < b.term GROUP BY ALL"
+    q["job_field_filters"] = f"""WITH {JOB}, sk AS (SELECT l_orderkey AS job_id, list_sort(list(DISTINCT p_name)) AS skills FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), j AS (SELECT job.*, skills[:11] AS skills FROM job JOIN sk USING (job_id))
+      SELECT count(*) FILTER (job_id % 4 = 0) AS startup, count(*) FILTER (job_id % 4 = 0) AS saas, count(*) FILTER (job_id % 4 <> 1) AS no_health, count(*) FILTER (NOT coalesce(is_remote, false) AND job_id % 3 = 0) AS hybrid,
+        count(*) FILTER (job_id % 3 = 0) AS is_hybrid, count(*) FILTER (list_has_any(skills, ['red gear', 'hot bolt'])) AS gear, count(*) FILTER (salary * 1.2 >= 300000) AS paid FROM j"""
     return q

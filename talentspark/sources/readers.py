@@ -110,6 +110,48 @@ def text_documents(spark: SparkSession, path: str) -> DataFrame:
     return d.withColumn("confidence", F.when(heads >= 2, 0.65).otherwise(0.4))
 
 
+def profile_files(spark: SparkSession, path: str) -> DataFrame:
+    """Landed .txt, .md and .html files as (name, kind, text, confidence); other kinds are left out.
+
+    Plain text has the confidence of ``text_documents``, Markdown 0.75 with two headings or more, else
+    0.5; HTML is stripped and has 0.6.
+    """
+    d = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("text"))
+    d = d.withColumn("kind", F.lower(F.regexp_extract("name", r"\.([A-Za-z]+)$", 1)))
+    d = d.withColumn("kind", F.when(F.col("kind") == "htm", "html").otherwise(F.col("kind"))).where(F.col("kind").isin("txt", "md", "html"))
+    marks = F.size(F.filter(F.split("text", "\n"), lambda x: x.startswith("#")))
+    heads = F.size(F.filter(F.split("text", "\n"), lambda x: (F.length(F.trim(x)).between(2, 60)) & (F.upper(x) == x) & x.rlike("[A-Z]")))
+    sure = F.when(F.col("kind") == "html", 0.6).when(F.col("kind") == "md", F.when(marks >= 2, 0.75).otherwise(0.5)).otherwise(F.when(heads >= 2, 0.65).otherwise(0.4))
+    return d.select("name", "kind", F.when(F.col("kind") == "html", T.strip_html(F.col("text"))).otherwise(F.col("text")).alias("text"), sure.alias("confidence"))
+
+
+def landed_mail(spark: SparkSession, path: str, preview: int = 500) -> DataFrame:
+    """Landed .eml files as (message_id, subject, sender, date, body_preview); a file without a message id is left out."""
+    d = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r\n", "\n").alias("m"))
+    head = lambda name: F.trim(F.regexp_extract(F.substring_index("m", "\n\n", 1), f"(?im)^{name}:[ ]*(.*)$", 1))
+    body = F.when(F.col("m").contains("\n\n"), F.expr("substring(m, instr(m, '\n\n') + 2)")).otherwise("")
+    sender = F.coalesce(F.when(head("From").contains("<"), F.regexp_extract(head("From"), "<([^>]*)>", 1)), head("From"))
+    date = F.try_to_timestamp(F.regexp_extract(head("Date"), r"([0-9]{1,2} [A-Za-z]{3} [0-9]{4} [0-9:]{8})", 1), F.lit("d MMM yyyy HH:mm:ss"))
+    out = d.select(F.translate(head("Message-ID"), "<>", "").alias("message_id"), head("Subject").alias("subject"), sender.alias("sender"), date.alias("date"), F.substring(body, 1, preview).alias("body_preview"))
+    return out.where("message_id <> ''")
+
+
+def job_rss(spark: SparkSession, path: str, keyword: str = "", limit: int = 0) -> DataFrame:
+    """Landed RSS feeds as rows of the job boards' schema; an optional keyword in title or description, and limit."""
+    items = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<item>(.*?)</item>"), 1)).alias("i"))
+    tag = lambda t: F.trim(F.regexp_replace(F.regexp_extract("i", f"(?s)<{t}[^>]*>(.*?)</{t}>", 1), r"<!\[CDATA\[|\]\]>", ""))
+    out = items.select(F.lit("rss").alias("source"), tag("guid").alias("external_id"), tag("title").alias("title"), tag("company").alias("company"), tag("location").alias("location"), tag("link").alias("url"), T.strip_html(tag("description")).alias("text"))
+    if keyword:
+        out = out.where(F.lower(F.concat_ws(" ", "title", "text")).contains(keyword.lower()))
+    return out.limit(limit) if limit else out
+
+
+def rules_from_json(spark: SparkSession, path: str) -> dict:
+    """A ruleset {label: [[mark, points], ..]} kept as one JSON document, for ``weighted_pattern`` and ``first_match``."""
+    text = "".join(r["value"] for r in spark.read.text(path, wholetext=True).limit(1).collect())
+    return {label: tuple((str(m), int(n)) for m, n in marks) for label, marks in json.loads(text).items()}
+
+
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
     """``canonical: alias, alias`` lines (# comments) as (alias, canonical), each canonical being its own alias."""
     x = spark.read.text(path).where("trim(value) <> '' and value not like '#%'")

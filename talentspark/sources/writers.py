@@ -29,3 +29,14 @@ def dictionary_lines(relations: DataFrame) -> DataFrame:
     """``canonical: alias, alias`` lines, sorted, ready for write.text."""
     g = relations.groupBy("canonical").agg(F.array_join(F.array_sort(F.collect_set("alias")), ", ").alias("a"))
     return g.select(F.concat("canonical", F.lit(": "), "a").alias("value")).orderBy("value")
+
+
+def export_state(tables: dict[str, DataFrame], path: str) -> None:
+    """Every table as JSON lines below ``path``."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def import_state(spark, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables ``export_state`` wrote, read by their schemas."""
+    return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in schemas.items()}
