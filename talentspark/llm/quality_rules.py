@@ -4,12 +4,14 @@ A threshold table (measure, least, most, from how many words on) is compiled int
 boolean column over measures of length, symbols, stop words and lines; the measures are
 built-in array and string expressions.  Repeated five-word windows are found through
 64-bit hashes of the windows of one text; a text without an equal pair of hashes, which
-is nearly every text, needs no more than that.
+is nearly every text, needs no more than that.  In the others the windows themselves are
+compared.
 
 Defined cases: null text has no words; texts under ten words or with many repeated words
-fail the base rule; ratios of a text without words are null and pass no verdict; repeated
-rows are judged one by one; an empty table gives an empty result.  Only ``doc_id`` and
-``text`` are read.
+fail the base rule; a measure equal to a limit holds; ratios of a text without words are
+null and pass no verdict; very long texts are measured whole; null and repeated ids are
+rows like any other, judged one by one; an empty table gives an empty result.  Only
+``doc_id`` and ``text`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
 
 
 def _twice(marked: str) -> Column:
-    """Positions whose window hash equals a neighbour's in the array column of sorted (hash, position)."""
+    """Positions whose window equals a neighbour's in the array column of sorted (window, position)."""
     same = lambda s, i: F.coalesce(F.get(marked, i)["h"] == s["h"], F.lit(False))
     flagged = F.transform(marked, lambda s, i: F.when(same(s, i - 1) | same(s, i + 1), s["p"]))
     return F.sort_array(F.filter(flagged, lambda p: p.isNotNull()))
@@ -103,8 +105,9 @@ def measures(documents: DataFrame, window: int = 5) -> DataFrame:
     # Array columns that lambdas look into are columns of their own: a lambda would build an expression anew for each element.
     kept = ["doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_marked", "stop_words"]
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
-    numbered = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
-    df = df.select(*kept, F.when(repeats, numbered).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")).alias("marked"))
+    # Words hold no blank, so windows joined by blanks are equal only if their words are.
+    numbered = F.transform(F.sequence(F.lit(0), F.size("words") - window), lambda i: F.struct(F.array_join(F.slice("words", i + 1, window), " ").alias("h"), i.alias("p")))
+    df = df.select(*kept, F.when(repeats, F.sort_array(numbered)).otherwise(F.array().cast("array<struct<h:string,p:int>>")).alias("marked"))
     df = df.select(*kept, _twice("marked").alias("at"))
     return df.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "stop_words",
