@@ -9,14 +9,17 @@ threshold t is probed by masks that leave out t of its bits: fingerprints that a
 under a mask form a bucket.
 
 Small buckets are compared pair by pair.  A fingerprint in any large bucket is keyed, once,
-by itself and its 64 one-bit variants: fingerprints that share such a key are within two
-bits of each other, and all pairs within two bits share one, so buckets of any size cost
-65 rows a fingerprint.  Exact copies are one fingerprint
+by itself and its variants of half the distance in bits (65 at two bits): fingerprints that
+share such a key are within the distance of each other, and all pairs within it share one,
+so buckets of any size cost as many rows a fingerprint as it has variants.  Both ways are
+exact, so the bound between them only decides the cost.  Exact copies are one fingerprint
 throughout.  Links become components by ``components``.
 
 Defined cases: null text counts as empty; texts without a word have fingerprint zero and
-link like any other; repeated ids stay separate rows; an empty table gives an empty
-result.  Only ``doc_id`` and ``text`` are read.
+link like any other; a bit set in exactly half the shingles is 0; very long texts are
+hashed whole, a block of shingles at a time; repeated and null ids stay separate rows, a
+component being named by its smallest id (null where none has one); an empty table gives
+an empty result.  Only ``doc_id`` and ``text`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -147,15 +150,28 @@ def links(nodes: DataFrame, masks: list[int], distance: int = 2, small: int = 32
     right = low.select("i", "k", F.col("fp").alias("fp2"), F.col("node").alias("node2"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance
     pairs = low.join(right, ["i", "k"]).where((F.col("node") < F.col("node2")) & near).select(F.col("node").alias("u"), F.col("node2").alias("v"))
-    if distance != 2:
-        raise ValueError("large buckets are solved for two bits")
-    # Large buckets: each fingerprint once, under itself and its one-bit variants, whatever number of large buckets it is in.
-    flips = F.array(*[F.lit(b).cast("long") for b in [0, *(_mask([p]) for p in range(BITS))]])
-    keyed = inside.where(F.col("n") > small).select("fp", "node").distinct()
-    keyed = keyed.select("node", F.explode(F.transform(flips, lambda b: F.col("fp").bitwiseXOR(b))).alias("key"))
-    # At most 65 fingerprints share a key.
-    stars = keyed.groupBy("key").agg(F.min("node").alias("u"), F.collect_list("node").alias("vs")).where(F.size("vs") > 1)
-    return pairs.unionByName(stars.select("u", F.explode("vs").alias("v")).where("u <> v"))
+    # Large buckets: each fingerprint once, under its variants of up to half the distance in flipped bits, whatever number of large
+    # buckets it is in.  What shares a key is within the distance, and all pairs within it share one.
+    large = inside.where(F.col("n") > small).select("fp", "node").distinct()
+    few = _variants(large, distance // 2)
+    if distance % 2 == 0:
+        # At most 65 fingerprints share a key at two bits.
+        keyed = few.groupBy("key").agg(F.min("node").alias("u"), F.collect_list("node").alias("vs")).where(F.size("vs") > 1)
+        met = keyed.select("u", F.explode("vs").alias("v"))
+    else:
+        # An odd distance: the smallest near fingerprint of a key links to the farther ones.
+        stars = few.groupBy("key").agg(F.min("node").alias("u"))
+        met = _variants(large, distance // 2 + 1).join(stars, "key").select("u", F.col("node").alias("v"))
+    return pairs.unionByName(met.where("u <> v"))
+
+
+def _variants(nodes: DataFrame, flips: int) -> DataFrame:
+    """(node, key): every fingerprint with up to ``flips`` of its bits turned."""
+    if flips > 2:
+        raise ValueError("large buckets are solved up to four bits")
+    masks = [_mask(list(out)) for n in range(flips + 1) for out in combinations(range(BITS), n)]
+    table = F.array(*[F.lit(m).cast("long") for m in masks])
+    return nodes.select("node", F.explode(F.transform(table, lambda b: F.col("fp").bitwiseXOR(b))).alias("key"))
 
 
 def near_duplicates(documents: DataFrame, distance: int = 2, shingle: int = 3, sample: int = 4096) -> DataFrame:

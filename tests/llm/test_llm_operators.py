@@ -173,16 +173,16 @@ def test_simhash(spark, docs, empty):
     assert simhash.fingerprint("a b") == simhash.fingerprint(" A  b ") and simhash.fingerprint(None) == 0
 
 
-@pytest.mark.parametrize("small_bucket", [0, 2, 32])
-def test_simhash_links(spark, small_bucket):
-    """Pairs within two bits stay connected through buckets of either kind, and no other pair links."""
+@pytest.mark.parametrize("small_bucket,distance", [(0, 2), (2, 2), (32, 2), (0, 1), (2, 3)])
+def test_simhash_links(spark, small_bucket, distance):
+    """Pairs within the distance stay connected through buckets of either kind, and no other pair links."""
     rng = np.random.default_rng(3)
     centres = rng.integers(-(2**62), 2**62, 12)
     fps = np.unique(np.concatenate([c ^ np.bitwise_or(1 << rng.integers(0, 63, 40), 1 << rng.integers(0, 63, 40)) for c in centres] + [rng.integers(-(2**62), 2**62, 200)]))
-    masks = simhash.plan_masks(fps, len(fps))
+    masks = simhash.plan_masks(fps, len(fps), distance)
     bits = simhash._bits(fps).astype(int)
-    near = (bits[:, None] != bits[None]).sum(2) <= 2
-    edges = simhash.links(spark.createDataFrame([(int(f), i) for i, f in enumerate(fps)], "fp long, node long"), masks, small=small_bucket).collect()
+    near = (bits[:, None] != bits[None]).sum(2) <= distance
+    edges = simhash.links(spark.createDataFrame([(int(f), i) for i, f in enumerate(fps)], "fp long, node long"), masks, distance, small=small_bucket).collect()
     assert all(near[r["u"], r["v"]] for r in edges)
     assert reach(len(fps), [(r["u"], r["v"]) for r in edges]) == reach(len(fps), list(zip(*map(list, np.nonzero(near)))))
 
