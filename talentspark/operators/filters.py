@@ -163,6 +163,14 @@ def dashboard(entries: DataFrame, category: str | None = None, text: str | None
     return out.where(~F.lower("skill").isin([d.lower() for d in dismissed])) if dismissed else out
 
 
+def aspects(jobs: DataFrame, id_col: str, kinds: dict[str, Column]) -> DataFrame:
+    """(kind, value, id) of every different aspect of the postings, without case: the form and the posting that had it first."""
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("kind"), v.alias("value")) for i, (k, v) in enumerate(kinds.items())])
+    a = jobs.select(id_col, F.explode(rows).alias("a")).select(id_col, "a.*").withColumn("_low", F.lower("value"))
+    first = a.groupBy("kind", "_low").agg(F.min_by(F.struct("value", id_col), F.struct(id_col, "i")).alias("b"))
+    return first.select("kind", "b.value", f"b.{id_col}")
+
+
 def company_cooldown(jobs: DataFrame, applied: DataFrame, days: int = 14) -> DataFrame:
     """Jobs at a company applied(company, applied) to within ``days`` before they were created; case is ignored."""
     last = applied.groupBy(F.lower("company").alias("_k")).agg(F.max("applied").alias("last"))

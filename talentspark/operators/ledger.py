@@ -127,6 +127,14 @@ def repository_strength(size_kb: Column, skills: Column, stars: Column, idle_day
     return 0.25 * part(size_kb, 10000) + 0.3 * part(skills, 10) + 0.2 * part(stars, 20) + 0.25 * recency
 
 
+def byte_shares(sizes: DataFrame, key: str, item: str, size: str, least: float = 0.05) -> DataFrame:
+    """(key, item, share, confidence) of each item's share of its key's bytes, from ``least`` on; half as much again, and 0.1, as evidence."""
+    total = sizes.groupBy(key).agg(F.sum(size).alias("_total"))
+    x = sizes.groupBy(key, item).agg(F.sum(size).alias("_size")).join(total, key).withColumn("share", F.col("_size") / F.col("_total"))
+    confidence = F.least(F.lit(0.95), F.least(F.lit(1.0), F.col("share") * 1.5) + 0.1)
+    return x.where(F.col("share") >= least).select(key, item, "share", confidence.alias("confidence"))
+
+
 def top_evidence(evidence: DataFrame, k: int = 3) -> DataFrame:
     """The k best pieces of evidence of each entry: confidence, then the latest start."""
     w = Window.partitionBy(*KEY).orderBy(F.desc("confidence"), F.desc("start_date"), "experience", "seq")

@@ -42,13 +42,25 @@ def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     return keys.join(grams, "g").where(F.col("whole").contains(F.col("part"))).select("part", "whole")
 
 
+def digest(text: Column) -> Column:
+    """What stands for a text in joins: the MD5 of its lower-cased form."""
+    return F.md5(F.lower(text))
+
+
 def mentioned(phrases: DataFrame, texts: DataFrame) -> DataFrame:
-    """(phrase, text): every lower-cased phrase inside a text, distinct; a phrase's longest word meets the texts' words first."""
+    """(phrase, digest): every lower-cased phrase and the digest of every text it is inside, distinct.
+
+    A phrase's longest word meets the texts' words first; only digests travel until ``contains`` decides.
+    """
     p = _strings(phrases, "phrase").withColumn("key", F.element_at(F.array_sort(F.transform(F.split("phrase", " "), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"])
-    words = _strings(texts, "text").select("text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    t = texts.select(F.lower(texts.columns[0]).alias("text")).where("text <> ''").select(digest(F.col("text")).alias("digest"), "text")
+    words = t.select("digest", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
     hits = contained(p.select("key"), words.select("word"))
-    met = p.join(hits, F.col("key") == F.col("part")).join(words, F.col("whole") == F.col("word"))
-    return met.where(F.col("text").contains(F.col("phrase"))).select("phrase", "text").distinct()
+    met = p.join(hits, F.col("key") == F.col("part")).select("phrase", F.col("whole").alias("word")).join(words, "word").select("phrase", "digest").distinct()
+    single = met.where(~F.col("phrase").contains(" "))
+    several = met.where(F.col("phrase").contains(" ")).groupBy("digest").agg(F.collect_set("phrase").alias("phrases")).join(t.dropDuplicates(["digest"]), "digest")
+    several = several.select(F.explode(F.filter("phrases", lambda x: F.col("text").contains(x))).alias("phrase"), "digest")
+    return single.unionByName(several)
 
 
 def equivalent(skills: DataFrame, terms: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -73,12 +85,12 @@ def from_achievements(terms: DataFrame, texts: DataFrame, stop_words: tuple[str,
     t = _strings(terms, "term")
     w = t.withColumn("words", F.filter(F.split("term", " "), lambda x: (F.length(x) > 3) & ~x.isin(*stop_words)))
     w = w.select("term", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-    own = texts.select("entity", F.lower("text").alias("text")).distinct()
-    words = own.select("text").distinct().select("text", F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
+    own = texts.select("entity", digest(F.col("text")).alias("digest")).distinct()
+    words = texts.select(digest(F.col("text")).alias("digest"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("token")).distinct()
     hits = contained(w.select("word"), words.select("token"))
-    hits = words.join(hits, F.col("token") == F.col("whole")).select("text", F.col("part").alias("word")).distinct()
-    good = w.join(hits, "word").groupBy("term", "n", "text").agg(F.count("*").alias("hits")).where((F.col("hits") >= 2) | (F.col("n") == 1))
-    return own.join(good.select("term", "text"), "text").select("entity", "term").distinct()
+    hits = words.join(hits, F.col("token") == F.col("whole")).select("digest", F.col("part").alias("word")).distinct()
+    good = w.join(hits, "word").groupBy("term", "n", "digest").agg(F.count("*").alias("hits")).where((F.col("hits") >= 2) | (F.col("n") == 1))
+    return own.join(good.select("term", "digest"), "digest").select("entity", "term").distinct()
 
 
 def best_entries(ledger: DataFrame, requirements: DataFrame, synonyms: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
@@ -90,17 +102,16 @@ def best_entries(ledger: DataFrame, requirements: DataFrame, synonyms: DataFrame
     terms = requirements.select("term").distinct().withColumn("low", F.lower("term"))
     pairs = vocabulary_matches(ledger.select("skill"), terms.select("term"), synonyms).select(F.col("skill").alias("low_skill"), F.col("term").alias("low"), "tier")
     pairs = pairs.join(terms, "low").select("low_skill", "term", "tier")
-    rows = ledger.select("entity", "skill", "strength", F.lower("skill").alias("low_skill")).join(pairs, "low_skill")
-    order = F.struct((-F.round("strength", 6)).alias("s"), "skill", "tier")
+    rows = ledger.select("entity", "skill", "strength", F.lower("skill").alias("low_skill")).join(pairs, "low_skill").select("entity", "term", "skill", "strength", "tier")
+    if texts is not None:
+        strongest = ledger.groupBy("entity").agg(F.max("strength").alias("strength"))
+        more = from_achievements(terms.select("term"), texts).withColumnRenamed("term", "low").join(terms, "low").join(strongest, "entity")
+        rows = rows.unionByName(more.select("entity", "term", F.lit("(evidence)").alias("skill"), "strength", F.lit(3).alias("tier")))
+    # A text counts only where no entry does.
+    order = F.struct((F.col("tier") == 3).alias("late"), (-F.round("strength", 6)).alias("s"), "skill", "tier")
     best = rows.groupBy("entity", "term").agg(F.min_by(F.struct("skill", "strength", "tier"), order).alias("b"))
-    similarity = F.when(F.col("b.tier") == 1, SUBSTRING).otherwise(EQUIVALENT)
-    best = best.select("entity", "term", "b.skill", "b.strength", similarity.alias("similarity"))
-    if texts is None:
-        return best
-    strongest = ledger.groupBy("entity").agg(F.max("strength").alias("strength"))
-    more = from_achievements(terms.select("term"), texts).withColumnRenamed("term", "low").join(terms, "low").join(best.select("entity", "term"), ["entity", "term"], "left_anti")
-    more = more.join(strongest, "entity").select("entity", "term", F.lit("(evidence)").alias("skill"), "strength", F.lit(FALLBACK).alias("similarity"))
-    return best.unionByName(more)
+    similarity = F.when(F.col("b.tier") == 1, SUBSTRING).when(F.col("b.tier") == 2, EQUIVALENT).otherwise(FALLBACK)
+    return best.select("entity", "term", "b.skill", "b.strength", similarity.alias("similarity"))
 
 
 def tiered_match(best: DataFrame, requirements: DataFrame) -> DataFrame:
@@ -224,8 +235,8 @@ def keyword_overlap(needs: DataFrame, offers: DataFrame, least: int = 2, longer_
 def covered_terms(requirements: DataFrame, evidence: DataFrame) -> DataFrame:
     """(entity, term, seq, text) of the first evidence(entity, seq, text) that holds each term; case is ignored."""
     terms = requirements.select("term").distinct()
-    met = mentioned(terms, evidence.select("text")).withColumnRenamed("text", "low").join(terms, F.col("phrase") == F.lower("term"))
-    first = evidence.withColumn("low", F.lower("text")).join(met.select("term", "low"), "low").groupBy("entity", "term").agg(F.min(F.struct("seq", "text")).alias("b"))
+    met = mentioned(terms, evidence.select("text")).join(terms, F.col("phrase") == F.lower("term"))
+    first = evidence.withColumn("digest", digest(F.col("text"))).join(met.select("term", "digest"), "digest").groupBy("entity", "term").agg(F.min(F.struct("seq", "text")).alias("b"))
     return first.select("entity", "term", "b.seq", "b.text")
 
 
@@ -246,8 +257,9 @@ def coverage_report(covered: DataFrame, specs: DataFrame) -> DataFrame:
 def discover_evidence(skills: DataFrame, texts: DataFrame) -> DataFrame:
     """(entity, skill, text, confidence 0.85) of known skills of two letters or more named in texts(entity, text)."""
     names = skills.select("skill").where(F.length("skill") >= 2).distinct()
-    met = mentioned(names, texts.select("text")).withColumnRenamed("text", "low").join(names, F.col("phrase") == F.lower("skill"))
-    return texts.select("entity", "text", F.lower("text").alias("low")).distinct().join(met.select("skill", "low"), "low").select("entity", "skill", "text", F.lit(0.85).alias("confidence"))
+    met = mentioned(names, texts.select("text")).join(names, F.col("phrase") == F.lower("skill"))
+    own = texts.select("entity", "text").distinct().withColumn("digest", digest(F.col("text")))
+    return own.join(met.select("skill", "digest"), "digest").select("entity", "skill", "text", F.lit(0.85).alias("confidence"))
 
 
 def title_reflected(title: Column, summary: Column) -> Column:
@@ -313,7 +325,7 @@ def mail_match(mails: DataFrame, applications: DataFrame) -> DataFrame:
     other = ~F.coalesce((F.col("recruiter") != "") & (F.col("sender") == F.col("recruiter")), F.lit(False))
     domain = m.join(pairs, "label").join(a, "squeezed").where(other).select("message_id", "application_id", (0.6 + points(title, 0.3) + points(named, 0.2)).alias("score"))
     texts = m.select("message_id", F.explode(F.array("subject", "body")).alias("text"))
-    told = mentioned(a.select("company"), texts.select("text")).join(texts, "text").select("message_id", F.col("phrase").alias("company")).distinct()
+    told = mentioned(a.select("company"), texts.select("text")).join(texts.select("message_id", digest(F.col("text")).alias("digest")), "digest").select("message_id", F.col("phrase").alias("company")).distinct()
     by_text = told.join(m, "message_id").join(a, "company").where(other & title & named).select("message_id", "application_id", F.lit(0.5).alias("score"))
     both = exact.unionByName(domain).unionByName(by_text)
     best = both.groupBy("message_id").agg(F.max_by(F.struct("application_id", "score"), F.struct(F.round("score", 6).alias("s"), -F.col("application_id"))).alias("b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .matching import mentioned
+from .matching import digest, mentioned
 
 
 def distinct_ignoring_case(items: Column) -> Column:
@@ -60,13 +60,13 @@ def lines_from_boxes(boxes: DataFrame, bucket: float = 3.0, wide: float = 40.0,
 
 def entity_lookup(docs: DataFrame, id_col: str, names: DataFrame) -> DataFrame:
     """(id, name, kind) of names(name, kind) found in texts: companies between signs that are no letter or digit, others anywhere."""
-    texts = docs.select(id_col, F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    met = mentioned(names.select("name"), texts.select("low")).withColumnRenamed("text", "low")
+    texts = docs.select(id_col, F.lower(F.coalesce("text", F.lit(""))).alias("low")).withColumn("digest", digest(F.col("low")))
     known = names.select(F.lower("name").alias("phrase"), "name", "kind")
+    met = mentioned(names.select("name"), texts.select("low")).join(known, "phrase").groupBy("digest").agg(F.collect_set(F.struct("name", "kind", "phrase")).alias("found"))
     signs = F.concat(F.lit(" "), F.regexp_replace("low", r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    asked = F.concat(F.lit(" "), F.trim(F.regexp_replace("phrase", r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    hits = met.join(known, "phrase").where((F.col("kind") != "company") | signs.contains(asked))
-    return texts.join(hits.select("low", "name", "kind"), "low").select(id_col, "name", "kind").distinct()
+    asked = lambda x: F.concat(F.lit(" "), F.trim(F.regexp_replace(x["phrase"], r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    hits = texts.join(met, "digest").withColumn("signs", signs).withColumn("hits", F.filter("found", lambda x: (x["kind"] != "company") | F.col("signs").contains(asked(x))))
+    return hits.select(id_col, F.explode("hits").alias("h")).select(id_col, "h.name", "h.kind").distinct()
 
 
 def categorised(skills: DataFrame, taxonomy: DataFrame, default: str = "other") -> DataFrame:

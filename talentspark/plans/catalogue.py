@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.vectors import norm
 from ..operators import dedup, filters, graph, ledger, matching, quality, records, search, tracking
 from ..operators.filters import Leaf, Node
+from ..sources.writers import written
 from . import oracles
 from .bindings import AS_OF, achievements, adjacent, application_events, evidence, posting_skills, postings, requirements, synonyms, table, votes
 
@@ -203,9 +204,7 @@ def multi_label_keywords(s, d):
 def aspect_extract_dedup(s, d):
     j = postings(s, d)
     kinds = {"company": F.col("company"), "location": F.col("location"), "title": F.col("title"), "band": filters.salary_band(F.col("salary")), "model": F.when(F.col("is_remote"), "Remote").otherwise("Onsite")}
-    aspects = j.select("job_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("kind"), v.alias("value")) for i, (k, v) in enumerate(kinds.items())])).alias("a")).select("job_id", "a.*")
-    first = dedup.latest_per_key(aspects.withColumn("low", F.lower("value")), ["kind", "low"], [F.col("job_id"), F.col("i")])
-    return first.select("kind", "value", "job_id")
+    return filters.aspects(j, "job_id", kinds).select("kind", "value", "job_id")
 
 
 @query
@@ -219,12 +218,13 @@ def anonymise_projection(s, d):
 
 
 def _best(s, d):
-    return matching.best_entries(_ledger(s, d), requirements(s, d), synonyms(s, d), achievements(s, d))
+    entries = written(_ledger(s, d).select("entity", "skill", "strength"), "ledger")
+    return written(matching.best_entries(entries, written(requirements(s, d), "requirements"), synonyms(s, d), achievements(s, d)), "best")
 
 
 def _sets(s, d):
-    specs = matching.spec_classes(requirements(s, d))
-    return matching.entity_sets(_best(s, d), specs), specs
+    specs = written(matching.spec_classes(requirements(s, d)), "specs")
+    return written(matching.entity_sets(_best(s, d), specs), "sets"), specs
 
 
 @query
@@ -310,7 +310,7 @@ def coverage_keyword_overlap(s, d):
 
 
 def _gap_sets(s, d):
-    specs = matching.spec_classes(requirements(s, d))
+    specs = written(matching.spec_classes(requirements(s, d)), "specs")
     return matching.gap_sets(_best(s, d), adjacent(s, d), specs), specs
 
 
@@ -346,9 +346,8 @@ def email_app_match_score(s, d):
 @query
 def company_cooldown(s, d):
     j = postings(s, d)
-    recent = j.where("is_remote").groupBy(F.lower("company").alias("k")).agg(F.max("created").alias("last"))
-    hit = j.join(recent, F.lower("company") == F.col("k"))
-    return hit.where(F.datediff("created", "last").between(0, 14) & ~F.coalesce("is_remote", F.lit(False))).select("job_id", "company", *day("created", "last"))
+    applied = j.where("is_remote").select("company", F.col("created").alias("applied"))
+    return filters.company_cooldown(j.where(~F.coalesce("is_remote", F.lit(False))), applied).select("job_id", "company", *day("created", "last"))
 
 
 @query
@@ -753,9 +752,8 @@ def skill_groups_export(s, d):
 
 @query
 def byte_share(s, d):
-    g = table(s, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.sum("l_quantity").alias("q"))
-    x = g.withColumn("share", F.col("q") / F.sum("q").over(Window.partitionBy("l_suppkey")))
-    return x.where("share >= 0.05").select("l_suppkey", "l_returnflag", F.round("share", 6).alias("share"), F.round(F.least(F.lit(0.95), F.least(F.lit(1.0), F.col("share") * 1.5) + 0.1), 6).alias("confidence"))
+    x = ledger.byte_shares(table(s, d, "lineitem"), "l_suppkey", "l_returnflag", "l_quantity")
+    return x.select("l_suppkey", "l_returnflag", *r6("share", "confidence"))
 
 
 @query
