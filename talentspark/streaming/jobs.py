@@ -80,15 +80,14 @@ def watch_poll(watches: DataFrame, path: str, k: int = 3) -> Callable[[DataFrame
     notifications (watch, n, top) are appended a batch at a time.
     """
 
+    watches.sparkSession.createDataFrame([], "watch string, last_polled date").write.mode("ignore").parquet(f"{path}/state/batch=-1")
+
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         now = batch.agg(F.max("ts").alias("now")).first()["now"]
         if now is None:
             return
-        schema = "watch string, last_polled date, batch long"
-        fs = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/state")
-        there = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
-        runs = spark.read.schema(schema).parquet(f"{path}/state").where(F.col("batch") < batch_id) if there else spark.createDataFrame([], schema)
+        runs = spark.read.schema("watch string, last_polled date, batch long").parquet(f"{path}/state").where(F.col("batch") < batch_id)
         last = runs.groupBy("watch").agg(F.max("last_polled").alias("last_polled"))
         due = watch_due(watches.join(last, "watch", "left"), str(now.date())).where("due")
         found = batch.join(due, F.lower("title").contains(F.lower("keyword"))).select("watch", "job_id", "score", "title")
