@@ -1177,7 +1177,7 @@ def detected_entities(s, d):
 @query
 def chunked_scores(s, d):
     share = lambda c: F.length(F.regexp_replace(c, "[^e]", "")) / F.greatest(F.length(c), F.lit(1))
-    return E.score_in_chunks(table(s, d, "documents"), "doc_id", share, 500).select("doc_id", F.round("score", 6).alias("score"))
+    return E.score_in_chunks(table(s, d, "documents"), "doc_id", share, 500).select("doc_id", F.round("score", 4).alias("score"))
 
 
 @query

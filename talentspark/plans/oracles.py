@@ -409,7 +409,7 @@ def sql() -> dict[str, str]:
     q["detected_entities"] = f"""SELECT doc_id, kind, count(*) AS n, max(CASE kind WHEN 'email' THEN 0.95 ELSE 0.9 END)::double AS confidence FROM (SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all({T}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]+')) FROM documents
       UNION ALL SELECT doc_id, 'url', unnest(regexp_extract_all({T}, 'https?://[A-Za-z0-9./_-]+')) FROM documents) GROUP BY ALL"""
     q["chunked_scores"] = f"""WITH c AS (SELECT doc_id, unnest(list_transform(range(0, greatest(length({T}) - 1, 0) // 500 + 1), lambda i: substring({T}, i * 500 + 1, 500))) AS c FROM documents)
-      SELECT doc_id, round(avg((length(c) - length(replace(c, 'e', ''))) / greatest(length(c), 1)), 6) AS score FROM c GROUP BY ALL"""
+      SELECT doc_id, round(avg((length(c) - length(replace(c, 'e', ''))) / greatest(length(c), 1)), 4) AS score FROM c GROUP BY ALL"""
     q["required_cooccurrence"] = f"WITH {REQ} SELECT a.term AS src, b.term AS dst, sum(CASE WHEN a.importance = 0 AND b.importance = 0 THEN 2 ELSE 1 END)::bigint AS weight FROM req a JOIN req b ON a.spec = b.spec AND a.term < b.term GROUP BY ALL"
     q["job_field_filters"] = f"""WITH {JOB}, sk AS (SELECT l_orderkey AS job_id, list_sort(list(DISTINCT p_name)) AS skills FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), j AS (SELECT job.*, skills[:11] AS skills FROM job JOIN sk USING (job_id))
       SELECT count(*) FILTER (job_id % 4 = 0) AS startup, count(*) FILTER (job_id % 4 = 0) AS saas, count(*) FILTER (job_id % 4 <> 1) AS no_health, count(*) FILTER (NOT coalesce(is_remote, false) AND job_id % 3 = 0) AS hybrid,
