@@ -8,6 +8,7 @@ import types
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -40,6 +41,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def with_conf(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the jobs that run inside; put back at the end."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def held_out(doc_id: str, modulus: int, remainder: int):
     """True for rows whose crc32(id as text) leaves ``remainder``: never learned from."""
     return F.crc32(F.col(doc_id).cast("string")) % modulus == remainder
