@@ -33,6 +33,8 @@ from .runtime import materialize, texts_of, with_conf, worker_cache
 
 #: White space by any of the engines' definitions: no cut is made behind it.
 _SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Ids as they travel.
+_ID = np.dtype("<u4")
 #: Noncharacters, one of which marks the cuts.
 _MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 
@@ -133,13 +135,17 @@ class _Sides:
         # The library puts a blank before a text; behind a line end a piece stands as it does inside one.
         b = [x[len(self.before) :] for x in self.b.encode(["\n" + p for p in pieces], num_threads=1)]
         own_a, own_b = ([[byte[i] for i in ids] for ids in side] for byte, side in ((self.bytes_a, a), (self.bytes_b, b)))
-        good = [b"".join(x) == b"".join(y) == p.encode() for p, x, y in zip(pieces, own_a, own_b)]
-        a, b = ([ids if ok else [] for ids, ok in zip(side, good)] for side in (a, b))
-        return {"a": a, "a_bytes": [list(map(len, x)) if ok else [] for x, ok in zip(own_a, good)], "b": b, "b_bytes": [list(map(len, x)) if ok else [] for x, ok in zip(own_b, good)]}
+        out: dict[str, list] = {"a": [], "a_bytes": [], "b": [], "b_bytes": []}
+        for piece, ids_a, ids_b, x, y in zip(pieces, a, b, own_a, own_b):
+            good = b"".join(x) == b"".join(y) == piece.encode()
+            for name, ids, own in (("a", ids_a, x), ("b", ids_b, y)):
+                out[name].append(np.array(ids, _ID).tobytes() if good else b"")
+                out[f"{name}_bytes"].append(list(map(len, own)) if good else [])
+        return out
 
 
 def tokenized(pieces: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(piece, a, a_bytes, b, b_bytes): ids and byte lengths of both sides; none where joined bytes differ from the piece."""
+    """(piece, a, a_bytes, b, b_bytes): packed ids and byte lengths of both sides; none where joined bytes differ from the piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -151,81 +157,96 @@ def tokenized(pieces: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for at in range(0, len(own), 2000):
                 part = own.slice(at, 2000)
                 found = sides.tokens(part.to_pylist())
-                yield pa.RecordBatch.from_arrays([part, *(pa.array(v, pa.list_(pa.int32())) for v in found.values())], names=["piece", *found])
+                types = {c: pa.list_(pa.int32()) if c.endswith("bytes") else pa.binary() for c in found}
+                yield pa.RecordBatch.from_arrays([part, *(pa.array(v, types[c]) for c, v in found.items())], names=["piece", *found])
 
-    return pieces.select("piece").mapInArrow(run, "piece string, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
+    return pieces.select("piece").mapInArrow(run, "piece string, a binary, a_bytes array<int>, b binary, b_bytes array<int>")
 
 
 def align(tokens: DataFrame, partitions: int) -> DataFrame:
-    """(key, n_a, n_b, n_groups, groups, link_a, link_b) of tokens (key, a, a_bytes, b, b_bytes).
+    """(key, path) of tokens (key, a_bytes, b_bytes): a letter for every link, in order of offsets.
 
-    ``groups`` is ``a1,a2|b1;a3|b2,b3``; the link arrays hold the ids of every linked pair of token occurrences.
+    ``a``: the link's A token ends first, so the next link has the next A token; ``b`` likewise; ``c``: both end, a cut.
     """
-    dealt = tokens.repartition(partitions, "key")
+    dealt = tokens.select("key", "a_bytes", "b_bytes").repartition(partitions, "key")
     in_order = Window.partitionBy("key").orderBy("pos")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def side(s: str) -> DataFrame:
-        rows = dealt.select("key", F.posexplode(F.arrays_zip(F.col(s).alias("id"), F.col(f"{s}_bytes").alias("bytes"))).alias("pos", "t"))
-        rows = rows.select("key", "pos", F.col("t.id").alias("id"), F.col("t.bytes").alias("bytes"))
+        rows = dealt.select("key", F.posexplode(f"{s}_bytes").alias("pos", "bytes"))
         return rows.withColumn("end", F.sum("bytes").over(so_far))
 
     def grouped(own: DataFrame, other: DataFrame, s: str) -> DataFrame:
         cuts = other.select("key", "end", F.lit(1).alias("cut")).hint("shuffle_hash")
         rows = own.join(cuts, ["key", "end"], "left")
-        g = F.count("cut").over(so_far) - F.count("cut").over(in_order.rowsBetween(Window.currentRow, Window.currentRow))
-        return rows.select("key", g.alias("g"), F.struct("pos", "id").alias(s), (F.col("end") - F.col("bytes")).alias(f"{s}_from"), F.col("end").alias(f"{s}_to"))
+        before = F.count("cut").over(so_far) - F.when(F.col("cut").isNull(), 0).otherwise(1)
+        return rows.select("key", before.alias("g"), (F.col("end") - F.col("bytes")).alias(f"{s}_from"), F.col("end").alias(f"{s}_to"))
 
     links = grouped(side("a"), side("b"), "a").join(grouped(side("b"), side("a"), "b").hint("shuffle_hash"), ["key", "g"])
     links = links.where((F.col("a_from") < F.col("b_to")) & (F.col("b_from") < F.col("a_to")))
-    ids = lambda c: F.transform(F.array_sort(c), lambda x: x["id"])
-    group = links.groupBy("key", "g").agg(F.collect_set("a").alias("as"), F.collect_set("b").alias("bs"), F.collect_list("a.id").alias("link_a"), F.collect_list("b.id").alias("link_b"))
-    text = F.concat(F.array_join(ids(F.col("as")), ","), F.lit("|"), F.array_join(ids(F.col("bs")), ","))
-    whole = group.groupBy("key").agg(
-        F.sum(F.size("as")).cast("int").alias("n_a"), F.sum(F.size("bs")).cast("int").alias("n_b"), F.count("*").cast("int").alias("n_groups"),
-        F.array_sort(F.collect_list(F.struct("g", text.alias("t")))).alias("ts"), F.collect_list(F.struct("link_a", "link_b")).alias("ls"),
-    )
-    return whole.select(
-        "key", "n_a", "n_b", "n_groups", F.array_join(F.transform("ts", lambda x: x["t"]), ";").alias("groups"), F.flatten("ls.link_a").alias("link_a"), F.flatten("ls.link_b").alias("link_b")
-    )
-
-
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column and where each row's end."""
-    lists = column.combine_chunks()
-    return lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    step = F.when(F.col("a_to") < F.col("b_to"), "a").when(F.col("a_to") > F.col("b_to"), "b").otherwise("c")
+    steps = links.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.least("a_to", "b_to").alias("at"), step.alias("step")))).alias("steps"))
+    return steps.select("key", F.array_join(F.transform("steps", lambda x: x["step"]), "").alias("path"))
+
+
+class _Pieces:
+    """The aligned pieces of one chunk, by number."""
+
+    def __init__(self, pieces: pa.Table):
+        pieces = pieces.sort_by("code")
+        path = pieces["path"].to_pylist()
+        steps = np.frombuffer("".join(path).encode(), np.uint8)
+        a, b = (np.frombuffer(b"".join(pieces[c].to_pylist()), _ID).astype(np.int64) for c in ("a", "b"))
+        # Every piece ends with a cut, which leads on to the first tokens of the next one.
+        ends_a, ends_b, cut = steps != ord("b"), steps != ord("a"), steps == ord("c")
+        self.links = np.fromiter(map(len, path), np.int64, len(path))
+        self.ends = np.cumsum(self.links)
+        whole = lambda x: np.diff(np.append(0, np.cumsum(x))[self.ends], prepend=0)
+        self.n_a, self.n_b, self.n_groups = whole(ends_a), whole(ends_b), whole(cut)
+        pairs = a[np.cumsum(ends_a) - ends_a] << 32 | b[np.cumsum(ends_b) - ends_b]
+        self.pairs, self.pair = np.unique(pairs, return_inverse=True)
+        # Texts of groups: tokens by group, side and place, each with the sign behind it.
+        group = np.cumsum(cut) - cut
+        slot = np.concatenate([2 * group[ends_a], 2 * group[ends_b] + 1])
+        order = np.argsort(slot, kind="stable")
+        slot = slot[order]
+        sign = np.where(np.diff(slot, append=-1) == 0, ",", np.where(slot % 2 == 0, "|", ";"))
+        words: list[str] = [""] * (2 * len(slot))
+        words[::2], words[1::2] = map(str, np.concatenate([a, b])[order].tolist()), sign.tolist()
+        stops = (2 * np.cumsum(self.n_a + self.n_b)).tolist()
+        self.texts = ["".join(words[i : j - 1]) for i, j in zip([0, *stops], stops)]
+
+    def links_of(self, codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the linked pairs of a text of these pieces, and how often each is linked."""
+        many = self.links[codes]
+        at = np.arange(many.sum()) + np.repeat(self.ends[codes] - np.cumsum(many), many)
+        linked, which = np.unique(self.pair[at], return_inverse=True)
+        return linked, np.bincount(which, np.repeat(times, many)).astype(np.int64)
 
 
 def _rolled(docs: pa.Table, pieces: pa.Table) -> pa.Table:
     """Of one chunk: sums and packed links of its documents, and the documents of each of its linked pairs."""
-    pieces = pieces.sort_by("code")
-    n_a, n_b, n_groups = (pieces[c].to_numpy() for c in ("n_a", "n_b", "n_groups"))
-    texts = pieces["groups"].to_pylist()
-    (link_a, ends), (link_b, _) = _flat(pieces["link_a"]), _flat(pieces["link_b"])
-    pairs, pair = np.unique(link_a.astype(np.int64) << 32 | link_b, return_inverse=True)
-    sizes = np.diff(ends, prepend=0)
-    held = np.zeros(len(pairs), np.int64)
+    found = _Pieces(pieces)
+    held = np.zeros(len(found.pairs), np.int64)
     out: dict[str, list] = {c: [] for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links")}
     for packed in docs["codes"].to_pylist():
         codes = _unpacked(packed)[0] if packed else np.zeros(0, np.int32)
         own, times = np.unique(codes, return_counts=True)
-        if not len(own) or not n_a[own].all():
+        if not len(own) or not found.links[own].all():
             row = (0, 0, 0, 0, "", b"")
         else:
-            many = sizes[own]
-            at = np.arange(many.sum()) + np.repeat(ends[own] - np.cumsum(many), many)
-            linked, which = np.unique(pair[at], return_inverse=True)
-            weight = np.bincount(which, np.repeat(times, many)).astype(np.int64)
+            linked, weight = found.links_of(own, times)
             held[linked] += 1
-            digest = hashlib.sha256(";".join(map(texts.__getitem__, codes.tolist())).encode()).hexdigest()
-            row = (int(n_a[own] @ times), int(n_b[own] @ times), int(n_groups[own] @ times), int(weight.sum()), digest, _packed(np.diff(linked, prepend=0), weight))
+            digest = hashlib.sha256(";".join(map(found.texts.__getitem__, codes.tolist())).encode()).hexdigest()
+            sums = [int(n[own] @ times) for n in (found.n_a, found.n_b, found.n_groups)]
+            row = (*sums, int(weight.sum()), digest, _packed(np.diff(linked, prepend=0), weight))
         for c, v in zip(out, row):
             out[c].append(v)
     hit = np.flatnonzero(held)
     sums = {c: pa.array(out[c], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")} | {"groups_sha256": pa.array(out["groups_sha256"], pa.string()), "links": pa.array(out["links"], pa.binary())}
     rows = pa.table({"chunk": docs["chunk"], "doc_id": docs["doc_id"], **sums})
     chunk = pa.array([docs["chunk"][0].as_py()] * len(hit), pa.int64())
-    counts = pa.table({"chunk": chunk, "pair": pa.array(hit, pa.int32()), "a": pa.array(pairs[hit] >> 32, pa.int32()), "b": pa.array(pairs[hit] & 0xFFFFFFFF, pa.int32()), "docs": pa.array(held[hit], pa.int64())})
+    counts = pa.table({"chunk": chunk, "pair": pa.array(hit, pa.int32()), "a": pa.array(found.pairs[hit] >> 32, pa.int32()), "b": pa.array(found.pairs[hit] & 0xFFFFFFFF, pa.int32()), "docs": pa.array(held[hit], pa.int64())})
     return pa.concat_tables([rows, counts], promote_options="default")
 
 
@@ -253,12 +274,12 @@ def alignment(documents: DataFrame, path_a: str, path_b: str, share: int = 100_0
     id_type = documents.schema["doc_id"].dataType.simpleString()
     rows = materialize(chunked(documents), "chunks")
     docs, own = rows.where("code IS NULL").selectExpr("chunk", "doc_id", "codes"), rows.where("code IS NOT NULL").selectExpr("chunk AS chunk", "code", "piece")
-    tokens = materialize(tokenized(own.select("piece").distinct(), path_a, path_b), "pieces").withColumnRenamed("piece", "key")
+    tokens = materialize(tokenized(own.select("piece").distinct(), path_a, path_b), "pieces")
     with with_conf(documents.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
-        # One exchange of token arrays serves all windows, joins and groups below it.
-        aligned = materialize(align(tokens, 1 + tokens.count() // share), "aligned")
-    zero = {"n_a": F.lit(0), "n_b": F.lit(0), "n_groups": F.lit(0), "groups": F.lit(""), "link_a": F.array().cast("array<int>"), "link_b": F.array().cast("array<int>")}
-    sent = own.join(aligned.withColumnRenamed("key", "piece"), "piece", "left").select("chunk", "code", *[F.coalesce(c, z).alias(c) for c, z in zero.items()])
+        # One exchange of byte lengths serves all windows, joins and groups below it.
+        aligned = materialize(align(tokens.withColumnRenamed("piece", "key"), 1 + tokens.count() // share), "aligned")
+    ids = tokens.select("piece", "a", "b").join(aligned.withColumnRenamed("key", "piece"), "piece", "left")
+    sent = own.join(ids, "piece").select("chunk", "code", "a", "b", F.coalesce("path", F.lit("")).alias("path"))
     rolled = materialize(
         docs.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(
             _rolled, f"chunk long, doc_id {id_type}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, pair int, a int, b int, docs long"
