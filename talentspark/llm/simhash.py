@@ -17,8 +17,8 @@ throughout.  Links become components by ``components``.
 
 Defined cases: null text counts as empty; texts without a word have fingerprint zero and
 link like any other; a bit set in exactly half the shingles is 0; very long texts are
-hashed whole, a block of shingles at a time; repeated and null ids stay separate rows, a
-component being named by its smallest id (null where none has one); an empty table gives
+hashed whole, a block of shingles at a time; repeated and null ids stay separate rows that
+link by their own fingerprints, a component being named by its smallest id (null where none has one); an empty table gives
 an empty result.  Only ``doc_id`` and ``text`` are read, so other columns may have any name.
 """
 
@@ -180,11 +180,14 @@ def near_duplicates(documents: DataFrame, distance: int = 2, shingle: int = 3, s
     The plan of masks is fitted on at most ``sample`` fingerprints (by a hash); every document is probed.
     """
     docs = materialize(fingerprints(documents, shingle), "fingerprints")
-    nodes = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    # A fingerprint is its own number: ids may be null or repeated and only name components in the end.
+    nodes = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumn("node", F.col("fp")), "nodes")
     taken = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(dtype=np.int64)
     if not len(taken):
         return docs.withColumn("component_id", F.col("doc_id"))
     edges = links(nodes, plan_masks(taken, nodes.count(), distance), distance)
     labels = connected_components(edges)
-    named = nodes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    placed = nodes.join(labels, "node", "left").select("fp", "id", F.coalesce("component", "node").alias("component"))
+    names = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = placed.join(names, "component").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", "fp", "component_id")
