@@ -1,4 +1,4 @@
-"""Findings rolled into weighted scores, writing style, sections, dictionary and spelling scans."""
+"""Findings rolled into weighted scores, writing style, sections, spelling and mentions."""
 
 from __future__ import annotations
 
@@ -61,24 +61,6 @@ def sections(docs: DataFrame, id_col: str, heading: Column) -> DataFrame:
     return lines.withColumn("section", F.last(F.when(heading, F.col("line")), ignorenulls=True).over(w))
 
 
-def dictionary_scan(docs: DataFrame, id_col: str, terms: DataFrame, inline: int = 5000) -> DataFrame:
-    """Occurrences of one-word and two-word dictionary terms(term) in each text, c#, c++ and .net among them; case is ignored.
-
-    A dictionary of up to ``inline`` terms filters the tokens inside the array, so that only hits become
-    rows; a larger one meets all tokens in a join, with the same result.
-    """
-    t = T.term_tokens(F.coalesce("text", F.lit("")))
-    bare = F.transform(t, lambda x: F.ltrim(x, F.lit(".")))
-    w = docs.select(id_col, F.filter(t, lambda x: x.startswith(".")).alias("dotted"), bare.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    known = terms.select(F.lower("term").alias("term")).distinct()
-    few = [r["term"] for r in known.limit(inline + 1).collect()]
-    tokens = F.concat("dotted", "w", pairs)
-    if len(few) <= inline:
-        return w.select(id_col, F.explode(F.filter(tokens, lambda x: x.isin(few))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("n"))
-    return w.select(id_col, F.explode(tokens).alias("term")).join(known, "term").groupBy(id_col, "term").agg(F.count("*").alias("n"))
-
-
 def language_by_keywords(text: Column, lists: dict[str, tuple[str, ...]], least: int = 2, default: str = "en") -> Column:
     """Language with most different keywords present; under ``least`` hits the default; ties by the order given."""
     w = T.words(text)

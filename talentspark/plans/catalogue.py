@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import embedding as E
 from ..functions import text as T
 from ..functions.vectors import norm
-from ..operators import dedup, filters, graph, ledger, matching, quality, records, search, tracking
+from ..operators import dedup, filters, graph, ledger, matching, phrases, quality, records, search, tracking
 from ..operators.filters import Leaf, Node
 from ..sources.writers import written
 from . import oracles
@@ -705,16 +705,34 @@ def html_to_text_title_host(s, d):
     return table(s, d, "pages").select("page_id", T.page_title(F.col("html")).alias("title"), T.url_host(F.col("url")).alias("host"), F.length(T.page_title(F.col("html"))).cast("long").alias("n"), (F.length(t) > 200).alias("long_enough"))
 
 
+#: Lines that stand behind some texts, so that terms with signs, of several words and of one letter occur.
+SKILL_LINES = (
+    "Node.js, ASP.NET and CI/CD", "C, C++ and C# on Google Cloud Platform", "scikit-learn; google cloud (R)", "Objective-C\nR\nGo", "not node.jsx, Rust or c.", "machine learning engineering,c,R, r and go",
+)
+SKILL_TERMS = ("Node.js", "asp.net", "CI/CD", "scikit-learn", "C++", "C#", "Google Cloud Platform", "google cloud", "objective-c", "r", "c", "go", ".net", "machine learning", "machine learning engineering", "license", "version 2.0", "by-nc")
+
+
 @query
 def dictionary_scan(s, d):
-    terms = s.createDataFrame([("license",), ("version",), ("of the",), ("in the",), ("to",)], "term string")
-    return quality.dictionary_scan(table(s, d, "documents"), "doc_id", terms)
+    lines = F.array(*map(F.lit, SKILL_LINES))
+    docs = table(s, d, "documents").select("doc_id", F.concat("text", F.lit(" "), F.get(lines, (F.col("doc_id") % len(SKILL_LINES)).cast("int"))).alias("text"))
+    return phrases.phrase_scan(docs, "doc_id", s.createDataFrame([(t,) for t in SKILL_TERMS], "term string"))
 
 
 @query
 def bigram_scan(s, d):
-    terms = s.createDataFrame([("of the",), ("in the",), ("under the",), ("this license",)], "term string")
-    return quality.dictionary_scan(table(s, d, "documents"), "doc_id", terms)
+    terms = s.createDataFrame([("of the",), ("in the",), ("under the",), ("this license",), ("in the first place",)], "term string")
+    return phrases.phrase_scan(table(s, d, "documents"), "doc_id", terms)
+
+
+@query
+def phrase_vocabulary_scan(s, d):
+    """Every pair of different words that stand together in benchmark texts, looked up in all documents."""
+    w = F.split(F.lower("text"), " ")
+    two = table(s, d, "benchmark").select(F.explode(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.slice(w, i, 2))).alias("two"))
+    pairs = two.where(F.col("two")[0] != F.col("two")[1]).select(F.array_join("two", " ").alias("term"))
+    hits = phrases.phrase_scan(table(s, d, "documents"), "doc_id", pairs, most_characters=20_000)
+    return hits.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("n").alias("n"))
 
 
 @query

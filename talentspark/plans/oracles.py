@@ -244,10 +244,24 @@ def sql() -> dict[str, str]:
     q["html_to_text_title_host"] = r"""WITH x AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host,
       trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS t FROM pages)
       SELECT page_id, title, host, length(title)::bigint AS n, length(t) > 200 AS long_enough FROM x"""
-    toks = f"regexp_extract_all({low}, '[.]?[\\p{{L}}\\p{{N}}]+[+#]*')"
-    scan = f"""w AS (SELECT doc_id, {toks} AS t, list_transform({toks}, lambda x: ltrim(x, '.')) AS b FROM documents), u AS (SELECT doc_id, unnest(b) AS a, unnest(list_concat(b[2:], [NULL])) AS b FROM w),
-      t AS (SELECT doc_id, unnest(list_filter(t, lambda x: x LIKE '.%')) AS term FROM w UNION ALL SELECT doc_id, a FROM u UNION ALL SELECT doc_id, a || ' ' || b FROM u WHERE b IS NOT NULL)"""
-    q["dictionary_scan"] = f"WITH {scan} SELECT doc_id, term, count(*) AS n FROM t WHERE term IN ('license', 'version', 'to', 'of the', 'in the') GROUP BY ALL"
+
+    def by_itself(texts: str, terms: str) -> str:
+        """(doc_id, term, n) by what stands between the parts that a term cuts a text into."""
+        before = "CASE WHEN p[i] <> '' THEN right(p[i], 1) WHEN i > 1 THEN right(term, 1) END"
+        after = "CASE WHEN p[i + 1] <> '' THEN left(p[i + 1], 1) WHEN i + 1 < len(p) THEN left(term, 1) END"
+        return f"""x AS ({texts}), y AS ({terms}), cut AS (SELECT doc_id, term, string_split(t, term) AS p FROM x, y WHERE contains(t, term)),
+          hit AS (SELECT doc_id, term, len(list_filter(range(1, len(p)), lambda i: coalesce(NOT regexp_matches({before}, '[\\p{{L}}\\p{{Nd}}]'), true) AND coalesce(NOT regexp_matches({after}, '[\\p{{L}}\\p{{Nd}}]'), true)
+            AND (length(term) > 2 OR coalesce({before} IN (' ', ',', chr(10)), true))))::bigint AS n FROM cut)"""
+
+    from .catalogue import SKILL_LINES, SKILL_TERMS
+
+    lines = "[" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in SKILL_LINES) + "]"
+    skills = ", ".join(f"('{t.lower()}')" for t in SKILL_TERMS)
+    docs = f"SELECT doc_id, lower(text || ' ' || {lines}[doc_id % {len(SKILL_LINES)} + 1]) AS t FROM documents"
+    q["dictionary_scan"] = f"WITH {by_itself(docs, f'SELECT * FROM (VALUES {skills}) v(term)')} SELECT * FROM hit WHERE n > 0"
+    plain = "SELECT doc_id, lower(text) AS t FROM documents"
+    pairs = "SELECT DISTINCT array_to_string(w[i:i + 1], ' ') AS term FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT string_split(lower(text), ' ') AS w FROM benchmark)) WHERE w[i] <> w[i + 1]"
+    q["phrase_vocabulary_scan"] = f"WITH {by_itself(plain, pairs)} SELECT doc_id, count(*) AS terms, sum(n)::bigint AS n FROM hit WHERE n > 0 GROUP BY doc_id"
     langs = {"en": ("the", "and", "of", "that"), "de": ("und", "der", "die", "nicht"), "fr": ("les", "des", "est", "dans"), "es": ("los", "las", "por", "una")}
     hits = ", ".join(f"len(list_intersect(list_distinct(w), {list(v)})) AS {k}_" for k, v in langs.items())
     q["language_detect"] = f"""WITH w AS (SELECT lang, string_split_regex({low}, '[^\\p{{L}}]+') AS w FROM documents), h AS (SELECT lang, {hits} FROM w), g AS (SELECT *, greatest(en_, de_, fr_, es_) AS m FROM h)
@@ -259,7 +273,7 @@ def sql() -> dict[str, str]:
         fix = f"regexp_replace({fix}, '(?i){weak}', '{strong}', 'g')"
     kept = f"array_to_string(list_filter(string_split({fix}, ' '), lambda w: w NOT IN ('', 'I', 'my', 'me', 'very', 'really', 'just', 'basically', 'actually')), ' ')"
     q["fix_rewrite"] = f"SELECT conv_id, turn, md5({kept}) AS fixed FROM conversations"
-    q["bigram_scan"] = f"WITH {scan} SELECT doc_id, term, count(*) AS n FROM t WHERE term IN ('of the', 'in the', 'under the', 'this license') GROUP BY ALL"
+    q["bigram_scan"] = f"WITH {by_itself(plain, "SELECT * FROM (VALUES ('of the'), ('in the'), ('under the'), ('this license'), ('in the first place')) v(term)")} SELECT * FROM hit WHERE n > 0"
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+", "phone": r"\+?[0-9][0-9() .-]+[0-9]", "date": "(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}", "url": "https?://[A-Za-z0-9./_-]+"}
     m = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all({T}, '{p}')) AS m FROM documents" for k, p in kinds.items())
     q["pii_entities"] = f"SELECT doc_id, kind, count(*) AS n, count(DISTINCT m) AS different FROM ({m}) WHERE kind <> 'phone' OR length(regexp_replace(m, '[^0-9]', '', 'g')) >= 10 GROUP BY ALL"

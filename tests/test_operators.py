@@ -234,10 +234,6 @@ def test_small_rules(spark):
     assert round(r["score"], 6) == round(2 / 3, 6) and r["missing"] == ["c"]
     for value, truth in ((F.lit(1), True), (F.lit(0), False), (F.lit("true"), True), (F.lit("x"), False), (F.lit(True), True)):
         assert one(spark, filters.compile_leaf(Leaf("f", "IsTrue"), {"f": value})) is truth and one(spark, filters.compile_leaf(Leaf("f", "IsFalse"), {"f": value})) is not truth
-    terms = spark.createDataFrame([("C#",), (".net",), ("c++",), ("net core",), ("go",)], "term string")
-    d = spark.createDataFrame([(1, "Used C#, C++ and .NET core; let's go. Go!")], "doc_id int, text string")
-    for inline in (100, 0):
-        assert {(r["term"], r["n"]) for r in quality.dictionary_scan(d, "doc_id", terms, inline).collect()} == {("c#", 1), ("c++", 1), (".net", 1), ("net core", 1), ("go", 2)}
     long = spark.createDataFrame([(1, i, f"t{i:03}") for i in range(50)], "group int, position int, term string")
     assert graph.relations(long).count() == 4 * 46 + 3 + 2 + 1
     u = lambda rows: spark.createDataFrame(rows, "id int, version int, data string")
