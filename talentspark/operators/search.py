@@ -1,4 +1,4 @@
-"""Vector search: batched top-k with filters before or after, pairwise statistics, threshold pairs."""
+"""Vector search: top-k of one query with filters before or after, within groups, pairwise statistics.  Many queries: ``vector_index``."""
 
 from __future__ import annotations
 
@@ -27,28 +27,6 @@ def knn_batch(queries: DataFrame, vectors: DataFrame, k: int, keys: list[str]) -
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _block_pairs(queries: DataFrame, vectors: DataFrame, block: int, chunk: int) -> DataFrame:
-    """Every query with every other vector and their similarity, by blocks of queries and chunks of vectors."""
-    n, m = (max(1, -(-x.count() // size)) for x, size in ((queries, block), (vectors, chunk)))
-    part = lambda c, p: F.pmod(F.xxhash64(c), F.lit(p)).cast("int")
-    q = queries.withColumn("block", part("query_id", n)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    v = vectors.select("id", "v").withColumn("chunk", part("id", m)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return q.join(v, ["block", "chunk"]).where("query_id <> id").withColumn("similarity", dot(F.col("q"), F.col("v")))
-
-
-def knn_blocks(queries: DataFrame, vectors: DataFrame, k: int, block: int = 256, chunk: int = 65536) -> DataFrame:
-    """The k nearest of every query among all other vectors: blocks of queries meet chunks of vectors, and only the
-    k best a query and task are shuffled on."""
-    pairs = _block_pairs(queries, vectors, block, chunk)
-    w = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "rank", "similarity")
-
-
-def similar_blocks(queries: DataFrame, vectors: DataFrame, threshold: float, block: int = 256, chunk: int = 65536) -> DataFrame:
-    """All other vectors whose dot product with a query reaches the threshold, whatever their group: blocks as in ``knn_blocks``."""
-    return _block_pairs(queries, vectors, block, chunk).where(F.col("similarity") >= threshold).select("query_id", "id", "similarity")
-
-
 def pair_statistics(vectors: DataFrame, group: str) -> DataFrame:
     """Pairs, mean and population deviation of the dot products within each group, without forming pairs.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import embedding as E
 from ..functions import text as T
 from ..functions.vectors import norm
-from ..operators import dedup, filters, graph, ledger, matching, phrases, quality, records, search, tracking
+from ..operators import dedup, filters, graph, ledger, matching, phrases, quality, records, search, tracking, vector_index
 from ..operators.filters import Leaf, Node
 from ..sources.writers import written
 from . import oracles
@@ -280,7 +280,7 @@ def _vectors(s, d):
 def tiered_match_semantic(s, d):
     v = _vectors(s, d)
     q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    best = search.knn_blocks(q, v, 1).select("query_id", F.col("id").alias("candidate_id"), "similarity")
+    best = vector_index.nearest(q, v, 1).select("query_id", F.col("id").alias("candidate_id"), "similarity")
     x = q.select("query_id").join(best, "query_id", "left")
     return x.select("query_id", "candidate_id", F.round("similarity", 6).alias("similarity"), F.coalesce(F.col("similarity") >= 0.30, F.lit(False)).alias("matched"))
 
@@ -425,7 +425,7 @@ def near_duplicates_vec(s, d):
     v = _vectors(s, d)
     q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     level = F.when(F.col("similarity") >= 0.35, "duplicate").otherwise("similar")
-    return search.similar_blocks(q, v, 0.25).select("query_id", "id", F.round("similarity", 6).alias("similarity"), level.alias("level"))
+    return vector_index.reaching(q, v, 0.25).select("query_id", "id", F.round("similarity", 6).alias("similarity"), level.alias("level"))
 
 
 @query
@@ -438,7 +438,7 @@ def near_duplicates_vec_by_label(s, d):
 def near_duplicates_vec_all(s, d):
     v = _vectors(s, d)
     q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    return search.similar_blocks(q, v, 0.25).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+    return vector_index.reaching(q, v, 0.25).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
 def _item_sets(s, d):
@@ -516,7 +516,30 @@ def knn_batch_by_label(s, d):
 def knn_batch_all(s, d):
     v = _vectors(s, d)
     q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    return search.knn_blocks(q, v, 5).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
+    return vector_index.nearest(q, v, 5).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+def _asked(v):
+    return v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+
+
+@query
+def knn_index_exact(s, d):
+    """The inverted file with every cell probed."""
+    v = _vectors(s, d)
+    index = vector_index.build(v, cells=16)
+    return vector_index.search(index, _asked(v), 5, probes=16).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def knn_index_recall(s, d):
+    """Neighbours found with as many probes as a sample asks for, against the exact search of all queries."""
+    v = _vectors(s, d)
+    index = vector_index.build(v, cells=16)
+    q = _asked(v)
+    found = vector_index.search(index, q, 5, vector_index.plan_probes(index, q, 5, recall=0.95)).select("query_id", "id", F.lit(1).alias("hit"))
+    both = vector_index.nearest(q, v, 5).join(found, ["query_id", "id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
 @query

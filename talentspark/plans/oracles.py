@@ -192,6 +192,8 @@ def sql() -> dict[str, str]:
       SELECT query_id, id, rank, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM p) WHERE rank <= 3"""
     q["knn_batch_all"] = f"""WITH {VEC}, p AS (SELECT a.id AS query_id, b.id, list_inner_product(a.v, b.v) AS s FROM vec a JOIN vec b ON a.id <> b.id WHERE a.id % 50 = 0)
       SELECT query_id, id, rank, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM p) WHERE rank <= 5"""
+    q["knn_index_exact"] = q["knn_batch_all"]
+    q["knn_index_recall"] = f"WITH {VEC} SELECT count(*) AS queries, sum(least(5, (SELECT count(*) FROM vec) - 1))::bigint AS neighbours, true AS enough FROM vec WHERE id % 50 = 0"
     q["pairwise_similarity_stats"] = f"""WITH {VEC} SELECT a.g AS "group", count(*) AS pairs, round(avg(list_inner_product(a.v, b.v)), 6) AS mean, round(stddev_pop(list_inner_product(a.v, b.v)), 6) AS stddev FROM vec a JOIN vec b ON a.g = b.g AND a.id < b.id GROUP BY ALL"""
     q["vector_store_stats"] = f"""WITH {VEC} SELECT g AS "group", count(*) AS n, max(id) + 1 AS next_id, round(avg(sqrt(list_inner_product(v, v))), 6) AS mean_norm FROM vec GROUP BY ALL"""
     q["cooccurrence_edges"] = f"WITH {EDGE} SELECT src, dst, weight FROM edge"

@@ -138,11 +138,11 @@ def test_jaccard(spark, sets, threshold):
 
 
 def test_knn_blocks(spark):
-    from talentspark.operators import search
+    from talentspark.operators import vector_index
 
     v = spark.createDataFrame([(i, [float(i % 5), float(i % 7)]) for i in range(40)], "id int, v array<double>")
     q = v.where("id % 4 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    got = {(r["query_id"], r["rank"]): r["id"] for r in search.knn_blocks(q, v, 3, block=2, chunk=7).collect()}
+    got = {(r["query_id"], r["rank"]): r["id"] for r in vector_index.nearest(q, v, 3, block=4).collect()}
     for i in range(0, 40, 4):
         want = sorted((-(i % 5) * (j % 5) - (i % 7) * (j % 7), j) for j in range(40) if j != i)[:3]
         assert [got[i, k] for k in (1, 2, 3)] == [j for _, j in want]
@@ -279,10 +279,10 @@ def test_more_sources(spark, tmp_path):
 
 
 def test_similar_across_groups(spark):
-    """Near vectors of different groups meet, in several blocks and chunks."""
-    from talentspark.operators import search
+    """Near vectors of different groups meet, in several blocks."""
+    from talentspark.operators import vector_index
 
     v = spark.createDataFrame([(i, [1.0, 0.1 * i], i % 3) for i in range(9)], "id long, v array<double>, group long")
     q = v.where("id < 4").selectExpr("id as query_id", "v as q")
-    got = {(r["query_id"], r["id"]) for r in search.similar_blocks(q, v, 1.06, 2, 3).collect()}
+    got = {(r["query_id"], r["id"]) for r in vector_index.reaching(q, v, 1.06, block=4).collect()}
     assert got == {(a, b) for a in range(4) for b in range(9) if a != b and 1 + 0.01 * a * b >= 1.06} and any((a - b) % 3 for a, b in got)
