@@ -41,9 +41,15 @@ def normalise_company(text: Column) -> Column:
 
 
 def collapse_spaced(text: Column) -> Column:
-    """Words spelled with a blank after every letter ("S K I L L S") put together; wider gaps part words."""
-    joined = F.regexp_replace(text, r"(?<=(?<![A-Za-z])[A-Za-z]) (?=[A-Za-z](?![A-Za-z]))", "")
-    return F.trim(F.regexp_replace(joined, " +", " "))
+    """A heading spelled with a blank after every letter ("S K I L L S") put together; wider gaps part words.
+
+    Only where at least three, and three fifths, of its tokens are single characters.
+    """
+    tokens = F.filter(F.split(text, " "), lambda x: x != "")
+    single = F.size(F.filter(tokens, lambda x: F.length(x) == 1))
+    joined = F.regexp_replace(text, r"(?<=(?<!\S)\S) (?=\S(?!\S))", "")
+    spelled = (single >= 3) & (single >= 0.6 * F.size(tokens))
+    return F.when(spelled, F.trim(F.regexp_replace(joined, " +", " "))).otherwise(text)
 
 
 def title_similarity(a: Column, b: Column) -> Column:
@@ -110,44 +116,78 @@ def meets_education(level: Column, required: str) -> Column:
     return F.lit(True) if required not in names else level.isin(names[: names.index(required) + 1])
 
 
-def salary_range(text: Column) -> tuple[Column, Column]:
-    """(least, most) of '60,000 - 80,000' or '60k-80k', in that order of patterns."""
-    plain = r"([0-9]{2,3},[0-9]{3}) *- *[^0-9]?([0-9]{2,3},[0-9]{3})"
-    short = r"([0-9]{2,3})k *- *[^0-9]?([0-9]{2,3})k"
+#: Forms of a salary, in order; the range, then a currency and a period that the form implies.
+SALARY_FORMS = [
+    (r"[£$€]([0-9,]+)\s*[-–]\s*[£$€]?([0-9,]+)", None, None),
+    (r"(?i)([0-9]+)k\s*[-–]\s*[^0-9]?([0-9]+)k", None, None),
+    (r"(?i)RM\s*([0-9,]+)\s*[-–]\s*RM\s*([0-9,]+)", "MYR", "monthly"),
+    (r"([0-9]{2,3},[0-9]{3})\s*[-–]\s*([0-9]{2,3},[0-9]{3})", None, None),
+    (r"(?i)(?:salary|compensation|pay)[:\s]*[$]?([0-9,]+[.]?[0-9]*)()", None, None),
+]
+CURRENCIES = {"£": "GBP", "$": "USD", "€": "EUR"}
+#: Forms of asked experience, in order; the last needs no word for it.
+YEARS_FORMS = [
+    r"(?i)([0-9]+)\+?\s*years?\s+(?:of\s+)?(?:experience|exp)",
+    r"(?i)(?:minimum|at least|min)\s+([0-9]+)\s*\+?\s*years?",
+    r"(?i)([0-9]+)\s*[-–]\s*[0-9]+\s*years?\s+(?:of\s+)?(?:experience|exp)",
+    r"(?i)([0-9]{1,2})\+? *(?:years|yrs)",
+]
+
+
+def salary(text: Column) -> Column:
+    """struct(low, high, currency, period) of the first form of a salary that a text has; null without one.
+
+    A single amount is both ends; numbers in thousands by "k"; currency by its sign or the form.
+    """
+    out = F.lit(None)
+    for pattern, currency, period in reversed(SALARY_FORMS):
+        low, high = (F.regexp_replace(F.regexp_extract(text, pattern, i), ",", "") for i in (1, 2))
+        sign = F.substring(F.regexp_extract(text, pattern, 0), 1, 1)
+        implied = F.lit(currency).cast("string")
+        for mark, code in CURRENCIES.items():
+            implied = F.when(sign == mark, code).otherwise(implied)
+        times = 1000 if ")k" in pattern else 1
+        amount = lambda x: x.try_cast("double") * times  # noqa: B023, E731
+        ends = F.struct(amount(low).alias("low"), amount(F.when(high == "", low).otherwise(high)).alias("high"), implied.alias("currency"), F.lit(period).cast("string").alias("period"))
+        out = F.when(low != "", ends).otherwise(out)
+    return out
 
-    def part(i: int) -> Column:
-        a, b = F.regexp_extract(text, plain, i), F.regexp_extract(text, short, i)
-        return F.coalesce(F.when(a != "", F.replace(a, F.lit(","), F.lit("")).cast("long")), F.when(b != "", b.cast("long") * 1000))
 
-    return part(1), part(2)
+def salary_range(text: Column) -> tuple[Column, Column]:
+    """(low, high) of ``salary`` in whole units."""
+    return salary(text)["low"].cast("long"), salary(text)["high"].cast("long")
 
 
 def claimed_years(text: Column) -> Column:
-    y = F.regexp_extract(F.lower(text), r"([0-9]{1,2})\+? *(?:years|yrs)", 1)
-    return F.when(y != "", y.cast("int"))
+    """Years of experience asked for: the first form, in order, that gives fewer than fifty."""
+    found = [F.regexp_extract(text, p, 1) for p in YEARS_FORMS]
+    return F.coalesce(*[F.when((y != "") & (F.length(y) < 3) & (y.cast("int") < 50), y.cast("int")) for y in found])
 
 
 MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
-_POINT = rf"(?:(?:{MONTHS})[a-z]* +)?(?:19|20)[0-9]{{2}}"
-_RANGE = rf"({_POINT}) *(?:-|–|to) *({_POINT}|present|current|now|to date|till now)|({_POINT}) *()to date"
+_YEAR = "(?:19|20)[0-9]{2}"
+_POINT = rf"(?:(?:0?[1-9]|1[0-2])[/.-]{_YEAR}|{_YEAR}[/.-](?:0[1-9]|1[0-2])(?![0-9])|(?:(?:{MONTHS})[a-z]*[.]? +)?{_YEAR})"
+_RANGE = rf"(?<![0-9])(?:({_POINT}) *(?:-|–|—|to|until) *({_POINT}|present|current|now|to date|till now)|({_POINT}) *()to date)"
 
 
 def date_range(text: Column) -> Column:
-    """First range of a text: struct(start_date, end_date, is_current); null without one."""
-    low = F.lower(text)
+    """First range of a text: struct(start_date, end_date, is_current, match_start, match_end); null without one.
 
-    def cap(s: Column) -> Column:
-        return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 3))
+    Points are "Jan 2020", "2020", "01/2020" or "2020-01"; offsets count characters from 0, the end being the last of the match.
+    """
+    low = F.lower(text)
 
     def named(s: Column) -> Column:
-        month = F.regexp_extract(s, rf"^({MONTHS})", 1)
-        year = F.regexp_extract(s, r"([0-9]{4})$", 1)
-        return F.when(year != "", F.to_date(F.concat_ws(" ", F.lit("01"), F.when(month == "", F.lit("Jan")).otherwise(cap(month)), year), "dd MMM yyyy"))
+        month = F.array_position(F.array(*map(F.lit, MONTHS.split("|"))), F.regexp_extract(s, rf"^({MONTHS})", 1)).cast("int")
+        number = F.concat(F.regexp_extract(s, r"^([0-9]{1,2})[/.-]", 1), F.regexp_extract(s, rf"^{_YEAR}[/.-]([0-9]{{2}})$", 1))
+        year = F.regexp_extract(s, rf"({_YEAR})", 1)
+        return F.when(year != "", F.make_date(year.cast("int"), F.when(number != "", number.cast("int")).when(month > 0, month).otherwise(1), F.lit(1)))
 
     a = F.concat(F.regexp_extract(low, _RANGE, 1), F.regexp_extract(low, _RANGE, 3))
-    b = F.regexp_extract(low, _RANGE, 2)
+    b, at = F.regexp_extract(low, _RANGE, 2), F.regexp_instr(low, F.lit(_RANGE)) - 1
     start = named(a)
-    return F.when(start.isNotNull(), F.struct(start.alias("start_date"), named(b).alias("end_date"), named(b).isNull().alias("is_current")))
+    ends = (at.alias("match_start"), (at + F.length(F.regexp_extract(low, _RANGE, 0)) - 1).alias("match_end"))
+    return F.when(start.isNotNull(), F.struct(start.alias("start_date"), named(b).alias("end_date"), named(b).isNull().alias("is_current"), *ends))
 
 
 def strip_html(html: Column) -> Column:
@@ -164,16 +204,40 @@ def url_host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-z]+://([^/]+)", 1)
 
 
+def _meta(html: Column, name: str) -> Column:
+    """Content of a page's Open Graph tag, by property or name; null where it is missing or blank."""
+    tag = F.regexp_extract(html, rf"(?is)<meta[^>]*(?:property|name)=[\"']{name}[\"'][^>]*>", 0)
+    content = F.regexp_extract(tag, r"(?is)content=(\"|')(.*?)\1", 2)
+    return F.when(F.trim(content) != "", content)
+
+
 def json_ld_posting(html: Column) -> Column:
-    """Title, company, location and salary of a JobPosting block; Open Graph title as a fallback."""
-    block = F.regexp_extract(html, r'(?s)<script type="application/ld\+json">(.*?)</script>', 1)
-    get = lambda p: F.get_json_object(block, p)
-    og = F.regexp_extract(html, r'<meta property="og:title" content="([^"]*)"', 1)
-    item = lambda p: F.coalesce(get("$." + p), get("$[0]." + p), get("$.@graph[0]." + p))
+    """The first JobPosting of a page's JSON-LD blocks, and what Open Graph says.
+
+    A block is an object, an array or an object with ``@graph``; the posting is the first of all items whose ``@type``, or
+    the first name in it, contains "JobPosting" in any case.  A block that is not JSON has none.  A salary that is one
+    number is both ends.
+    """
+    get = lambda j, p: F.get_json_object(j, p)
+    many = lambda j: F.from_json(j, "array<string>")
+    blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1))
+
+    def items(block: Column) -> Column:
+        graph = get(block, "$.@graph")
+        return F.coalesce(F.when(F.ltrim(block).rlike(r"^\s*\["), many(block)).when(graph.startswith("["), many(graph)).otherwise(F.array(block)), F.array().cast("array<string>"))
+
+    def posting(item: Column) -> Column:
+        kind = get(item, "$.@type")
+        return F.coalesce(F.lower(F.when(kind.startswith("["), get(item, "$.@type[0]")).otherwise(kind)).contains("jobposting"), F.lit(False))
+
+    job = F.get(F.filter(F.flatten(F.transform(blocks, items)), posting), F.lit(0))
+    place = F.coalesce(get(job, "$.jobLocation.address.addressLocality"), get(job, "$.jobLocation[0].address.addressLocality"))
+    amount = get(job, "$.baseSalary.value")
+    ends = [F.coalesce(get(job, f"$.baseSalary.value.{x}Value"), amount).try_cast("double").alias(f"salary_{x}") for x in ("min", "max")]
     return F.struct(
-        F.coalesce(item("title"), F.when(og != "", og)).alias("title"), item("hiringOrganization.name").alias("company"),
-        F.coalesce(item("jobLocation.address.addressLocality"), item("jobLocation[0].address.addressLocality")).alias("location"),
-        item("baseSalary.value.minValue").cast("double").alias("salary_min"), item("baseSalary.value.maxValue").cast("double").alias("salary_max"),
+        F.coalesce(get(job, "$.title"), _meta(html, "og:title")).alias("title"), get(job, "$.hiringOrganization.name").alias("company"), place.alias("location"), *ends,
+        get(job, "$.baseSalary.currency").alias("salary_currency"), F.coalesce(F.upper(get(job, "$.jobLocationType")).contains("TELECOMMUTE"), F.lit(False)).alias("is_remote"),
+        get(job, "$.employmentType").alias("employment_type"), _meta(html, "og:description").alias("description"),
     )
 
 

@@ -920,15 +920,51 @@ def date_range_parse(s, d):
 
 @query
 def structured_postings(s, d):
+    """Postings in the shapes that pages give them: alone, behind other items of an array or graph, in a later block, types as a list."""
     from ..sources.readers import job_pages
 
-    block = F.struct(
-        "title", F.struct(F.col("company").alias("name")).alias("hiringOrganization"), F.struct(F.struct(F.col("location").alias("addressLocality")).alias("address")).alias("jobLocation"),
-        F.struct(F.struct(F.col("salary").alias("minValue")).alias("value")).alias("baseSalary"),
+    kind = F.col("job_id") % 4
+    org = F.lit('{"@type":"Organization","title":"Not a job","name":"Org"}')
+    types = F.when(kind == 1, F.lit('["jobPosting","Thing"]')).otherwise(F.lit('"JobPosting"'))
+    rest = F.to_json(
+        F.struct(
+            "title", F.struct(F.col("company").alias("name")).alias("hiringOrganization"), F.array(F.struct(F.struct(F.col("location").alias("addressLocality")).alias("address"))).alias("jobLocation"),
+            F.struct(F.lit("EUR").alias("currency"), F.struct(F.col("salary").alias("minValue"), (F.col("salary") * 2).alias("maxValue")).alias("value")).alias("baseSalary"),
+            F.when(kind == 2, "TELECOMMUTE").alias("jobLocationType"),
+        )
     )
-    html = F.concat(F.lit('<html><script type="application/ld+json">'), F.to_json(block), F.lit("</script></html>"))
+    job = F.concat(F.lit('{"@type":'), types, F.lit(","), F.substr(rest, F.lit(2)))
+    block = lambda *x: F.concat(F.lit('<script type="application/ld+json">'), *x, F.lit("</script>"))
+    shape = F.when(kind == 0, block(job)).when(kind == 1, block(F.lit("["), org, F.lit(","), job, F.lit("]")))
+    shape = shape.when(kind == 2, block(F.lit('{"@graph":['), org, F.lit(","), job, F.lit("]}"))).otherwise(F.concat(block(F.lit("{broken")), block(org), block(job)))
+    html = F.concat(F.lit('<html><meta content="og" property="og:title">'), shape, F.lit("</html>"))
     pages = postings(s, d).select(F.concat(F.lit("https://jobs.example/"), "job_id").alias("url"), html.alias("html"))
-    return job_pages(pages).select("url", "host", "title", "company", "location", F.round("salary_min", 2).alias("salary_min"))
+    return job_pages(pages).select("url", "host", "title", "company", "location", F.round("salary_min", 2).alias("salary_min"), F.round("salary_max", 2).alias("salary_max"), "salary_currency", "is_remote")
+
+
+@query
+def numeric_date_ranges(s, d):
+    start = F.to_date("o_orderdate")
+    kind = F.col("o_orderkey") % 4
+    point = lambda c: F.when(kind == 0, F.date_format(c, "MM/yyyy")).when(kind == 1, F.date_format(c, "yyyy-MM")).when(kind == 2, F.date_format(c, "MMM. yyyy")).otherwise(F.date_format(c, "yyyy"))
+    text = F.concat(F.lit("Acme Ltd 12 ("), point(start), F.when(kind == 1, " to ").otherwise(" – "), F.when(F.col("o_orderstatus") == "O", "Present").otherwise(point(F.date_add(start, 400))), F.lit(") Berlin"))
+    r = table(s, d, "orders").select("o_orderkey", T.date_range(text).alias("r"))
+    return r.select("o_orderkey", *[F.col(f"r.{c}").cast("string").alias(c) for c in ("start_date", "end_date")], "r.is_current", "r.match_start", "r.match_end")
+
+
+@query
+def salary_forms(s, d):
+    k = F.col("o_custkey") % 50 + 20
+    forms = {
+        0: F.concat(F.lit("Pays £"), k, F.lit(",500 – £"), k + 9, F.lit(",000. Minimum 4 years")), 1: F.concat(F.lit("offer "), k, F.lit("K-"), k + 5, F.lit("k, 3 - 7 yrs")),
+        2: F.concat(F.lit("rm "), k, F.lit(",000 - RM "), k + 1, F.lit(",000 per month, 5+ years of experience")), 3: F.concat(F.lit("Compensation: $"), k, F.lit(",000.50; 99 years old firm, 2 years exp")),
+        4: F.lit("no figures, at least 12 years"),
+    }
+    text = F.lit(None).cast("string")
+    for n, t in forms.items():
+        text = F.when(F.col("o_orderkey") % 5 == n, t).otherwise(text)
+    x = table(s, d, "orders").select("o_orderkey", T.salary(text).alias("s"), T.claimed_years(text).alias("years"))
+    return x.select("o_orderkey", "s.low", "s.high", "s.currency", "s.period", "years")
 
 
 DEGREES = {"1": "PhD in Physics", "2": "Master of Science", "3": "BSc (Hons) Mathematics", "4": "BTEC Diploma"}
@@ -951,7 +987,8 @@ def company_and_domain(s, d):
 
 @query
 def spaced_letters(s, d):
-    spaced = F.trim(F.regexp_replace("p_name", "(.)", "$1 "))
+    """Headings spelled out are put together; a text with some single letters stays as it is."""
+    spaced = F.when(F.col("p_partkey") % 2 == 0, F.trim(F.regexp_replace("p_name", "(.)", "$1 "))).otherwise(F.concat(F.lit("Grade A B "), "p_name"))
     return table(s, d, "part").select("p_partkey", T.collapse_spaced(spaced).alias("name"))
 
 

@@ -242,7 +242,15 @@ def sql() -> dict[str, str]:
     q["reading_order_sections"] = f"""WITH l AS (SELECT doc_id, unnest(string_split({T}, chr(10))) AS line, generate_subscripts(string_split({T}, chr(10)), 1) AS pos FROM documents),
       h AS (SELECT *, last_value(CASE WHEN length(line) <= 60 AND upper(line) = line AND regexp_matches(line, '[A-Z]') THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM l)
       SELECT doc_id, count(*) AS lines, count(DISTINCT section) AS sections FROM h WHERE section IS NOT NULL GROUP BY ALL"""
-    q["salary_years_regex"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 90 + 10) * 1000 ELSE -1 END AS low, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 90 + 20) * 1000 ELSE -1 END AS high, (o_custkey % 12)::int AS years FROM orders"""
+    q["salary_years_regex"] = """SELECT o_orderkey, (o_orderkey % 90 + 10) * 1000 AS low, (o_orderkey % 90 + CASE WHEN o_orderkey % 2 = 0 THEN 20 ELSE 10 END) * 1000 AS high, (o_custkey % 12)::int AS years FROM orders"""
+    q["salary_forms"] = """WITH x AS (SELECT o_orderkey, o_orderkey % 5 AS n, (o_custkey % 50 + 20) * 1000 AS k FROM orders)
+      SELECT o_orderkey, (CASE n WHEN 0 THEN k + 500 WHEN 1 THEN k WHEN 2 THEN k WHEN 3 THEN k + 0.5 END)::double AS low, (CASE n WHEN 0 THEN k + 9000 WHEN 1 THEN k + 5000 WHEN 2 THEN k + 1000 WHEN 3 THEN k + 0.5 END)::double AS high,
+        CASE n WHEN 0 THEN 'GBP' WHEN 2 THEN 'MYR' END AS currency, CASE n WHEN 2 THEN 'monthly' END AS period, (CASE n WHEN 0 THEN 4 WHEN 1 THEN 7 WHEN 2 THEN 5 WHEN 3 THEN 2 ELSE 12 END)::int AS years FROM x"""
+    point = "CASE o_orderkey % 4 WHEN 0 THEN strftime({d}, '%m/%Y') WHEN 1 THEN strftime({d}, '%Y-%m') WHEN 2 THEN strftime({d}, '%b. %Y') ELSE strftime({d}, '%Y') END"
+    unit = "CASE WHEN o_orderkey % 4 = 3 THEN 'year' ELSE 'month' END"
+    q["numeric_date_ranges"] = f"""WITH x AS (SELECT o_orderkey, o_orderstatus, o_orderdate::date AS a, (o_orderdate::date + 400)::date AS b FROM orders)
+      SELECT o_orderkey, date_trunc({unit}, a)::date::varchar AS start_date, CASE WHEN o_orderstatus <> 'O' THEN date_trunc({unit}, b)::date::varchar END AS end_date, o_orderstatus = 'O' AS is_current, 13::int AS match_start,
+        (12 + length({point.format(d='a')}) + CASE WHEN o_orderkey % 4 = 1 THEN 4 ELSE 3 END + CASE WHEN o_orderstatus = 'O' THEN 7 ELSE length({point.format(d='b')}) END)::int AS match_end FROM x"""
     q["html_to_text_title_host"] = r"""WITH x AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host,
       trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS t FROM pages)
       SELECT page_id, title, host, length(title)::bigint AS n, length(t) > 200 AS long_enough FROM x"""
@@ -313,11 +321,11 @@ def sql() -> dict[str, str]:
       SELECT p_brand, coalesce(array_to_string(list_sort(list_filter(a, lambda x: len(list_filter(b, lambda y: contains(y, x) OR contains(x, y))) = 0)), ','), '') AS kept FROM g"""
     q["paren_aware_split"] = "SELECT p_partkey, p_name || ' (' || p_type || ', x)|' || p_brand AS items, 2::bigint AS n FROM part"
     q["date_range_parse"] = "SELECT o_orderkey, date_trunc('month', o_orderdate::date)::date::varchar AS start_date, CASE WHEN o_orderstatus <> 'O' THEN date_trunc('month', o_orderdate::date + 400)::date::varchar END AS end_date, o_orderstatus = 'O' AS is_current FROM orders"
-    q["structured_postings"] = f"WITH {JOB} SELECT 'https://jobs.example/' || job_id AS url, 'jobs.example' AS host, title, company, location, round(salary, 2) AS salary_min FROM job"
+    q["structured_postings"] = f"WITH {JOB} SELECT 'https://jobs.example/' || job_id AS url, 'jobs.example' AS host, title, company, location, round(salary, 2) AS salary_min, round(salary * 2, 2) AS salary_max, 'EUR' AS salary_currency, job_id % 4 = 2 AS is_remote FROM job"
     q["education_levels"] = """WITH e AS (SELECT CASE o_orderpriority[1] WHEN '1' THEN 'Doctoral' WHEN '2' THEN 'Masters' WHEN '3' THEN 'Bachelors' WHEN '4' THEN 'Vocational' ELSE 'Secondary' END AS level FROM orders)
       SELECT level, level IN ('Doctoral', 'Masters', 'Bachelors') AS meets, count(*) AS n FROM e GROUP BY ALL"""
     q["company_and_domain"] = "SELECT c_custkey, lower(trim(c_name)) AS company, lower(replace(c_name, '#', '-')) || '.com' AS domain FROM customer"
-    q["spaced_letters"] = "SELECT p_partkey, p_name AS name FROM part"
+    q["spaced_letters"] = "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'Grade A B ' || p_name END AS name FROM part"
     score = lambda p, chances: f"greatest(0, least(100, floor((1 - ({p}) / {2 * chances}) * 100)::int))"
     yes = lambda c, w: f"CASE WHEN {c} THEN {w} ELSE 0 END"
     q["posting_quality"] = f"""WITH {JOB}, k AS (SELECT l_orderkey AS job_id, count(DISTINCT p_name) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),

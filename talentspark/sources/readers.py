@@ -164,7 +164,7 @@ def job_pages(pages: DataFrame, manual_hosts: tuple[str, ...] = ()) -> DataFrame
     x = pages.withColumn("host", T.url_host(F.col("url"))).where(~F.coalesce(F.col("host").isin(list(manual_hosts)), F.lit(False)))
     j, t = T.json_ld_posting(F.col("html")), T.strip_html(F.col("html"))
     title = F.coalesce(j["title"], F.when(T.page_title(F.col("html")) != "", T.page_title(F.col("html"))))
-    return x.select("url", "host", title.alias("title"), j["company"].alias("company"), j["location"].alias("location"), j["salary_min"].alias("salary_min"), j["salary_max"].alias("salary_max"), F.when(F.length(t) > 200, t).alias("text"))
+    return x.select("url", "host", title.alias("title"), j["company"].alias("company"), j["location"].alias("location"), j["salary_min"].alias("salary_min"), j["salary_max"].alias("salary_max"), *[j[c].alias(c) for c in ("salary_currency", "is_remote", "employment_type")], F.when(F.length(t) > 200, t).alias("text"))
 
 
 class _Page(InputPartition):

@@ -86,14 +86,27 @@ def test_vote_fold_by_days(spark, votes):
     assert tracking.vote_fold(spark.createDataFrame(rows, "profile string, ts timestamp, seq int, delta int"), ["profile"], -2, 2).first()["score"] == score
 
 
-@pytest.mark.parametrize("text,start,end,current", [("Jan 2020 – Present", "2020-01-01", None, True), ("2020 - now", "2020-01-01", None, True), ("from Jan 2019 to Dec 2022", "2019-01-01", "2022-12-01", False), ("2019 – 2022", "2019-01-01", "2022-01-01", False), ("2020 to date", "2020-01-01", None, True), ("C# Python", None, None, None), ("", None, None, None)])
+@pytest.mark.parametrize("text,start,end,current", [("Jan 2020 – Present", "2020-01-01", None, True), ("2020 - now", "2020-01-01", None, True), ("from Jan 2019 to Dec 2022", "2019-01-01", "2022-12-01", False), ("2019 – 2022", "2019-01-01", "2022-01-01", False), ("2020 to date", "2020-01-01", None, True), ("01/2019 - 05/2020", "2019-01-01", "2020-05-01", False), ("2019-01 to 2020-05", "2019-01-01", "2020-05-01", False), ("at 3.2012–now", "2012-03-01", None, True), ("call 0201999-2001", None, None, None), ("2019-2022", "2019-01-01", "2022-01-01", False), ("C# Python", None, None, None), ("", None, None, None)])
 def test_date_range(spark, text, start, end, current):
     r = one(spark, T.date_range(F.lit(text)))
     assert (r is None) == (start is None)
     if r:
+        assert text.lower()[r["match_start"] : r["match_end"] + 1].strip() == text.lower()[r["match_start"] :].strip()
         assert (str(r["start_date"]), str(r["end_date"]) if r["end_date"] else None, r["is_current"]) == (start, end, current)
 
 
+def test_json_ld(spark):
+    def page(*blocks):
+        return "<html>" + "".join(f'<script id=x type="application/ld+json">{b}</script>' for b in blocks) + '<meta property="og:title" content="Shared"></html>'
+
+    org, job = '{"@type": "Organization", "title": "Firm"}', '{"@type": "JobPosting", "title": "Dev", "baseSalary": {"currency": "USD", "value": 90}, "jobLocation": [{"address": {"addressLocality": "Bern"}}]}'
+    for blocks in ([job], [org, job], [f"[{org}, {job}]"], [f'{{"@graph": [{org}, {job}]}}'], ["{not json", job], [job.replace('"JobPosting"', '["x:jobposting", "Thing"]')]):
+        r = one(spark, T.json_ld_posting(F.lit(page(*blocks))))
+        assert (r["title"], r["location"], r["salary_min"], r["salary_max"], r["salary_currency"]) == ("Dev", "Bern", 90.0, 90.0, "USD")
+    for blocks in ([org], [], ["{"], ["[]"], ['{"@graph": []}'], [job.replace('"JobPosting"', '["Thing", "JobPosting"]')], ["3"]):
+        assert one(spark, T.json_ld_posting(F.lit(page(*blocks))))["title"] == "Shared"
+
+
 def test_text_functions(spark):
     assert one(spark, T.paren_split(F.lit("C# (.NET, Core), SQL , Go"))) == ["C# (.NET, Core)", "SQL", "Go"]
     assert one(spark, T.normalise_title(F.lit("Senior  Software Engineer"))) == "software engineer"
@@ -102,9 +115,14 @@ def test_text_functions(spark):
     assert one(spark, T.salary_range(F.lit("£60,000 - £80,000"))[0]) == 60000 and one(spark, T.salary_range(F.lit("60k-80k"))[1]) == 80000
     assert one(spark, T.rewrite(F.lit("I was responsible for very big things"))) == "was led big things"
     assert one(spark, T.collapse_spaced(F.lit("K E Y   S K I L L S of a b team"))) == "KEY SKILLS of ab team"
+    for kept in ("Grade A B student", "a b", "x y z and four more words here", "", "P a r t time work done"):
+        assert one(spark, T.collapse_spaced(F.lit(kept))) == kept
+    s = one(spark, T.salary(F.lit("RM 4,000 – RM 6,500 monthly")))
+    assert (s["low"], s["high"], s["currency"], s["period"]) == (4000, 6500, "MYR", "monthly") and one(spark, T.salary(F.lit("none"))) is None
+    assert one(spark, T.salary(F.lit("Salary: $55,000.25")))["high"] == 55000.25 and one(spark, T.claimed_years(F.lit("over 60 years of experience; min 3 years"))) == 3
     assert one(spark, T.education_level(F.lit("MSc, BSc"))) == "Masters" and one(spark, T.education_level(F.lit(None).cast("string"))) == "Unknown"
     assert one(spark, T.meets_education(F.lit("Masters"), "Bachelors")) and not one(spark, T.meets_education(F.lit("Unknown"), "Secondary")) and one(spark, T.meets_education(F.lit("Unknown"), ""))
-    page = '<script type="application/ld+json">{"title":"Dev","hiringOrganization":{"name":"Acme"},"jobLocation":[{"address":{"addressLocality":"Leeds"}}]}</script><p>x</p>'
+    page = '<script type="application/ld+json">{"@type":"JobPosting","title":"Dev","hiringOrganization":{"name":"Acme"},"jobLocation":[{"address":{"addressLocality":"Leeds"}}]}</script><p>x</p>'
     r = one(spark, T.json_ld_posting(F.lit(page)))
     assert (r["title"], r["company"], r["location"]) == ("Dev", "Acme", "Leeds")
     assert one(spark, T.json_ld_posting(F.lit('<meta property="og:title" content="Cook">')))["title"] == "Cook"
