@@ -614,6 +614,32 @@ def vote_auto_filter(s, d):
     return tracking.auto_filter(tracking.vote_fold(votes(s, d), ["profile"]))
 
 
+@query
+def watch_polls(s, d):
+    """Postings of a year land as one batch; watches of several intervals are polled after each."""
+    from ..streaming.jobs import polls_once
+
+    jobs = postings(s, d).select("job_id", F.concat_ws(" ", "title", "company").alias("title"), "company", F.col("salary").cast("double").alias("score"), F.col("created").cast("timestamp").alias("ts"))
+    years = [r["y"] for r in jobs.select(F.year("ts").alias("y")).distinct().orderBy("y").collect()]
+    watches = s.createDataFrame(POLL_WATCHES, "watch string, keyword string, active boolean, interval_days int")
+    return polls_once([jobs.where(F.year("ts") == y) for y in years], watches, 3)
+
+
+#: Watches: name, keyword, active, days between polls.
+POLL_WATCHES = [("urgent", "URGENT", True, 300), ("machinery", "machinery", True, 500), ("phrase", "1-urgent build", True, 800), ("off", "high", False, 1), ("none", "no such title", True, 1)]
+
+
+@query
+def stream_stage_state(s, d):
+    """Stage, first application, last activity and events of every application, kept as keyed state over two batches."""
+    from ..streaming.jobs import stages_once
+
+    e = application_events(s, d).select("application", "ts", F.col("event_id").alias("seq"), "to_stage")
+    middle = e.agg(F.percentile_approx(F.unix_micros("ts"), 0.5).alias("m")).first()["m"]
+    first = F.unix_micros("ts") <= middle
+    return stages_once(s, [e.where(first), e.where(~first)], ghost_days=3650, keep_days=3650)
+
+
 @query
 def stage_machine_fold(s, d):
     return _apps(s, d).select("application", "stage", "n_events", F.coalesce(F.unix_micros("applied_at"), F.lit(-1)).alias("applied_us"), F.unix_micros("last_activity").alias("last_us"))

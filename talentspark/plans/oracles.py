@@ -332,6 +332,21 @@ def sql() -> dict[str, str]:
       x AS (SELECT job_id, {score(yes('company IS NULL', 2) + ' + ' + yes('salary < 30000', 1) + ' + ' + yes('is_remote IS NULL', 1), 7)} AS completeness_score,
         {score(yes('length(title) < 6', 1) + ' + ' + yes('upper(title) = title', 2), 4)} AS clarity_score, {score(yes('n < 2', 1), 3)} AS skills_score FROM job JOIN k USING (job_id))
       SELECT *, (completeness_score * 50 + clarity_score * 30 + skills_score * 20) // 100 AS overall FROM x"""
+    q["stream_stage_state"] = f"WITH {APP} SELECT application, stage::int AS stage, epoch_us(applied_at)::bigint AS applied_us, epoch_us(last_activity)::bigint AS last_us, n_events FROM app"
+    from .catalogue import POLL_WATCHES
+
+    values = ", ".join(f"('{w}', '{k.lower()}', {str(a).lower()}, {n})" for w, k, a, n in POLL_WATCHES)
+    q["watch_polls"] = f"""WITH RECURSIVE {JOB}, w AS (SELECT * FROM (VALUES {values}) v(watch, keyword, active, days)),
+      j AS (SELECT job_id, title || ' ' || company AS title, salary AS score, created, dense_rank() OVER (ORDER BY year(created)) - 1 AS batch FROM job),
+      clock AS (SELECT batch, max(created) AS now FROM j GROUP BY batch),
+      run AS (
+        SELECT watch, keyword, active, days, -1::bigint AS batch, NULL::date AS polled, -1::bigint AS upto, -1::bigint AS before, false AS due FROM w
+        UNION ALL SELECT watch, keyword, active, days, clock.batch, CASE WHEN active AND (polled IS NULL OR clock.now - polled >= days) THEN clock.now ELSE polled END,
+          CASE WHEN active AND (polled IS NULL OR clock.now - polled >= days) THEN clock.batch ELSE upto END, upto, active AND (polled IS NULL OR clock.now - polled >= days)
+        FROM run JOIN clock ON clock.batch = run.batch + 1),
+      f AS (SELECT run.watch, run.batch, j.title, row_number() OVER (PARTITION BY run.watch, run.batch ORDER BY score DESC, job_id) AS rank
+        FROM run JOIN j ON j.batch > run.before AND j.batch <= run.batch AND contains(lower(j.title), run.keyword) WHERE run.due)
+      SELECT watch, count(*) AS n, string_agg(title, '; ' ORDER BY rank) FILTER (rank <= 3) AS top, batch::bigint AS batch FROM f GROUP BY watch, batch"""
     q["stream_stage_parity"] = f"WITH {APP} SELECT 'batch' AS kind, count(*) AS n FROM app UNION ALL SELECT 'stream', count(*) FROM app UNION ALL SELECT 'only_batch', 0 UNION ALL SELECT 'only_stream', 0"
     q["match_classes"] = f"WITH {COV} SELECT entity, terms_id, min(entity) OVER (PARTITION BY terms_id, have) AS entity_class FROM cov JOIN sp USING (spec) WHERE spec = terms_id"
     q["spec_classes"] = f"WITH {COV} SELECT spec, terms_id, spec_class, n_specs FROM sp"

@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.dedup import latest_per_key
+from ..operators.matching import digest, mentioned
 from ..operators.tracking import TERMINAL, notifications, watch_due
 from ..sources.writers import shared_path
 
@@ -76,27 +78,142 @@ def poll(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
 def watch_poll(watches: DataFrame, path: str, k: int = 3) -> Callable[[DataFrame, int], None]:
     """For ``poll`` on jobs(job_id, title, company, score, ts): what each due watch(watch, keyword, active, interval_days) finds.
 
-    A watch is due by the batch's newest job and its own last run, kept below ``path/state``; runs and
-    notifications (watch, n, top) are appended a batch at a time.
+    Jobs are kept below ``path/jobs`` by batch, and a watch that is due takes all that came since the batch of its last run,
+    so none is lost to a batch in which it was not due.  A watch is due by the batch's newest job and its own last
+    run, kept below ``path/state``; runs and notifications (watch, n, top) are appended a batch at a time.  A batch that
+    runs again overwrites what it wrote.  Keywords meet titles by ``matching.mentioned``.
     """
 
-    watches.sparkSession.createDataFrame([], "watch string, last_polled date").write.mode("ignore").parquet(f"{path}/state/batch=-1")
+    spark = watches.sparkSession
+    spark.createDataFrame([], "watch string, last_polled date").write.mode("ignore").parquet(f"{path}/state/batch=-1")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         now = batch.agg(F.max("ts").alias("now")).first()["now"]
         if now is None:
             return
+        batch.write.mode("overwrite").parquet(f"{path}/jobs/batch={batch_id}")
         runs = spark.read.schema("watch string, last_polled date, batch long").parquet(f"{path}/state").where(F.col("batch") < batch_id)
-        last = runs.groupBy("watch").agg(F.max("last_polled").alias("last_polled"))
-        due = watch_due(watches.join(last, "watch", "left"), str(now.date())).where("due")
-        found = batch.join(due, F.lower("title").contains(F.lower("keyword"))).select("watch", "job_id", "score", "title")
+        last = runs.groupBy("watch").agg(F.max("last_polled").alias("last_polled"), F.max("batch").alias("upto"))
+        due = watch_due(watches.join(last, "watch", "left"), str(now.date())).where("due").select("watch", F.lower("keyword").alias("phrase"), F.coalesce("upto", F.lit(-1)).alias("upto"))
+        oldest = due.agg(F.min("upto").alias("upto")).first()["upto"]
+        if oldest is None:
+            return
+        unseen_by_any = (F.col("batch") > oldest) & (F.col("batch") <= batch_id)
+        kept = spark.read.schema(batch.schema.add("batch", "long")).parquet(f"{path}/jobs").where(unseen_by_any)
+        titles = kept.withColumn("digest", digest(F.col("title")))
+        met = due.join(mentioned(due.select("phrase"), kept.select("title")), "phrase")
+        found = titles.join(met, "digest").where(F.col("batch") > F.col("upto")).select("watch", "job_id", "score", "title")
         notifications(found, k).write.mode("overwrite").parquet(f"{path}/notifications/batch={batch_id}")
         due.select("watch", F.lit(str(now.date())).cast("date").alias("last_polled")).write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
 
     return each
 
 
+def polls_once(batches: list[DataFrame], watches: DataFrame, k: int = 3) -> DataFrame:
+    """Land the batches one after another, poll each as a stream, and give all notifications (batch, watch, n, top)."""
+    spark = watches.sparkSession
+    source, out, checkpoint = (shared_path(spark, n) for n in ("landed", "polls", "offsets"))
+    for jobs in batches:
+        jobs.write.mode("append").parquet(source)
+        poll(spark.readStream.schema(jobs.schema).parquet(source), watch_poll(watches, out, k), checkpoint, None).awaitTermination()
+    return spark.read.schema("watch string, n long, top string, batch long").parquet(f"{out}/notifications")
+
+
+class _Stages(StatefulProcessor):
+    """One application: its stage, when it was first applied for and last active, and a log of its events.
+
+    The log goes once a terminal stage is reached; ``keep_days`` after that the rest goes too.  Applied and idle for
+    ``ghost_days`` becomes Ghosted (8).
+    """
+
+    def __init__(self, ghost_days: int, keep_days: int):
+        self.ghost_ms, self.keep_ms = ghost_days * 86_400_000, keep_days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "stage int, applied_us long, last_us long, events long")
+        self.log = handle.getListState("log", "us long, seq long, to_stage int")
+
+    def _result(self, key: tuple, state: tuple) -> pd.DataFrame:
+        stage, applied, last, events = state
+        return pd.DataFrame({"application": [key[0]], "stage": [stage], "applied_us": pd.array([applied], "Int64"), "last_us": [last], "n_events": [events]})
+
+    def _timer(self, at_ms: int, watermark_ms: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+        self.handle.registerTimer(max(at_ms, watermark_ms + 1))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        stage, applied, last, events = self.now.get() if self.now.exists() else (0, None, 0, 0)
+        new = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        us = new["ts"].astype("datetime64[us]").astype("int64")
+        for at, to in zip(us.tolist(), new["to_stage"].tolist()):
+            if to >= 1:
+                # Set once by the earliest such event, however late that arrives.
+                applied = at if applied is None else min(applied, at)
+            if stage not in TERMINAL and to != 5 and to > stage:
+                stage = int(to)
+        last, events = max(last, us.max().item()), events + len(new)
+        self.now.update((stage, applied, last, events))
+        if stage in TERMINAL:
+            self.log.clear()
+            self._timer(last // 1000 + self.keep_ms, timerValues.getCurrentWatermarkInMs())
+        else:
+            self.log.appendList(list(zip(us.tolist(), new["seq"].tolist(), new["to_stage"].tolist())))
+            if stage == 1:
+                self._timer(last // 1000 + self.ghost_ms, timerValues.getCurrentWatermarkInMs())
+        yield self._result(key, (stage, applied, last, events))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.now.exists():
+            return
+        stage, applied, last, events = self.now.get()
+        if stage in TERMINAL:
+            self.now.clear()
+        elif stage == 1:
+            self.now.update((8, applied, last, events))
+            self.log.clear()
+            self.handle.registerTimer(max(last // 1000 + self.ghost_ms + self.keep_ms, timerValues.getCurrentWatermarkInMs() + 1))
+            yield self._result(key, (8, applied, last, events))
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that keyed state of several kinds needs.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def stages(stream: DataFrame, ghost_days: int = 30, keep_days: int = 90, late: str = "1 day") -> DataFrame:
+    """Stage, applied_us, last_us and n_events of each application of events(application, ts, seq, to_stage), update by update.
+
+    The session's state store has to be ``STATE_STORE``.  Null keys are one application.
+    """
+    schema = "application string, stage int, applied_us long, last_us long, n_events long"
+    return stream.withWatermark("ts", late).groupBy("application").transformWithStateInPandas(_Stages(ghost_days, keep_days), schema, "Update", "EventTime")
+
+
+def stages_once(spark: SparkSession, batches: list[DataFrame], ghost_days: int, keep_days: int = 90) -> DataFrame:
+    """Run ``stages`` over event batches that land one after another; the last update of every application."""
+    source, sink, checkpoint = (shared_path(spark, n) for n in ("events", "stages", "offsets"))
+    before = spark.conf.get(STATE_STORE[0], None)
+    spark.conf.set(*STATE_STORE)
+    try:
+        for events in batches:
+            events.write.mode("append").parquet(source)
+            updates = stages(spark.readStream.schema(events.schema).parquet(source), ghost_days, keep_days)
+
+            def write(batch: DataFrame, batch_id: int) -> None:
+                batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+            updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(STATE_STORE[0]) if before is None else spark.conf.set(STATE_STORE[0], before)
+    rows = spark.read.schema("application string, stage int, applied_us long, last_us long, n_events long, batch long").parquet(sink)
+    return latest_per_key(rows, ["application"], [F.col("n_events").desc(), F.col("batch").desc(), F.col("stage").desc()]).drop("batch")
+
+
 def stage_stream_once(spark: SparkSession, events: DataFrame) -> DataFrame:
     """Run the stage machine as a stream over ``events`` (application, ts, seq, to_stage) and give the final stages."""
     source, sink, checkpoint = (shared_path(spark, n) for n in ("events", "stages", "offsets"))
