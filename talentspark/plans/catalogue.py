@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import embedding as E
 from ..functions import text as T
 from ..functions.vectors import norm
-from ..operators import dedup, filters, graph, ledger, matching, phrases, quality, records, search, tracking, vector_index
+from ..operators import communities, dedup, filters, graph, ledger, matching, phrases, quality, records, search, tracking, vector_index
 from ..operators.filters import Leaf, Node
 from ..sources.writers import written
 from . import oracles
@@ -592,6 +592,18 @@ def relation_learner(s, d):
     return graph.relations(x)
 
 
+@query
+def planted_communities(s, d):
+    """Suppliers of a nation all know each other; first suppliers of neighbouring nations know each other a little.  Nations of one are left out."""
+    x = table(s, d, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 9, "0").alias("node"), F.col("s_nationkey").alias("nation"))
+    x = x.join(x.groupBy("nation").agg(F.count("*").alias("n")).where("n > 1").select("nation"), "nation")
+    other = x.select(F.col("node").alias("dst"), "nation")
+    close = x.select(F.col("node").alias("src"), "nation").join(other, "nation").where("src < dst").select("src", "dst", F.lit(10.0).alias("weight"))
+    first = x.groupBy("nation").agg(F.min("node").alias("node"))
+    far = first.select(F.col("node").alias("src"), (F.col("nation") + 1).alias("nation")).join(first.select(F.col("node").alias("dst"), "nation"), "nation").select("src", "dst", F.lit(0.01).alias("weight"))
+    return communities.communities(close.unionByName(far))
+
+
 @query
 def graph_communities(s, d):
     return graph.communities(_edges(s, d).withColumn("graph", F.lit("all")))
@@ -616,17 +628,18 @@ def vote_auto_filter(s, d):
 
 @query
 def watch_polls(s, d):
-    """Postings of a year land as one batch; watches of several intervals are polled after each."""
+    """Postings of three years land as one batch; watches of several intervals are polled after each."""
     from ..streaming.jobs import polls_once
 
     jobs = postings(s, d).select("job_id", F.concat_ws(" ", "title", "company").alias("title"), "company", F.col("salary").cast("double").alias("score"), F.col("created").cast("timestamp").alias("ts"))
-    years = [r["y"] for r in jobs.select(F.year("ts").alias("y")).distinct().orderBy("y").collect()]
+    span = F.floor(F.year("ts") / 3)
+    spans = [r["y"] for r in jobs.select(span.alias("y")).distinct().orderBy("y").collect()]
     watches = s.createDataFrame(POLL_WATCHES, "watch string, keyword string, active boolean, interval_days int")
-    return polls_once([jobs.where(F.year("ts") == y) for y in years], watches, 3)
+    return polls_once([jobs.where(span == y) for y in spans], watches, 3)
 
 
 #: Watches: name, keyword, active, days between polls.
-POLL_WATCHES = [("urgent", "URGENT", True, 300), ("machinery", "machinery", True, 500), ("phrase", "1-urgent build", True, 800), ("off", "high", False, 1), ("none", "no such title", True, 1)]
+POLL_WATCHES = [("urgent", "URGENT", True, 300), ("machinery", "machinery", True, 1300), ("phrase", "1-urgent build", True, 3000), ("off", "high", False, 1), ("none", "no such title", True, 1)]
 
 
 @query

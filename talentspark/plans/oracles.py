@@ -198,6 +198,7 @@ def sql() -> dict[str, str]:
     q["vector_store_stats"] = f"""WITH {VEC} SELECT g AS "group", count(*) AS n, max(id) + 1 AS next_id, round(avg(sqrt(list_inner_product(v, v))), 6) AS mean_norm FROM vec GROUP BY ALL"""
     q["cooccurrence_edges"] = f"WITH {EDGE} SELECT src, dst, weight FROM edge"
     q["graph_degree_topn"] = f"WITH {EDGE} SELECT community, rank, node, degree FROM (SELECT community, node, degree, row_number() OVER (PARTITION BY community ORDER BY degree DESC, node) AS rank FROM deg JOIN member USING (node)) WHERE rank <= 5"
+    q["planted_communities"] = "SELECT lpad(s_suppkey::varchar, 9, '0') AS node, lpad((min(s_suppkey) OVER (PARTITION BY s_nationkey))::varchar, 9, '0') AS community FROM supplier QUALIFY count(*) OVER (PARTITION BY s_nationkey) > 1"
     q["graph_modularity"] = f"""WITH {EDGE}, i AS (SELECT a.community, sum(weight)::bigint AS inside FROM edge JOIN member a ON a.node = src JOIN member b ON b.node = dst WHERE a.community = b.community GROUP BY ALL), t AS (SELECT community, sum(degree)::bigint AS total FROM deg JOIN member USING (node) GROUP BY ALL), m AS (SELECT sum(weight) AS m FROM edge)
       SELECT community, coalesce(inside, 0) AS inside, total, round(coalesce(inside, 0) / m - (total / (2 * m)) ** 2, 6) AS modularity FROM t LEFT JOIN i USING (community), m"""
     q["bridge_skills"] = f"""WITH {LED}, {EDGE}, strong AS (SELECT skill AS node FROM led GROUP BY ALL HAVING round(avg(strength), 6) > 0.4)
@@ -337,7 +338,7 @@ def sql() -> dict[str, str]:
 
     values = ", ".join(f"('{w}', '{k.lower()}', {str(a).lower()}, {n})" for w, k, a, n in POLL_WATCHES)
     q["watch_polls"] = f"""WITH RECURSIVE {JOB}, w AS (SELECT * FROM (VALUES {values}) v(watch, keyword, active, days)),
-      j AS (SELECT job_id, title || ' ' || company AS title, salary AS score, created, dense_rank() OVER (ORDER BY year(created)) - 1 AS batch FROM job),
+      j AS (SELECT job_id, title || ' ' || company AS title, salary AS score, created, dense_rank() OVER (ORDER BY year(created) // 3) - 1 AS batch FROM job),
       clock AS (SELECT batch, max(created) AS now FROM j GROUP BY batch),
       run AS (
         SELECT watch, keyword, active, days, -1::bigint AS batch, NULL::date AS polled, -1::bigint AS upto, -1::bigint AS before, false AS due FROM w
