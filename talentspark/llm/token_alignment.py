@@ -212,7 +212,10 @@ class _Pieces:
         slot = slot[order]
         sign = np.where(np.diff(slot, append=-1) == 0, ",", np.where(slot % 2 == 0, "|", ";"))
         words: list[str] = [""] * (2 * len(slot))
-        words[::2], words[1::2] = map(str, np.concatenate([a, b])[order].tolist()), sign.tolist()
+        ids = np.concatenate([a, b])[order]
+        # One string an id, however many tokens have it.
+        names = [str(i) for i in range(int(ids.max(initial=0)) + 1)]
+        words[::2], words[1::2] = map(names.__getitem__, ids.tolist()), sign.tolist()
         stops = (2 * np.cumsum(self.n_a + self.n_b)).tolist()
         self.texts = ["".join(words[i : j - 1]) for i, j in zip([0, *stops], stops)]
 
