@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import embedding as E
 from ..functions import text as T
 from ..functions.vectors import norm
-from ..operators import communities, dedup, filters, graph, ledger, matching, phrases, quality, records, search, tracking, vector_index
+from ..operators import communities, dedup, filters, graph, ledger, matching, phrases, quality, quantiles, records, search, tracking, vector_index
 from ..operators.filters import Leaf, Node
 from ..sources.writers import written
 from . import oracles
@@ -838,7 +838,8 @@ def byte_share(s, d):
 
 @query
 def median_by_group(s, d):
-    return table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.percentile("l_extendedprice", 0.5), 6).alias("median"), F.count("*").alias("n"))
+    x = quantiles.exact_median(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
+    return x.select("l_returnflag", "l_linestatus", F.round("median", 6).alias("median"), "n")
 
 
 @query
