@@ -650,7 +650,7 @@ def stream_stage_state(s, d):
     e = application_events(s, d).select("application", "ts", F.col("event_id").alias("seq"), "to_stage")
     middle = e.agg(F.percentile_approx(F.unix_micros("ts"), 0.5).alias("m")).first()["m"]
     first = F.unix_micros("ts") <= middle
-    return stages_once(s, [e.where(first), e.where(~first)], ghost_days=3650, keep_days=3650)
+    return stages_once(s, [e.where(first), e.where(~first)], ghost_days=3650, keep_days=3650).withColumn("applied_us", F.coalesce("applied_us", F.lit(-1)))
 
 
 @query

@@ -333,7 +333,7 @@ def sql() -> dict[str, str]:
       x AS (SELECT job_id, {score(yes('company IS NULL', 2) + ' + ' + yes('salary < 30000', 1) + ' + ' + yes('is_remote IS NULL', 1), 7)} AS completeness_score,
         {score(yes('length(title) < 6', 1) + ' + ' + yes('upper(title) = title', 2), 4)} AS clarity_score, {score(yes('n < 2', 1), 3)} AS skills_score FROM job JOIN k USING (job_id))
       SELECT *, (completeness_score * 50 + clarity_score * 30 + skills_score * 20) // 100 AS overall FROM x"""
-    q["stream_stage_state"] = f"WITH {APP} SELECT application, stage::int AS stage, epoch_us(applied_at)::bigint AS applied_us, epoch_us(last_activity)::bigint AS last_us, n_events FROM app"
+    q["stream_stage_state"] = f"WITH {APP} SELECT application, stage::int AS stage, coalesce(epoch_us(applied_at), -1)::bigint AS applied_us, epoch_us(last_activity)::bigint AS last_us, n_events FROM app"
     from .catalogue import POLL_WATCHES
 
     values = ", ".join(f"('{w}', '{k.lower()}', {str(a).lower()}, {n})" for w, k, a, n in POLL_WATCHES)
