@@ -60,7 +60,7 @@ class _Numbers(dict):
         return n
 
 
-def chunked(documents: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+def chunked(documents: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
     """Rows of texts (chunk, doc_id, codes, none) and of their distinct pieces (chunk, none, none, piece, code).
 
     A chunk holds whole texts of one task, ``most_bytes`` together or one longer text.
@@ -211,13 +211,18 @@ class _Pieces:
         order = np.argsort(slot, kind="stable")
         slot = slot[order]
         sign = np.where(np.diff(slot, append=-1) == 0, ",", np.where(slot % 2 == 0, "|", ";"))
-        words: list[str] = [""] * (2 * len(slot))
         ids = np.concatenate([a, b])[order]
-        # One string an id, however many tokens have it.
+        # One string an id, however many tokens have it, and some pieces at a time.
         names = [str(i) for i in range(int(ids.max(initial=0)) + 1)]
-        words[::2], words[1::2] = map(names.__getitem__, ids.tolist()), sign.tolist()
-        stops = (2 * np.cumsum(self.n_a + self.n_b)).tolist()
-        self.texts = ["".join(words[i : j - 1]) for i, j in zip([0, *stops], stops)]
+        upto = np.append(0, np.cumsum(self.n_a + self.n_b))
+        self.texts: list[str] = []
+        for at in range(0, len(path), 20_000):
+            stops = upto[at : at + 20_001]
+            own = slice(stops[0], stops[-1])
+            words = [""] * int(2 * (stops[-1] - stops[0]))
+            words[::2], words[1::2] = map(names.__getitem__, ids[own].tolist()), sign[own].tolist()
+            stops = (2 * (stops - stops[0])).tolist()
+            self.texts += ["".join(words[i : j - 1]) for i, j in zip(stops, stops[1:])]
 
     def links_of(self, codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the linked pairs of a text of these pieces, and how often each is linked."""
