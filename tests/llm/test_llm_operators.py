@@ -575,4 +575,4 @@ def test_stages_by_brute_force(spark):
 
 
 def test_entry_names():
-    assert [n.split("_")[0] for n in entry.queries()] == [f"op{k}" for k in range(1, 11)] + ["pipeline"] and set(entry.oracle_sql()) <= set(entry.queries())
+    assert [n.split("_")[0] for n in entry.queries()] == [f"op{k}" for k in range(1, 14)] + ["pipeline"] and set(entry.oracle_sql()) <= set(entry.queries())
