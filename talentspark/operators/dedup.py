@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.writers import written
+from .graph import connected
+from .matching import contained
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -144,6 +147,41 @@ def merged_spells(rows: DataFrame, keys: list[str], longest: str, grace_days: in
     return x.groupBy(*keys, "_spell").agg(F.min("start_date").alias("start_date"), F.max("stop").alias("stop"), text, F.count("*").alias("n")).drop("_spell")
 
 
+def similar_names(names: DataFrame) -> DataFrame:
+    """(part, whole) of different normalised names (one column) where all words of one stand, in a row, in the other."""
+    spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return contained(names, names).where((F.col("part") != F.col("whole")) & spaced("whole").contains(spaced("part")))
+
+
+def merged_similar(rows: DataFrame, key: str, name: str, grace_days: int = 90, bucket_days: int = 365) -> DataFrame:
+    """Spells (key, start_date, stop, name, names, n) of rows(key, name, start_date, stop) whose names are alike and whose dates touch.
+
+    Company names are alike when they are equal after normalising or one holds the other's words.  Spells of one
+    name are merged first; those of names alike within the grace are linked by name and time bucket, and what
+    links connect is one spell, so a chain of near names and touching dates ends as one row with the longest name.
+    Rows without a name or a start join nothing and stay as they are, with n = 1.
+    """
+    norm = T.normalise_company(F.col(name))
+    rows = rows.select(key, name, "start_date", "stop", F.coalesce(norm, F.lit("")).alias("_norm"))
+    usable = (F.col("_norm") != "") & F.col("start_date").isNotNull() & F.col("stop").isNotNull() & F.col(key).isNotNull()
+    spells = merged_spells(rows.where(usable), [key, "_norm"], name, grace_days)
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    ident = F.sha2(F.to_json(F.struct(key, "_norm", "start_date")), 256)
+    spells = written(spells.withColumn("_id", ident).withColumn("s", day(F.col("start_date"))).withColumn("e", day(F.col("stop")) + grace_days), "spells")
+    buckets = F.explode(F.sequence(F.floor(F.col("s") / bucket_days), F.floor(F.col("e") / bucket_days))).alias("bucket")
+    x = spells.select(key, F.col("_norm").alias("part"), F.col("_id").alias("u"), "s", "e", buckets)
+    y = spells.select(key, F.col("_norm").alias("whole"), F.col("_id").alias("v"), F.col("s").alias("s2"), F.col("e").alias("e2"), buckets)
+    x = x.join(similar_names(spells.select("_norm").distinct()), "part")
+    first = F.col("bucket") == F.floor(F.greatest("s", "s2") / bucket_days)
+    links = x.join(y, [key, "bucket", "whole"]).where((F.col("s") <= F.col("e2")) & (F.col("s2") <= F.col("e")) & first).select("u", "v")
+    part = connected(links)
+    out = spells.join(part, F.col("_id") == F.col("node"), "left").groupBy(key, F.coalesce("component", "_id").alias("_c")).agg(
+        F.min("start_date").alias("start_date"), F.max("stop").alias("stop"), F.max_by(name, F.struct(F.length(name), name)).alias(name), F.countDistinct("_norm").alias("names"), F.sum("n").alias("n")
+    )
+    alone = rows.where(~F.coalesce(usable, F.lit(False))).select(key, "start_date", "stop", name, F.lit(1).alias("names"), F.lit(1).alias("n"))
+    return out.drop("_c").unionByName(alone)
+
+
 def merge_named(existing: DataFrame, incoming: DataFrame, key: str, name: str, similar: DataFrame | None = None) -> DataFrame:
     """Incoming rows of a key with the existing name they join: equal without case, else the first by name in similar(name, other); null if new."""
     low = existing.select(key, F.lower(name).alias("_low"), F.col(name).alias("into")).groupBy(key, "_low").agg(F.min("into").alias("into"))

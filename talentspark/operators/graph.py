@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.writers import written
+
 
 def cooccurrence(items: DataFrame) -> DataFrame:
     """Undirected edges (src < dst, weight) between items(group, item) of the same group."""
@@ -42,6 +44,28 @@ def projection(edges: DataFrame, dims: int = 2, most_nodes: int = 2000) -> DataF
     return both.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(solve, "node string, x double, y double")
 
 
+def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component) of links(u, v), each component named by its smallest node; nodes without links are not there.
+
+    A round takes the smallest label around and then that label's own label, so long chains settle in few rounds.  Each
+    round is joins and aggregations, and is written, so a lost executor repeats that round only.
+    """
+    some = links.where(F.col("u") != F.col("v")).select("u", "v")
+    both = written(some.unionByName(some.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label"))
+    labels = written(labels.withColumn("changed", F.lit(True)), "labels")
+    for _ in range(rounds):
+        known = labels.select("node", "label")
+        near = both.join(known, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
+        step = known.join(near, F.col("node") == F.col("u")).select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
+        own = known.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        step = step.join(own, "label").select("node", "before", F.least("label", "further").alias("label"))
+        labels = written(step.select("node", "label", (F.col("label") != F.col("before")).alias("changed")), "labels")
+        if labels.where("changed").isEmpty():
+            return labels.select("node", F.col("label").alias("component"))
+    raise RuntimeError("components did not settle")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("src").alias("node"), "weight").unionByName(edges.select(F.col("dst").alias("node"), "weight"))
     return both.groupBy("node").agg(F.sum("weight").alias("degree"), F.count("*").alias("neighbours"))

@@ -58,6 +58,41 @@ def lines_from_boxes(boxes: DataFrame, bucket: float = 3.0, wide: float = 40.0,
     return lines.select("doc", "page", "row", "column", "text", ((F.col("size") >= large * F.col("median")) | capitals).alias("heading"))
 
 
+def column_edges(boxes: DataFrame, bucket: float = 3.0, wide: float = 30.0, least_words: int = 10, least_width: float = 200.0, share: float = 0.3) -> DataFrame:
+    """(doc, page, edge): where the right one of two columns begins, for pages of boxes(doc, page, x, y, width, ..) that have two.
+
+    Gaps of more than ``wide`` inside a row vote with their middle for a stretch of 10; the stretch with most votes, the left of
+    equals, is the gap of the columns if it holds at least ``share`` of the page's rows and there are three gaps in all.
+    """
+    b = boxes.withColumn("row", F.bround(F.col("y") / bucket))
+    w = Window.partitionBy("doc", "page", "row").orderBy("x", "width")
+    before = F.lag(F.col("x") + F.col("width")).over(w)
+    b = b.withColumn("middle", F.when(F.col("x") - before > wide, (F.col("x") + before) / 2))
+    pages = b.groupBy("doc", "page").agg(F.count("*").alias("words"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("across"), F.countDistinct("row").alias("rows"), F.count("middle").alias("gaps"))
+    pages = pages.where((F.col("words") >= least_words) & (F.col("across") >= least_width) & (F.col("gaps") >= 3))
+    votes = b.where("middle is not null").groupBy("doc", "page", F.bround(F.col("middle") / 10).alias("stretch")).agg(F.count("*").alias("votes"), F.avg("middle").alias("edge"))
+    best = votes.groupBy("doc", "page").agg(F.min_by(F.struct("votes", "edge"), F.struct(-F.col("votes"), "stretch")).alias("best"))
+    return pages.join(best, ["doc", "page"]).where(F.col("best.votes") >= share * F.col("rows")).select("doc", "page", "best.edge")
+
+
+def reading_order(boxes: DataFrame, line: float = 2.0, large: float = 1.25, title: float = 1.5) -> DataFrame:
+    """Word boxes(doc, page, x, y, width, size, text), y from the top, as lines (doc, page, column, line, text, size, level).
+
+    Lines are read by page, then column, then line.  A line set in ``large`` times the median size of the document's lines is a heading of
+    level 2, in ``title`` times of level 1; a line of under 50 characters in capitals is one of level 2; others have none.
+    """
+    b = boxes.join(column_edges(boxes), ["doc", "page"], "left")
+    b = b.withColumn("column", F.coalesce(F.col("x") >= F.col("edge"), F.lit(False)).cast("int")).withColumn("line", F.bround(F.col("y") / line).cast("int"))
+    words = F.array_sort(F.collect_list(F.struct("x", "text")))
+    letters = F.greatest(F.length("text"), F.lit(1))
+    lines = b.groupBy("doc", "page", "column", "line").agg(words.alias("words"), (F.sum(F.col("size") * letters) / F.sum(letters)).alias("size"))
+    lines = lines.withColumn("text", F.trim(F.array_join(F.transform("words", lambda x: x["text"]), " "))).where("text <> ''")
+    lines = lines.join(lines.groupBy("doc").agg(F.percentile("size", 0.5).alias("median")), "doc")
+    capitals = (F.length("text") < 50) & (F.upper("text") == F.col("text")) & F.col("text").rlike(r"\p{L}")
+    level = F.when(F.round(F.col("size") / F.col("median"), 9) >= title, 1).when((F.round(F.col("size") / F.col("median"), 9) >= large) | capitals, 2)
+    return lines.select("doc", "page", "column", "line", "text", "size", level.alias("level"))
+
+
 def entity_lookup(docs: DataFrame, id_col: str, names: DataFrame) -> DataFrame:
     """(id, name, kind) of names(name, kind) found in texts: companies between signs that are no letter or digit, others anywhere."""
     texts = docs.select(id_col, F.lower(F.coalesce("text", F.lit(""))).alias("low")).withColumn("digest", digest(F.col("low")))

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import embedding as E
 from ..functions import text as T
 from ..functions.vectors import norm
-from ..operators import communities, dedup, filters, graph, ledger, matching, phrases, quality, quantiles, records, search, tracking, vector_index
+from ..operators import communities, dedup, filters, graph, ledger, matching, phrases, quality, quantiles, records, search, tagging, tracking, vector_index
 from ..operators.filters import Leaf, Node
 from ..sources.writers import written
+from ..streaming import jobs
 from . import oracles
 from .bindings import AS_OF, achievements, adjacent, application_events, evidence, posting_skills, postings, requirements, synonyms, table, votes
 
@@ -1319,3 +1320,85 @@ def job_field_filters(s, d):
         "is_hybrid": Leaf("is_hybrid", "IsTrue"), "gear": Leaf("skills", "In", ["Red Gear", "HOT BOLT"]), "paid": Leaf("salary_max", "GreaterThanOrEqual", 300000),
     }
     return j.agg(*[F.count_if(filters.compile_filter(x, filters.job_fields(), filters.JOB_LISTS)).alias(k) for k, x in leaves.items()])
+
+
+# --- subwords, pages, similar names, windows over late rows ----------------------------------------------------------
+
+
+def _pieces(s, d):
+    """Pieces of benchmark words: their first two and four letters, and stretches from the third, fifth and seventh on; ids by MD5."""
+    words = table(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).distinct()
+    cuts = F.explode(F.array(*[F.substring("w", 1, n) for n in (2, 4)], *[F.concat(F.lit("##"), F.substring("w", a, n)) for a, n in ((3, 2), (5, 2), (5, 3), (7, 1), (8, 2))]))
+    pieces = words.select(cuts.alias("piece")).where("piece not in ('', '##')").distinct()
+    return pieces.select("piece", F.conv(F.substring(F.md5("piece"), 1, 8), 16, 10).cast("long").alias("id"))
+
+
+TAG_LABELS = ["B-LOC", "I-LOC", "I-LOC", "I-PER", "O", "O"]
+
+
+def _tag_by_id(windows):
+    """Stands in for a model: a token's tag and confidence by its id alone, so that SQL can say them too."""
+    return [(ids % 6, (ids % 97) / 100) for ids in windows]
+
+
+@query
+def wordpiece_counts(s, d):
+    """Tokens, unknown words and the sum of ids of every document."""
+    x = tagging.wordpieces(table(s, d, "documents"), "doc_id", tagging.vocabulary(_pieces(s, d), unknown=4))
+    return x.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("piece") == 4).alias("unknown"), F.sum("piece").alias("ids"), F.max("stop").alias("stop"))
+
+
+@query
+def tagged_spans(s, d):
+    """Spans of tagged tokens over all documents, in windows of 64 tokens."""
+    known = tagging.vocabulary(_pieces(s, d), unknown=4)
+    tokens = tagging.tagged_tokens(table(s, d, "documents"), "doc_id", known, _tag_by_id, TAG_LABELS, 64, 16)
+    x = tagging.joined_tags(tokens, "doc_id", 0.4)
+    return x.select("doc_id", "kind", "start", "stop", "tokens", *r6("confidence"))
+
+
+@query
+def page_reading_order(s, d):
+    """Lines of pages set in two columns and in one, with headings."""
+    n, two = F.col("l_linenumber"), F.col("l_suppkey") % 4 != 0
+    boxes = table(s, d, "lineitem").select(
+        F.col("l_suppkey").alias("doc"), (F.col("l_orderkey") % 3).alias("page"), F.when(two & (n > 3), 350 + (n - 4) * 50).otherwise(n * 50).cast("double").alias("x"),
+        ((F.col("l_orderkey") % 40) * 12.5).cast("double").alias("y"), F.lit(45.0).alias("width"), F.when(F.col("l_orderkey") % 40 == 7, 16.0).when(F.col("l_orderkey") % 40 == 9, 13.0).otherwise(10.0).alias("size"),
+        F.when(F.col("l_orderkey") % 40 == 11, F.upper(F.col("l_returnflag"))).otherwise(F.concat(F.lower("l_returnflag"), n)).alias("text"),
+    )
+    return records.reading_order(boxes).select("doc", "page", "column", "line", "text", *r6("size"), F.coalesce("level", F.lit(0)).alias("level"))
+
+
+@query
+def similar_experience(s, d):
+    """Spells under company names that are written in several ways."""
+    lines = table(s, d, "lineitem").where("l_linestatus = 'F'").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    kind = (F.col("l_orderkey") + F.col("l_linenumber")) % 5
+    last = F.element_at(F.split("p_name", " "), -1)
+    name = F.when(kind == 0, F.concat(F.initcap("p_name"), F.lit(", Ltd."))).when(kind == 1, F.upper(last)).when(kind == 2, F.concat("p_name", F.lit(" Works GmbH"))).when(kind == 3, F.col("p_name"))
+    start = F.to_date("o_orderdate")
+    x = lines.select(F.col("o_custkey").alias("entity"), name.alias("company"), start.alias("start_date"), F.date_add(start, F.col("l_quantity").cast("int")).alias("stop"))
+    return dedup.merged_similar(x, "entity", "company", 30).select("entity", *day("start_date", "stop"), "company", "names", "n")
+
+
+def _arrivals(s, d):
+    """Events in four arrivals by thirds of the time; one in ten comes an arrival late."""
+    e = table(s, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    low, high = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    third = F.floor((F.unix_micros("ts") - low) * 3 / (high - low + 1)).cast("int")
+    e = e.withColumn("arrival", third + (F.col("event_id") % 10 == 0).cast("int"))
+    return [e.where(F.col("arrival") == i).drop("arrival") for i in range(4)]
+
+
+@query
+def stream_sliding_windows(s, d):
+    """Closed sliding windows of a stream of which rows come late."""
+    x = jobs.closed_windows(_arrivals(s, d), lambda e: jobs.windowed_counts(e, "ts", "user_id", "1 day", "12 hours", "6 hours"))
+    return x.select("user_id", F.unix_micros("window.start").alias("start_us"), F.unix_micros("window.end").alias("stop_us"), "n")
+
+
+@query
+def stream_session_windows(s, d):
+    """Closed sessions of a stream of which rows come late."""
+    x = jobs.closed_windows(_arrivals(s, d), lambda e: jobs.session_counts(e, "ts", "user_id", "6 hours", "12 hours"))
+    return x.select("user_id", F.unix_micros("window.start").alias("start_us"), F.unix_micros("window.end").alias("stop_us"), "n")

@@ -454,4 +454,53 @@ def sql() -> dict[str, str]:
     q["job_field_filters"] = f"""WITH {JOB}, sk AS (SELECT l_orderkey AS job_id, list_sort(list(DISTINCT p_name)) AS skills FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), j AS (SELECT job.*, skills[:11] AS skills FROM job JOIN sk USING (job_id))
       SELECT count(*) FILTER (job_id % 4 = 0) AS startup, count(*) FILTER (job_id % 4 = 0) AS saas, count(*) FILTER (job_id % 4 <> 1) AS no_health, count(*) FILTER (NOT coalesce(is_remote, false) AND job_id % 3 = 0) AS hybrid,
         count(*) FILTER (job_id % 3 = 0) AS is_hybrid, count(*) FILTER (list_has_any(skills, ['red gear', 'hot bolt'])) AS gear, count(*) FILTER (salary * 1.2 >= 300000) AS paid FROM j"""
+    blank, sign = "\\p{Z}\\x09-\\x0d\\x{85}", "\\p{P}\\p{S}\\x{4e00}-\\x{9fff}"
+    cuts = "[w[:2], w[:4], '##' || w[3:4], '##' || w[5:6], '##' || w[5:7], '##' || w[7:7], '##' || w[8:9]]"
+    # Every place where a piece fits in a word, the longest of each, then the walk over a word from fit to fit.
+    tokens = f"""bw AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^\\p{{L}}]+')) AS w FROM benchmark), bp AS (SELECT DISTINCT unnest({cuts}) AS piece FROM bw),
+      pc AS (SELECT piece, ('0x' || md5(piece)[1:8])::bigint AS id, starts_with(piece, '##') AS inner, replace(piece, '##', '') AS body FROM bp WHERE piece NOT IN ('', '##')),
+      ls AS (SELECT doc_id, regexp_extract_all(lower({T}), '[{sign}]|[^{blank}{sign}]+|[{blank}]+') AS l FROM documents), un AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM ls),
+      ws AS (SELECT doc_id, w, i, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i) - length(w) AS off FROM un), dw AS (SELECT DISTINCT w FROM ws WHERE NOT regexp_full_match(w, '[{blank}]+')),
+      sub AS (SELECT w, a, n, w[a + 1 : a + n] AS body FROM dw, unnest(range(length(w))) x(a), unnest(range(1, 5)) y(n) WHERE a + n <= length(w)),
+      fit AS (SELECT w, a, max(n) AS n, max_by(id, n) AS id FROM sub JOIN pc ON sub.body = pc.body AND pc.inner = (a > 0) GROUP BY ALL),
+      walk AS (SELECT w, a, n, id FROM fit WHERE a = 0 UNION ALL SELECT f.w, f.a, f.n, f.id FROM walk k JOIN fit f ON f.w = k.w AND f.a = k.a + k.n),
+      good AS (SELECT w FROM walk WHERE a + n = length(w)), cut AS (SELECT w, a, n, id FROM walk WHERE w IN (FROM good) UNION ALL SELECT w, 0, length(w), 4 FROM dw WHERE w NOT IN (FROM good)),
+      tok AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY off, a) AS pos, id, (off + a)::int AS start, (off + a + n)::int AS stop FROM ws JOIN cut USING (w))"""
+    q["wordpiece_counts"] = f"WITH RECURSIVE {tokens} SELECT doc_id, count(*) AS n, count(*) FILTER (id = 4) AS unknown, sum(id)::bigint AS ids, max(stop) AS stop FROM tok GROUP BY ALL"
+    q["tagged_spans"] = f"""WITH RECURSIVE {tokens}, tg AS (SELECT doc_id, pos, start, stop, (id % 97) / 100 AS sure, CASE WHEN id % 6 = 3 THEN 'PER' ELSE 'LOC' END AS kind, id % 6 = 0 AS opens FROM tok WHERE id % 6 < 4),
+      j AS (SELECT *, CASE WHEN NOT opens AND lag(pos) OVER w = pos - 1 AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS fresh FROM tg WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+      g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM j)
+      SELECT doc_id, kind, min(start) AS start, max(stop) AS stop, count(*) AS tokens, round(avg(sure), 6) AS confidence FROM g GROUP BY doc_id, k, kind HAVING round(avg(sure), 9) >= 0.4"""
+    q["page_reading_order"] = """WITH b AS (SELECT l_suppkey AS doc, l_orderkey % 3 AS page, (CASE WHEN l_suppkey % 4 <> 0 AND l_linenumber > 3 THEN 350 + (l_linenumber - 4) * 50 ELSE l_linenumber * 50 END)::double AS x, (l_orderkey % 40) * 12.5::double AS y,
+        CASE l_orderkey % 40 WHEN 7 THEN 16.0 WHEN 9 THEN 13.0 ELSE 10.0 END::double AS size, CASE WHEN l_orderkey % 40 = 11 THEN upper(l_returnflag) ELSE lower(l_returnflag) || l_linenumber END AS text FROM lineitem),
+      r AS (SELECT *, round_even(y / 3, 0) AS r FROM b), g AS (SELECT *, lag(x + 45) OVER (PARTITION BY doc, page, r ORDER BY x) AS p FROM r), m AS (SELECT *, CASE WHEN x - p > 30 THEN (x + p) / 2 END AS middle FROM g),
+      v AS (SELECT doc, page, round_even(middle / 10, 0) AS s, count(*) AS votes, avg(middle) AS edge FROM m WHERE middle IS NOT NULL GROUP BY ALL), t AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY doc, page ORDER BY votes DESC, s) = 1),
+      pg AS (SELECT doc, page FROM m GROUP BY ALL HAVING count(*) >= 10 AND max(x + 45) - min(x) >= 200 AND count(middle) >= 3),
+      e AS (SELECT doc, page, edge FROM t JOIN pg USING (doc, page) WHERE votes >= 0.3 * (SELECT count(DISTINCT r) FROM r WHERE r.doc = t.doc AND r.page = t.page)),
+      l AS (SELECT doc, page, coalesce(x >= edge, false)::int AS "column", round_even(y / 2, 0)::int AS line, string_agg(text, ' ' ORDER BY x, text) AS text, sum(size * length(text)) / sum(length(text)) AS size FROM b LEFT JOIN e USING (doc, page) GROUP BY ALL),
+      h AS (SELECT doc, quantile_cont(size, 0.5) AS median FROM l GROUP BY ALL)
+      SELECT doc, page, "column", line, text, round(size, 6) AS size, CASE WHEN round(size / median, 9) >= 1.5 THEN 1 WHEN round(size / median, 9) >= 1.25 OR (length(text) < 50 AND upper(text) = text AND regexp_matches(text, '\\p{L}')) THEN 2 ELSE 0 END AS level FROM l JOIN h USING (doc)"""
+    q["similar_experience"] = """WITH RECURSIVE x AS (SELECT o_custkey AS entity, o_orderdate::date AS a, o_orderdate::date + l_quantity::int AS b, (l_orderkey + l_linenumber) % 5 AS k, p_name AS p, string_split(p_name, ' ')[-1] AS last
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F'),
+      y AS (SELECT entity, a, b, CASE k WHEN 0 THEN array_to_string(list_transform(string_split(p, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ', Ltd.' WHEN 1 THEN upper(last) WHEN 2 THEN p || ' Works GmbH' WHEN 3 THEN p END AS company,
+        CASE k WHEN 1 THEN last WHEN 2 THEN p || ' works' WHEN 4 THEN NULL ELSE p END AS norm FROM x),
+      f AS (SELECT *, max(b) OVER (PARTITION BY entity, norm ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM y WHERE norm IS NOT NULL),
+      g AS (SELECT *, sum(CASE WHEN p IS NULL OR a - p > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY entity, norm ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM f),
+      sp AS (SELECT row_number() OVER () AS id, * FROM (SELECT entity, norm, min(a) AS a, max(b) AS b, list(company ORDER BY length(company) DESC, company DESC)[1] AS company, count(*) AS n FROM g GROUP BY entity, norm, k)),
+      ln AS (SELECT s.id AS u, t.id AS v FROM sp s JOIN sp t ON s.entity = t.entity AND s.id <> t.id AND s.norm <> t.norm AND (contains(' ' || s.norm || ' ', ' ' || t.norm || ' ') OR contains(' ' || t.norm || ' ', ' ' || s.norm || ' ')) AND s.a <= t.b + 30 AND t.a <= s.b + 30),
+      reach AS (SELECT id, id AS c FROM sp UNION SELECT r.id, ln.v FROM reach r JOIN ln ON ln.u = r.c), c AS (SELECT id, min(c) AS c FROM reach GROUP BY id)
+      SELECT entity, min(a)::varchar AS start_date, max(b)::varchar AS stop, list(company ORDER BY length(company) DESC, company DESC)[1] AS company, count(DISTINCT norm) AS names, sum(n)::bigint AS n FROM sp JOIN c USING (id) GROUP BY entity, c
+      UNION ALL SELECT entity, a::varchar, b::varchar, company, 1, 1 FROM y WHERE norm IS NULL"""
+    # Arrivals and their watermarks: the newest time that came before, less twelve hours, in whole milliseconds.
+    arrivals = """e AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events), r AS (SELECT min(t) AS lo, max(t) AS hi FROM e), b AS (SELECT user_id, t, ((t - lo) * 3 // (hi - lo + 1) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END)::int AS k FROM e, r),
+      wm AS (SELECT k, coalesce((SELECT max(t) FROM b WHERE b.k < x.k) // 1000 * 1000 - 43200000000, 0) AS w FROM (SELECT unnest(range(5)) AS k) x)"""
+    q["stream_sliding_windows"] = f"""WITH {arrivals}, s AS (SELECT user_id, k, (t // 21600000000 - j) * 21600000000 AS a FROM b, unnest(range(4)) y(j)), kept AS (SELECT user_id, a, a + 86400000000 AS z FROM s JOIN wm USING (k) WHERE a + 86400000000 > w)
+      SELECT user_id, a AS start_us, z AS stop_us, count(*) AS n FROM kept WHERE z <= (SELECT w FROM wm WHERE k = 4) GROUP BY ALL"""
+    steps, closed = "open0 AS (SELECT user_id, t AS a, t AS z, 0 AS n FROM b WHERE false)", []
+    for k in range(4):
+        steps += f""", in{k} AS (SELECT * FROM open{k} UNION ALL SELECT user_id, t, t + 21600000000, 1 FROM b WHERE k = {k} AND t + 21600000000 > (SELECT w FROM wm WHERE k = {k})),
+      f{k} AS (SELECT *, max(z) OVER (PARTITION BY user_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM in{k}), g{k} AS (SELECT *, sum(CASE WHEN p IS NULL OR a > p THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS i FROM f{k}),
+      m{k} AS (SELECT user_id, min(a) AS a, max(z) AS z, sum(n)::bigint AS n FROM g{k} GROUP BY user_id, i), open{k + 1} AS (SELECT * FROM m{k} WHERE z > (SELECT w FROM wm WHERE k = {k + 1}))"""
+        closed.append(f"SELECT user_id, a AS start_us, z AS stop_us, n FROM m{k} WHERE z <= (SELECT w FROM wm WHERE k = {k + 1})")
+    q["stream_session_windows"] = f"WITH {arrivals}, {steps} {' UNION ALL '.join(closed)}"
     return q

@@ -21,9 +21,28 @@ def unseen(stream: DataFrame, key: str, time: str, lookback: str = "30 days") ->
     return stream.withWatermark(time, lookback).dropDuplicatesWithinWatermark([key])
 
 
-def windowed_counts(stream: DataFrame, time: str, key: str, size: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Tumbling counts a key; rows later than ``late`` are dropped once their window has closed."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, size), key).agg(F.count("*").alias("n"))
+def windowed_counts(stream: DataFrame, time: str, key: str, size: str = "1 day", late: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counts a key in tumbling windows, or in sliding ones where ``slide`` is given; rows later than ``late`` are dropped once their window has closed."""
+    return stream.withWatermark(time, late).groupBy(F.window(time, size, slide).alias("window"), key).agg(F.count("*").alias("n"))
+
+
+def session_counts(stream: DataFrame, time: str, key: str, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
+    """Counts a key in sessions that a pause of ``gap`` ends.
+
+    A late row whose own session, [time, time + gap), is not past joins what is still open; it does not reopen what has closed.
+    """
+    return stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("window"), key).agg(F.count("*").alias("n"))
+
+
+def closed_windows(batches: list[DataFrame], counts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Land batches one after another, run ``counts`` over the stream of them, and give every window that closed."""
+    spark = batches[0].sparkSession
+    source, sink, checkpoint = (shared_path(spark, n) for n in ("arrivals", "windows", "offsets"))
+    for rows in batches:
+        rows.write.mode("append").parquet(source)
+        out = counts(spark.readStream.schema(rows.schema).parquet(source))
+        out.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(sink)
 
 
 def ghost_after(stream: DataFrame, days: int = 30) -> DataFrame:
