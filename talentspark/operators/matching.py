@@ -7,10 +7,17 @@ for the same are one class, and scores belong to pairs of classes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.writers import written
+from . import vector_index
+
 SUBSTRING, EQUIVALENT, FALLBACK = 0.85, 0.82, 0.65
+#: The tier of matches by vectors alone.
+SEMANTIC = 4
 #: Words that say nothing about a requirement (fixed values).
 STOP_WORDS = ("with", "and", "the", "for", "using", "experience", "knowledge", "skills", "ability", "years")
 
@@ -93,24 +100,41 @@ def from_achievements(terms: DataFrame, texts: DataFrame, stop_words: tuple[str,
     return own.join(good.select("term", "digest"), "digest").select("entity", "term").distinct()
 
 
-def best_entries(ledger: DataFrame, requirements: DataFrame, synonyms: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+def near_terms(skills: DataFrame, terms: DataFrame, model: Callable[[Column], Column], threshold: float = 0.58) -> DataFrame:
+    """(skill, term, cosine) of lower-cased distinct strings (one column each) whose unit vectors by ``model`` reach the threshold.
+
+    Each string goes through the model once; blocks of terms meet the skills in one pass each, see ``vector_index``.
+    """
+    number = F.monotonically_increasing_id() * 2
+    s = written(_strings(skills, "skill").select("skill", model(F.col("skill")).alias("v"), number.alias("id")), "skills")
+    t = written(_strings(terms, "term").select("term", model(F.col("term")).alias("q"), (number + 1).alias("query_id")), "terms")
+    found = vector_index.reaching(t.select("query_id", "q"), s.select("id", "v"), threshold)
+    return found.join(s.select("id", "skill"), "id").join(t.select("query_id", "term"), "query_id").select("skill", "term", F.col("similarity").alias("cosine"))
+
+
+def best_entries(ledger: DataFrame, requirements: DataFrame, synonyms: DataFrame | None = None, texts: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """Best ledger entry a (entity, term): the strongest entry that contains the term, is contained in it or is its synonym.
 
-    Case is ignored; ties go by name.  Terms without an entry fall back to ``from_achievements``, with
-    the strength of the entity's strongest entry.  Terms are matched once however many specs ask for them.
+    Case is ignored; ties go by name.  Terms without such an entry take the one of highest cosine by
+    near(skill, term, cosine), as ``near_terms`` gives them, and have that as their similarity.  Terms left then fall back to
+    ``from_achievements``, with the strength of the entity's strongest entry.  Terms are matched once however many specs ask for them.
     """
     terms = requirements.select("term").distinct().withColumn("low", F.lower("term"))
     pairs = vocabulary_matches(ledger.select("skill"), terms.select("term"), synonyms).select(F.col("skill").alias("low_skill"), F.col("term").alias("low"), "tier")
     pairs = pairs.join(terms, "low").select("low_skill", "term", "tier")
-    rows = ledger.select("entity", "skill", "strength", F.lower("skill").alias("low_skill")).join(pairs, "low_skill").select("entity", "term", "skill", "strength", "tier")
+    pairs = pairs.withColumn("cosine", F.lit(None).cast("double"))
+    if near is not None:
+        pairs = pairs.unionByName(near.withColumnRenamed("term", "low").join(terms, "low").select(F.col("skill").alias("low_skill"), "term", F.lit(SEMANTIC).alias("tier"), "cosine"))
+    rows = ledger.select("entity", "skill", "strength", F.lower("skill").alias("low_skill")).join(pairs, "low_skill").select("entity", "term", "skill", "strength", "tier", "cosine")
     if texts is not None:
         strongest = ledger.groupBy("entity").agg(F.max("strength").alias("strength"))
         more = from_achievements(terms.select("term"), texts).withColumnRenamed("term", "low").join(terms, "low").join(strongest, "entity")
-        rows = rows.unionByName(more.select("entity", "term", F.lit("(evidence)").alias("skill"), "strength", F.lit(3).alias("tier")))
-    # A text counts only where no entry does.
-    order = F.struct((F.col("tier") == 3).alias("late"), (-F.round("strength", 6)).alias("s"), "skill", "tier")
-    best = rows.groupBy("entity", "term").agg(F.min_by(F.struct("skill", "strength", "tier"), order).alias("b"))
-    similarity = F.when(F.col("b.tier") == 1, SUBSTRING).when(F.col("b.tier") == 2, EQUIVALENT).otherwise(FALLBACK)
+        rows = rows.unionByName(more.select("entity", "term", F.lit("(evidence)").alias("skill"), "strength", F.lit(3).alias("tier"), F.lit(None).cast("double").alias("cosine")))
+    # A cosine counts only where no entry does, a text only where neither does.
+    late = F.when(F.col("tier") == 3, 2).when(F.col("tier") == SEMANTIC, 1).otherwise(0)
+    order = F.struct(late.alias("late"), (-F.coalesce(F.round("cosine", 9), F.round("strength", 6))).alias("s"), "skill", "tier")
+    best = rows.groupBy("entity", "term").agg(F.min_by(F.struct("skill", "strength", "tier", "cosine"), order).alias("b"))
+    similarity = F.when(F.col("b.tier") == 1, SUBSTRING).when(F.col("b.tier") == 2, EQUIVALENT).when(F.col("b.tier") == SEMANTIC, F.col("b.cosine")).otherwise(FALLBACK)
     return best.select("entity", "term", "b.skill", "b.strength", similarity.alias("similarity"))
 
 

@@ -233,6 +233,15 @@ def tiered_match_best(s, d):
     return _best(s, d).select("entity", "term", "skill", *r6("strength", "similarity"))
 
 
+@query
+def tiered_match_cosine(s, d):
+    """The match with all its tiers: strings, synonyms, vectors (hashed stand-ins), texts."""
+    entries = written(_ledger(s, d).select("entity", "skill", "strength"), "ledger")
+    needs = written(requirements(s, d), "requirements")
+    near = matching.near_terms(entries.select("skill"), needs.select("term"), E.hashed, 0.45)
+    return matching.best_entries(entries, needs, synonyms(s, d), achievements(s, d), near).select("entity", "term", "skill", *r6("strength", "similarity"))
+
+
 @query
 def tiered_match_coverage(s, d):
     """Pairs of classes; ``match_classes`` says who is in them."""

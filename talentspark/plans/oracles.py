@@ -503,4 +503,11 @@ def sql() -> dict[str, str]:
       m{k} AS (SELECT user_id, min(a) AS a, max(z) AS z, sum(n)::bigint AS n FROM g{k} GROUP BY user_id, i), open{k + 1} AS (SELECT * FROM m{k} WHERE z > (SELECT w FROM wm WHERE k = {k + 1}))"""
         closed.append(f"SELECT user_id, a AS start_us, z AS stop_us, n FROM m{k} WHERE z <= (SELECT w FROM wm WHERE k = {k + 1})")
     q["stream_session_windows"] = f"WITH {arrivals}, {steps} {' UNION ALL '.join(closed)}"
+    unit = "list_transform(range(16), lambda i: len(list_filter(list_transform(list_filter(string_split_regex({0}, '[^\\p{{L}}]+'), lambda w: w <> ''), lambda w: ('0x' || md5(w)[1:4])::int % 16), lambda h: h = i))::double)"
+    q["tiered_match_cosine"] = f"""WITH {MATCH}, su AS (SELECT DISTINCT lower(skill) AS s, {unit.format("lower(skill)")} AS a FROM sk), tu AS (SELECT DISTINCT term, {unit.format("lower(term)")} AS b FROM tm),
+      nv AS (SELECT s, term, cosine FROM (SELECT s, term, list_inner_product(a, b) / greatest(sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b)), 1e-300) AS cosine FROM su, tu) WHERE cosine >= 0.45),
+      sem AS (SELECT entity, term, skill, strength, cosine FROM led JOIN nv ON nv.s = lower(skill) ANTI JOIN found USING (entity, term) QUALIFY row_number() OVER (PARTITION BY entity, term ORDER BY round(cosine, 9) DESC, skill) = 1),
+      top AS (SELECT entity, max(strength) AS strength FROM led GROUP BY ALL), txt AS (SELECT DISTINCT entity, term FROM ach JOIN fb USING (text) ANTI JOIN found USING (entity, term) ANTI JOIN sem USING (entity, term))
+      SELECT entity, term, skill, round(strength, 6) AS strength, round(similarity::double, 6) AS similarity FROM found UNION ALL SELECT entity, term, skill, round(strength, 6), round(cosine, 6) FROM sem
+      UNION ALL SELECT entity, term, '(evidence)', round(strength, 6), 0.65 FROM txt JOIN top USING (entity)"""
     return q

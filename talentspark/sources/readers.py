@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.request import urlopen
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringContains, StringEndsWith, StringStartsWith
 
 from ..functions import text as T
 
@@ -125,10 +125,38 @@ def profile_files(spark: SparkSession, path: str) -> DataFrame:
     return d.select("name", "kind", F.when(F.col("kind") == "html", T.strip_html(F.col("text"))).otherwise(F.col("text")).alias("text"), sure.alias("confidence"))
 
 
-def landed_mail(spark: SparkSession, path: str, preview: int = 500) -> DataFrame:
-    """Landed .eml files as (message_id, subject, sender, date, body_preview); a file without a message id is left out."""
-    d = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r\n", "\n").alias("m"))
-    head = lambda name: F.trim(F.regexp_extract(F.substring_index("m", "\n\n", 1), f"(?im)^{name}:[ ]*(.*)$", 1))
+def decoded_words(header: Column) -> Column:
+    """A mail header with its encoded words (=?charset?B?..?= and =?charset?Q?..?=) in plain; unknown charsets stay as they are.
+
+    Blanks between two encoded words belong to the code and go.
+    """
+    word = r"=\?([A-Za-z0-9_-]+)\?([BbQq])\?([^?\s]*)\?="
+    joined = F.regexp_replace(header, r"(\?=)\s+(?==\?)", "$1")
+
+    def plain(x: Column) -> Column:
+        charset, form, code = (F.regexp_extract(x, word, i) for i in (1, 2, 3))
+        hexed = F.regexp_replace(F.translate(F.replace(code, F.lit("%"), F.lit("=25")), "_", " "), "=([0-9A-Fa-f]{2})", "%$1")
+        # Every other character as itself, each %XX as its byte.
+        parts = F.regexp_extract_all(hexed, F.lit("%[0-9A-Fa-f]{2}|[^%]|%"), 0)
+        quoted = F.unhex(F.concat_ws("", F.transform(parts, lambda c: F.when(c.rlike("^%[0-9A-Fa-f]{2}$"), F.substring(c, 2, 2)).otherwise(F.hex(F.encode(c, "UTF-8"))))))
+        raw = F.when(F.upper(form) == "B", F.try_to_binary(code, F.lit("base64"))).otherwise(quoted)
+        known = F.upper(charset)
+        text = F.when(known.isin("UTF-8", "US-ASCII"), F.decode(raw, "UTF-8")).when(known.isin("ISO-8859-1", "LATIN1"), F.decode(raw, "ISO-8859-1"))
+        return F.coalesce(text, x)
+
+    return F.aggregate(F.array_distinct(F.regexp_extract_all(joined, F.lit(word), 0)), joined, lambda a, x: F.replace(a, x, plain(x)))
+
+
+def landed_mail(spark: SparkSession, path: str, preview: int = 500, stream: bool = False) -> DataFrame:
+    """Landed .eml files as (message_id, subject, sender, date, body_preview); a file without a message id is left out.
+
+    Folded headers are joined and encoded words are decoded.  As a ``stream`` each file is read once, restarts included: the
+    checkpoint knows the files that were read.
+    """
+    reader = spark.readStream if stream else spark.read
+    d = reader.text(path, wholetext=True).select(F.regexp_replace("value", "\r\n", "\n").alias("m"))
+    top = F.regexp_replace(F.substring_index("m", "\n\n", 1), "\n[ \t]+", " ")
+    head = lambda name: F.trim(decoded_words(F.regexp_extract(top, f"(?im)^{name}:[ ]*(.*)$", 1)))
     body = F.when(F.col("m").contains("\n\n"), F.expr("substring(m, instr(m, '\n\n') + 2)")).otherwise("")
     sender = F.coalesce(F.when(head("From").contains("<"), F.regexp_extract(head("From"), "<([^>]*)>", 1)), head("From"))
     date = F.try_to_timestamp(F.regexp_extract(head("Date"), r"([0-9]{1,2} [A-Za-z]{3} [0-9]{4} [0-9:]{8})", 1), F.lit("d MMM yyyy HH:mm:ss"))
@@ -172,11 +200,31 @@ class _Page(InputPartition):
         self.url = url
 
 
+_JOB_COLUMNS = [c.split()[0] for c in JOB_SCHEMA.split(", ")]
+_TESTS = (EqualTo, In, IsNotNull, StringContains, StringStartsWith, StringEndsWith)
+
+
+def _holds(f: Filter, value: str | None) -> bool:
+    """Whether a value passes a pushed filter; a missing value passes none."""
+    if value is None:
+        return False
+    if isinstance(f, IsNotNull):
+        return True
+    if isinstance(f, In):
+        return value in f.value
+    if isinstance(f, StringContains):
+        return f.value in value
+    if isinstance(f, StringStartsWith):
+        return value.startswith(f.value)
+    return value.endswith(f.value) if isinstance(f, StringEndsWith) else value == f.value
+
+
 class _JobReader(DataSourceReader):
     def __init__(self, options):
         self.urls = [u for u in options.get("urls", "").split(",") if u]
         self.board, self.keyword = options.get("board", "feed"), options.get("keyword", "").lower()
         self.limit = int(options.get("limit", "0"))
+        self.wanted: list[Filter] = []
 
     def partitions(self):
         return [_Page(u) for u in self.urls]
@@ -189,11 +237,26 @@ class _JobReader(DataSourceReader):
         for n, r in enumerate(kept):
             if self.limit and n >= self.limit:
                 return
-            yield (self.board, str(r.get("id", "")), r.get("title"), r.get("company"), r.get("location"), r.get("url"), r.get("description"))
+            row = (self.board, str(r.get("id", "")), r.get("title"), r.get("company"), r.get("location"), r.get("url"), r.get("description"))
+            if all(_holds(f, row[_JOB_COLUMNS.index(f.attribute[0])]) for f in self.wanted):
+                yield row
+
+
+class _PushedJobReader(_JobReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Filters on plain columns are tested where a page is read; the others are left to Spark.  With a limit none is taken, as it would count other rows."""
+        for f in filters:
+            if not self.limit and isinstance(f, _TESTS) and len(f.attribute) == 1:
+                self.wanted.append(f)
+            else:
+                yield f
 
 
 class JobBoard(DataSource):
-    """A job board as a Spark data source: options urls (comma-separated pages), board, keyword, limit a page."""
+    """A job board as a Spark data source: options urls (comma-separated pages), board, keyword, limit a page.
+
+    With the option ``pushdown`` filters on its columns are taken over; ``spark.sql.python.filterPushdown.enabled`` has to be true then.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -203,4 +266,4 @@ class JobBoard(DataSource):
         return JOB_SCHEMA
 
     def reader(self, schema):
-        return _JobReader(self.options)
+        return (_PushedJobReader if self.options.get("pushdown", "false").lower() == "true" else _JobReader)(self.options)

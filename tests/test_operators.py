@@ -217,6 +217,24 @@ def test_tiered_match(spark):
     assert tiers.count() == 7
 
 
+def test_cosine_tier(spark):
+    """Vectors decide only where strings and synonyms find nothing, the highest cosine first, ties by name; texts only where vectors find nothing."""
+    led = spark.createDataFrame([(1, "Mongo", 0.2), (1, "Redis", 0.9), (1, "Excel", 0.5), (2, "Excel", 0.7), (2, "k8s", 0.1)], "entity int, skill string, strength double")
+    req = spark.createDataFrame([(7, t, 0) for t in ("NoSQL", "excel sheets", "kubernetes", "payment systems", "Go")], "spec int, term string, importance int")
+    names = spark.createDataFrame([("K8S", "kubernetes")], "alias string, canonical string")
+    texts = spark.createDataFrame([(1, "payment systems"), (2, "payment systems")], "entity int, text string")
+    at = {"mongo": [0.8, 0.6], "redis": [0.8, 0.6], "nosql": [1.0, 0.0], "excel": [0.0, 1.0], "excel sheets": [1.0, 0.0], "kubernetes": [1.0, 0.0], "k8s": [0.0, 1.0], "payment systems": [0.0, 1.0], "go": [-1.0, 0.0]}
+    model = lambda c: F.element_at(F.create_map(*[x for k, v in at.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), c)
+    near = matching.near_terms(led.select("skill"), req.select("term"), model)
+    dot = lambda s, t: sum(x * y for x, y in zip(at[s], at[t]))
+    assert {(r["skill"], r["term"]) for r in near.collect()} == {(s, t) for s in ("mongo", "redis", "excel", "k8s") for t in ("nosql", "kubernetes", "excel sheets", "payment systems", "go") if dot(s, t) >= 0.58}
+    got = {(r["entity"], r["term"]): (r["skill"], round(r["similarity"], 6)) for r in matching.best_entries(led, req, names, texts, near).collect()}
+    assert got == {
+        (1, "NoSQL"): ("Mongo", 0.8), (1, "excel sheets"): ("Excel", 0.85), (2, "excel sheets"): ("Excel", 0.85), (1, "kubernetes"): ("Mongo", 0.8), (2, "kubernetes"): ("k8s", 0.82),
+        (1, "payment systems"): ("Excel", 1.0), (2, "payment systems"): ("Excel", 1.0), (1, "Go"): ("Mongo", 0.85),
+    }
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.text("abA ", max_size=6), max_size=8), st.lists(st.text("abA ", max_size=9), max_size=8))
 def test_contained(spark, parts, wholes):
