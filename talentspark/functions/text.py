@@ -266,6 +266,19 @@ def is_name_like(name: Column) -> Column:
     return F.coalesce(name.rlike(r"^\p{Lu}[\p{L}.'-]*( \p{Lu}[\p{L}.'-]*){1,4}$"), F.lit(False))
 
 
+def join_initials(text: Column) -> Column:
+    """A name whose capitals stand apart from their words ("F ELIPE M AGNO") put together; null where it does not look so.
+
+    It does with four words or more of which two or more are single letters, one of them a capital before a longer
+    word, and two words or more left in the end.
+    """
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    singles = F.size(F.filter(words, lambda w: w.rlike(r"^\p{L}$")))
+    spaced = F.array_join(words, " ")
+    joined = F.regexp_replace(spaced, r"(^| )(\p{Lu}) ([^ ]{2,})", "$1$2$3")
+    return F.when((F.size(words) >= 4) & (singles >= 2) & (joined != spaced) & joined.contains(" "), F.initcap(F.lower(joined)))
+
+
 def repair_name(name: Column) -> Column:
     """Spaced letters put together, joined words parted at capitals, all capitals turned to title case."""
     joined = collapse_spaced(name)

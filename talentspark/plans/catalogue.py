@@ -1411,3 +1411,12 @@ def stream_session_windows(s, d):
     """Closed sessions of a stream of which rows come late."""
     x = jobs.closed_windows(_arrivals(s, d), lambda e: jobs.session_counts(e, "ts", "user_id", "6 hours", "12 hours"))
     return x.select("user_id", F.unix_micros("window.start").alias("start_us"), F.unix_micros("window.end").alias("stop_us"), "n")
+
+
+@query
+def initials_joined(s, d):
+    """Names of which the first letters stand apart, as scans give them; every fourth has too few such letters."""
+    word = lambda c: F.upper(F.concat(F.substring(c, 1, 1), F.lit(" "), F.substring(c, 2, 20)))
+    first, last = F.element_at(F.split("p_name", " "), 1), F.element_at(F.split("p_name", " "), -1)
+    raw = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.upper(first), F.lit(" DE LA "), word(last))).otherwise(F.concat(word(first), F.lit("  "), F.when(F.col("p_partkey") % 4 == 1, "DE ").otherwise(""), word(last)))
+    return table(s, d, "part").select("p_partkey", F.coalesce(T.join_initials(raw), F.lit("-")).alias("name"))

@@ -510,4 +510,7 @@ def sql() -> dict[str, str]:
       top AS (SELECT entity, max(strength) AS strength FROM led GROUP BY ALL), txt AS (SELECT DISTINCT entity, term FROM ach JOIN fb USING (text) ANTI JOIN found USING (entity, term) ANTI JOIN sem USING (entity, term))
       SELECT entity, term, skill, round(strength, 6) AS strength, round(similarity::double, 6) AS similarity FROM found UNION ALL SELECT entity, term, skill, round(strength, 6), round(cosine, 6) FROM sem
       UNION ALL SELECT entity, term, '(evidence)', round(strength, 6), 0.65 FROM txt JOIN top USING (entity)"""
+    cap = "upper({0}[1]) || lower({0}[2:])"
+    q["initials_joined"] = f"""WITH x AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] AS b FROM part)
+      SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '-' WHEN 1 THEN {cap.format("a")} || ' De ' || {cap.format("b")} ELSE {cap.format("a")} || ' ' || {cap.format("b")} END AS name FROM x"""
     return q

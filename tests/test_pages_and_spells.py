@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from talentspark.functions import text as T
 from talentspark.operators import dedup, graph, records
 from talentspark.streaming import jobs
 
@@ -86,3 +87,12 @@ def test_late_rows(spark):
     assert show(tumbling) == [("a", "01 00:00", 2), ("b", "01 05:00", 1), ("b", "01 06:00", 1), ("b", "01 12:00", 1)]
     sessions = jobs.closed_windows(batches, lambda s: jobs.session_counts(s, "t", "k", "1 hour", "2 hours"))
     assert show(sessions) == [("a", "01 00:10", 2), ("b", "01 05:30", 2), ("b", "01 12:00", 1)]
+
+
+def test_joined_initials(spark):
+    """Capitals that stand apart join the word after them; others, and names that do not look so, give null."""
+    want = {
+        "F ELIPE M AGNO DE A LMEIDA": "Felipe Magno De Almeida", "J ANE D OE": "Jane Doe", "J A N E  D O E": None, "Jane A Doe B": "Jane Adoe B", "A NN": None, "x ANN y BOB": None, "Ann B C Dee": "Ann B Cdee", "É MILE  Z OLA": "Émile Zola", "": None,
+    }
+    df = spark.createDataFrame([*[(k,) for k in want], (None,)], "name string")
+    assert {r["name"]: r["joined"] for r in df.select("name", T.join_initials(F.col("name")).alias("joined")).collect()} == want | {None: None}
