@@ -18,6 +18,8 @@ from . import vector_index
 SUBSTRING, EQUIVALENT, FALLBACK = 0.85, 0.82, 0.65
 #: The tier of matches by vectors alone.
 SEMANTIC = 4
+#: Strings of up to this many characters are looked up as they are, longer ones by a part of this length.
+LONG = 32
 #: Words that say nothing about a requirement (fixed values).
 STOP_WORDS = ("with", "and", "the", "for", "using", "experience", "knowledge", "skills", "ability", "years")
 
@@ -26,27 +28,28 @@ def _strings(df: DataFrame, name: str = "s") -> DataFrame:
     return df.select(F.lower(df.columns[0]).alias(name)).where(F.col(name) != "").distinct()
 
 
-def _grams(c: Column, sizes: tuple[int, ...]) -> Column:
-    """Distinct character grams; a string shorter than a size gives itself."""
-
-    def runs(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-
-    return F.array_distinct(F.flatten(F.array(*map(runs, sizes))))
+def _grams(c: Column, sizes: Column) -> Column:
+    """Distinct character grams of the sizes that fit into the string."""
+    runs = F.transform(F.filter(sizes, lambda n: n <= F.length(c)), lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))
+    return F.array_distinct(F.flatten(runs))
 
 
 def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     """(part, whole): every lower-cased string of ``parts`` inside one of ``wholes`` (one column each), distinct.
 
-    A part of more than three characters meets the wholes that have its rarest three-character
-    gram, a shorter one those that have it as a gram; ``contains`` then decides.
+    Wholes give all their grams of the lengths that parts have, so a part meets just the wholes it is in.  A part of more
+    than ``LONG`` characters meets those that have its rarest gram of that length; ``contains`` then decides.
     """
     p, w = _strings(parts, "part"), _strings(wholes, "whole")
-    grams = w.select("whole", F.explode(_grams(F.col("whole"), (1, 2, 3))).alias("g"))
-    count = grams.groupBy("g").agg(F.count("*").alias("n"))
-    keys = p.select("part", F.explode(F.when(F.length("part") > 3, _grams(F.col("part"), (3,))).otherwise(F.array("part"))).alias("g"))
+    short, long = p.where(F.length("part") <= LONG), p.where(F.length("part") > LONG)
+    sizes = short.agg(F.collect_set(F.length("part")).alias("sizes"))
+    grams = w.crossJoin(F.broadcast(sizes)).select("whole", F.explode(_grams(F.col("whole"), F.col("sizes"))).alias("part"))
+    found = grams.join(short, "part").select("part", "whole")
+    grams = w.where(F.length("whole") > LONG).select("whole", F.explode(_grams(F.col("whole"), F.array(F.lit(LONG)))).alias("g"))
+    keys = long.select("part", F.explode(_grams(F.col("part"), F.array(F.lit(LONG)))).alias("g"))
+    count = grams.join(keys.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("n"))
     keys = keys.join(count, "g").groupBy("part").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
-    return keys.join(grams, "g").where(F.col("whole").contains(F.col("part"))).select("part", "whole")
+    return found.unionByName(keys.join(grams, "g").where(F.col("whole").contains(F.col("part"))).select("part", "whole"))
 
 
 def digest(text: Column) -> Column:
@@ -337,6 +340,8 @@ def mail_match(mails: DataFrame, applications: DataFrame) -> DataFrame:
     """
     m = mails.select("message_id", F.lower("sender").alias("sender"), F.lower("subject").alias("subject"), F.lower("body").alias("body"))
     m = m.withColumn("label", F.when(F.instr("sender", "@") > 0, F.element_at(F.split(F.expr("substring(sender, instr(sender, '@') + 1)"), "[.]"), 1)))
+    # Dealt first, so that its joins go by the size of the rows and not by that of the compressed files, which let it be broadcast.
+    m = m.repartition("message_id")
     a = applications.groupBy(F.lower("recruiter").alias("recruiter"), F.lower("company").alias("company"), F.lower("title").alias("title")).agg(F.min("application_id").alias("application_id"))
     a = a.withColumn("squeezed", squeezed_company(F.col("company")))
     labels, names = m.select("label"), a.select("squeezed")

@@ -243,6 +243,33 @@ def test_contained(spark, parts, wholes):
     assert got == {(p.lower(), w.lower()) for p in parts for w in wholes if p and p.lower() in w.lower()}
 
 
+def joined_rows(spark):
+    """Most rows that a join of the last query gave, by Spark's own metrics."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = max(store.executionsList().apply(i).executionId() for i in range(store.executionsList().size()))
+    values, nodes, most = store.executionMetrics(last), store.planGraph(last).allNodes(), 0
+    for node in map(nodes.apply, range(nodes.size())):
+        for m in map(node.metrics().apply, range(node.metrics().size())):
+            if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_contained_numbered_names(spark):
+    names = spark.range(2000).select(F.format_string("customer-%09d", "id").alias("s"))
+    assert matching.contained(names, names).count() == 2000
+    # Names with common runs of digits do not meet.
+    assert 2000 <= joined_rows(spark) < 20_000
+
+
+def test_contained_long(spark):
+    frame = lambda x: spark.createDataFrame([(t,) for t in x], "s string")
+    a, b = "the same long beginning of many names, " * 2, "abcdefghij" * 5
+    parts, wholes = [a, a + "1", b, "x", a[:32], a[:33]], [a + "1 and more", a + "2", "0" + b, a[:40], "q"]
+    got = {tuple(r) for r in matching.contained(frame(parts), frame(wholes)).collect()}
+    assert got == {(p, w) for p in parts for w in wholes if p in w}
+
+
 def test_mail_match(spark):
     apps = spark.createDataFrame([(1, "Acme Inc", "Engineer", "jane@acme.com"), (2, "Google", "SRE", None), (3, "Microsoft Corp", "Data Engineer", None), (4, "Acme", "Cook", None)], "application_id int, company string, title string, recruiter string")
     mails = [
