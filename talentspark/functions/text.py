@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Seniority words, company suffixes, weak openings, buzzwords, fillers.
@@ -190,6 +191,12 @@ def date_range(text: Column) -> Column:
     return F.when(start.isNotNull(), F.struct(start.alias("start_date"), named(b).alias("end_date"), named(b).isNull().alias("is_current"), *ends))
 
 
+def by_distinct(rows: DataFrame, text: str, parse: Callable[[Column], Column], name: str) -> DataFrame:
+    """The rows with ``parse`` of a text column as ``name``, parsed once a different text; null texts are parsed like others."""
+    parsed = rows.select(text).distinct().withColumn(name, parse(F.col(text))).withColumnRenamed(text, "_text")
+    return rows.join(parsed, F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")
+
+
 def strip_html(html: Column) -> Column:
     """Text of a page: scripts, styles and tags dropped, blanks collapsed."""
     out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")

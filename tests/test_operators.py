@@ -243,6 +243,14 @@ def test_contained(spark, parts, wholes):
     assert got == {(p.lower(), w.lower()) for p in parts for w in wholes if p and p.lower() in w.lower()}
 
 
+def test_by_distinct(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else f"Jan 20{10 + i % 2} - Present") for i in range(30)], "id int, text string")
+    out = T.by_distinct(rows, "text", T.date_range, "r")
+    assert out.columns == ["id", "text", "r"]
+    plain = rows.withColumn("r", T.date_range(F.col("text")))
+    assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
+
+
 def joined_rows(spark):
     """Most rows that a join of the last query gave, by Spark's own metrics."""
     store = spark._jsparkSession.sharedState().statusStore()
