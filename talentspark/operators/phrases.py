@@ -31,11 +31,16 @@ def _automaton(phrases: list[str]):
     return found
 
 
-def hits_in(text: str, automaton) -> dict[str, int]:
-    """Positions at which each phrase stands by itself; they may overlap."""
+def hits_in(text: str, automaton, overlapping: bool = True) -> dict[str, int]:
+    """Positions at which each phrase stands by itself; they may overlap, or are taken from the left, each behind the phrase's last."""
     out: dict[str, int] = {}
+    behind: dict[str, int] = {}
     for end, p in automaton.iter(text):
         start = end - len(p) + 1
+        if not overlapping:
+            if start < behind.get(p, 0):
+                continue
+            behind[p] = end + 1
         if start > 0 and (_word(text[start - 1]) or (len(p) <= 2 and text[start - 1] not in _BEFORE_SHORT)):
             continue
         if end + 1 < len(text) and _word(text[end + 1]):
@@ -55,10 +60,11 @@ def _parts(phrases: DataFrame, most_characters: int) -> Iterator[list[str]]:
             yield part
 
 
-def phrase_scan(texts: DataFrame, id_col: str, phrases: DataFrame, text_col: str = "text", most_characters: int = 8_000_000) -> DataFrame:
+def phrase_scan(texts: DataFrame, id_col: str, phrases: DataFrame, text_col: str = "text", most_characters: int = 8_000_000, overlapping: bool = True) -> DataFrame:
     """(id, term, n): how often each lower-cased phrase of the one column of ``phrases`` stands by itself in each text.
 
     Case is ignored.  Null texts have no hits; repeated ids are added up; a phrase's inner blanks and signs are taken as they are.
+    Where ``overlapping`` is false, a text is cut at each phrase from the left, as ``string_split`` does, and pieces count once.
     """
     id_type = texts.schema[id_col].dataType.simpleString()
     # Both sides are lower-cased by Spark, so that one rule holds for signs whose lower case is longer.
@@ -72,7 +78,7 @@ def phrase_scan(texts: DataFrame, id_col: str, phrases: DataFrame, text_col: str
             for b in batches:
                 at, terms, counts = [], [], []
                 for i, t in enumerate(b.column(1).to_pylist()):
-                    own = hits_in(t, automaton)
+                    own = hits_in(t, automaton, overlapping)
                     at += [i] * len(own)
                     terms += own
                     counts += own.values()

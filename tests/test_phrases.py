@@ -55,3 +55,11 @@ def test_random_texts(spark):
     texts = ["".join(rng.choice("ab c,.\nC+") for _ in range(300)) for _ in range(40)]
     terms = ["a", "ab", "a b", "c", "c+", "b.", ".a", "a,b", "ab c", "++", " a"]
     assert scanned(spark, texts, terms) == {(i, t): n for i, x in enumerate(texts) for t, n in plain(x, terms).items()}
+
+
+def test_not_overlapping(spark):
+    """Repeated lines: a phrase that ends as it begins is counted as a split from the left counts it, whether or not what is cut stands alone."""
+    texts, terms = ["of the\nof the\nof the\nof the", "these these the end", "the the the the"], ["the\nof the", "these the", "the the"]
+    want = {(i, t): len([a for a, b in zip(x.split(t), x.split(t)[1:]) if a[-1:] in ("", " ", "\n") and b[:1] in ("", " ", "\n")]) for i, x in enumerate(texts) for t in terms}
+    assert scanned(spark, texts, terms, overlapping=False) == {k: n for k, n in want.items() if n} == {(0, "the\nof the"): 2, (2, "the the"): 2}
+    assert scanned(spark, texts, terms)[(0, "the\nof the")] == 3
