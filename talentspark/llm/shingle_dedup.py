@@ -7,6 +7,10 @@ meeting on these prefixes loses no pair.  The order is by number of texts, rares
 table of counters, summed over all texts, says how often the shingles of a counter occur, so what many unlike texts
 share comes last at any size of the input.  The table only decides how large buckets become.
 
+Pairs first come from SimHash: the 64 majority bits of each set, linked within two bits by the generalised pigeonhole
+of ``simhash`` and verified on the sets.  Its components are where the exact meeting above starts from, so what
+fingerprints bring together does not meet again, and what they miss is not lost.
+
 Only connectivity is needed, so members of a bucket first meet its pivot; whatever is then still in different
 components of a bucket meets pair by pair.  Pairs are ruled out inside these joins by sizes, positions and parities: each
 shingle turns one of 1024 bits, so two texts' bits differ in at most as many places as their sets do.  What is left
@@ -30,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import connected_components
 from .runtime import materialize
 
@@ -94,11 +99,32 @@ def counters(texts: DataFrame, k: int, bits: int = 22, slices: int = 256) -> np.
     return out.reshape(-1)
 
 
+def majority(h: np.ndarray, block: int = 20_000) -> int:
+    """The SimHash of a set of hashes: the bits that over half of them have, as a signed number."""
+    ones = np.zeros(simhash.BITS, np.int64)
+    for at in range(0, len(h), block):
+        ones += np.unpackbits(h[at : at + block].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True)
+
+
+def fingerprint_pairs(classes: DataFrame, distance: int = 2, sample: int = 4096) -> DataFrame:
+    """(u, v) of classes(node, fp): one pair for each further class of a fingerprint, and the links of fingerprints within ``distance`` bits.
+
+    The masks are planned on at most ``sample`` fingerprints (by a hash); every class is probed.
+    """
+    own = materialize(classes.groupBy("fp").agg(F.min("node").alias("node")), "prints")
+    taken = own.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(dtype=np.int64)
+    same = classes.select("node", "fp").join(own.select("fp", F.col("node").alias("u")), "fp").where("u <> node").select("u", F.col("node").alias("v"))
+    if not len(taken):
+        return same
+    return same.unionByName(simhash.links(own, simhash.plan_masks(taken, own.count(), distance), distance).select("u", "v"))
+
+
 def signed(documents: DataFrame, often: np.ndarray, threshold: float, k: int) -> DataFrame:
-    """(doc, row, sig): every document as a struct, a number for its row, and size, digest, prefix, counts and parities of its set."""
+    """(doc, row, sig): every document as a struct, a number for its row, and size, digest, fingerprint, prefix, counts and parities of its set."""
     table = documents.sparkSession.sparkContext.broadcast(often)
 
-    @F.pandas_udf("n int, d1 long, d2 long, prefix array<long>, sketch binary, parity array<long>")
+    @F.pandas_udf("n int, d1 long, d2 long, fp long, prefix array<long>, sketch binary, parity array<long>")
     def sign(texts: pd.Series) -> pd.DataFrame:
         import xxhash
 
@@ -111,8 +137,8 @@ def signed(documents: DataFrame, often: np.ndarray, threshold: float, k: int) ->
             sketch = np.minimum(np.bincount((h & np.uint64(_GROUPS - 1)).astype(np.int64), minlength=_GROUPS), 255).astype(np.uint8)
             turned = np.bincount((h >> np.uint64(40)).astype(np.int64) % _PARITIES, minlength=_PARITIES) & 1
             parity = np.packbits(turned.astype(np.uint8)).view(np.int64)
-            out.append((len(h), *np.array([d >> 64, d & (2**64 - 1)], np.uint64).view(np.int64).tolist(), first.view(np.int64), sketch.tobytes(), parity))
-        return pd.DataFrame(out, columns=["n", "d1", "d2", "prefix", "sketch", "parity"])
+            out.append((len(h), *np.array([d >> 64, d & (2**64 - 1)], np.uint64).view(np.int64).tolist(), majority(h), first.view(np.int64), sketch.tobytes(), parity))
+        return pd.DataFrame(out, columns=["n", "d1", "d2", "fp", "prefix", "sketch", "parity"])
 
     doc = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
     return documents.select(doc.alias("doc"), F.monotonically_increasing_id().alias("row"), sign("text").alias("sig"))
@@ -170,19 +196,17 @@ def possible(n: Column, at: Column, n2: Column, at2: Column, threshold: float) -
 
 
 def components(classes: DataFrame, texts: DataFrame, threshold: float = 0.8, k: int = 5, rounds: int = 2) -> DataFrame:
-    """(node, component) of the linked classes(node, n, prefix, sketch, parity); others are not in the result."""
+    """(node, component) of the linked classes(node, n, fp, prefix, sketch, parity); others are not in the result."""
     tokens = classes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
     shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token"), "shared")
     inside = materialize(tokens.join(shared, "token"), "inside")
     # Only what shares a token carries its parities.
     parities = materialize(classes.select("node", "parity").join(inside.select("node").distinct(), "node"), "parities")
-    edges, labels = None, None
+    near = fingerprint_pairs(classes).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    edges = materialize(verified(materialize(not_ruled_out(near, classes, threshold), "met"), texts, threshold, k), "linked")
+    labels = connected_components(edges)
     for turn in range(rounds + 1):
-        if labels is None:
-            now = inside.withColumn("component", F.col("node"))
-        else:
-            now = inside.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        now = materialize(now, "labelled")
+        now = materialize(inside.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
         # First the member with the fewest rarer shingles, which is what near copies are copies of if that is there.
         centre = F.col("at") if turn == 0 else F.lit(0)
         pivot = F.min(F.struct(centre.alias("c"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "at", "component")).alias("p")
@@ -198,7 +222,7 @@ def components(classes: DataFrame, texts: DataFrame, threshold: float = 0.8, k:
             met = met.select(F.col("node").alias("u"), F.col("node2").alias("v"))
         met = materialize(not_ruled_out(met.distinct(), classes, threshold), "met")
         found = materialize(verified(met, texts, threshold, k), "linked")
-        edges = found if edges is None else edges.unionByName(found)
+        edges = edges.unionByName(found)
         labels = connected_components(edges)
     return labels
 
@@ -209,7 +233,7 @@ def keep_first(documents: DataFrame, threshold: float = 0.8, k: int = 5) -> Data
     text = F.col("doc.text")
     order = F.struct(F.col("doc.doc_id").isNull().alias("no_id"), F.col("doc.doc_id").alias("id"), F.xxhash64(text).alias("h"), "row")
     classes = materialize(rows.groupBy("sig.d1", "sig.d2").agg(F.min("row").alias("node"), F.min(order).alias("first")), "classes")
-    one = rows.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "sig.n", "sig.prefix", "sig.sketch", "sig.parity")
+    one = rows.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "sig.n", "sig.fp", "sig.prefix", "sig.sketch", "sig.parity")
     one = materialize(one, "sets")
     labels = components(one, rows.select(F.col("row").alias("node"), text.alias("text")), threshold, k)
     named = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -63,3 +63,25 @@ def test_texts(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, fp string")
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 2), (7, 2), (2, 2), (7, 7), (None, 7), (None, None)], key=str)
+
+
+def test_stage_fingerprints(spark):
+    """The pipeline stage's fingerprints by counting bits, and its pairs against all pairs within two bits; equal fingerprints are linked."""
+    import numpy as np
+
+    from talentspark.llm import shingle_dedup
+    from talentspark.llm.components import connected_components
+
+    h = shingle_dedup.shingles("a b c d e f g h i j k")
+    naive = sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h))
+    assert shingle_dedup.majority(h) % 2**64 == naive and shingle_dedup.majority(h, 3) % 2**64 == naive and shingle_dedup.majority(h[:0]) == 0
+    rng = np.random.default_rng(4)
+    fps = [int(x) for x in rng.integers(-(2**62), 2**62, 60)]
+    fps += [x ^ (1 << int(rng.integers(60))) for x in fps[:40]] + fps[20:50]
+    pairs = shingle_dedup.fingerprint_pairs(spark.createDataFrame(list(enumerate(fps)), "node long, fp long"))
+    got = {r["node"]: r["component"] for r in connected_components(pairs).collect()}
+    want = list(range(len(fps)))
+    for _ in fps:
+        for i, a in enumerate(fps):
+            want[i] = min(want[j] for j, b in enumerate(fps) if ((a ^ b) % 2**64).bit_count() <= 2)
+    assert [got.get(i, i) for i in range(len(fps))] == want
