@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.vectors import dot
 
@@ -60,8 +64,42 @@ def variance_score(mean: Column, stddev: Column) -> Column:
     return F.least(F.lit(100.0), base + F.when(stddev < 0.08, 20).when(stddev < 0.12, 10).otherwise(0))
 
 
-def similar_within(vectors: DataFrame, group: str, threshold: float) -> DataFrame:
-    """Pairs (a < b) of a group whose dot product reaches the threshold; ``group`` blocks the search."""
-    other = vectors.select(group, F.col("id").alias("b"), F.col("v").alias("w"))
-    pairs = vectors.join(other, group).where("id < b").withColumn("similarity", dot(F.col("v"), F.col("w")))
-    return pairs.where(F.col("similarity") >= threshold).select(group, F.col("id").alias("a"), "b", "similarity")
+def similar_within(vectors: DataFrame, group: str, threshold: float, block: int = 4000) -> DataFrame:
+    """Pairs (a < b) of a group whose dot product reaches the threshold; ``group`` bounds the search.
+
+    A group is dealt into blocks of about ``block`` vectors, and every two blocks meet in a task of their own by matrix products,
+    so a task's memory does not depend on how many vectors a group has.  All pairs are compared, over the shorter length as in ``dot``.
+    """
+    gap = F.array_position(F.transform("v", lambda c: c.isNull()), True)
+    x = vectors.where(F.col(group).isNotNull() & F.col("id").isNotNull() & F.col("v").isNotNull())
+    x = x.select(F.col(group).alias("g"), "id", F.transform("v", lambda c: F.coalesce(c.cast("double"), F.lit(0.0))).alias("v"), F.size("v").alias("dim"), F.when(gap > 0, gap - 1).otherwise(F.size("v")).cast("int").alias("known"))
+    blocks = x.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.max("dim").alias("most"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    x = x.join(blocks, "g").withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.col("most") - F.col("dim")))).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    x = x.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "v", "dim", "known", "most")
+    kinds = {f.name: f.dataType for f in vectors.schema.fields}
+    schema = StructType().add("g", kinds[group]).add("a", kinds["id"]).add("b", kinds["id"]).add("similarity", "double")
+
+    def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key[1:])
+        ids, v = rows["id"].combine_chunks(), np.asarray(pc.list_flatten(rows["v"])).reshape(rows.num_rows, rows["most"][0].as_py())
+        at, dim, known = (np.asarray(rows[c]) for c in ("own", "dim", "known"))
+        found = []
+        for d, e in itertools.product(np.unique(dim), repeat=2):
+            # Vectors of two lengths meet over the shorter one; a number missing there leaves the pair out.
+            width = min(d, e)
+            left, right = np.flatnonzero((at == i) & (dim == d) & (known >= width)), np.flatnonzero((at == j) & (dim == e) & (known >= width))
+            for k in range(0, len(left), 1000):
+                some = left[k : k + 1000]
+                s = v[some, :width] @ v[right, :width].T
+                # Not below, as a product that is no number counts as reaching it in Spark.
+                m, n = np.nonzero(~(s < threshold) & ((some[:, None] < right[None, :]) if i == j else True))
+                found.append((some[m], right[n], s[m, n]))
+        m, n, s = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        one, two = ids.take(pa.array(m)), ids.take(pa.array(n))
+        first = pc.less(one, two)
+        out = pa.table([pa.repeat(key[0], len(m)), pc.if_else(first, one, two), pc.if_else(first, two, one), pa.array(s)], ["g", "a", "b", "similarity"])
+        return out.filter(pc.not_equal(out["a"], out["b"]))
+
+    pairs = x.groupBy("g", "i", "j").applyInArrow(meet, schema)
+    return pairs.select(F.col("g").alias(group), "a", "b", "similarity")

@@ -357,3 +357,17 @@ def test_similar_across_groups(spark):
     q = v.where("id < 4").selectExpr("id as query_id", "v as q")
     got = {(r["query_id"], r["id"]) for r in vector_index.reaching(q, v, 1.06, block=4).collect()}
     assert got == {(a, b) for a in range(4) for b in range(9) if a != b and 1 + 0.01 * a * b >= 1.06} and any((a - b) % 3 for a, b in got)
+
+
+def test_similar_within_blocks(spark):
+    """Pairs within a group over several blocks, with vectors that are missing, zero, of other lengths or with a missing number."""
+    import numpy as np
+
+    from talentspark.operators import search
+
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2, [float(c) for c in rng.normal(size=3)]) for i in range(60)] + [(60, 0, None), (61, 0, [0.0] * 3), (62, 0, [9.0] * 2), (63, 0, [9.0] * 2), (64, 0, [9.0, None, 9.0]), (66, 0, [2.0]), (67, 0, [2.0, 1.0, 1.0, float("inf")]), (68, 0, [1.0, 1.0, 1.0, None]), (65, None, [9.0] * 3), (3, 1, [9.0] * 3)]
+    got = search.similar_within(spark.createDataFrame(rows, "id long, g int, v array<double>"), "g", 0.5, block=7).collect()
+    pairs = [(g, a, b, list(zip(v, w))) for a, g, v in rows for b, h, w in rows if g is not None and g == h and a < b and v is not None and w is not None]
+    dots = [(g, a, b, sum(x * y for x, y in p)) for g, a, b, p in pairs if all(None not in xy for xy in p)]
+    assert sorted((r["g"], r["a"], r["b"], round(r["similarity"], 6)) for r in got) == sorted((g, a, b, round(s, 6)) for g, a, b, s in dots if s >= 0.5)
