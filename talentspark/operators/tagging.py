@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -57,30 +59,69 @@ def vocabulary(pieces: DataFrame, unknown: int = 0, lower: bool = True, most: in
 
 
 class _Cutter:
+    """Tokens of many texts at once.  What stands between blanks and line ends is cut once and looked up by its number from then on."""
+
     def __init__(self, known: Vocabulary, remembered: int = 200_000):
-        self.known, self.remembered, self.seen = known, remembered, {}
+        self.known, self.remembered = known, remembered
         self.longest = max((len(p.removeprefix("##")) for p in known.ids), default=1)
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.tokens = np.zeros((0, 3), np.int64)
+        self.many = np.zeros(0, np.int64)
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, starts and stops of a text's tokens, in code points."""
+    def lowered(self, text: str | None) -> str:
         text = text or ""
-        if self.known.lower:
-            # Characters whose lower-case form is longer stay, so that offsets hold.
-            low = text.lower()
-            text = low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
-        ids, starts, stops = [], [], []
-        for m in _WORDS.finditer(text):
-            word, at = m[0], m.start()
-            if word not in self.seen:
-                if len(self.seen) >= self.remembered:
-                    self.seen.clear()
-                self.seen[word] = self.known.cut(word, self.longest) or [(self.known.unknown, len(word))]
-            for piece, n in self.seen[word]:
-                ids.append(piece)
-                starts.append(at)
-                stops.append(at + n)
+        if not self.known.lower:
+            return text
+        # Characters whose lower-case form is longer stay, so that offsets hold.
+        low = text.lower()
+        return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+    def cut(self, part: str) -> list[tuple[int, int, int]]:
+        out = []
+        for m in _WORDS.finditer(part):
+            at = m.start()
+            for piece, n in self.known.cut(m[0], self.longest) or [(self.known.unknown, len(m[0]))]:
+                out.append((piece, at, at + n))
                 at += n
-        return np.array(ids, np.int64), np.array(starts, np.int32), np.array(stops, np.int32)
+        return out
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """How many tokens each text has, and their ids, starts and stops, in code points."""
+        parts = [self.lowered(t).replace("\n", " ").split(" ") for t in texts]
+        if len(self.seen) >= self.remembered:
+            self.forget()
+        new = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in self.seen]
+        if new:
+            cuts = [self.cut(p) for p in new]
+            self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new))))
+            self.tokens = np.concatenate([self.tokens, np.array(list(chain.from_iterable(cuts)), np.int64).reshape(-1, 3)])
+            self.many = np.concatenate([self.many, np.fromiter(map(len, cuts), np.int64, len(cuts))])
+        tokens, many = self.tokens, self.many
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        total = int(sizes.sum())
+        part = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(parts)), np.int64, total)
+        width = np.fromiter(map(len, chain.from_iterable(parts)), np.int64, total) + 1
+        first = np.cumsum(sizes) - sizes
+        start = np.cumsum(width) - width
+        start -= np.repeat(start[first], sizes)
+        n = many[part]
+        own = tokens[np.arange(n.sum()) + np.repeat((np.cumsum(many) - many)[part] - (np.cumsum(n) - n), n)]
+        shift = np.repeat(start, n)
+        return np.add.reduceat(n, first) if len(first) else n, own[:, 0], (own[:, 1] + shift).astype(np.int32), (own[:, 2] + shift).astype(np.int32)
+
+
+def _slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, list[str | None]]]:
+    """Rows (numbers) and texts, about ``most`` characters or one longer text together."""
+    begun, size, texts = 0, 0, []
+    for i, text in enumerate(column):
+        texts.append(text.as_py())
+        size += len(texts[-1] or "")
+        if size >= most or i + 1 == len(column):
+            yield np.arange(begun, i + 1), texts
+            begun, size, texts = i + 1, 0, []
 
 
 def _id_field(docs: DataFrame, id_col: str) -> StructField:
@@ -93,10 +134,11 @@ def wordpieces(docs: DataFrame, id_col: str, known: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = _Cutter(known)
         for b in batches:
-            for i, text in enumerate(b.column("text")):
-                ids, starts, stops = cut(text.as_py())
-                owner = b.column(0).take(pa.array(np.full(len(ids), i)))
-                yield pa.RecordBatch.from_arrays([owner, pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids), pa.array(starts), pa.array(stops)], [id_col, "pos", "piece", "start", "stop"])
+            for rows, texts in _slices(b.column("text")):
+                many, ids, starts, stops = cut(texts)
+                owner = b.column(0).take(pa.array(np.repeat(rows, many)))
+                pos = np.arange(len(ids)) - np.repeat(np.cumsum(many) - many, many)
+                yield pa.RecordBatch.from_arrays([owner, pa.array(pos.astype(np.int32)), pa.array(ids), pa.array(starts), pa.array(stops)], [id_col, "pos", "piece", "start", "stop"])
 
     schema = StructType([_id_field(docs, id_col)]).add("pos", "integer").add("piece", "long").add("start", "integer").add("stop", "integer")
     return docs.select(id_col, "text").mapInArrow(run, schema)
@@ -110,19 +152,14 @@ def window_starts(n: int, size: int, overlap: int) -> list[int]:
 
 
 def _tagged(ids: np.ndarray, tagger: Tagger, size: int, overlap: int, together: int) -> tuple[np.ndarray, np.ndarray]:
-    tags, sure, depth = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.full(len(ids), -1, np.int64)
+    tags, sure = np.zeros(len(ids), np.int64), np.zeros(len(ids))
     starts = window_starts(len(ids), size, overlap)
+    # Windows are equally long, so a token stands deepest where it is nearest the middle, in the first of two such windows.
+    bounds = [0, *((a + b + size - 1) // 2 + 1 for a, b in zip(starts, starts[1:])), len(ids)]
     for k in range(0, len(starts), together):
         some = starts[k : k + together]
-        for at, (t, c) in zip(some, tagger([ids[a : a + size] for a in some])):
-            n = len(t)
-            inner = np.minimum(np.arange(n), np.arange(n)[::-1])
-            # A window's edge that is the text's own edge hides nothing.
-            inner = np.where((at == 0) & (np.arange(n) < n / 2), n, inner)
-            inner = np.where((at + n == len(ids)) & (np.arange(n) >= n / 2), n, inner)
-            better = inner > depth[at : at + n]
-            for whole, part in ((tags, t), (sure, c), (depth, inner)):
-                whole[at : at + n][better] = np.asarray(part)[better]
+        for at, low, high, (t, c) in zip(some, bounds[k:], bounds[k + 1 :], tagger([ids[a : a + size] for a in some])):
+            tags[low:high], sure[low:high] = t[low - at : high - at], c[low - at : high - at]
     return tags, sure
 
 
@@ -138,11 +175,14 @@ def tagged_tokens(docs: DataFrame, id_col: str, known: Vocabulary, tagger: Tagge
         cut, names = _Cutter(known), pa.array(labels)
         outside = np.array([x == "O" for x in labels])
         for b in batches:
-            for i, text in enumerate(b.column("text")):
-                ids, starts, stops = cut(text.as_py())
-                tags, sure = _tagged(ids, tagger, size, overlap, together)
-                at = np.flatnonzero(~outside[tags]) if len(ids) else np.zeros(0, np.int64)
-                columns = [b.column(0).take(pa.array(np.full(len(at), i))), pa.array(at.astype(np.int32)), pa.array(starts[at]), pa.array(stops[at]), names.take(pa.array(tags[at])), pa.array(sure[at])]
+            for rows, texts in _slices(b.column("text")):
+                many, ids, starts, stops = cut(texts)
+                tags, sure, upto = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.cumsum(many)
+                for low, high in zip((upto - many).tolist(), upto.tolist()):
+                    tags[low:high], sure[low:high] = _tagged(ids[low:high], tagger, size, overlap, together)
+                at = np.flatnonzero(~outside[tags])
+                owner, pos = np.repeat(rows, many)[at], at - np.repeat(upto - many, many)[at]
+                columns = [b.column(0).take(pa.array(owner)), pa.array(pos.astype(np.int32)), pa.array(starts[at]), pa.array(stops[at]), names.take(pa.array(tags[at])), pa.array(sure[at])]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "pos", "start", "stop", "label", "confidence"])
 
     schema = StructType([_id_field(docs, id_col)]).add("pos", "integer").add("start", "integer").add("stop", "integer").add("label", "string").add("confidence", "double")
@@ -153,14 +193,48 @@ def joined_tags(tokens: DataFrame, id_col: str, least: float = 0.5) -> DataFrame
     """Spans (id, kind, start, stop, tokens, confidence) of tokens tagged B-kind or I-kind, of unique ids.
 
     A B, a gap of tokens or another kind (case does not count) begins a span; its confidence is the mean of its tokens', and
-    spans below ``least`` go.
+    spans below ``least`` go.  Spark deals the tokens by id and sorts them; batches of them are joined, the last span of each with the next.
     """
-    w = Window.partitionBy(id_col).orderBy("pos")
-    kind = F.substring("label", 3, 1 << 20)
-    goes_on = F.col("label").startswith("I-") & (F.lag("pos").over(w) == F.col("pos") - 1) & (F.lower(F.lag(kind).over(w)) == F.lower(kind))
-    x = tokens.withColumn("opens", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("span", F.sum("opens").over(w))
-    x = x.groupBy(id_col, "span").agg(F.min_by(kind, "pos").alias("kind"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("tokens"), F.avg("confidence").alias("confidence"))
-    return x.where(F.round("confidence", 9) >= least).drop("span")
+    columns = [id_col, "pos", "start", "stop", "label", "confidence"]
+    schema = StructType([_id_field(tokens, id_col)]).add("kind", "string").add("start", "integer").add("stop", "integer").add("tokens", "long").add("confidence", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not len(b):
+                continue
+            rows = pa.Table.from_batches([*held, b]).combine_chunks()
+            first = np.flatnonzero(_opens(rows))
+            whole = int(first[-1])
+            yield from _spans(rows.slice(0, whole), first[:-1])
+            held = rows.slice(whole).to_batches()
+        if held:
+            yield from _spans(pa.Table.from_batches(held), np.zeros(1, np.int64))
+
+    def _opens(rows: pa.Table) -> np.ndarray:
+        ids, label = rows[id_col].combine_chunks(), rows["label"].combine_chunks().dictionary_encode()
+        same = pc.fill_null(pc.equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False) | (pc.is_null(ids[1:]).to_numpy(zero_copy_only=False) & pc.is_null(ids[:-1]).to_numpy(zero_copy_only=False))
+        names = label.dictionary.to_pylist()
+        lows = [x[2:].lower() for x in names]
+        number = {x: i for i, x in enumerate(dict.fromkeys(lows))}
+        at = label.indices.to_numpy()
+        kind, inside = np.array([number[x] for x in lows])[at], np.array([x.startswith("I-") for x in names])[at]
+        pos = rows["pos"].to_numpy()
+        goes_on = inside[1:] & same & (np.diff(pos) == 1) & (kind[1:] == kind[:-1])
+        return np.append(True, ~goes_on)
+
+    def _spans(rows: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(first):
+            start, stop, sure = (rows[c].to_numpy() for c in ("start", "stop", "confidence"))
+            n = np.diff(np.append(first, len(rows)))
+            mean = np.add.reduceat(sure, first) / n
+            kept = np.round(mean, 9) >= least
+            opening = rows.select([id_col, "label"]).take(pa.array(first[kept]))
+            parts = [np.minimum.reduceat(start, first)[kept], np.maximum.reduceat(stop, first)[kept], n[kept], mean[kept]]
+            kind = pc.utf8_slice_codeunits(opening["label"], 2)
+            yield from pa.table([opening[id_col], kind, *map(pa.array, parts)], names=schema.names).combine_chunks().to_batches()
+
+    return tokens.select(*columns).repartition(id_col).sortWithinPartitions(id_col, "pos").mapInArrow(run, schema)
 
 
 def with_values(spans: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:

@@ -71,3 +71,35 @@ def test_tagged_texts(spark):
     spans = tagging.joined_tags(tagging.tagged_tokens(docs, "id", KNOWN, tagger, labels, 4, 2, 2), "id")
     got = sorted((r["id"], r["start"], r["value"], r["tokens"]) for r in tagging.with_values(spans, docs, "id").collect())
     assert got == [(1, 25, "New York", 2), (1, 55, "new york", 2), (2, 0, "York", 1)]
+def test_tags_come_from_the_deepest_window():
+    """Each token has its tag from the window in which it stands farthest from an edge that is not the text's, the first of equals."""
+    for size, overlap in ((4, 2), (5, 0), (6, 5), (7, 3)):
+        for n in range(1, 40):
+            calls = []
+            tagging._tagged(np.arange(n), lambda windows: calls.extend(windows) or [(w, w / 2) for w in windows], size, overlap, 3)
+            number = iter(range(len(calls)))
+            tags, _ = tagging._tagged(np.arange(n), lambda windows: [(np.full(len(w), next(number)), w / 2) for w in windows], size, overlap, 3)
+            starts = tagging.window_starts(n, size, overlap)
+
+            def depth(k, p):
+                left, right = p - starts[k], starts[k] + len(calls[k]) - 1 - p
+                return min(left if starts[k] else n, right if starts[k] + len(calls[k]) < n else n)
+
+            for p in range(n):
+                inside = [k for k, a in enumerate(starts) if a <= p < a + len(calls[k])]
+                assert tags[p] == max(inside, key=lambda k: (depth(k, p), -k)), (size, overlap, n, p)
+
+
+def test_spans_go_on_over_batches_by_one_sort(spark):
+    """Spans do not end with a batch; tokens are sorted once, without windows over rows."""
+    rows = [(i % 3, i // 3, i, i + 1, "B-X" if i // 3 % 5 == 0 else "I-x", 0.9) for i in range(90)] + [(None, i, i, i + 1, "I-Y", 0.8) for i in range(4)]
+    tokens = spark.createDataFrame(rows, "id int, pos int, start int, stop int, label string, confidence double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        spans = tagging.joined_tags(tokens, "id")
+        got = sorted((-1 if r["id"] is None else r["id"], r["start"], r["kind"], r["tokens"], round(r["confidence"], 6)) for r in spans.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(-1, 0, "Y", 4, 0.8)] + [(d, 15 * k + d, "X", 5, 0.9) for d in range(3) for k in range(6)]
+    plan = spans._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Sort") == 1
