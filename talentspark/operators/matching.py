@@ -60,15 +60,15 @@ def digest(text: Column) -> Column:
 def mentioned(phrases: DataFrame, texts: DataFrame) -> DataFrame:
     """(phrase, digest): every lower-cased phrase and the digest of every text it is inside, distinct.
 
-    A phrase's longest word meets the texts' words first; only digests travel until ``contains`` decides.
+    A phrase's longest word meets the words of the different texts first; only digests travel until ``contains`` decides.
     """
     p = _strings(phrases, "phrase").withColumn("key", F.element_at(F.array_sort(F.transform(F.split("phrase", " "), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"])
-    t = texts.select(F.lower(texts.columns[0]).alias("text")).where("text <> ''").select(digest(F.col("text")).alias("digest"), "text")
+    t = _strings(texts, "text").select(digest(F.col("text")).alias("digest"), "text")
     words = t.select("digest", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
     hits = contained(p.select("key"), words.select("word"))
     met = p.join(hits, F.col("key") == F.col("part")).select("phrase", F.col("whole").alias("word")).join(words, "word").select("phrase", "digest").distinct()
     single = met.where(~F.col("phrase").contains(" "))
-    several = met.where(F.col("phrase").contains(" ")).groupBy("digest").agg(F.collect_set("phrase").alias("phrases")).join(t.dropDuplicates(["digest"]), "digest")
+    several = met.where(F.col("phrase").contains(" ")).groupBy("digest").agg(F.collect_set("phrase").alias("phrases")).join(t, "digest")
     several = several.select(F.explode(F.filter("phrases", lambda x: F.col("text").contains(x))).alias("phrase"), "digest")
     return single.unionByName(several)
 
@@ -96,7 +96,7 @@ def from_achievements(terms: DataFrame, texts: DataFrame, stop_words: tuple[str,
     w = t.withColumn("words", F.filter(F.split("term", " "), lambda x: (F.length(x) > 3) & ~x.isin(*stop_words)))
     w = w.select("term", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
     own = texts.select("entity", digest(F.col("text")).alias("digest")).distinct()
-    words = texts.select(digest(F.col("text")).alias("digest"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("token")).distinct()
+    words = _strings(texts.select("text"), "text").select(digest(F.col("text")).alias("digest"), F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
     hits = contained(w.select("word"), words.select("token"))
     hits = words.join(hits, F.col("token") == F.col("whole")).select("digest", F.col("part").alias("word")).distinct()
     good = w.join(hits, "word").groupBy("term", "n", "digest").agg(F.count("*").alias("hits")).where((F.col("hits") >= 2) | (F.col("n") == 1))

@@ -384,3 +384,15 @@ def test_jaccard_candidates_lose_no_pair(spark):
     ids = [r["id"] for r in c.collect()]
     similar = {(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
     assert similar <= found and len(found - similar) < 100
+
+
+def test_equal_texts_are_read_once(spark, monkeypatch):
+    """The words of texts that are equal but for case are looked up once, for phrases as for achievements."""
+    seen = []
+    monkeypatch.setattr(matching, "contained", lambda parts, wholes, own=matching.contained: seen.append(wholes.count()) or own(parts, wholes))
+    texts = spark.createDataFrame([(i, "Red gear job" if i % 2 else "RED GEAR JOB") for i in range(50)] + [(99, None), (98, "")], "entity int, text string")
+    terms = spark.createDataFrame([("Red Gear",), ("job",)], "term string")
+    assert {r["phrase"] for r in matching.mentioned(terms, texts.select("text")).collect()} == {"red gear", "job"}
+    got = matching.from_achievements(spark.createDataFrame([("gear wheel",), ("gear",)], "term string"), texts).collect()
+    assert {(r["entity"], r["term"]) for r in got} == {(i, "gear") for i in range(50)}
+    assert seen == [3, 3]
