@@ -435,7 +435,7 @@ def sql() -> dict[str, str]:
       SELECT doc_id, name, kind FROM documents, n WHERE contains({low}, lower(name)) AND (kind = 'location' OR contains(' ' || regexp_replace({low}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ', ' ' || lower(name) || ' '))"""
     q["skill_categories"] = "SELECT p_name AS skill, coalesce(c, 'other') AS category, count(*) AS n FROM part LEFT JOIN (SELECT p_name AS k, min(p_type) AS c FROM part WHERE p_size > 10 GROUP BY ALL) ON k = p_name GROUP BY ALL"
     q["language_names"] = "SELECT coalesce(CASE lower(lang) WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' ELSE lower(lang) END, 'none') AS language, count(*) AS n FROM documents GROUP BY ALL"
-    q["template_match"] = f"""WITH {sets}, tp AS (SELECT DISTINCT ka AS id, kb AS id2, j FROM l WHERE ka < kb), x AS (SELECT id, id2, CASE WHEN id % 11 = id2 % 11 THEN 1.0 WHEN id % 5 = id2 % 5 THEN 0.97 ELSE least(1.0, j + CASE WHEN id % 2 = id2 % 2 THEN 0.05 ELSE 0.0 END) END::double AS score FROM tp)
+    q["template_match"] = f"""WITH {sets}, tp AS (SELECT id, id2, j FROM l WHERE id < id2), x AS (SELECT id, id2, CASE WHEN id % 11 = id2 % 11 THEN 1.0 WHEN id % 5 = id2 % 5 THEN 0.97 ELSE least(1.0, j + CASE WHEN id % 2 = id2 % 2 THEN 0.05 ELSE 0.0 END) END::double AS score FROM tp)
       SELECT id, id2, round(score, 6) AS score, CASE WHEN round(score, 9) >= 0.95 THEN 'same' WHEN round(score, 9) >= 0.8 THEN 'match' ELSE 'none' END AS level FROM x"""
     q["domain_weights"] = f"""WITH {EV}, x AS (SELECT entity, category AS domain, 3 * count(*) FILTER (source = 'R') + 5 * count(*) FILTER (seq = 7) + count(*) FILTER (confidence > 0.97) AS points FROM ev GROUP BY ALL), m AS (SELECT *, max(points) OVER (PARTITION BY entity) AS most FROM x)
       SELECT entity, domain, round(points / most, 6) AS share, row_number() OVER (PARTITION BY entity ORDER BY points DESC, domain)::int AS rank FROM m WHERE points > 0 QUALIFY rank <= 3

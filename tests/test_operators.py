@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from talentspark.functions import text as T
 from talentspark.operators import dedup, filters, graph, ledger, matching, quality, tracking
 from talentspark.operators.filters import Leaf, Node
+from talentspark.plans import catalogue
 from talentspark.sources import readers, writers
 
 
@@ -156,6 +157,24 @@ def test_jaccard(spark, sets, threshold):
     assert {(r["id"], r["id2"]) for r in dedup.jaccard(frame, threshold).collect()} == {(i, j) for i in first for j in first if i < j and near(sets[i], sets[j])}
 
 
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 5), min_size=0, max_size=4), min_size=1, max_size=20), st.sampled_from([0.4, 0.5, 1.0]), st.sampled_from([1, 3, 1000]))
+def test_jaccard_pairs(spark, sets, threshold, block):
+    """Every pair of rows that reaches the threshold, equal sets in large classes among them, once."""
+    frame = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "id int, items array<int>")
+    want = sorted((i, j, round(len(x & y) / len(x | y), 6)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and x & y and len(x & y) / len(x | y) >= threshold)
+    assert sorted((r["id"], r["id2"], round(r["similarity"], 6)) for r in dedup.jaccard_pairs(frame, threshold, block).collect()) == want
+
+
+def test_template_match_takes_equal_sets(spark, tmp_path):
+    """Orders of equal parts are pairs too, each with the score of its own hash, name and margins."""
+    rows = [(k, p) for k, parts in {1: (1, 2), 2: (1, 2), 4: (1, 2, 3), 12: (1, 2), 40: (9,)}.items() for p in parts]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r["id"], r["id2"]): (r["score"], r["level"]) for r in catalogue.queries()["template_match"](spark, str(tmp_path)).collect()}
+    near = (0.666667, "none")
+    assert got == {(1, 2): (1.0, "same"), (1, 12): (1.0, "same"), (2, 12): (0.97, "same"), (1, 4): near, (2, 4): (0.716667, "none"), (4, 12): (0.716667, "none")}
+
+
 def test_knn_blocks(spark):
     from talentspark.operators import vector_index
 
