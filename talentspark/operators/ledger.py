@@ -10,15 +10,24 @@ from ..functions import text as T
 KEY = ["entity", "skill"]
 
 
+def _cover(rows: DataFrame, as_of: str, keys: list[str]) -> DataFrame:
+    """The rows with ``_fresh`` (1 where a row begins a new range of its key's union) and ``_days`` (what it adds to the union's days).
+
+    Rows without a start have null in both.
+    """
+    dated = F.col("start_date").isNotNull()
+    rows = rows.withColumn("_stop", F.when(dated, F.coalesce("end_date", F.to_date(F.lit(as_of)))))
+    before = F.max("_stop").over(Window.partitionBy(*keys).orderBy("start_date", "_stop").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_before", before)
+    fresh = F.col("_before").isNull() | (F.col("start_date") > F.col("_before"))
+    added = F.when(fresh, F.datediff("_stop", "start_date")).otherwise(F.greatest(F.datediff("_stop", "_before"), F.lit(0)))
+    return rows.withColumn("_fresh", F.when(dated, fresh.cast("int"))).withColumn("_days", F.when(dated, added)).drop("_stop", "_before")
+
+
 def interval_union(evidence: DataFrame, as_of: str, keys: list[str] = KEY) -> DataFrame:
     """Days covered by the union of date ranges a key (touching ranges merge, an open end is ``as_of``)."""
-    rows = evidence.where(F.col("start_date").isNotNull()).select(*keys, "start_date", F.coalesce("end_date", F.to_date(F.lit(as_of))).alias("stop"))
-    w = Window.partitionBy(*keys).orderBy("start_date", "stop")
-    before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("fresh", (before.isNull() | (F.col("start_date") > before)).cast("int"))
-    rows = rows.withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = rows.groupBy(*keys, "island").agg(F.datediff(F.max("stop"), F.min("start_date")).alias("days"))
-    return islands.groupBy(*keys).agg(F.count("*").alias("islands"), F.sum("days").alias("days"))
+    rows = evidence.where(F.col("start_date").isNotNull()).select(*keys, "start_date", "end_date")
+    return _cover(rows, as_of, keys).groupBy(*keys).agg(F.sum("_fresh").alias("islands"), F.sum("_days").alias("days"))
 
 
 def strength(years: Column, roles: Column, is_current: Column, last_seen: Column, confidence: Column, as_of: str) -> Column:
@@ -30,21 +39,23 @@ def strength(years: Column, roles: Column, is_current: Column, last_seen: Column
 def build_ledger(evidence: DataFrame, as_of: str) -> DataFrame:
     """One entry a (entity, skill): counts, first and last seen, years of the interval union, strength.
 
-    A missing experience counts as one role; last_seen is the end of the evidence that starts latest.
+    A missing experience counts as one role; last_seen is the end of the evidence that starts latest.  The evidence is
+    shuffled once, by (entity, skill), for all of it; where it is dealt by entity before, not again.
     """
-    entry = evidence.groupBy(*KEY).agg(
+    role = F.coalesce(F.col("experience"), F.lit(-1))
+    again = F.lag(role).over(Window.partitionBy(*KEY).orderBy(role)).eqNullSafe(role)
+    ledger = _cover(evidence.withColumn("_role", (~again).cast("int")), as_of, KEY).groupBy(*KEY).agg(
         F.count("*").alias("evidence_count"), F.min("start_date").alias("first_seen"),
-        F.max_by("end_date", F.struct("start_date", "experience", "seq", "end_date")).alias("last_seen"),
+        F.max(F.struct("start_date", "experience", "seq", "end_date"))["end_date"].alias("last_seen"),
         F.max(F.col("end_date").isNull()).alias("is_current"),
-        F.countDistinct(F.coalesce(F.col("experience"), F.lit(-1))).alias("role_count"),
+        F.sum("_role").alias("role_count"),
         F.max("confidence").alias("max_confidence"), F.min("category").alias("category"),
-        F.every(F.col("source") == "N").alias("all_listed"),
+        F.every(F.col("source") == "N").alias("all_listed"), (F.coalesce(F.sum("_days"), F.lit(0)) / 365.25).alias("years"),
     )
-    ledger = entry.join(interval_union(evidence, as_of), KEY, "left").withColumn("years", F.coalesce("days", F.lit(0)) / 365.25)
     # Listed only, and by one piece of evidence.
     ledger = ledger.withColumn("unsubstantiated", F.col("all_listed") & (F.col("evidence_count") == 1)).drop("all_listed")
     score = strength(F.col("years"), F.col("role_count"), F.col("is_current"), F.col("last_seen"), F.col("max_confidence"), as_of)
-    return ledger.withColumn("strength", score).drop("days", "islands")
+    return ledger.withColumn("strength", score)
 
 
 def level(s: Column) -> Column:

@@ -90,17 +90,29 @@ def vocabulary_matches(skills: DataFrame, terms: DataFrame, synonyms: DataFrame
     return found.groupBy("skill", "term").agg(F.min("tier").alias("tier"))
 
 
-def from_achievements(terms: DataFrame, texts: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """(entity, term) whose texts(entity, text) hold two of the term's words of over three letters, or the only one."""
+def _holding(terms: DataFrame, texts: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """(term, digest): every lower-cased term and the digest of every text that holds two of its words of over three letters, or the only one."""
     t = _strings(terms, "term")
     w = t.withColumn("words", F.filter(F.split("term", " "), lambda x: (F.length(x) > 3) & ~x.isin(*stop_words)))
     w = w.select("term", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-    own = texts.select("entity", digest(F.col("text")).alias("digest")).distinct()
     words = _strings(texts.select("text"), "text").select(digest(F.col("text")).alias("digest"), F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
     hits = contained(w.select("word"), words.select("token"))
     hits = words.join(hits, F.col("token") == F.col("whole")).select("digest", F.col("part").alias("word")).distinct()
     good = w.join(hits, "word").groupBy("term", "n", "digest").agg(F.count("*").alias("hits")).where((F.col("hits") >= 2) | (F.col("n") == 1))
-    return own.join(good.select("term", "digest"), "digest").select("entity", "term").distinct()
+    return good.select("term", "digest")
+
+
+def _achieved(texts: DataFrame, held: DataFrame) -> DataFrame:
+    """(entity, term) of each text by held(term, digest), repeats included.
+
+    What is held is written, so its size is known: where few different texts hold a term, the texts are not shuffled for it.
+    """
+    return texts.select("entity", digest(F.col("text")).alias("digest")).join(written(held, "held"), "digest").select("entity", "term")
+
+
+def from_achievements(terms: DataFrame, texts: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """(entity, term) whose texts(entity, text) hold two of the term's words of over three letters, or the only one."""
+    return _achieved(texts, _holding(terms, texts, stop_words)).distinct()
 
 
 def near_terms(skills: DataFrame, terms: DataFrame, model: Callable[[Column], Column], threshold: float = 0.58) -> DataFrame:
@@ -128,17 +140,26 @@ def best_entries(ledger: DataFrame, requirements: DataFrame, synonyms: DataFrame
     pairs = pairs.withColumn("cosine", F.lit(None).cast("double"))
     if near is not None:
         pairs = pairs.unionByName(near.withColumnRenamed("term", "low").join(terms, "low").select(F.col("skill").alias("low_skill"), "term", F.lit(SEMANTIC).alias("tier"), "cosine"))
-    rows = ledger.select("entity", "skill", "strength", F.lower("skill").alias("low_skill")).join(pairs, "low_skill").select("entity", "term", "skill", "strength", "tier", "cosine")
+    # Written, so its size is known: the ledger is not shuffled for a small vocabulary.
+    rows = ledger.select("entity", "skill", "strength", F.lower("skill").alias("low_skill")).join(written(pairs, "pairs"), "low_skill")
+    # A cosine counts only where no entry does, a text only where neither does.
+    choice = lambda late, s, *rest: F.struct(late.alias("late"), s.alias("s"), *rest).alias("b")
+    strongest_first = -F.coalesce(F.round("cosine", 9), F.round("strength", 6))
+    rows = rows.select("entity", "term", choice(F.when(F.col("tier") == SEMANTIC, 1).otherwise(0), strongest_first, "skill", "tier", "strength", "cosine"))
+    if texts is not None:
+        none = F.lit(None).cast("double")
+        held = _holding(terms.select("term"), texts).withColumnRenamed("term", "low").join(terms, "low").select("term", "digest")
+        rows = rows.unionByName(_achieved(texts, held).select("entity", "term", choice(F.lit(2), none, F.lit("(evidence)").alias("skill"), F.lit(3).alias("tier"), none.alias("strength"), none.alias("cosine"))))
+    best = rows.groupBy("entity", "term").agg(F.min("b").alias("b")).select("entity", "term", "b.*").drop("s")
     if texts is not None:
+        # Only what rests on a text in the end asks for the strongest entry.
+        best = written(best, "best")
         strongest = ledger.groupBy("entity").agg(F.max("strength").alias("strength"))
-        more = from_achievements(terms.select("term"), texts).withColumnRenamed("term", "low").join(terms, "low").join(strongest, "entity")
-        rows = rows.unionByName(more.select("entity", "term", F.lit("(evidence)").alias("skill"), "strength", F.lit(3).alias("tier"), F.lit(None).cast("double").alias("cosine")))
-    # A cosine counts only where no entry does, a text only where neither does.
-    late = F.when(F.col("tier") == 3, 2).when(F.col("tier") == SEMANTIC, 1).otherwise(0)
-    order = F.struct(late.alias("late"), (-F.coalesce(F.round("cosine", 9), F.round("strength", 6))).alias("s"), "skill", "tier")
-    best = rows.groupBy("entity", "term").agg(F.min_by(F.struct("skill", "strength", "tier", "cosine"), order).alias("b"))
-    similarity = F.when(F.col("b.tier") == 1, SUBSTRING).when(F.col("b.tier") == 2, EQUIVALENT).when(F.col("b.tier") == SEMANTIC, F.col("b.cosine")).otherwise(FALLBACK)
-    return best.select("entity", "term", "b.skill", "b.strength", similarity.alias("similarity"))
+        resting = best.where("late = 2").drop("strength").join(strongest, "entity")
+        best = best.where("late < 2").unionByName(resting)
+    tier = F.col("tier")
+    similarity = F.when(tier == 1, SUBSTRING).when(tier == 2, EQUIVALENT).when(tier == SEMANTIC, F.col("cosine")).otherwise(FALLBACK)
+    return best.select("entity", "term", "skill", "strength", similarity.alias("similarity"))
 
 
 def tiered_match(best: DataFrame, requirements: DataFrame) -> DataFrame:

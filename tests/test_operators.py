@@ -415,3 +415,60 @@ def test_equal_texts_are_read_once(spark, monkeypatch):
     got = matching.from_achievements(spark.createDataFrame([("gear wheel",), ("gear",)], "term string"), texts).collect()
     assert {(r["entity"], r["term"]) for r in got} == {(i, "gear") for i in range(50)}
     assert seen == [3, 3]
+
+
+def test_ledger_shuffles_its_evidence_once(spark):
+    """All of a ledger comes from one exchange of the evidence; dealt by entity before, it is not dealt again."""
+    day = dt.date
+    rows = [
+        (1, 1, 1, "sql", "c", day(2000, 1, 1), day(2000, 3, 1), 0.5, "R"), (1, 1, 2, "sql", "c", day(2000, 1, 1), day(2000, 3, 1), 0.4, "N"), (1, 2, 1, "sql", "b", None, day(2001, 1, 1), 0.9, "N"),
+        (1, None, 3, "sql", "d", day(2000, 6, 1), None, 0.1, "A"), (1, 2, 2, "go", "d", None, None, 0.2, "N"), (1, 3, 1, "c", "x", day(2001, 5, 1), day(2001, 5, 1), 0.3, "N"), (1, 4, 1, "c", "x", day(2001, 4, 1), day(2001, 5, 1), 0.3, "N"),
+    ]
+    e = spark.createDataFrame(rows, EV)
+    for x in (e, e.repartition("entity")):
+        led = ledger.build_ledger(x, "2002-01-01")
+        assert led._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        got = {r["skill"]: (r["evidence_count"], r["role_count"], round(r["years"] * 365.25), r["first_seen"], r["last_seen"], r["is_current"], r["unsubstantiated"], r["category"]) for r in led.collect()}
+        assert got == {
+            "sql": (4, 3, 60 + 579, day(2000, 1, 1), None, True, False, "b"), "go": (1, 1, 0, None, None, True, True, "d"),
+            "c": (2, 2, 30, day(2001, 4, 1), day(2001, 5, 1), False, False, "x"),
+        }
+    union = {(r["skill"], r["islands"], r["days"]) for r in ledger.interval_union(e, "2002-01-01").collect()}
+    assert union == {("sql", 2, 639), ("c", 1, 30)}
+
+
+def test_order_lines(spark, tmp_path):
+    """Evidence, achievements and requirements of lines joined once are those of the tables, a line without its order and one without its part among them."""
+    from talentspark.plans import bindings
+
+    lines = [(o, p, s, n, q, 0.1 * n, f, st) for o, p, s, n, q, f, st in ((1, 1, 1, 1, 3.0, "R", "F"), (1, 2, 2, 2, 5.5, "A", "O"), (2, 1, 3, 1, 1.0, "N", None), (9, 2, 4, 1, 1.0, "R", "F"), (2, 9, 4, 2, 1.0, "R", "F"))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7, dt.datetime(1999, 1, 2, 3)), (2, 8, None)], "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "red gear", "PROMO", 41), (2, "hot bolt", "ECONOMY", 14)], "p_partkey long, p_name string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    joined = bindings.order_lines(spark, str(tmp_path))
+    for of, own, n in ((bindings.evidence_of, bindings.evidence, 3), (bindings.achievements_of, bindings.achievements, 3), (bindings.requirements_of, bindings.requirements, 4)):
+        want = own(spark, str(tmp_path))
+        got = of(joined).select(*want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == n
+
+
+def test_match_deals_no_ledger_for_a_small_vocabulary(spark):
+    """Pairs of the vocabulary are written, so entries and texts meet them without being shuffled; only the entries of each term are."""
+    led = writers.written(spark.createDataFrame([(i, "red gear", 0.1 * i) for i in range(5)] + [(5, "rope", 0.7)], "entity int, skill string, strength double"), "ledger")
+    req = spark.createDataFrame([(1, "GEAR", 0), (2, "wheel", 1)], "spec int, term string, importance int")
+    texts = writers.written(spark.createDataFrame([(5, "a wheel job"), (0, "wheel"), (9, "wheel")], "entity int, text string"), "texts")
+    rows = []
+    own = matching.written
+
+    def kept(df, name):
+        rows.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return own(df, name)
+
+    matching.written = kept
+    try:
+        got = {(r["entity"], r["term"]): (r["skill"], r["strength"], r["similarity"]) for r in matching.best_entries(led, req, None, texts).collect()}
+    finally:
+        matching.written = own
+    assert got == {(i, "GEAR"): ("red gear", pytest.approx(0.1 * i), 0.85) for i in range(5)} | {(5, "wheel"): ("(evidence)", 0.7, 0.65), (0, "wheel"): ("(evidence)", 0.0, 0.65)}
+    plan = dict(rows)["best"]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastHashJoin") == 2
